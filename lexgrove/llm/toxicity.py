@@ -28,11 +28,11 @@ class Training:
     rows: int = 8000
     keys: int = 16_000_000
     epochs: int = 5
-    alpha: float = 0.1
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    least_docs: int = 3
+    l1: float = 4.0
+    l2: float = 0.1
+    least_docs: int = 5
 
 
 class _Hashes(dict):

@@ -86,7 +86,7 @@ def fold_frames(lines: list[str]) -> dict:
 _ANSWER = "answer_id long, answer string, tokens long, finish string, error string"
 
 
-def _fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = fold_frames(rows.sort_values("seq")["line"].tolist())
     return pd.DataFrame([(key[0], out["answer"], out["tokens"], out["finish"], out["error"])], columns=["answer_id", "answer", "tokens", "finish", "error"]).astype({"tokens": "Int64"})
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
+RUN_ENTRIES, PREFIX_ENTRIES = 200_000, 250_000
+_SHORT = (2, 1)
 #: Finer ways to cut a text first. A way is used if no piece of the model crosses one of its cuts; the last always holds.
 _CUTS = [rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^\w{SPACE}]|[\d_²])+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+"]
 
@@ -47,6 +49,8 @@ class Pieces:
         self.merges = self._is_merge_model()
         self.cut = re.compile(next(c for c in _CUTS if c is _CUTS[-1] or all(re.fullmatch(c, p) for p in self.ids)))
         self.known: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
+        self.by_prefix: dict[str, str | None] = {}
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.halves_of: dict[str, tuple[str, str] | None] = {}
         by_end: dict[str, set[int]] = {}
@@ -139,33 +143,13 @@ class Pieces:
         of the end are open; when the backpointer paths from all of them meet in one boundary, the pieces up to it are
         given out and their window is let go.
         """
-        ids, longest, merges, score = self.ids, self.longest, self.merges, self.score
-        text, last, total, check = "", [None], [0.0], 4 * longest  # of the window; last[k] ends at k
+        longest, text, last, total, check = self.longest, "", [None], [0.0], 4 * self.longest  # last[k] ends at k of the window
         for part in parts:
             text += part
             while len(last) <= len(text):
-                i, best = len(last), None
-                if merges:
-                    for n in self.lengths.get(text[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
-                        j = i - n
-                        if j < 0:
-                            continue
-                        piece = text[j:i]
-                        if (n == 1 or piece in ids) and (j == 0 or last[j] is not None) and self._follows(last[j] or self._left, piece):
-                            best = piece
-                            break
-                    last.append(best)
-                else:
-                    top = -1e30
-                    for j in range(max(0, i - longest), i):
-                        k = ids.get(text[j:i])
-                        s = total[j] + (score[k] if k is not None else -1e6 if i - j == 1 else -1e30)
-                        if s > top:
-                            top, best = s, text[j:i]
-                    last.append(best)
-                    total.append(top)
-                if i >= check:
-                    meet = self._meeting(last, i)
+                self._extend(text, last, total, min(check, len(text)))
+                if len(last) > check:
+                    meet = self._meeting(last, len(last) - 1)
                     if meet:
                         out = self._path(last, meet)
                         yield from out
@@ -175,6 +159,49 @@ class Pieces:
         yield from self._path(last, len(text))
         self._left = None
 
+    def _extend(self, text: str, last: list, total: list, end: int) -> None:
+        """Survivors of the boundaries up to `end`."""
+        ids, lengths, known = self.ids, self.lengths.get, self.pair_ok.get
+        if not self.merges:
+            for i in range(len(last), end + 1):
+                top, best = -1e30, None
+                for j in range(max(0, i - self.longest), i):
+                    k = ids.get(text[j:i])
+                    s = total[j] + (self.score[k] if k is not None else -1e6 if i - j == 1 else -1e30)
+                    if s > top:
+                        top, best = s, text[j:i]
+                last.append(best)
+                total.append(top)
+            return
+        fresh = self._left is None  # then a boundary's survivor depends on the text before it alone
+        memo = self.by_prefix
+        for i in range(len(last), end + 1):
+            if fresh and i < 16:
+                piece = memo.get(text[:i], 0)
+                if piece != 0:
+                    last.append(piece)
+                    continue
+            for n in lengths(text[i - 3 : i], _SHORT) if i > 2 else _SHORT:
+                j = i - n
+                if j < 0:
+                    continue
+                piece = text[j:i]
+                if n > 1 and piece not in ids:
+                    continue
+                left = last[j] if j else self._left
+                if left is None:
+                    if j == 0 and self._follows(None, piece):
+                        break
+                    continue
+                ok = known((left, piece))
+                if ok or ok is None and self._follows(left, piece):
+                    break
+            else:
+                piece = None
+            if fresh and i < 16 and len(memo) < PREFIX_ENTRIES:
+                memo[text[:i]] = piece
+            last.append(piece)
+
     _left: str | None = None
 
     def _meeting(self, last: list, end: int) -> int:
@@ -201,16 +228,22 @@ class Pieces:
             return [i]
         return [self.byte_id[b] for b in piece.encode()] if self.fallback else [self.unknown]
 
+    def _raw(self, piece: str) -> bytes:
+        value = np.array(self._numbers(piece), "<u4").tobytes()
+        if piece in self.ids:
+            self.raw[piece] = value
+        return value
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, each as four bytes, little-endian. Cuts that no piece crosses part it first."""
         if not text:
             return b""
-        out, known = [], self.known
+        out, known, raw = [], self.known, self.raw
         for run in self.cut.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(run)
             if ids is None:
-                ids = np.array([i for p in self.stream((run,)) for i in self._numbers(p)], "<u4").tobytes()
-                if len(known) < CACHE_ENTRIES and len(run) < 64:
+                ids = b"".join([raw[p] if p in raw else self._raw(p) for p in self.stream((run,))])
+                if len(known) < RUN_ENTRIES and len(run) < 64:
                     known[run] = ids
             out.append(ids)
         return b"".join(out)

@@ -19,6 +19,8 @@ _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 300_000
 #: Bytes of text in a shard, documents in a block of it, queries that are answered together, parts that results are merged in.
 SHARD_BYTES, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 64, 4096, 1024
+#: Queries whose bounds and scores are computed together.
+TILE = 32
 #: A term in over this share of a shard's documents is common: its part of a block's bound comes from block maxima alone.
 COMMON_SHARE = 1 / 16
 _TERM_CHUNK = 1 << 16
@@ -139,12 +141,14 @@ def search(row: dict, q: _Queries, k: int, how: Bm25) -> tuple[np.ndarray, np.nd
     """The k best documents of one shard for each query: (query number, doc_id, score).
 
     A query's rare terms are read from their posting lists. A block of documents is bounded by its best document so far
-    plus, for each common term, the term's block maximum; blocks are scored by falling bound, and all whose bound is under
-    the k-th score reached are passed over.
+    plus, for each common term, the term's block maximum. The blocks of the highest bounds are scored first, which gives a k-th
+    score; all blocks whose bound is under it are passed over. Queries are taken in tiles, as a tile's bounds and the
+    scores of the blocks left are then two matrix products.
     """
     shard = _Shard(row)
     n = len(shard.doc_ids)
     blocks = -(-n // BLOCK_DOCS)
+    width = blocks * BLOCK_DOCS
     norm = how.k1 * (1 - how.b + how.b * shard.lengths / q.average)
     place = shard.places(q.terms)
     df = np.where(place >= 0, np.diff(shard.starts)[place] if len(shard.terms) else 0, 0)
@@ -152,45 +156,48 @@ def search(row: dict, q: _Queries, k: int, how: Bm25) -> tuple[np.ndarray, np.nd
     row_of = np.full(len(q.terms), -1)
     row_of[common] = np.arange(len(common))
     impact = shard.tf * (how.k1 + 1) / (shard.tf + norm[shard.docs])
-    dense = np.zeros((len(common), blocks * BLOCK_DOCS))
+    dense = np.zeros((len(common), width))
     for r, t in enumerate(common):
         a, e = shard.starts[place[t]], shard.starts[place[t] + 1]
         dense[r, shard.docs[a:e]] = impact[a:e] * q.idf[t]
     maxima = dense.reshape(len(common), blocks, BLOCK_DOCS).max(axis=2)
     found = []
-    for number in range(len(q.ids)):
-        own = q.numbers[q.starts[number] : q.starts[number + 1]]
-        own = own[df[own] > 0]
-        if not len(own):
-            continue
-        rows = row_of[own]
-        rare = own[rows < 0]
-        rows = rows[rows >= 0]
-        if len(rare):
-            first, count = shard.starts[place[rare]], df[rare]
-            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-            score = np.bincount(shard.docs[at], impact[at] * np.repeat(q.idf[rare], count), blocks * BLOCK_DOCS)
-        else:
-            score = np.zeros(blocks * BLOCK_DOCS)
-        by_block = score.reshape(blocks, BLOCK_DOCS)
-        bound = by_block.max(axis=1) + maxima[rows].sum(axis=0)
-        order = np.argsort(-bound)
-        done, step, least, best, who = 0, 4, 0.0, np.zeros(0), np.zeros(0, np.int64)
-        while done < blocks and bound[order[done]] * (1 + 1e-9) >= least and bound[order[done]] > 0:
-            take = order[done : done + step]
-            take = take[bound[take] * (1 + 1e-9) >= least]
+    for tile in range(0, len(q.ids), TILE):
+        numbers = range(tile, min(tile + TILE, len(q.ids)))
+        has = np.zeros((len(numbers), len(common)))
+        score = np.zeros((len(numbers), width))
+        for i, number in enumerate(numbers):
+            own = q.numbers[q.starts[number] : q.starts[number + 1]]
+            own = own[df[own] > 0]
+            rows = row_of[own]
+            has[i, rows[rows >= 0]] = 1
+            rare = own[rows < 0]
+            if len(rare):
+                first, count = shard.starts[place[rare]], df[rare]
+                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                score[i] = np.bincount(shard.docs[at], impact[at] * np.repeat(q.idf[rare], count), width)
+        bound = score.reshape(len(numbers), blocks, BLOCK_DOCS).max(axis=2) + has @ maxima
+        first_blocks = max(1, -(-2 * k // BLOCK_DOCS) + 1)
+        least = np.zeros(len(numbers))
+        for i in range(len(numbers)):
+            take = np.argpartition(-bound[i], min(first_blocks, blocks - 1))[:first_blocks]
             docs = (take[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-            full = score[docs] + (dense[np.ix_(rows, docs)].sum(axis=0) if len(rows) else 0)
-            ok = (docs < n) & (full > 0)
-            full, docs = np.round(full[ok], 6), docs[ok]
-            best, who = np.concatenate([best, full]), np.concatenate([who, docs])
-            if len(best) > k:
-                top = np.lexsort((shard.doc_ids[who], -best))[:k]
-                best, who = best[top], who[top]
-            if len(best) >= k:
-                least = best.min() - 1e-6
-            done, step = done + step, step * 2
-        found.append((np.full(len(best), number), shard.doc_ids[who], best))
+            rows = np.flatnonzero(has[i])
+            part = score[i, docs] + dense[np.ix_(rows, docs)].sum(axis=0)
+            if len(part) >= k:
+                least[i] = np.partition(part, len(part) - k)[len(part) - k] - 1e-5
+        open_ = bound >= least[:, None]
+        left = np.flatnonzero(open_.any(axis=0))
+        docs = (left[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
+        docs = docs[docs < n]
+        full = score[:, docs] + has @ dense[:, docs]
+        for i, number in enumerate(numbers):
+            s = full[i]
+            level = np.partition(s, len(s) - k)[len(s) - k] - 2e-6 if len(s) > k else 0.0
+            keep = np.flatnonzero((s >= level) & (s > 0))
+            who, best = docs[keep], np.round(s[keep], 6)
+            top = np.lexsort((shard.doc_ids[who], -best))[:k]
+            found.append((np.full(len(top), number), shard.doc_ids[who[top]], best[top]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

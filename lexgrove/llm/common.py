@@ -39,6 +39,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def tokenizer_path(name: str, directory: str | None = None) -> str:
     """Place of a public vocabulary file; directory overrides that of the installed package."""
     if directory:

@@ -53,17 +53,17 @@ def _is_aside(name: str, rest: str, within: bool) -> bool:
 def lines(page: str) -> Iterator[tuple[str, int, bool]]:
     """The page's blocks without markup: (text, characters that are no link's, whether inside an article or main element).
 
-    What menus, forms and other asides hold comes as lines without text: those leave a gap in the distribution.
+    What menus, forms and other asides hold is no text; asides in a row leave one empty line, which alone is no dive.
     """
     at, text, linked, links, within = 0, [], 0, 0, 0
     open_: list[tuple[str, bool]] = []
-    aside = 0
+    aside, gap = 0, False
 
     def flush():
-        nonlocal text, linked
+        nonlocal text, linked, gap
         block = " ".join(html.unescape("".join(text)).split())
         out = (block, max(0, len(block) - linked), within > 0)
-        text, linked = [], 0
+        text, linked, gap = [], 0, gap and not block
         return out
 
     for m in _TOKEN.finditer(page):
@@ -78,7 +78,10 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
             continue
         name = name.lower()
         if name in _BLOCK and not aside and text:
-            yield flush()
+            if "".join(text).strip():
+                yield flush()
+            else:
+                text, linked = [], 0
         if name == "a":
             links = 0 if m["end"] else 1
         if name in _LOOSE or name == "a":
@@ -91,12 +94,14 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
                     within -= n in ("article", "main")
                     if was_aside and not aside:
                         links = 0
-                        yield "", 0, within > 0
+                        if not gap:
+                            yield "", 0, within > 0
+                        gap = True
                     if n == name:
                         break
         elif not m["rest"].endswith("/"):
             is_aside = _is_aside(name, m["rest"], within > 0)
-            if is_aside and not aside and text:
+            if is_aside and not aside and text and "".join(text).strip():
                 yield flush()
             open_.append((name, is_aside))
             aside += is_aside

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 from .components import components
 
 SEED = 42
@@ -117,7 +117,8 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Of repeated rows with that doc_id one stays (the one with the least hash of its text). Rows whose doc_id is null all stay.
     """
-    kept = groups(docs.where("doc_id is not null"), words).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("_kept_id").orderBy(F.xxhash64("text")))
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).withColumn("_kept_row", one).where("_kept_row = 1")
+    key, row = fresh(docs, "kept_id"), fresh(docs, "kept_row")
+    kept = groups(docs.where("doc_id is not null"), words).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    one = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(docs["text"])))
+    named = docs.join(kept, docs["doc_id"] == kept[key]).withColumn(row, one).where(F.col(row) == 1)
     return named.select(*(docs[c] for c in docs.columns)).union(docs.where("doc_id is null"))

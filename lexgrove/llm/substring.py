@@ -29,7 +29,7 @@ from .common import materialise
 #: Words of a removable window; words of an anchor.
 WINDOW, PREFIX = 13, 5
 #: Bytes of text in a batch; entries of a bucket of anchors; words of a group of segments.
-BATCH_BYTES, BUCKET_ENTRIES, GROUP_WORDS = 16 << 20, 2_000_000, 2_000_000
+BATCH_BYTES, BUCKET_ENTRIES, GROUP_WORDS = 8 << 20, 1_000_000, 1_000_000
 #: Batches with an anchor from which its suffixes are dealt by their whole window.
 LONG_PREFIX_BATCHES = 5000
 _CACHE_WORDS = 300_000
@@ -76,7 +76,8 @@ def _anchors(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, and the anchor's hash for each window; its lowest bit is 0."""
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     prefix = min(PREFIX, length)
-    return h, _sliding_min(_grams(h, prefix), length - prefix + 1) & ~np.uint64(1)
+    # least hashes are small numbers: spread them, as groups go by the leading bits
+    return h, (_sliding_min(_grams(h, prefix), length - prefix + 1) * _ODD[62]) & ~np.uint64(1)
 
 
 def _documents(data: bytes) -> pa.Table:
@@ -310,7 +311,7 @@ def _removed(group: pa.Table, length: int, ids: list) -> dict[int, np.ndarray]:
     return {int(r[0]): s for r, s in zip(np.split(rows, cut), np.split(starts, cut), strict=True) if len(r)}
 
 
-def _kept(group: pa.Table, length: int, raw: bool, schema: pa.Schema) -> pa.Table:
+def _kept(group: pa.Table, length: int, whole: bool, schema: pa.Schema) -> pa.Table:
     stored = _of_kind(group, 0)
     if not stored:
         return schema.empty_table()
@@ -321,7 +322,7 @@ def _kept(group: pa.Table, length: int, raw: bool, schema: pa.Schema) -> pa.Tabl
         words, starts, gone = _words(text), removed.get(row), []
         n_words.append(len(words))
         if starts is None:
-            texts.append(text if raw else b" ".join(words))
+            texts.append(text if whole else b" ".join(words))
             n_removed.append(0)
         else:
             change = np.zeros(len(words) + 1, np.int32)
@@ -334,37 +335,47 @@ def _kept(group: pa.Table, length: int, raw: bool, schema: pa.Schema) -> pa.Tabl
             n_removed.append(int(len(words) - stays.sum()))
         spans.append(gone)
     text = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-    columns = [text if n == "text" else docs.column(n) for n in docs.schema.names]
-    columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.int32()))]
-    return pa.Table.from_arrays(columns, names=[*docs.schema.names, "_n_words", "_n_removed", "_removed"])
+    if whole:
+        return pa.Table.from_arrays([text if n == "text" else docs.column(n) for n in docs.schema.names], names=docs.schema.names)
+    columns = [docs.column("doc_id"), text, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.int32()))]
+    return pa.Table.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed", "removed"])
 
 
 def _bits(entries: float, most: int) -> int:
     return max(6, int(np.ceil(np.log2(max(1.0, entries / most)))))
 
 
-def without_repeats(docs: DataFrame, length: int = WINDOW, raw: bool = False) -> DataFrame:
-    """All columns of documents with text replaced by what stays of it, and at their end _n_words, _n_removed (words), _removed
-    (first word and word after the last of each removed stretch, flat).
+def without_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """documents -> (doc_id, text, n_words, n_removed, removed), a row for each row: what stays of each text, its words joined by
+    single spaces, and removed, the first word and the word after the last of each removed stretch, flat.
 
     A word goes if it lies in a window of `length` words whose sequence also starts in a document with a smaller doc_id;
     windows are those of the given texts, and a repeat within one document only stays. Words are separated by ASCII white space
-    and not changed. What stays is joined by single spaces; raw: a text that loses nothing stays as it is. Null texts: no words;
-    text becomes empty (raw: stays null). Rows without doc_id lose nothing and make nothing go. Repeated rows have equal
-    doc_ids, so neither makes the other go. Very long texts are one batch each. Empty table: no rows.
+    and not changed. Null texts have no words and become empty. Rows without doc_id lose nothing and make nothing go.
+    Repeated rows have equal doc_ids, so neither makes the other go. Empty table: no rows.
     """
+    return _without(docs.select(F.col("doc_id").cast("long"), "text"), length, False)
+
+
+def drop_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The rows of documents, all columns, with text less what without_repeats() removes. A text that loses nothing stays as it
+    is, white space and null included; one that loses all becomes empty."""
+    return _without(docs, length, True)
+
+
+def _without(docs: DataFrame, length: int, whole: bool) -> DataFrame:
     batches = materialise(docs.mapInArrow(_packed, _ROWS), "substring-batches")
     size = batches.agg(F.sum("n")).first()[0] or 0
     bits = _bits(size / 6 * 0.2, BUCKET_ENTRIES)
     asked = batches.select("batch", "data").mapInArrow(lambda it: _requests(it, length, bits), "batch long, bucket int, data binary")
     repeated = materialise(asked.groupBy("bucket").applyInArrow(_repeated, _ROWS), "substring-repeated")
     found = repeated.agg(F.sum("n")).first()[0] or 0
-    bits = _bits(found * 20.0, GROUP_WORDS)
-    segments = materialise(batches.union(repeated).groupBy("batch").applyInArrow(lambda t: _segments(t, length, bits), _ROWS), "substring-segments")
+    group_bits = _bits(found * 20.0, GROUP_WORDS)
+    segments = materialise(batches.union(repeated).groupBy("batch").applyInArrow(lambda t: _segments(t, length, group_bits), _ROWS), "substring-segments")
     answers = materialise(segments.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _tree(t, length), _ROWS), "substring-answers")
     # the segments' texts are not needed again
     kept = segments.select("batch", "bucket", "kind", "n", F.when(F.col("kind") == 3, F.col("data")).alias("data"), "least")
-    more = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_removed", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([*docs.schema.fields, *more])
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]
+    schema = docs.schema if whole else T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    return batches.union(kept).union(answers).groupBy("batch").applyInArrow(lambda t: _kept(t, length, raw, arrow), schema)
+    return batches.union(kept).union(answers).groupBy("batch").applyInArrow(lambda t: _kept(t, length, whole, arrow), schema)

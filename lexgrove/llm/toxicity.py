@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _FILTER_BITS = 22
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
+#: The bias where there is nothing to learn from: nothing is toxic.
+NOTHING_KNOWN = -35.0
 
 
 @dataclass(frozen=True)
@@ -22,28 +24,30 @@ class Training:
     """rows, keys: bounds of the labelled sample, in documents and in n-grams; it is the documents of least hash of doc_id.
 
     alpha, beta: the per-coordinate rate is alpha / (beta + root of the sum of squared gradients). l1, l2: as in
-    FTRL-proximal. least_docs: n-grams of fewer documents of the sample are left out.
+    FTRL-proximal. least_docs: n-grams of fewer documents of the sample are left out. folds: parts of the sample, each of
+    which is scored by a model of the others, so that the threshold is set on texts that were not learned from.
     """
 
     rows: int = 8000
     keys: int = 16_000_000
     epochs: int = 5
-    alpha: float = 3.0
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.1
     least_docs: int = 5
+    folds: int = 3
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash; forgets all when full."""
+    """Word -> 64-bit hash; what comes first is kept."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < _CACHE_WORDS:
+            self[word] = value
         return value
 
 
@@ -94,6 +98,44 @@ def fit(documents: list[np.ndarray], labels: list[int], how: Training = Training
     return vocabulary[used], w[used], float(w[-1])
 
 
+def _margins(model, documents: list[np.ndarray]) -> np.ndarray:
+    known, weights, bias = model
+    out = np.full(len(documents), bias)
+    if len(known):
+        for r, d in enumerate(documents):
+            at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+            out[r] += weights[at][known[at] == d].sum()
+    return out
+
+
+def scaling(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic that fits labels to margins best, by Newton's method, with smoothed targets."""
+    slope, offset, positive = 1.0, 0.0, labels.sum()
+    target = np.where(labels == 1, (positive + 1) / (positive + 2), 1 / (len(labels) - positive + 2))
+    x = np.stack([margins, np.ones(len(margins))], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ (slope, offset), -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        slope, offset = slope - step[0], offset - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(slope), float(offset)
+
+
+def fit_scaled(documents: list[np.ndarray], labels: list[int], how: Training = Training()) -> tuple[np.ndarray, np.ndarray, float]:
+    """fit(), with weights and bias scaled so that scores are probabilities on texts that were not learned from."""
+    y, fold = np.array(labels), np.arange(len(labels)) % how.folds
+    known, weights, bias = fit(documents, labels, how)
+    if not len(known) or len(set(labels)) < 2:
+        return known, weights, bias
+    margins = np.zeros(len(labels))
+    for k in range(how.folds):
+        inner, outer = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        margins[outer] = _margins(fit([documents[i] for i in inner], y[inner].tolist(), how), [documents[i] for i in outer])
+    slope, offset = scaling(margins, y)
+    return (known, weights * slope, bias * slope + offset) if slope > 0 else (known, weights, bias)
+
+
 def _train(batches: Iterator[pa.RecordBatch], how: Training) -> Iterator[pa.RecordBatch]:
     documents, labels, size = [], [], 0
     for b in batches:
@@ -102,7 +144,8 @@ def _train(batches: Iterator[pa.RecordBatch], how: Training) -> Iterator[pa.Reco
                 documents.append(np.unique(keys(text.as_py())))
                 labels.append(label.as_py())
                 size += len(documents[-1])
-    k, w, bias = fit(documents, labels, how)
+    k, w, bias = fit_scaled(documents, labels, how) if documents else ([], [], NOTHING_KNOWN)
+    k, w = np.array(k), np.array(w)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *k.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], ["key", "weight"])
 
 
@@ -119,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> tup
     model = alone.mapInArrow(lambda it: _train(it, how), "key long, weight double").collect()
     k = np.array([r["key"] for r in model if r["key"] >= 0], np.uint32)
     w = np.array([r["weight"] for r in model if r["key"] >= 0])
-    return k, w, next((r["weight"] for r in model if r["key"] < 0), 0.0)
+    return k, w, next((r["weight"] for r in model if r["key"] < 0), NOTHING_KNOWN)
 
 
 def _score(text: str | None, model, hit: np.ndarray) -> float:
@@ -153,17 +196,21 @@ def held_out(doc_id) -> F.Column:
 
 
 def scores(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
-    """All columns of documents, and at their end _held_out, _score, _predicted.
+    """documents, labels (doc_id, toxic) -> (doc_id, held_out, score, predicted), a row for each row of documents.
 
-    Null and empty texts get the score of a text without n-grams. Scores read the text only; learning uses rows that are
-    not held out. Every row keeps its place, repeated ones too.
+    Null and empty texts get the score of a text without n-grams; without any labelled row all scores are 0 but for rounding.
+    Scores read the text only; learning uses rows that are not held out. A null doc_id is not held out and has no label.
     """
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id")))
-    score = scorer(docs.sparkSession, train(docs, known, how))
-    out = docs.select(*(docs[c] for c in docs.columns), held_out(docs["doc_id"]).alias("_held_out"), score(docs["text"]).alias("_score"))
-    return out.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
+    score = scorer(docs.sparkSession, train(docs, _known(labels), how))
+    out = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), score(docs["text"]).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id")))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     """The rows of documents that are not predicted toxic, all columns unchanged."""
-    return scores(docs, labels, how).where("_predicted = 0").select(*docs.columns)
+    score = scorer(docs.sparkSession, train(docs, _known(labels), how))
+    return docs.where(score(docs["text"]) < 0.5)

@@ -21,7 +21,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words of windows that a document with a smaller doc_id has; a text that loses nothing stays as it is."""
-    out = substring.without_repeats(docs, raw=True).select(*docs.columns)
+    out = substring.drop_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

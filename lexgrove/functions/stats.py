@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Lower and upper bound of a share, by Wilson's score interval; null without cases."""
-    p, zz = successes / F.nullif(n.cast("double"), F.lit(0.0)), z * z
+    n, zz = F.nullif(n.cast("double"), F.lit(0.0)), z * z
+    p = successes / n
     middle, spread, scale = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)), 1 + zz / n
     return F.greatest(F.lit(0.0), (middle - spread) / scale), F.least(F.lit(1.0), (middle + spread) / scale)
 

@@ -82,10 +82,19 @@ def coverage(matter: Matter) -> DataFrame:
     return d.union(known.where("status = 'skipped'").select("file", "status", "why"))
 
 
+def _overrides(questions: DataFrame, top_k: int, diverse: bool) -> DataFrame:
+    """qid, scope, top_k, diverse: each question's own settings, or the given ones."""
+    have = set(questions.columns)
+    k = F.coalesce("top_k", F.lit(top_k)) if "top_k" in have else F.lit(top_k)
+    spread = F.coalesce("diverse", F.lit(False)) | F.lit(diverse) if "diverse" in have else F.lit(diverse)
+    return questions.select("qid", F.col("scope") if "scope" in have else F.lit(None).cast("string").alias("scope"), k.alias("top_k"), spread.alias("diverse"))
+
+
 def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bool = False, diverse: bool = False) -> DataFrame:
     """(qid, label, chunk_id, bm25, cos, file, heading, title, text): what each question gets to read.
 
-    Statistics are those of all chunks but, for ask, the derived notes; a question's scope limits what is ranked.
+    Statistics are those of all chunks but, for ask, the derived notes; a question's scope limits what is ranked, and its own top_k
+    and diverse go before the given ones.
     """
     chunks, posts = matter.table("chunks"), matter.table("postings")
     if not notes:
@@ -94,14 +103,14 @@ def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bo
     lens = matter.table("lengths").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     bm = R.bm25(posts, I.corpus_statistics(lens), I.document_frequency(posts), questions)
     place = chunks.select("chunk_id", "file", "heading", "title", "text")
-    scoped = bm.join(place.select("chunk_id", "file", "heading"), "chunk_id").join(questions.select("qid", "scope"), "qid").where(X.in_scope(F.col("file"), F.col("scope")))
+    own = _overrides(questions, top_k, diverse)
+    scoped = bm.join(place.select("chunk_id", "file", "heading"), "chunk_id").join(own, "qid").where(X.in_scope(F.col("file"), F.col("scope")))
     fused = R.rrf(scoped.select("qid", "chunk_id", "bm25"), None)
-    if diverse:
-        bucketed = fused.join(place, "chunk_id").withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket")
-        ranked = R.diverse(bucketed, "rrf", top_k)
-    else:
-        ranked = R.top(fused, "rrf", top_k)
-    rescued = R.number_rescue(ranked, place, questions, bm).where("bm25 > 0").select("qid", "chunk_id", "bm25", "cos", F.lit(top_k + 1).alias("rank"))
+    bucketed = fused.join(place, "chunk_id").withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket").join(own, "qid")
+    first = F.row_number().over(Window.partitionBy("qid", "bucket").orderBy(F.desc("rrf"), "chunk_id"))
+    order = Window.partitionBy("qid").orderBy(F.col("diverse") & (F.col("_first") > 1), F.desc("rrf"), "chunk_id")
+    ranked = bucketed.withColumn("_first", first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
+    rescued = R.number_rescue(ranked, place, questions, bm).where("bm25 > 0").select("qid", "chunk_id", "bm25", "cos", F.lit(1 << 30).alias("rank"))
     hits = ranked.select("qid", "chunk_id", "bm25", "cos", "rank").union(rescued)
     label = F.row_number().over(Window.partitionBy("qid").orderBy("rank", F.desc("bm25"), "chunk_id"))
     return hits.withColumn("label", label).drop("rank").join(place, "chunk_id")
@@ -136,6 +145,9 @@ def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str
     """
     spark, store = matter.spark, matter.store
     reason = mode == "reason"
+    questions = questions.select(*(c for c in ("qid", "question", "scope", "top_k", "diverse") if c in questions.columns))
+    if "scope" not in questions.columns:
+        questions = questions.withColumn("scope", F.lit(None).cast("string"))
     k = max(top_k or 0, R.REASON_TOP_K) if reason else top_k or R.TOP_K
     search(matter, questions, k, notes=mode != "ask", diverse=reason).write.mode("overwrite").parquet(f"{store}/run/hits")
     hits = spark.read.parquet(f"{store}/run/hits")

@@ -25,7 +25,7 @@ def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
 
 def texts(files: DataFrame) -> DataFrame:
     """(file, text) of plain text files, what is no UTF-8 replaced."""
-    return files.where(F.col("ext").isin(".md", ".markdown", ".txt")).select("file", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.col("ext").isin(".md", ".markdown", ".txt")).select("file", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

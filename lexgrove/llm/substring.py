@@ -12,6 +12,7 @@ segment once, with its least doc_id, and applies the answers to all its document
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from itertools import compress
 
@@ -92,6 +93,14 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def _shrunk(data: bytes) -> bytes:
+    return struct.pack("<q", len(data)) + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], struct.unpack_from("<q", data)[0], asbytes=True)
+
+
 # -- batches of documents
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -221,8 +230,8 @@ def _segments(group: pa.Table, length: int, bits: int) -> pa.Table:
         own = occurs[spans[g] : spans[g + 1]].copy()
         own[:, 0] = number[own[:, 0]]
         sizes = np.array([texts[k].count(b" ") + 2 - length for k in part], np.int32)
-        out.append((batch, g, 2, len(part), b"\n".join([texts[k] for k in part]), least[part].tobytes()))
-        out.append((batch, g, 3, len(part), own.tobytes(), sizes.tobytes()))
+        out.append((batch, g, 2, len(part), _shrunk(b"\n".join([texts[k] for k in part])), least[part].tobytes()))
+        out.append((batch, g, 3, len(part), _shrunk(own.tobytes()), sizes.tobytes()))
     return _table(out)
 
 
@@ -252,7 +261,7 @@ def _tree(group: pa.Table, length: int) -> pa.Table:
     base = 0
     for r in rows:
         least = np.frombuffer(r["least"], np.int64)
-        tokens = [s.split(b" ") for s in r["data"].split(b"\n")]
+        tokens = [s.split(b" ") for s in _grown(r["data"]).split(b"\n")]
         counts = np.array([len(t) for t in tokens])
         flat = np.fromiter((numbers.setdefault(w, len(numbers)) for t in tokens for w in t), np.int64, int(counts.sum()))
         windows = counts - length + 1
@@ -289,7 +298,7 @@ def _removed(group: pa.Table, length: int, ids: list) -> dict[int, np.ndarray]:
     doc_id = np.array([np.iinfo(np.int64).min if d is None else d for d in ids], np.int64)
     found_rows, found = [], []
     for r in _of_kind(group, 3):
-        sizes, occurs = np.frombuffer(r["least"], np.int32).astype(np.int64), np.frombuffer(r["data"], np.int32).reshape(-1, 3).astype(np.int64)
+        sizes, occurs = np.frombuffer(r["least"], np.int32).astype(np.int64), np.frombuffer(_grown(r["data"]), np.int32).reshape(-1, 3).astype(np.int64)
         offsets = np.cumsum(sizes) - sizes
         low = np.repeat(leasts[r["bucket"]], sizes)
         runs = answers.get(r["bucket"])

@@ -67,6 +67,29 @@ def note_names(audit: DataFrame) -> DataFrame:
     return named.withColumn("note", F.concat("_stem", F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k").cast("string"))).otherwise(""), F.lit(".md"))).drop("_stem", "_k")
 
 
+NOTE_HEAD = "<!-- DERIVED NOTE: written by a language model from the sources below, and no source itself. Check each number against its source. -->"
+
+
+def rendered_notes(audit: DataFrame, sources: DataFrame) -> DataFrame:
+    """(qid, note, text) of records that may become notes: the header of a derived note, the sources, the question, the answer resolved.
+
+    sources: qid, label, file, heading.
+    """
+    from .verify import resolve_citations
+
+    named = note_names(note_blocker(audit).where("blocker is null"))
+    line = F.concat(F.lit("  - S"), F.col("label").cast("string"), F.lit(": "), F.concat_ws(" > ", "file", F.coalesce(F.nullif("heading", F.lit("")), F.lit("(no heading)"))))
+    lists = sources.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", line.alias("l")))), lambda x: x["l"]), "\n").alias("_list"))
+    answers = resolve_citations(named.select("qid", "answer"), sources).withColumnRenamed("answer", "_answer")
+    q = F.trim(F.regexp_replace("question", r"\s+", " "))
+    warned = F.coalesce(F.nullif(F.array_join("warnings", "; "), F.lit("")), F.lit("none"))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("# Note: "), F.left(q, F.lit(120))), F.lit(""), F.lit(NOTE_HEAD), F.lit(""), F.lit("- kind: model-note"), F.concat(F.lit("- written: "), "ts"), F.concat(F.lit("- warnings: "), warned),
+        F.lit("- sources:"), F.coalesce("_list", F.lit("")), F.lit(""), F.lit("## Question"), F.lit(""), q, F.lit(""), F.lit("## Answer"), F.lit(""), "_answer", F.lit(""),
+    )
+    return named.join(lists, "qid", "left").join(answers, "qid").select("qid", "note", text.alias("text"))
+
+
 def listed(notes: DataFrame, files: DataFrame) -> DataFrame:
     """Notes (note, text) with their first heading and whether they are indexed."""
     head = F.trim(F.regexp_extract("text", r"(?m)^#+\s+(.*)$", 1))

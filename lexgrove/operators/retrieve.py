@@ -107,16 +107,21 @@ def folders_named(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.withColumn("_n", F.count("*").over(Window.partitionBy("qid"))).where("_n >= 2").drop("_n")
 
 
-def quota(scores: DataFrame, groups: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Each named group's own best chunks, then the best of all up to k. scores: qid, chunk_id, grp, rrf, bm25, cos.
+def quota(scores: DataFrame, members: DataFrame, groups: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Each group's own best chunks, then the best of all up to k, for questions with groups.
 
-    Ranks inside a group are counted anew in the group; every group gets max(3, k // groups) places.
+    scores: qid, chunk_id, bm25, cos, rrf. members: qid, grp, chunk_id. groups: qid, grp. Both rankings are made anew inside a
+    group before they are fused; every group gets max(3, k // groups) places. The order shown is by bm25 + 10 cos.
     """
     counted = groups.groupBy("qid").agg(F.count("*").alias("_groups"))
-    inside = scores.join(groups, ["qid", "grp"]).join(counted, "qid")
-    place = F.row_number().over(Window.partitionBy("qid", "grp").orderBy(F.desc("rrf"), "chunk_id"))
+    inside = scores.drop("rrf").join(members, ["qid", "chunk_id"]).join(counted, "qid")
+    w = Window.partitionBy("qid", "grp")
+    by_bm, by_cos = F.row_number().over(w.orderBy(F.desc("bm25"), "chunk_id")), F.row_number().over(w.orderBy(F.desc_nulls_last("cos"), "chunk_id"))
+    fused = F.when(F.col("bm25") > 0, 1.0 / (RRF_K + by_bm)).otherwise(0.0) + F.when(F.col("cos").isNotNull(), DENSE_WEIGHT / (RRF_K + by_cos)).otherwise(0.0)
+    inside = inside.withColumn("_rrf", F.round(fused, 9))
+    place = F.row_number().over(w.orderBy(F.desc("_rrf"), "chunk_id"))
     own = inside.withColumn("_p", place).where((F.col("_p") <= F.greatest(F.lit(QUOTA_MIN), F.floor(F.lit(k) / F.col("_groups")))) & ((F.col("bm25") > 0) | (F.coalesce("cos", F.lit(0.0)) > 0)))
-    picked = own.select("qid", "chunk_id", F.lit(0).alias("_late"))
+    picked = own.select("qid", "chunk_id", F.lit(0).alias("_late")).distinct()
     every = scores.join(counted, "qid", "left_semi").join(picked, ["qid", "chunk_id"], "left").withColumn("_late", F.coalesce("_late", F.lit(1)))
     order = Window.partitionBy("qid").orderBy("_late", F.desc("rrf"), "chunk_id")
     ranked = every.withColumn("_r", F.row_number().over(order)).where((F.col("_late") == 0) | (F.col("_r") <= k))
@@ -124,6 +129,22 @@ def quota(scores: DataFrame, groups: DataFrame, k: int = TOP_K) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(shown), "chunk_id"))).drop("_late", "_r")
 
 
+def embed(chunks: DataFrame, function, size: int = 32) -> DataFrame:
+    """(chunk_id, v): unit vectors of heading and text, by a function from a list of texts to a list of vectors, in batches."""
+    import pandas as pd
+
+    def made(batches):
+        for b in batches:
+            vectors = []
+            for at in range(0, len(b), size):
+                vectors += [list(map(float, v)) for v in function(b["t"].iloc[at : at + size].tolist())]
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "v": vectors})
+
+    texts = chunks.select("chunk_id", F.concat_ws("\n", F.nullif("heading", F.lit("")), "text").alias("t"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return texts.mapInPandas(made, f"chunk_id {kind}, v array<double>").select("chunk_id", unit(F.col("v")).alias("v"))
+
+
 def dense_rescue(hits: DataFrame, cos: DataFrame, least: float = DENSE_MIN) -> DataFrame:
     """The chunk of the best cosine of the whole ranking rides along with BM25 0 if it is absent and near enough."""
     best = top(cos, "cos", 1).where(F.col("cos") >= least).select("qid", "chunk_id", F.lit(0.0).alias("bm25"), "cos")

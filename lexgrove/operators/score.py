@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as X
@@ -141,3 +141,29 @@ def fabricated(answers: DataFrame, corpus: DataFrame) -> DataFrame:
     known = corpus.select(F.explode(F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), X.bare)).alias("number")).distinct()
     asked = answers.select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("answer", pattern, F.lit(0)), X.bare))).alias("number"))
     return asked.where(~F.col("number").rlike(r"^\d{1,2}$")).join(known, "number", "left_anti").select("qid", "number")
+
+
+def envelope(table: DataFrame, by: str) -> DataFrame:
+    """(line_no, line): a class table with its wrong rate and interval as lines of a markdown table, for a text sink."""
+    low, high = stats.wilson(F.col("wrong"), F.col("n"))
+    cells = F.concat_ws(" | ", by, *(F.col(c).cast("string") for c in ("n", "correct", "silent", "wrong", "silent_wrong")), F.format_number(F.col("wrong") / F.col("n"), 3), F.concat(F.format_number(low, 3), F.lit("-"), F.format_number(high, 3)))
+    rows = table.select(F.col(by).alias("_by"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    head = table.sparkSession.createDataFrame([(0, f"| {by} | n | correct | silent | wrong | silent wrong | rate | interval |"), (1, "|---" * 8 + "|")], "line_no int, line string")
+    return head.union(rows.select((F.row_number().over(Window.orderBy("_by")) + 1).alias("line_no"), "line"))
+
+
+def sealed_gap(scored: DataFrame) -> DataFrame:
+    """public, sealed, gap: share correct of public and sealed items, and the difference."""
+    rate = lambda sealed: F.avg(F.when(F.col("sealed") == sealed, (F.col("label") == "CORRECT").cast("double")))
+    g = scored.agg(rate(False).alias("public"), rate(True).alias("sealed"))
+    return g.withColumn("gap", F.col("public") - F.col("sealed"))
+
+
+def faithfulness(claims: DataFrame, flagged: DataFrame, corpus_numbers: DataFrame) -> DataFrame:
+    """(scope, claims, grounded, fabricated, coverage_gap): flagged numbers that the corpus has are gaps of coverage, the others made up.
+
+    claims: scope, grounded. flagged: scope, number. corpus_numbers: number.
+    """
+    split = flagged.join(corpus_numbers.select("number", F.lit(True).alias("_known")), "number", "left").groupBy("scope").agg(F.count_if(F.col("_known").isNull()).alias("fabricated"), F.count_if(F.col("_known")).alias("coverage_gap"))
+    counted = claims.groupBy("scope").agg(F.count("*").alias("claims"), F.count_if("grounded").alias("grounded"))
+    return counted.join(split, "scope", "left").select("scope", "claims", "grounded", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fabricated", "coverage_gap")))

@@ -52,8 +52,8 @@ def _slide_text(slides: DataFrame) -> DataFrame:
     return slides.groupBy("file").agg(joined.alias("text"))
 
 
-def ingest(matter: Matter, tools: list[str] | None = None) -> bool:
-    """Read, segment and index a matter's documents; False if nothing has changed."""
+def ingest(matter: Matter, tools: list[str] | None = None, embedder=None) -> bool:
+    """Read, segment and index a matter's documents, with vectors if there is a function that makes them; False if nothing has changed."""
     spark = matter.spark
     found = files_.walk(spark, matter.docs, content=True)
     known = V.classify(found.select("file", "dir", "stem", "ext", "sha256"), tools=tools)
@@ -68,8 +68,15 @@ def ingest(matter: Matter, tools: list[str] | None = None) -> bool:
             raise
     texts = files_.texts(now).union(office.word_files(now).where("error is null").select("file", "text"))
     texts = texts.union(_slide_text(office.slide_files(now))).union(_mail_text(mail.mail_files(now)))
-    chunks = S.chunk(texts).withColumn("corpus_pos", F.xxhash64("file", "chunk_pos"))
-    I.write_index(chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos"), matter.store)
+    messages = T.ordered(mail.mail_files(now))
+    meta = T.with_meta(S.chunk(texts), T.marked_self(messages))
+    overview = F.startswith("heading", F.lit("thread overview (")) & F.endswith("file", F.lit(".eml"))
+    # files in the order of their paths, then chunks: a fixed-width key sorts so without a global sort
+    place = F.concat_ws("#", "file", F.lpad(F.col("chunk_pos").cast("string"), 9, "0"))
+    chunks = meta.withColumn("corpus_pos", place).withColumn("overview", overview).withColumn("is_self", F.coalesce("is_self", F.lit(False)))
+    I.write_index(chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos", "n", "of", "sender", "recipient", "date", "is_self", "overview"), matter.store)
+    if embedder is not None:
+        R.embed(matter.table("chunks"), embedder).write.mode("overwrite").parquet(f"{matter.store}/vectors")
     now.select("file", "sha256").write.mode("overwrite").parquet(f"{matter.store}/files")
     return True
 
@@ -82,6 +89,13 @@ def coverage(matter: Matter) -> DataFrame:
     return d.union(known.where("status = 'skipped'").select("file", "status", "why"))
 
 
+def _kept(matter: Matter, name: str, df: DataFrame) -> DataFrame:
+    """A step's result, written under the store and read again, so that what uses it more than once doesn't compute it again."""
+    path = f"{matter.store}/run/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return matter.spark.read.schema(df.schema).parquet(path)
+
+
 def _overrides(questions: DataFrame, top_k: int, diverse: bool) -> DataFrame:
     """qid, scope, top_k, diverse: each question's own settings, or the given ones."""
     have = set(questions.columns)
@@ -90,11 +104,13 @@ def _overrides(questions: DataFrame, top_k: int, diverse: bool) -> DataFrame:
     return questions.select("qid", F.col("scope") if "scope" in have else F.lit(None).cast("string").alias("scope"), k.alias("top_k"), spread.alias("diverse"))
 
 
-def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bool = False, diverse: bool = False) -> DataFrame:
-    """(qid, label, chunk_id, bm25, cos, file, heading, title, text): what each question gets to read.
+def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bool = False, diverse: bool = False, embedder=None, me: list[str] | None = None) -> DataFrame:
+    """(qid, label, chunk_id, bm25, cos, read, dropped, file, heading, title, text): what each question gets to read.
 
-    Statistics are those of all chunks but, for ask, the derived notes; a question's scope limits what is ranked, and its own top_k
-    and diverse go before the given ones.
+    A question about few messages, or a broad one about a thread, reads them whole. The others are searched: BM25, fused with
+    cosines if there is a function that embeds questions; folders and senders that a question names get places of their own; the nearest chunk and
+    holders of its figures ride along, and with any message the thread's overview. Statistics are those of all chunks but, for ask,
+    the derived notes; a question's scope limits what is ranked, and its own top_k and diverse go before the given ones.
     """
     chunks, posts = matter.table("chunks"), matter.table("postings")
     if not notes:
@@ -104,14 +120,43 @@ def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bo
     bm = R.bm25(posts, I.corpus_statistics(lens), I.document_frequency(posts), questions)
     place = chunks.select("chunk_id", "file", "heading", "title", "text")
     own = _overrides(questions, top_k, diverse)
-    scoped = bm.join(place.select("chunk_id", "file", "heading"), "chunk_id").join(own, "qid").where(X.in_scope(F.col("file"), F.col("scope")))
-    fused = R.rrf(scoped.select("qid", "chunk_id", "bm25"), None)
-    bucketed = fused.join(place, "chunk_id").withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket").join(own, "qid")
+    in_scope = chunks.select("chunk_id", "file", "heading").join(own.select("qid", "scope"), X.in_scope(F.col("file"), F.col("scope"))).select("qid", "chunk_id", "file", "heading")
+    scoped = _kept(matter, "bm25", bm.join(in_scope.select("qid", "chunk_id"), ["qid", "chunk_id"]))
+    cos = None
+    if embedder is not None:
+        asked = R.embed(questions.select(F.col("qid").alias("chunk_id"), F.lit("").alias("heading"), F.col("question").alias("text")), embedder).select(F.col("chunk_id").alias("qid"), F.col("v").alias("q"))
+        vectors = matter.table("vectors").withColumnRenamed("chunk_id", "vec_id")
+        cos = R.cosine(vectors, asked, vectors.count()).select("qid", "chunk_id", "cos").join(in_scope.select("qid", "chunk_id"), ["qid", "chunk_id"])
+        cos = _kept(matter, "cosines", cos)
+    fused = R.rrf(scoped, cos)
+    target = _kept(matter, "targets", T.targets(questions, chunks, me))
+    read = _kept(matter, "reads", T.reads(questions, chunks, target))
+    searched = _kept(matter, "fused", fused.join(read.select("qid").distinct(), "qid", "left_anti"))
+    # plain and diverse rankings
+    bucketed = searched.join(in_scope, ["qid", "chunk_id"]).withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket").join(own, "qid")
     first = F.row_number().over(Window.partitionBy("qid", "bucket").orderBy(F.desc("rrf"), "chunk_id"))
     order = Window.partitionBy("qid").orderBy(F.col("diverse") & (F.col("_first") > 1), F.desc("rrf"), "chunk_id")
     ranked = bucketed.withColumn("_first", first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
-    rescued = R.number_rescue(ranked, place, questions, bm).where("bm25 > 0").select("qid", "chunk_id", "bm25", "cos", F.lit(1 << 30).alias("rank"))
-    hits = ranked.select("qid", "chunk_id", "bm25", "cos", "rank").union(rescued)
+    # places for folders and senders that are named
+    folders = R.folders_named(questions, chunks)
+    top = F.split_part("file", F.lit("/"), F.lit(1))
+    members = folders.join(chunks.select("chunk_id", top.alias("folder")), "folder").select("qid", F.concat(F.lit("folder "), "folder").alias("grp"), "chunk_id")
+    members = members.union(T.target_chunks(questions, chunks, target).select("qid", F.concat(F.lit("sender "), "sender"), "chunk_id"))
+    groups = folders.select("qid", F.concat(F.lit("folder "), "folder").alias("grp")).union(target.select("qid", F.concat(F.lit("sender "), "sender")))
+    grouped = R.quota(searched, members, groups, top_k)
+    columns = ["qid", "chunk_id", "bm25", "cos", "rank"]
+    hits = _kept(matter, "ranked", ranked.join(groups.select("qid"), "qid", "left_anti").select(*columns).union(grouped.select(*columns)))
+    late = F.lit(1 << 30).alias("rank")
+    if cos is not None:
+        near = R.dense_rescue(hits, cos.join(read.select("qid").distinct(), "qid", "left_anti")).where("origin = 'dense'")
+        hits = hits.union(near.select("qid", "chunk_id", "bm25", "cos", late))
+    held = R.number_rescue(hits, place, questions.join(read.select("qid").distinct(), "qid", "left_anti"), scoped)
+    hits = hits.union(held.select("qid", "chunk_id", "bm25", "cos", late)).where("bm25 > 0 or cos > 0")
+    with_mail = hits.join(chunks.where("sender is not null").select("chunk_id"), "chunk_id", "left_semi").select("qid").distinct()
+    overviews = T.with_all(with_mail, chunks.where("overview").select("chunk_id")).join(hits, ["qid", "chunk_id"], "left_anti")
+    hits = hits.union(overviews.select("qid", "chunk_id", F.lit(0.0), F.lit(None).cast("double"), F.lit((1 << 30) + 1)))
+    whole = read.join(scoped, ["qid", "chunk_id"], "left").select("qid", "chunk_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.lit(None).cast("double").alias("cos"), F.col("place").alias("rank"), F.lit(True).alias("read"), "dropped")
+    hits = hits.select(*columns, F.lit(False).alias("read"), F.lit(0).alias("dropped")).union(whole)
     label = F.row_number().over(Window.partitionBy("qid").orderBy("rank", F.desc("bm25"), "chunk_id"))
     return hits.withColumn("label", label).drop("rank").join(place, "chunk_id")
 
@@ -138,7 +183,7 @@ def check(answers: DataFrame, sources: DataFrame, mode: str = "ask") -> DataFram
     return warnings.distinct()
 
 
-def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str = "ask", top_k: int | None = None, min_score: float = R.MIN_SCORE, machine: str = "local") -> DataFrame:
+def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str = "ask", top_k: int | None = None, min_score: float = R.MIN_SCORE, machine: str = "local", embedder=None, me: list[str] | None = None) -> DataFrame:
     """Questions (qid, question, scope) -> audit records, appended to the matter's audit folder as well.
 
     The gate's refusals never reach the generator: what passes is written out before it is asked, once.
@@ -149,9 +194,10 @@ def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str
     if "scope" not in questions.columns:
         questions = questions.withColumn("scope", F.lit(None).cast("string"))
     k = max(top_k or 0, R.REASON_TOP_K) if reason else top_k or R.TOP_K
-    search(matter, questions, k, notes=mode != "ask", diverse=reason).write.mode("overwrite").parquet(f"{store}/run/hits")
+    search(matter, questions, k, notes=mode != "ask", diverse=reason, embedder=embedder, me=me).write.mode("overwrite").parquet(f"{store}/run/hits")
     hits = spark.read.parquet(f"{store}/run/hits")
-    gated = R.gate(hits, questions, min_score)
+    read = hits.where("read").groupBy("qid").agg(F.max("dropped").alias("gather_dropped"), F.count("*").alias("gathered"))
+    gated = R.gate(hits, questions, min_score).join(read, "qid", "left").withColumn("refused", F.col("refused") & F.col("gathered").isNull())
     rules = {"ask": P.ANSWER_RULES, "reason": P.REASON_RULES, "summary": P.SUMMARY_RULES}[mode]
     P.sources_prompt(hits.join(gated.where("not refused").select("qid"), "qid", "left_semi"), questions, rules).write.mode("overwrite").parquet(f"{store}/run/prompts")
     generator.answer(spark.read.parquet(f"{store}/run/prompts")).write.mode("overwrite").parquet(f"{store}/run/answers")
@@ -160,11 +206,13 @@ def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str
         answers = answers.withColumn("answer", C.cap_citations(F.col("answer")))
     warned = check(answers.where("answer is not null"), hits, mode).groupBy("qid").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "class", "detail"))).alias("warnings"))
     none = F.array().cast("array<string>")
+    config = F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(k).alias("top_k"), F.lit(min_score).alias("min_score"), F.lit(embedder is not None).alias("dense"), F.lit(machine).alias("machine")))
+    coverage_ = F.when(F.col("gather_dropped") > 0, F.array(F.concat(F.lit("COVERAGE: "), F.col("gather_dropped").cast("string"), F.lit(" chunks were left out")))).otherwise(none)
     records = (
         questions.join(gated, "qid").join(answers.drop("question"), "qid", "left").join(warned, "qid", "left")
         .select(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("ts"), "qid", "question", F.col("scope").alias("only"), F.round("bm25_top", 3).alias("top_score"), F.round("cos_top", 3).alias("cos_top"),
-            "refused", F.when(F.col("refused"), "Not in the documents.").otherwise(F.col("answer")).alias("answer"), F.coalesce("warnings", none).alias("warnings"),
+            "refused", F.when(F.col("refused"), "Not in the documents.").otherwise(F.col("answer")).alias("answer"), F.concat(F.coalesce("warnings", none), coverage_).alias("warnings"), "gathered", config.alias("config"),
             F.struct(F.col("tokens").alias("total_tokens")).alias("usage"), "error",
         )
     )
@@ -185,3 +233,28 @@ def summary_chunks(matter: Matter, scope: str | None, budget: int = T.SUMMARY_BU
     chunks = matter.table("chunks").where(X.in_scope(F.col("file"), F.lit(scope)))
     bucketed = chunks.withColumn("bucket", X.source_key(F.col("file"), F.col("heading")))
     return R.round_robin(bucketed, budget).orderBy("file", "chunk_id")
+
+
+def summarize(matter: Matter, generator: Generator, scope: str | None = None, out: str | None = None, budget: int = T.SUMMARY_BUDGET) -> DataFrame:
+    """One summary of a scope: (qid, answer, warnings). It is written to `out` only if it isn't empty. There is no gate."""
+    spark, store = matter.spark, matter.store
+    kept = summary_chunks(matter, scope, budget).withColumn("qid", F.lit(0).cast("long"))
+    label = F.row_number().over(Window.partitionBy("qid").orderBy("file", "chunk_id"))
+    kept.select("qid", label.alias("label"), "chunk_id", "file", "title", "heading", "text").write.mode("overwrite").parquet(f"{store}/run/summary")
+    sources = spark.read.parquet(f"{store}/run/summary")
+    questions = spark.createDataFrame([(0, "Summarise the sources.")], "qid long, question string")
+    generator.answer(P.sources_prompt(sources, questions, P.SUMMARY_RULES)).write.mode("overwrite").parquet(f"{store}/run/summary_answer")
+    answers = spark.read.parquet(f"{store}/run/summary_answer").join(questions, "qid").withColumn("answer", C.cap_citations(F.coalesce("answer", F.lit(""))))
+    warned = check(answers, sources, "summary").groupBy("qid").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "class", "detail"))).alias("warnings"))
+    done = answers.join(warned, "qid", "left").select("qid", "answer", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    if out and not done.where("trim(answer) <> ''").isEmpty():
+        done.select("answer").coalesce(1).write.mode("overwrite").text(out)
+    return done
+
+
+def write_notes(matter: Matter, records: DataFrame) -> DataFrame:
+    """Derived notes of the last run's usable answers, as (note, text) rows under the store; what was written."""
+    hits = matter.spark.read.parquet(f"{matter.store}/run/hits").select("qid", "label", "file", "heading")
+    notes = U.rendered_notes(records, hits)
+    notes.write.mode("append").parquet(f"{matter.store}/notes")
+    return notes

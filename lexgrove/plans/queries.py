@@ -145,9 +145,10 @@ def folder_mention(spark, sf):
 def quota_retrieval(spark, sf):
     questions, chunks = _rows(spark, cases.QUESTIONS), _chunks(spark, sf)
     fused = R.rrf(_bm25(spark, sf, questions), None)
-    grouped = fused.join(chunks.select("chunk_id", F.split_part("file", F.lit("/"), F.lit(1)).alias("grp")), "chunk_id")
+    folder = chunks.select("chunk_id", F.split_part("file", F.lit("/"), F.lit(1)).alias("grp"))
     groups = R.folders_named(questions, chunks).withColumnRenamed("folder", "grp")
-    return R.quota(grouped, groups, 8).select("qid", *_long("rank"), "chunk_id", "grp")
+    kept = R.quota(fused, groups.join(folder, "grp"), groups, 8)
+    return kept.join(folder, "chunk_id").select("qid", *_long("rank"), "chunk_id", "grp")
 
 
 @query

@@ -60,9 +60,11 @@ def test_mcnemar_and_wilson(spark):
 
 
 def test_quota_reranks_inside_groups(spark):
-    scores = spark.createDataFrame([(1, c, g, 1.0 / (60 + c), 9.0 - c, None) for c, g in enumerate("aaaaaabbcc", 1)], "qid long, chunk_id long, grp string, rrf double, bm25 double, cos double")
+    rows = [(1, c, 9.0 - c, None, 1.0 / (60 + c)) for c in range(1, 11)]
+    scores = spark.createDataFrame(rows, "qid long, chunk_id long, bm25 double, cos double, rrf double")
+    members = spark.createDataFrame([(1, g, c) for c, g in enumerate("aaaaaabbcc", 1)], "qid long, grp string, chunk_id long")
     groups = spark.createDataFrame([(1, "b"), (1, "c")], "qid long, grp string")
-    kept = [r.chunk_id for r in retrieve.quota(scores, groups, 6).collect()]
+    kept = [r.chunk_id for r in retrieve.quota(scores, members.where("grp <> 'a'"), groups, 6).collect()]
     assert set(kept) >= {7, 8} and len(kept) == 6  # those of group c score 0 and below
 
 
@@ -291,3 +293,36 @@ def test_substring_collisions_and_money(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_questions_about_messages_read_them(spark, matter):
+    asked = spark.createDataFrame([(1, "What did Daniel write on May 7?", None), (2, "Give me an overview of the thread", None), (3, "What did he answer in his last reply?", None), (4, "What is the hourly rate?", None)], "qid long, question string, scope string")
+    got = {}
+    for r in api.search(matter, asked).orderBy("qid", "label").collect():
+        got.setdefault(r.qid, []).append((r.read, r.heading.split(" (")[0][:26]))
+    assert got[1] == [(True, "thread overview"), (True, "2026-05-07 Daniel Okonkwo ")] and got[3] == got[1]
+    assert len(got[2]) == 4 and all(read for read, _ in got[2]) and not any(read for read, _ in got[4])
+
+
+def test_dense_search_summary_and_notes(spark, matter, tmp_path):
+    vectors = lambda texts: [[float("rate" in t.lower()), float("fee" in t.lower()), 0.1] for t in texts]
+    retrieve.embed(matter.table("chunks"), vectors).write.mode("overwrite").parquet(f"{matter.store}/vectors")
+    asked = spark.createDataFrame([(1, "Which rates?", "firm-bravo"), (2, "Compare alpha and bravo fee", None)], "qid long, question string, scope string")
+    hits = api.search(matter, asked, embedder=vectors).collect()
+    assert any(r.qid == 1 and "hourly rate" in r.text and r.cos > 0.9 for r in hits) and {r.file.split("/")[0] for r in hits if r.qid == 2} >= {"firm-alpha", "firm-bravo"}
+    recorded = RecordedGenerator(spark.createDataFrame([(0, "- Bravo plans three filings [S1][S2][S3][S4].\n- An item without any citation."), (1, "The rate is 480 [S1].")], "qid long, answer string"))
+    done = api.summarize(matter, recorded, "firm-bravo", str(tmp_path / "out")).first()
+    assert "[S1][S2][S3]." in done.answer and "UNGROUNDED SENTENCE: An item without any citation." in done.warnings and spark.read.text(str(tmp_path / "out")).count() == 2
+    records = api.answer(matter, asked.where("qid = 1"), recorded, embedder=vectors)
+    note = api.write_notes(matter, records).first()
+    assert note.note.endswith("-which-rates.md") and "## Answer\n\nThe rate is 480 [S1: firm-bravo/fees.txt > page 2]." in note.text
+
+
+def test_reports(spark):
+    table = spark.createDataFrame([("b", 4, 2, 1, 1, 1), ("a", 2, 2, 0, 0, 0)], "cls string, n long, correct long, silent long, wrong long, silent_wrong long")
+    lines = [r.line for r in score.envelope(table, "cls").orderBy("line_no").collect()]
+    assert len(lines) == 4 and lines[3].startswith("| b | 4 | 2 | 1 | 1 | 1 | 0.250 | ")
+    gap = score.sealed_gap(spark.createDataFrame([("CORRECT", False), ("WRONG", False), ("CORRECT", True)], "label string, sealed boolean")).first()
+    assert (gap.public, gap.sealed, gap.gap) == (0.5, 1.0, -0.5)
+    claims, flagged = spark.createDataFrame([("s", True), ("s", False)], "scope string, grounded boolean"), spark.createDataFrame([("s", "1"), ("s", "2")], "scope string, number string")
+    assert tuple(score.faithfulness(claims, flagged, spark.createDataFrame([("1",)], "number string")).first()) == ("s", 2, 1, 1, 1)

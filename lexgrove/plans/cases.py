@@ -13,6 +13,8 @@ class Table:
     def sql(self) -> str:
         """The table as a SQL VALUES list, for strings, numbers, booleans and nulls."""
         def one(v):
+            if isinstance(v, int) and not isinstance(v, bool):
+                return f"{v}::BIGINT"
             if v is None:
                 return "NULL"
             if isinstance(v, bool):

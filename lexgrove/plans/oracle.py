@@ -181,7 +181,7 @@ SELECT file AS thread, file || '#' || pos AS chunk_id, overview, greatest(0, bod
 SQL["plan_read"] = f"""WITH {_MESSAGES}, t AS (SELECT file, count(*) AS chunks, count(*) FILTER (sender = 'user') AS target_chunks FROM msg GROUP BY file)
 SELECT *, CASE WHEN chunks % 3 > 0 AND target_chunks > 0 AND (target_chunks <= 2 OR chunks % 2 = 0) THEN 'target' WHEN chunks % 3 = 0 AND chunks % 2 = 0 THEN 'thread' ELSE 'search' END AS plan FROM t"""
 SQL["first_seen_names"] = """WITH s AS (SELECT conv_id::VARCHAR AS file, role, min(turn) AS place FROM conversations GROUP BY ALL) SELECT file, string_agg(role, ', ' ORDER BY place, role) AS names FROM s GROUP BY file"""
-SQL["senders_named"] = "SELECT * FROM (VALUES (1::BIGINT, 'Maya Ruiz'), (1, 'Reply Bot'), (2, 'Reply Bot'), (3, 'Daniel Okonkwo')) t(qid, sender)"
+SQL["senders_named"] = "SELECT * FROM (VALUES (1::BIGINT, 'Maya Ruiz'), (3, 'Daniel Okonkwo')) t(qid, sender)"
 SQL["dates_named"] = """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
 n AS (SELECT 3::BIGINT AS qid, day FROM d WHERE month(day) = 5 AND day(day) = 7 UNION ALL SELECT 4, day FROM d WHERE day = DATE '1995-03-12'
   UNION ALL SELECT 5, day FROM d WHERE day = DATE '1996-03-14' UNION ALL SELECT 5, day FROM d WHERE month(day) = 3 AND day(day) = 12)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,19 +18,25 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk_id, n_tokens, terms: one pass over the text; everything else of the index derives from it."""
-    terms = X.tokens(X.chunk_text(F.col("text"), F.col("heading"), F.col("file")))
-    return chunks.select("chunk_id", "file", "corpus_pos", terms.alias("terms"))
+    """(chunk_id, term), a row for each token: the rows form of text.tokens(), all in generated code."""
+    text = F.lower(X.chunk_text(F.col("text"), F.col("heading"), F.col("file")))
+    words = chunks.select("chunk_id", F.explode(F.regexp_extract_all(text, F.lit(X.TOKEN), F.lit(0))).alias("t")).where(~F.col("t").isin(X.STOP))
+    compound = F.col("t").rlike(r"[._\-]")
+    parts = F.posexplode(F.when(compound, F.concat(F.array("t"), F.split("t", r"[._\-]+"))).otherwise(F.array("t"))).alias("k", "t")
+    every = words.select("chunk_id", parts).where((F.col("k") == 0) | ~F.col("t").isin([*X.STOP, ""]))
+    return every.select("chunk_id", X.stem(F.col("t")).alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, n_tokens). A chunk's rows stay in its task until the sum by (chunk_id, term)."""
-    t = chunk_terms(chunks).select("chunk_id", F.size("terms").alias("n_tokens"), F.explode("terms").alias("term"))
-    return t.groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, term, tf, n_tokens). One shuffle, by chunk: both the counts of terms and the chunk's length follow without another."""
+    tf = chunk_terms(chunks).repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return tf.withColumn("n_tokens", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"))
+def lengths(chunks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, n_tokens) of all chunks, those without a token too."""
+    found = (postings(chunks) if posts is None else posts).groupBy("chunk_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def write_index(chunks: DataFrame, path: str) -> None:
     posts = postings(chunks.sparkSession.read.parquet(f"{path}/chunks"))
     posts.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    lengths(stored).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths(stored, chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lengths")
     document_frequency(chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/df")
 
 

@@ -33,7 +33,7 @@ WINDOW, PREFIX = 13, 5
 BATCH_BYTES, BUCKET_ENTRIES, GROUP_WORDS = 8 << 20, 1_000_000, 1_000_000
 #: Batches with an anchor from which its suffixes are dealt by their whole window.
 LONG_PREFIX_BATCHES = 5000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROWS = "batch long, bucket int, kind int, n long, data binary, least binary"
 

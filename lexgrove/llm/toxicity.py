@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _FILTER_BITS = 22
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 #: The bias where there is nothing to learn from: nothing is toxic.
 NOTHING_KNOWN = -35.0
 
@@ -29,7 +29,7 @@ class Training:
     """
 
     rows: int = 8000
-    keys: int = 16_000_000
+    keys: int = 12_000_000
     epochs: int = 5
     alpha: float = 2.0
     beta: float = 1.0
@@ -136,6 +136,19 @@ def fit_scaled(documents: list[np.ndarray], labels: list[int], how: Training = T
     return (known, weights * slope, bias * slope + offset) if slope > 0 else (known, weights, bias)
 
 
+def _frequent(documents: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """The documents without most of the keys of fewer documents than `least`, by counts of 4 million buckets of keys.
+
+    A bucket counts at least what each of its keys does, so no frequent key is lost, and what is kept is small.
+    """
+    shift, counts = np.uint32(10), np.zeros(1 << 22, np.int32)
+    for d in documents:
+        counts[d >> shift] += 1
+    for i, d in enumerate(documents):
+        documents[i] = d[counts[d >> shift] >= least]
+    return documents
+
+
 def _train(batches: Iterator[pa.RecordBatch], how: Training) -> Iterator[pa.RecordBatch]:
     documents, labels, size = [], [], 0
     for b in batches:
@@ -144,7 +157,7 @@ def _train(batches: Iterator[pa.RecordBatch], how: Training) -> Iterator[pa.Reco
                 documents.append(np.unique(keys(text.as_py())))
                 labels.append(label.as_py())
                 size += len(documents[-1])
-    k, w, bias = fit_scaled(documents, labels, how) if documents else ([], [], NOTHING_KNOWN)
+    k, w, bias = fit_scaled(_frequent(documents, how.least_docs), labels, how) if documents else ([], [], NOTHING_KNOWN)
     k, w = np.array(k), np.array(w)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *k.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], ["key", "weight"])
 

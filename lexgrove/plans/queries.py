@@ -18,6 +18,7 @@ from ..operators import score as E
 from ..operators import segment as S
 from ..operators import threads as T
 from ..operators import verify as C
+from ..session import keep
 from ..sources.files import parse_questions
 from ..streaming import live as L
 from . import cases, prompts
@@ -48,7 +49,7 @@ def _asked(spark, sf):
 
 def _bm25(spark, sf, questions):
     chunks = _chunks(spark, sf)
-    posts = I.postings(chunks)
+    posts = keep(I.postings(chunks), "postings")
     return R.bm25(posts, I.corpus_statistics(I.lengths(chunks, posts)), I.document_frequency(posts), questions)
 
 
@@ -81,7 +82,7 @@ def bm25_batch_benchmark(spark, sf):
 @query
 def bm25_scoped_global_stats(spark, sf):
     chunks = _chunks(spark, sf)
-    posts = I.postings(chunks)
+    posts = keep(I.postings(chunks), "postings")
     scoped = posts.join(chunks.where(X.in_scope(F.col("file"), F.lit("src1/"))).select("chunk_id"), "chunk_id", "left_semi")
     bm = R.bm25(scoped, I.corpus_statistics(I.lengths(chunks, posts)), I.document_frequency(posts), _asked(spark, sf))
     return R.top(bm, "bm25", 5).select("qid", *_long("rank"), "chunk_id", "bm25")
@@ -144,7 +145,7 @@ def folder_mention(spark, sf):
 @query
 def quota_retrieval(spark, sf):
     questions, chunks = _rows(spark, cases.QUESTIONS), _chunks(spark, sf)
-    fused = R.rrf(_bm25(spark, sf, questions), None)
+    fused = keep(R.rrf(_bm25(spark, sf, questions), None), "fused")
     folder = chunks.select("chunk_id", F.split_part("file", F.lit("/"), F.lit(1)).alias("grp"))
     groups = R.folders_named(questions, chunks).withColumnRenamed("folder", "grp")
     kept = R.quota(fused, groups.join(folder, "grp"), groups, 8)
@@ -168,7 +169,7 @@ def _figure_questions(spark, sf):
 @query
 def number_rescue(spark, sf):
     questions = _figure_questions(spark, sf)
-    bm = _bm25(spark, sf, questions)
+    bm = keep(_bm25(spark, sf, questions), "bm25")
     hits = R.top(bm, "bm25", 1)
     return R.number_rescue(hits, _chunks(spark, sf), questions, bm).select("qid", "chunk_id", "bm25")
 

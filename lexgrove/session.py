@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",  # timestamps without zone are compared as written
@@ -14,3 +19,19 @@ SETTINGS = {
 
 def session(name: str = "lexgrove", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder that spark.checkpoint.dir names and read back: for what several branches of a plan use.
+
+    Where the setting is unset (local runs), a temporary folder that goes with the process.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lexgrove-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+    path = f"{base.rstrip('/')}/lexgrove/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, tokenizer_path
+from .common import materialise, release, tokenizer_path
 
 #: id that ends a document
 END = 2
@@ -153,6 +153,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterato
         k, a, n, crc, rank = np.array(rows, np.int64).reshape(-1, 5).T
         columns = [pa.array([d.as_py() for d in docs], batch.column(0).type), pa.array(k.astype(np.int32)), *map(pa.array, (a, n, crc)), pa.array(np.full(len(k), part, np.int64)), pa.array(rank)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        del docs, rows, columns
+        release()
 
 
 def pieces(docs: DataFrame, path: str, limit: int) -> DataFrame:

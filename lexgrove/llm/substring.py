@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialise
+from .common import materialise, release
 
 #: Words of a removable window; words of an anchor.
 WINDOW, PREFIX = 13, 5
@@ -33,7 +33,7 @@ WINDOW, PREFIX = 13, 5
 BATCH_BYTES, BUCKET_ENTRIES, GROUP_WORDS = 8 << 20, 1_000_000, 1_000_000
 #: Batches with an anchor from which its suffixes are dealt by their whole window.
 LONG_PREFIX_BATCHES = 5000
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROWS = "batch long, bucket int, kind int, n long, data binary, least binary"
 
@@ -350,6 +350,11 @@ def _kept(group: pa.Table, length: int, whole: bool, schema: pa.Schema) -> pa.Ta
     return pa.Table.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed", "removed"])
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    release()
+    return table
+
+
 def _bits(entries: float, most: int) -> int:
     return max(6, int(np.ceil(np.log2(max(1.0, entries / most)))))
 
@@ -380,11 +385,11 @@ def _without(docs: DataFrame, length: int, whole: bool) -> DataFrame:
     repeated = materialise(asked.groupBy("bucket").applyInArrow(_repeated, _ROWS), "substring-repeated")
     found = repeated.agg(F.sum("n")).first()[0] or 0
     group_bits = _bits(found * 20.0, GROUP_WORDS)
-    segments = materialise(batches.union(repeated).groupBy("batch").applyInArrow(lambda t: _segments(t, length, group_bits), _ROWS), "substring-segments")
-    answers = materialise(segments.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _tree(t, length), _ROWS), "substring-answers")
+    segments = materialise(batches.union(repeated).groupBy("batch").applyInArrow(lambda t: _settled(_segments(t, length, group_bits)), _ROWS), "substring-segments")
+    answers = materialise(segments.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _settled(_tree(t, length)), _ROWS), "substring-answers")
     # the segments' texts are not needed again
     kept = segments.select("batch", "bucket", "kind", "n", F.when(F.col("kind") == 3, F.col("data")).alias("data"), "least")
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]
     schema = docs.schema if whole else T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    return batches.union(kept).union(answers).groupBy("batch").applyInArrow(lambda t: _kept(t, length, whole, arrow), schema)
+    return batches.union(kept).union(answers).groupBy("batch").applyInArrow(lambda t: _settled(_kept(t, length, whole, arrow)), schema)

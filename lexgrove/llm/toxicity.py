@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _FILTER_BITS = 22
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 100_000
 #: The bias where there is nothing to learn from: nothing is toxic.
 NOTHING_KNOWN = -35.0
 
@@ -159,6 +161,8 @@ def _train(batches: Iterator[pa.RecordBatch], how: Training) -> Iterator[pa.Reco
                 size += len(documents[-1])
     k, w, bias = fit_scaled(_frequent(documents, how.least_docs), labels, how) if documents else ([], [], NOTHING_KNOWN)
     k, w = np.array(k), np.array(w)
+    documents.clear()
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([-1, *k.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], ["key", "weight"])
 
 

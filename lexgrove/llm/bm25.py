@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 300_000
@@ -85,6 +85,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 yield done()
                 made, size = made + 1, 0
                 ids, lengths, keys, counts = [], [], [], []
+                release()
     if ids:
         yield done()
 
@@ -210,6 +211,7 @@ def _searched(batches: Iterator[pa.RecordBatch], sent, k: int, how: Bm25) -> Ite
     for b in batches:
         for row in b.to_pylist():
             query, doc, score = search(row, sent.value, k, how)
+            release()
             parts = query % MERGE_PARTS
             order = np.argsort(parts, kind="stable")
             query, doc, score, parts = query[order].astype(np.int64), doc[order], score[order], parts[order]

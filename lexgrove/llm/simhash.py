@@ -112,13 +112,18 @@ def groups(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of the rows of documents, one for each doc_id that is its own component_id in grouped, and those whose doc_id is null."""
+    key, row = fresh(docs, "kept_id"), fresh(docs, "kept_row")
+    kept = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    one = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(docs["text"])))
+    named = docs.join(kept, docs["doc_id"] == kept[key]).withColumn(row, one).where(F.col(row) == 1)
+    return named.select(*(docs[c] for c in docs.columns)).union(docs.where("doc_id is null"))
+
+
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of documents, all columns unchanged, without near copies: of each group the row with its smallest doc_id stays.
 
     Of repeated rows with that doc_id one stays (the one with the least hash of its text). Rows whose doc_id is null all stay.
     """
-    key, row = fresh(docs, "kept_id"), fresh(docs, "kept_row")
-    kept = groups(docs.where("doc_id is not null"), words).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    one = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(docs["text"])))
-    named = docs.join(kept, docs["doc_id"] == kept[key]).withColumn(row, one).where(F.col(row) == 1)
-    return named.select(*(docs[c] for c in docs.columns)).union(docs.where("doc_id is null"))
+    return keep_least(docs, groups(docs.where("doc_id is not null"), words))

@@ -36,6 +36,8 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 _HIDDEN = re.compile(r"""\shidden(?=[\s/>=]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Lines in a block, and the characters in a block from which text surges.
 BLOCK_LINES, SURGE_CHARS = 3, 80
+#: Characters in an article or main element count so many times.
+MARKED_WEIGHT = 2
 
 
 def _is_aside(name: str, rest: str, within: bool) -> bool:
@@ -50,19 +52,20 @@ def _is_aside(name: str, rest: str, within: bool) -> bool:
     return False
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool]]:
-    """The page's blocks without markup: (text, characters that are no link's, whether inside an article or main element).
+def lines(page: str) -> Iterator[tuple[str, int, int]]:
+    """The page's blocks without markup: (text, characters that are no link's, number of the innermost article or main element or 0).
 
     What menus, forms and other asides hold is no text; asides in a row leave one empty line, which alone is no dive.
     """
-    at, text, linked, links, within = 0, [], 0, 0, 0
+    at, text, linked, links, marked = 0, [], 0, 0, 0
+    within = [0]
     open_: list[tuple[str, bool]] = []
     aside, gap = 0, False
 
     def flush():
         nonlocal text, linked, gap
         block = " ".join(html.unescape("".join(text)).split())
-        out = (block, max(0, len(block) - linked), within > 0)
+        out = (block, max(0, len(block) - linked), within[-1])
         text, linked, gap = [], 0, gap and not block
         return out
 
@@ -91,38 +94,40 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
                 while True:
                     n, was_aside = open_.pop()
                     aside -= was_aside
-                    within -= n in ("article", "main")
+                    if n in ("article", "main"):
+                        within.pop()
                     if was_aside and not aside:
                         links = 0
                         if not gap:
-                            yield "", 0, within > 0
+                            yield "", 0, within[-1]
                         gap = True
                     if n == name:
                         break
         elif not m["rest"].endswith("/"):
-            is_aside = _is_aside(name, m["rest"], within > 0)
+            is_aside = _is_aside(name, m["rest"], within[-1] > 0)
             if is_aside and not aside and text and "".join(text).strip():
                 yield flush()
             open_.append((name, is_aside))
             aside += is_aside
-            within += name in ("article", "main")
+            if name in ("article", "main"):
+                marked += 1
+                within.append(marked)
     if at < len(page) and not aside:
         text.append(page[at:])
     if text:
         yield flush()
 
 
-def region(lengths: list[int], width: int = BLOCK_LINES, surge: int = SURGE_CHARS) -> tuple[int, int]:
-    """First and last+1 line of the text: between a surge of the sums over sliding blocks and the dive after it.
+def stretches(lengths: list[int], width: int = BLOCK_LINES, surge: int = SURGE_CHARS) -> list[tuple[int, int]]:
+    """First and last+1 lines between a surge of the sums over sliding blocks and the dive after it.
 
-    Text surges where a block reaches `surge` characters, and dives where a block has none. Of several such stretches the
-    one with the most characters counts; without any, the stretch around the largest block.
+    Text surges where a block reaches `surge` characters, or where the largest does if none reaches that, and dives where a block has none.
     """
     n = len(lengths)
     sums = [sum(lengths[i : i + width]) for i in range(n)]
     if not any(sums):
-        return 0, 0
-    least, best, i = min(surge, max(sums)), (0, 0, 0), 0
+        return []
+    least, found, i = min(surge, max(sums)), [], 0
     while i < n:
         if sums[i] >= least and lengths[i]:
             end = i
@@ -133,28 +138,42 @@ def region(lengths: list[int], width: int = BLOCK_LINES, surge: int = SURGE_CHAR
             start = i
             while start and lengths[start - 1]:
                 start -= 1
-            best = max(best, (sum(lengths[start:end]), -start, end))
+            found.append((start, end))
             i = end
         i += 1
-    return -best[1], best[2]
+    return found
+
+
+def region(lengths: list[int], width: int = BLOCK_LINES, surge: int = SURGE_CHARS) -> tuple[int, int]:
+    """Of the stretches the one with the most characters, the first of equal ones."""
+    return max(stretches(lengths, width, surge), key=lambda x: (sum(lengths[x[0] : x[1]]), -x[0]), default=(0, 0))
 
 
 def extract(page: str | None) -> str:
     """The main text of a page, a line for each block; empty if there is none.
 
-    If the page marks its article (article or main), all other lines count as empty, and so do the dives between stretches of
-    the article; else lines that are mostly links do.
+    The page's stretches of text are cut where an article or main element begins or ends. The part with the most characters counts, those
+    in such an element MARKED_WEIGHT times; of its element all lines are text, as nothing else in an article goes. Lines that are mostly
+    links count as empty.
     """
     if not page:
         return ""
     found = list(lines(page))
-    if any(inside and text for text, _, inside in found):
-        kept = [text for text, _, inside in found if inside and text]
-        # the surge is the article's first line, the dive follows its last
-        return "\n".join(kept)
     lengths = [own if 2 * own >= len(text) else 0 for text, own, _ in found]
-    first, last = region(lengths)
-    return "\n".join(text for (text, _, _), n in zip(found[first:last], lengths[first:last], strict=True) if text and n)
+    weight: dict[tuple[int, int], int] = {}
+    parts: dict[tuple[int, int], tuple[int, int]] = {}
+    for k, (first, last) in enumerate(stretches(lengths)):
+        for i in range(first, last):
+            element = found[i][2]
+            # an element is one part, also where other elements or dives lie between its lines
+            key = (element, 0) if element else (0, k)
+            weight[key] = weight.get(key, 0) + lengths[i] * (MARKED_WEIGHT if element else 1)
+            parts[key] = (min(i, parts.get(key, (i, 0))[0]), i + 1)
+    if not weight:
+        return ""
+    key = max(weight, key=lambda k: (weight[k], -parts[k][0]))
+    first, last = parts[key] if not key[0] else (0, len(found))
+    return "\n".join(text for (text, _, element), n in zip(found[first:last], lengths[first:last], strict=True) if text and element == key[0] and (n or element))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ _ASIDE_NAMES = set(
     " menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar sidenav signup"
     " skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that may stand beside these in a whole name; with any other word ("has-sidebar", "ad-free", "entry-header") a name says nothing.
+_ASIDE_PLACES = set(
+    "area articles bar block bottom box column container content fixed form global group inner item items left links list main mobile outer page panel post posts"
+    " primary right row secondary section site slot sticky top unit wrap wrapper".split()
+)
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
@@ -40,22 +45,26 @@ BLOCK_LINES, SURGE_CHARS = 3, 80
 MARKED_WEIGHT = 2
 
 
-def _is_aside(name: str, rest: str, within: bool) -> bool:
+def _is_aside(name: str, rest: str, within: bool, by_name: bool = True) -> bool:
     if name in _ASIDE or name == "header" and not within:
         return True
     if rest and name not in ("html", "body", "article", "main") or "comment" in rest:
-        for kind, value in _NAMES.findall(rest):
-            names = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-            if names & (_ASIDE_ROLES if kind.lower() == "role" else _ASIDE_NAMES):
-                return True
+        for kind, value in _NAMES.findall(rest) if by_name else ():
+            for one in value.strip("\"'").split():
+                names = {x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if x}
+                if kind.lower() == "role":
+                    if names & _ASIDE_ROLES:
+                        return True
+                elif names & _ASIDE_NAMES and names <= _ASIDE_NAMES | _ASIDE_PLACES and not (within and names <= {"header"} | _ASIDE_PLACES):
+                    return True
         return bool(_HIDDEN.search(rest))
     return False
 
 
-def lines(page: str) -> Iterator[tuple[str, int, int]]:
+def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, int, int]]:
     """The page's blocks without markup: (text, characters that are no link's, number of the innermost article or main element or 0).
 
-    What menus, forms and other asides hold is no text; asides in a row leave one empty line, which alone is no dive.
+    What menus, forms and other asides hold is no text, those that only class, id or role tell if by_name; asides in a row leave one empty line, which alone is no dive.
     """
     at, text, linked, links, marked = 0, [], 0, 0, 0
     within = [0]
@@ -104,7 +113,7 @@ def lines(page: str) -> Iterator[tuple[str, int, int]]:
                     if n == name:
                         break
         elif not m["rest"].endswith("/"):
-            is_aside = _is_aside(name, m["rest"], within[-1] > 0)
+            is_aside = _is_aside(name, m["rest"], within[-1] > 0, by_name)
             if is_aside and not aside and text and "".join(text).strip():
                 yield flush()
             open_.append((name, is_aside))
@@ -160,6 +169,12 @@ def extract(page: str | None) -> str:
         return ""
     found = list(lines(page))
     lengths = [own if 2 * own >= len(text) else 0 for text, own, _ in found]
+    if max((sum(lengths[i : i + BLOCK_LINES]) for i in range(len(lengths))), default=0) < SURGE_CHARS:
+        # no text surges: names are overruled if it does without them
+        whole = list(lines(page, by_name=False))
+        sizes = [own if 2 * own >= len(text) else 0 for text, own, _ in whole]
+        if max((sum(sizes[i : i + BLOCK_LINES]) for i in range(len(sizes))), default=0) >= SURGE_CHARS:
+            found, lengths = whole, sizes
     weight: dict[tuple[int, int], int] = {}
     parts: dict[tuple[int, int], tuple[int, int]] = {}
     for k, (first, last) in enumerate(stretches(lengths)):

@@ -12,3 +12,12 @@ def test_the_distribution_chooses_between_marked_elements():
     assert html_text.extract(f"<body><div>{story}</div>{teasers}</body>") == text
     assert html_text.extract(f"<main><article>{story}</article>{teasers}</main>") == text
     assert html_text.extract(f"<body><main>{story}<p>End.</p></main><p>Foot</p></body>") == text + "\nEnd."
+
+
+def test_names_of_wrappers_lose_no_text():
+    story = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    text = "\n".join(["Title", LONG, LONG])
+    for name in ("content has-sidebar", "no-header", "post ad-free", "sidebar"):
+        assert html_text.extract(f'<body><div class="{name}"><article>{story}</article></div></body>') == text
+    assert html_text.extract(f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></article>') == text
+    assert html_text.extract(f'<body><div class="site-header">Site</div><div>{story}</div></body>') == text

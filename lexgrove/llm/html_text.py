@@ -39,6 +39,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s/>=]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_HREF = re.compile(r"(?:^|\s|[\"'])href\s*=", re.I)
 #: Lines in a block, and the characters in a block from which text surges.
 BLOCK_LINES, SURGE_CHARS = 3, 80
 #: Characters in an article or main element count so many times.
@@ -95,7 +96,7 @@ def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, int, int]]:
             else:
                 text, linked = [], 0
         if name == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if m["end"] or not _HREF.search(m["rest"]) else 1
         if name in _LOOSE or name == "a":
             continue
         if m["end"]:
@@ -158,12 +159,22 @@ def region(lengths: list[int], width: int = BLOCK_LINES, surge: int = SURGE_CHAR
     return max(stretches(lengths, width, surge), key=lambda x: (sum(lengths[x[0] : x[1]]), -x[0]), default=(0, 0))
 
 
+def joined(found: list[tuple[int, int]], sizes: list[int]) -> list[tuple[int, int]]:
+    """Stretches, those as one between which lie fewer characters than the smaller has, links' too; sizes: all characters of the lines."""
+    out: list[tuple[int, int]] = []
+    for start, end in found:
+        while out and sum(sizes[out[-1][1] : start]) < min(sum(sizes[out[-1][0] : out[-1][1]]), sum(sizes[start:end])) and all(sizes[out[-1][1] : start]):
+            start = out.pop()[0]
+        out.append((start, end))
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, a line for each block; empty if there is none.
 
     The page's stretches of text are cut where an article or main element begins or ends. The part with the most characters counts, those
     in such an element MARKED_WEIGHT times; of its element all lines are text, as nothing else in an article goes. Lines that are mostly
-    links count as empty.
+    links count as empty for surge and dive only; on a page of nothing else they count in full.
     """
     if not page:
         return ""
@@ -175,9 +186,11 @@ def extract(page: str | None) -> str:
         sizes = [own if 2 * own >= len(text) else 0 for text, own, _ in whole]
         if max((sum(sizes[i : i + BLOCK_LINES]) for i in range(len(sizes))), default=0) >= SURGE_CHARS:
             found, lengths = whole, sizes
+    if not any(lengths):
+        lengths = [len(text) for text, _, _ in found]
     weight: dict[tuple[int, int], int] = {}
     parts: dict[tuple[int, int], tuple[int, int]] = {}
-    for k, (first, last) in enumerate(stretches(lengths)):
+    for k, (first, last) in enumerate(joined(stretches(lengths), [len(text) for text, _, _ in found])):
         for i in range(first, last):
             element = found[i][2]
             # an element is one part, also where other elements or dives lie between its lines
@@ -188,7 +201,7 @@ def extract(page: str | None) -> str:
         return ""
     key = max(weight, key=lambda k: (weight[k], -parts[k][0]))
     first, last = parts[key] if not key[0] else (0, len(found))
-    return "\n".join(text for (text, _, element), n in zip(found[first:last], lengths[first:last], strict=True) if text and element == key[0] and (n or element))
+    return "\n".join(text for text, _, element in found[first:last] if text and element == key[0])
 
 
 def main_text(pages: DataFrame) -> DataFrame:

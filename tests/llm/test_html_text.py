@@ -21,3 +21,14 @@ def test_names_of_wrappers_lose_no_text():
         assert html_text.extract(f'<body><div class="{name}"><article>{story}</article></div></body>') == text
     assert html_text.extract(f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></article>') == text
     assert html_text.extract(f'<body><div class="site-header">Site</div><div>{story}</div></body>') == text
+
+
+def test_lines_of_links_between_text_stay():
+    see = "See <a href='x'>a long title of another page of this site</a>."
+    seen = "See a long title of another page of this site."
+    story = f"<p>{LONG}</p><p>{LONG}</p>" + f"<p>{see}</p>" * 3 + f"<p>{LONG}</p><p>{LONG}</p>"
+    nav = "<ul>" + "<li><a href='n'>Menu entry</a></li>" * 4 + "</ul>"
+    assert html_text.extract(f"<body><div>{nav}</div><div>{story}</div></body>") == "\n".join([LONG, LONG, seen, seen, seen, LONG, LONG])
+    anchors = f"<p><a name=top>{LONG}</p><p><a id=b />{LONG}</p><p>{LONG}</p>"
+    assert html_text.extract(f"<body><div>{anchors}</div></body>") == "\n".join([LONG] * 3)
+    assert html_text.extract(f"<article><p>{see}</p></article>") == seen

@@ -50,6 +50,11 @@ COMMON = (
     " free general version terms use copy permission license licence granted work made available rights reserved source code file software under released driver plate marriage"
 ).split()
 
+#: Lines over which a notice may be wrapped.
+WRAP_LINES = 8
+#: Templates of so many n-grams are grants written out.
+GRANT_GRAMS = 50
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -123,6 +128,8 @@ class Model:
         self.weights = self._fit(samples[len(samples) // 5 :])
         self._calibrate(held)
         self.shapes = {f: [frozenset(_grams(_words(t))) for t in sorted(set(ts))] for f, ts in templates().items()}
+        self.grants = {f: [s for t in ts if len(s := frozenset(_grams(_words(t)))) >= GRANT_GRAMS] for f, ts in WHOLE.items()}
+        self.shortest = min(len(x) for shapes in self.shapes.values() for x in shapes)
 
     def _code(self) -> None:
         """Words by number, and 2- and 3-grams by the numbers of their words."""
@@ -191,14 +198,20 @@ class Model:
         self.threshold = max(0.5, float(wrong[min(len(wrong) - 1, int((1 - self.how.false) * len(wrong)))]))
 
     def paragraphs(self, text: str | None) -> tuple[int, list[tuple[int, str, float, float, bool]]]:
-        """Paragraphs of a text (lines with a word), and (number, family, probability, similarity, confirmed) of those named."""
-        words, ends, lines = [], [0], 0
+        """Paragraphs of a text (lines with a word), and (number, family, probability, similarity, confirmed) of those named.
+
+        A notice that is wrapped over lines, none of which confirms it, is named at its first line if a template confirms the lines together.
+        """
+        words, ends, lines, block, blocks = [], [0], 0, 0, []
         for line in (text or "").split("\n"):
             found = _words(line)
             if found:
                 words += found
                 ends.append(len(words))
                 lines += 1
+                blocks.append(block)
+            else:
+                block += 1
         if not words:
             return 0, []
         ends = np.array(ends)
@@ -216,7 +229,36 @@ class Model:
             grams = set(_grams(words[ends[k] : ends[k + 1]]))
             similarity = max(len(grams & s) / len(s) for s in self.shapes[family])
             out.append((k, family, float(p[k, best[k]]), similarity, similarity >= self.how.least))
-        return lines, out
+        return lines, sorted(out + self._wrapped(words, ends, total, cut, np.array(blocks), {(k, f) for k, f, *_, ok in out if ok}))
+
+    def _wrapped(self, words, ends, total, cut, blocks, confirmed) -> list[tuple[int, str, float, float, bool]]:
+        """What templates confirm of runs of 2 to WRAP_LINES lines, and whole grants also of 1 and where the model isn't sure, without an empty line between them; no two runs of a family share a line."""
+        found = []
+        for n in range(1, min(WRAP_LINES, len(blocks)) + 1):
+            # enough known grams for the shortest template, and no empty line
+            at = np.flatnonzero((blocks[n - 1 :] == blocks[: len(blocks) - n + 1]) & (cut[n:] - cut[:-n] >= self.how.least * self.shortest))
+            if not len(at):
+                continue
+            z = (total[cut[at + n]] - total[cut[at]]) / np.sqrt(ends[at + n] - ends[at])[:, None] + self.weights[-1]
+            p = _softmax(z / self.temperature)
+            best = p[:, :-1].argmax(axis=1)
+            sure = (p.argmax(axis=1) < len(self.families) - 1) & (p.max(axis=1) >= self.threshold) & (n > 1)
+            # enough known grams for half of a whole grant, which names by itself
+            for k in np.flatnonzero(sure | (cut[at + n] - cut[at] >= self.how.least * GRANT_GRAMS)).tolist():
+                family, first = self.families[best[k]], int(at[k])
+                shapes = self.shapes[family] if sure[k] else self.grants.get(family, [])
+                if not any((i, family) in confirmed for i in range(first, first + n)):
+                    grams = set(_grams(words[ends[first] : ends[first + n]]))
+                    similarity = max((len(grams & s) / len(s) for s in shapes), default=0)
+                    if similarity >= self.how.least:
+                        found.append((-similarity, n, first, family, float(p[k, best[k]])))
+        out, taken = [], set()
+        for similarity, n, first, family, probability in sorted(found):
+            own = {(i, family) for i in range(first, first + n)}
+            if not own & taken:
+                taken |= own
+                out.append((first, family, probability, -similarity, True))
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -246,7 +288,7 @@ def scan(docs: DataFrame, how: Training = Training()) -> DataFrame:
 
     The model is trained on templates alone, so its size is fixed, and it is broadcast. A paragraph is a line with a word. A
     prediction below the calibrated probability is unknown and not named; a template of the family of which the paragraph
-    has at least half of the word n-grams confirms it. Null and empty texts: no paragraphs.
+    has at least half of the word n-grams confirms it. Lines without an empty one between them are matched together as well. Null and empty texts: no paragraphs.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model(how))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _scan(it, sent), _OUT)

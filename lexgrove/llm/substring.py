@@ -1,13 +1,12 @@
 """Removal of repeated word windows, by suffix trees over groups of suffixes that share a prefix.
 
-A suffix of interest starts a window of `length` words. Suffixes are dealt to groups by an anchor within their first words: the
-`PREFIX` consecutive words of least hash among them. Equal windows have equal anchors, and the windows around one anchor
-overlap, so that a group gets them as one segment of text instead of a window's text for each. Where very many batches hold
-an anchor, the prefix is longer: the whole window. What occurs under one document's anchor only is a leaf at the root and
-goes no further. A group of segments fits in a task's memory; its suffixes are sorted by doubling ranks, so that runs
-of suffixes with `length` common words are the deep internal nodes of the group's tree, and the least doc_id below each node
-decides which windows are repeats. No group grows with the number of copies: a batch of documents sends each distinct
-segment once, with its least doc_id, and applies the answers to all its documents.
+A suffix of interest starts a window of `length` words, and of a suffix only these count. Batches of documents number the distinct windows that
+occur in another document too (what occurs in one is a leaf at the root and goes no further) and hold the least doc_id of each. Prefixes
+split them into groups that fit in a task: a prefix is one word, or where more than `most` windows start with it two, four and so on
+up to the whole window. In a group, windows are sorted word by word; the common prefixes of neighbours give the tree, whose
+internal nodes at the depth of `length` words are the repeats, and the least doc_id below each decides which windows go. A window that by
+itself is more than a group needs no tree: it is one node, whose least doc_id is an aggregate. No group grows with the number of copies
+in a batch, as a batch sends each distinct window once and applies the answers to all its documents.
 """
 
 from __future__ import annotations
@@ -27,15 +26,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import materialise, release
 
-#: Words of a removable window; words of an anchor.
-WINDOW, PREFIX = 13, 5
-#: Bytes of text in a batch; entries of a bucket of anchors; words of a group of segments.
-BATCH_BYTES, BUCKET_ENTRIES, GROUP_WORDS = 8 << 20, 1_000_000, 1_000_000
-#: Batches with an anchor from which its suffixes are dealt by their whole window.
-LONG_PREFIX_BATCHES = 5000
+#: Words of a removable window.
+WINDOW = 13
+#: Bytes of text in a batch (a document counts for ROW_BYTES more); windows in a bucket of hashes; windows in a group.
+BATCH_BYTES, ROW_BYTES, BUCKET_ENTRIES, GROUP_WINDOWS = 8 << 20, 64, 2_000_000, 500_000
 _CACHE_WORDS = 100_000
+_COUNTED = 1 << 20
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROWS = "batch long, bucket int, kind int, n long, data binary, least binary"
+_ROWS = "batch long, bucket int, kind int, n long, data binary"
+_KINDS = {"batch": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "n": pa.int64(), "data": pa.binary()}
+#: Kinds of rows: documents, marks of repeated windows, windows, their places, answers.
+DOCUMENTS, MARKS, WINDOWS, PLACES, ANSWERS = range(5)
 
 
 class _Hashes(dict):
@@ -53,6 +54,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
     """A hash for each k consecutive words."""
     n = len(h) - k + 1
@@ -64,21 +69,8 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = np.minimum(x[:-step], x[step:])
-        have += step
-    return x
-
-
-def _anchors(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes, and the anchor's hash for each window; its lowest bit is 0."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    prefix = min(PREFIX, length)
-    # least hashes are small numbers: spread them, as groups go by the leading bits
-    return h, (_sliding_min(_grams(h, prefix), length - prefix + 1) * _ODD[62]) & ~np.uint64(1)
+def _leading(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
 
 
 def _documents(data: bytes) -> pa.Table:
@@ -93,12 +85,37 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def _shrunk(data: bytes) -> bytes:
-    return struct.pack("<q", len(data)) + pa.Codec("zstd").compress(data, asbytes=True)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; see _unpack()."""
+    head, body = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode(), b"".join(a.tobytes() for a in arrays)
+    return struct.pack("<qi", len(body), len(head)) + head + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    size, n = struct.unpack_from("<qi", data)
+    body, at, out = pa.Codec("zstd").decompress(data[12 + n :], size, asbytes=True) if size else b"", 0, []
+    for kind, count in (x.split(":") for x in data[12 : 12 + n].decode().split(",")):
+        out.append(np.frombuffer(body, kind, int(count), at))
+        at += out[-1].nbytes
+    return out
+
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress better; np.cumsum() undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
-def _grown(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], struct.unpack_from("<q", data)[0], asbytes=True)
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(_KINDS.items(), columns, strict=True)})
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], list(_KINDS))
+
+
+def _of_kind(group: pa.Table, kind: int) -> list[dict]:
+    return group.filter(pa.compute.equal(group.column("kind"), kind)).to_pylist()
 
 
 # -- batches of documents
@@ -111,15 +128,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for b in held:
                 out.write_batch(b)
-        row = [pa.array([part + made]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([size]), pa.array([sink.getvalue().to_pybytes()]), pa.array([None], pa.binary())]
+        row = (part + made, 0, DOCUMENTS, size, sink.getvalue().to_pybytes())
         made, held, size = made + 1, [], 0
-        return pa.RecordBatch.from_arrays(row, ["batch", "bucket", "kind", "n", "data", "least"])
+        return _batch_of([row])
 
     for b in batches:
         sizes = b.column("text").cast(pa.large_binary())
         start = 0
         for i, t in enumerate(sizes):
-            size += len(t.as_py() or b"")
+            size += len(t.as_py() or b"") + ROW_BYTES
             if size >= BATCH_BYTES:
                 held.append(b.slice(start, i + 1 - start))
                 yield done()
@@ -130,198 +147,276 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-# -- anchors of one document only are left out
+# -- windows of one document only are left out
+class _Windows:
+    """The windows of a batch's documents that have a doc_id: keys are their distinct hashes in order, at the key of each, by document."""
+
+    def __init__(self, docs: pa.Table, length: int, keep_words: bool):
+        self.ids = docs.column("doc_id").to_pylist()
+        self.words, found, self.sizes = [], [], np.zeros(len(self.ids), np.int64)
+        for row, (doc_id, text) in enumerate(zip(self.ids, _texts(docs), strict=True)):
+            words = _words(text)
+            if doc_id is not None and len(words) >= length:
+                found.append(_grams(_hashed(words), length))
+                self.sizes[row] = len(found[-1])
+            if keep_words:
+                self.words.append(words)
+        flat = np.concatenate([np.zeros(0, np.uint64), *found])
+        self.keys, self.at = np.unique(flat, return_inverse=True)
+        self.row = np.repeat(np.arange(len(self.ids)), self.sizes)
+        first, last = np.full(len(self.keys), len(self.ids)), np.full(len(self.keys), -1)
+        np.minimum.at(first, self.at, self.row)
+        np.maximum.at(last, self.at, self.row)
+        self.shared = first != last  # by two documents of the batch
+
+
 def _requests(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each batch by bucket, 32 bits of each behind those that choose the bucket: equal ones of different windows only mark too many."""
     for b in batches:
         for batch, data in zip(b.column("batch").to_pylist(), b.column("data"), strict=True):
-            found = []
-            for text in _texts(_documents(data.as_py())):
-                words = _words(text)
-                if len(words) >= length:
-                    found.append(np.unique(_anchors(words, length)[1]))
-            if not found:
-                continue
-            keys, times = np.unique(np.concatenate(found), return_counts=True)
-            keys |= (times > 1).astype(np.uint64)
-            cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            parts = np.split(keys, cuts[1:])
-            buckets = [k for k, p in enumerate(parts) if len(p)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * len(buckets), pa.int64()), pa.array(buckets, pa.int32()), pa.array([parts[k].tobytes() for k in buckets], pa.binary())], ["batch", "bucket", "data"]
-            )
+            keys = _Windows(_documents(data.as_py()), length, False).keys
+            low, (buckets, starts) = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), np.unique(_leading(keys, bits), return_index=True)
+            rows = [(batch, k, MARKS, len(part), part.tobytes()) for k, part in zip(buckets.tolist(), np.split(low, starts[1:]), strict=True)] if len(keys) else []
+            if rows:
+                yield _batch_of(rows)
+            release()
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, those of two documents at least, for each batch; lowest bit: the prefix is to be long."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("data")]
-    flat = np.concatenate(keys)
-    _, at, times = np.unique(flat >> np.uint64(1), return_inverse=True, return_counts=True)
-    inner = np.zeros(len(times), bool)
-    inner[at[(flat & np.uint64(1)) == 1]] = True
-    keep, many = ((times > 1) | inner)[at], (times >= LONG_PREFIX_BATCHES)[at]
-    flat = flat & ~np.uint64(1) | many.astype(np.uint64)
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    out = [k[m] for k, m in zip(np.split(flat, ends), np.split(keep, ends), strict=True)]
-    return _table([(b, 0, 1, len(k), k.tobytes(), None) for b, k in zip(group.column("batch").to_pylist(), out, strict=True) if len(k)])
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = {"batch": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "n": pa.int64(), "data": pa.binary(), "least": pa.binary()}
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
+    """Which of a bucket's windows several batches have: for each batch, a bit for each of its keys."""
+    parts = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("data")]
+    flat = np.sort(np.concatenate(parts))
+    twice = np.unique(flat[1:][flat[1:] == flat[:-1]])
+    out = []
+    for batch, bucket, part in zip(group.column("batch").to_pylist(), group.column("bucket").to_pylist(), parts, strict=True):
+        if len(twice):
+            marked = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
+            if marked.any():
+                out.append((batch, bucket, MARKS, int(marked.sum()), np.packbits(marked).tobytes()))
+    return _table(out)
 
 
-def _of_kind(group: pa.Table, kind: int) -> list[dict]:
-    return group.filter(pa.compute.equal(group.column("kind"), kind)).to_pylist()
+# -- windows, each once for a batch
+def _numbered(words: np.ndarray, places: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the window at each place, first place of each number), in the order of first places. Equal keys tell equal windows, and words make sure."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    if any((words[places + j] != words[places[first][number] + j]).any() for j in range(length)):
+        _, first, number = np.unique(words[places[:, None] + np.arange(length)], axis=0, return_index=True, return_inverse=True)
+        number = number.reshape(-1)
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[number], places[first[order]]
 
 
-# -- segments of suffixes, each once for a batch
-def _segments(group: pa.Table, length: int, bits: int) -> pa.Table:
-    documents, keys = _of_kind(group, 0), _of_kind(group, 1)
-    if not documents or not keys:
+def _candidates(group: pa.Table, length: int, bits: int) -> pa.Table:
+    """Of one batch: its distinct windows that another document has, with words and least doc_id, and their places in its documents."""
+    stored = _of_kind(group, DOCUMENTS)
+    if not stored:
         return _table([])
-    wanted = np.sort(np.concatenate([np.frombuffer(r["data"], np.uint64) for r in keys]))
-    bare = wanted >> np.uint64(1)
-    docs = _documents(documents[0]["data"])
-    index: dict[bytes, int] = {}
-    where, least, rows = [], [], []  # of a segment: its group, its least doc_id; of an occurrence
-    ids = docs.column("doc_id").to_pylist()
-    for row, (doc_id, text) in enumerate(zip(ids, _texts(docs), strict=True)):
-        words = _words(text)
-        if len(words) < length or doc_id is None:
-            continue
-        h, anchor = _anchors(words, length)
-        at = np.minimum(np.searchsorted(bare, anchor >> np.uint64(1)), len(bare) - 1)
-        hit = bare[at] == anchor >> np.uint64(1)
-        if not hit.any():
-            continue
-        long = hit & ((wanted[at] & np.uint64(1)) == 1)
-        begins = np.flatnonzero(hit & (np.concatenate([[True], (anchor[1:] != anchor[:-1])]) | long))
-        ends = np.flatnonzero(hit & (np.concatenate([(anchor[1:] != anchor[:-1]), [True]]) | long)) + length
-        code = anchor.copy()
-        if long.any():
-            code[long] = _grams(h, length)[long]
-        groups = (code[begins] >> np.uint64(64 - bits)).tolist()
-        for a, e, g in zip(begins.tolist(), ends.tolist(), groups, strict=True):
-            segment = b" ".join(words[a:e])
-            k = index.setdefault(segment, len(least))
-            if k == len(least):
-                where.append(g)
-                least.append(doc_id)
-            elif doc_id < least[k]:
-                least[k] = doc_id
-            rows.append((k, row, a))
-    if not index:
+    w = _Windows(_documents(stored[0]["data"]), length, True)
+    marked = w.shared.copy()
+    for r in _of_kind(group, MARKS):
+        begin = np.searchsorted(w.keys, np.uint64(r["bucket"] << (64 - bits)) if bits else np.uint64(0))
+        bit = np.unpackbits(np.frombuffer(r["data"], np.uint8)).astype(bool)[: len(w.keys) - begin]
+        marked[begin : begin + len(bit)] |= bit
+    hit = marked[w.at]
+    if not hit.any():
         return _table([])
-    where, least, occurs = np.array(where), np.array(least, np.int64), np.array(rows, np.int32)
-    texts, order = list(index), np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(1 << bits))
-    number = np.empty(len(order), np.int32)
-    out = []
-    batch = documents[0]["batch"]
-    in_group = where[occurs[:, 0]]
-    by_group = np.argsort(in_group, kind="stable")
-    occurs, in_group = occurs[by_group], in_group[by_group]
-    spans = np.searchsorted(in_group, np.arange((1 << bits) + 1))
-    for g, part in enumerate(np.split(order, cuts[1:])):
-        if not len(part):
-            continue
-        number[part] = np.arange(len(part))
-        own = occurs[spans[g] : spans[g + 1]].copy()
-        own[:, 0] = number[own[:, 0]]
-        sizes = np.array([texts[k].count(b" ") + 2 - length for k in part], np.int32)
-        out.append((batch, g, 2, len(part), _shrunk(b"\n".join([texts[k] for k in part])), least[part].tobytes()))
-        out.append((batch, g, 3, len(part), _shrunk(own.tobytes()), sizes.tobytes()))
-    return _table(out)
+    # the words of all runs of marked windows, in a row; places: where a window starts among them
+    start = np.arange(len(hit)) - np.repeat(np.cumsum(w.sizes) - w.sizes, w.sizes)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)) | np.concatenate([[False], (np.diff(w.row) != 0) & hit[1:] & hit[:-1], [False]]))
+    index: dict[bytes, int] = {}
+    number, places, at = [], [], 0
+    for a, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if hit[a]:
+            words = w.words[w.row[a]][start[a] : start[a] + e - a + length - 1]
+            number.extend([index.setdefault(x, len(index)) for x in words])
+            places.append(np.arange(at, at + e - a))
+            at += len(words)
+    number, places = np.array(number, np.int32), np.concatenate(places)
+    window, first = _numbered(number, places, w.at[hit], length)
+    row, start = w.row[hit].astype(np.int32), start[hit].astype(np.int32)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, window, np.array([0 if d is None else d for d in w.ids], np.int64)[row])
+    # only the words of first places are sent
+    change = np.zeros(len(number) + 1, np.int32)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + length, -1)
+    needed = np.cumsum(change)[:-1] > 0
+    moved = (np.cumsum(needed) - 1)[first].astype(np.int32)
+    texts = np.frombuffer(b" ".join(index), np.uint8)
+    batch = stored[0]["batch"]
+    return _table([
+        (batch, 0, WINDOWS, len(first), _pack(texts, number[needed], _steps(moved), least)),
+        (batch, 0, PLACES, len(row), _pack(_steps(row), _steps(start), _steps(window.astype(np.int32)), least)),
+    ])
+
+
+class _Suffixes:
+    """The distinct windows of a batch."""
+
+    def __init__(self, data: bytes):
+        texts, self.number, steps, self.least = _unpack(data)
+        self.texts, self.first = texts.tobytes().split(b" "), np.cumsum(steps)
+        self.hashes = _hashed(self.texts)[self.number]
+
+    def prefixes(self, k: int) -> np.ndarray:
+        return _grams(self.hashes, k)[self.first]
+
+    def codes(self, long: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each window's shortest prefix that isn't too long, and whether it has none."""
+        code, open_ = np.zeros(len(self.first), np.uint64), np.ones(len(self.first), bool)
+        for k in sorted(long):
+            own = self.prefixes(k)
+            code[open_] = own[open_]
+            open_ &= _among(own, long[k])
+        return code, open_
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+# -- prefixes
+def _counts(batches: Iterator[pa.RecordBatch], k: int, long) -> Iterator[pa.RecordBatch]:
+    """(prefix, n): windows by their prefixes of k words, if all shorter prefixes are too frequent; summed over a task's batches as long as they are few."""
+    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["prefix", "n"])
+    for b in batches:
+        for data in b.column("data"):
+            s = _Suffixes(data.as_py())
+            own = s.prefixes(k)[s.codes(long.value)[1]]
+            every, weight = np.concatenate([held, own]), np.concatenate([counts, np.ones(len(own), np.int64)])
+            held, at = np.unique(every, return_inverse=True)
+            counts = np.bincount(at, weight, len(held)).astype(np.int64)
+            if len(held) > _COUNTED:
+                yield out()
+                held, counts = held[:0], counts[:0]
+    if len(held):
+        yield out()
+
+
+def long_prefixes(windows: DataFrame, length: int, most: int) -> dict[int, np.ndarray]:
+    """For prefixes of 1, 2, 4, ... words up to a window: those with more than `most` windows, by hash. There are fewer than windows / most of each length."""
+    context, long, k = windows.sparkSession.sparkContext, {}, 1
+    while True:
+        sent = context.broadcast(dict(long))
+        counted = windows.select("data").mapInArrow(lambda it, k=k, sent=sent: _counts(it, k, sent), "prefix long, n long")
+        found = counted.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("prefix").toArrow()
+        long[k] = np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+        if k == length or not len(long[k]):
+            return long
+        k = min(2 * k, length)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], length: int, bits: int, long) -> Iterator[pa.RecordBatch]:
+    """A batch's windows by group, as numbers of the words they use."""
+    for b in batches:
+        for batch, data in zip(b.column("batch").to_pylist(), b.column("data"), strict=True):
+            s = _Suffixes(data.as_py())
+            code, alone = s.codes(long.value)
+            mine = np.flatnonzero(~alone)
+            group = _leading(code[mine], bits)
+            order = np.argsort(group, kind="stable")
+            mine, (groups, starts) = mine[order], np.unique(group[order], return_index=True)
+            rows = []
+            for g, part in zip(groups.tolist(), np.split(mine, starts[1:]), strict=True) if len(mine) else ():
+                used, at = np.unique(s.number[s.first[part][:, None] + np.arange(length)], return_inverse=True)
+                kind = np.uint16 if len(used) <= 1 << 16 else np.int32
+                texts = np.frombuffer(b" ".join([s.texts[k] for k in used.tolist()]), np.uint8)
+                rows.append((batch, g, WINDOWS, len(part), _pack(texts, at.reshape(-1).astype(kind), s.least[part], _steps(part.astype(np.int32)))))
+            if rows:
+                yield _batch_of(rows)
+        release()
+
+
+def _alone(batches: Iterator[pa.RecordBatch], length: int, long) -> Iterator[pa.RecordBatch]:
+    """(batch, window, least, words) of windows that by themselves are more than a group."""
+    for b in batches:
+        for batch, data in zip(b.column("batch").to_pylist(), b.column("data"), strict=True):
+            s = _Suffixes(data.as_py())
+            found = np.flatnonzero(s.codes(long.value)[1])
+            words = [b" ".join([s.texts[k] for k in s.number[a : a + length].tolist()]) for a in s.first[found].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(s.least[found]), pa.array(words, pa.binary())], ["batch", "window", "least", "words"])
 
 
-# -- trees
-def deep_nodes(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix the number of its node at `length` words, in the order of the sorted suffixes.
+def _lone_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if len(b):
+            yield _batch_of([(batch, 0, ANSWERS, 1, _pack(np.array([k], np.int32), np.array([low], np.int64))) for batch, k, low in zip(*(c.to_pylist() for c in b.columns), strict=True)])
 
-    words: numbers of a text's words. Ranks of 1, 2, 4, ... words are joined by sorting pairs; suffixes of equal rank at
-    `length` words are the leaves below one node of that depth.
-    """
-    rank, have = words.astype(np.int64), 1
-    while have * 2 <= length:
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[: len(rank) - have] = rank[have:]
-        rank = np.unique(rank << 32 | nxt, return_inverse=True)[1]
-        have *= 2
-    if have < length:
-        return np.unique(rank[starts] << 32 | rank[starts + length - have], return_inverse=True)[1]
-    return np.unique(rank[starts], return_inverse=True)[1]
+
+# -- trees
+def suffix_tree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows: a suffix each, as numbers of its first words -> (order, depth): the suffixes sorted word by word, and for each but the first
+    the depth of the node that parts it from the one before, in words. A row of equal depths or more is what lies below an internal node."""
+    n, length = rows.shape
+    bits = max(1, int(rows.max(initial=0)).bit_length())
+    per = max(1, 63 // bits)
+    keys = []
+    for a in range(0, length, per):
+        key = np.zeros(n, np.int64)
+        for j in range(a, min(a + per, length)):
+            key = key << bits | rows[:, j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    differ = rows[order[1:]] != rows[order[:-1]]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+
+
+def deep_nodes(depth: np.ndarray, least: int) -> np.ndarray:
+    """First suffix (in sorted order) below each node of at least that depth; suffixes without such a node are nodes by themselves."""
+    return np.flatnonzero(np.concatenate([[True], depth < least]))
 
 
 def _tree(group: pa.Table, length: int) -> pa.Table:
-    """The answers of one group: for each batch, runs of windows (first, count, least doc_id) with a lesser doc_id elsewhere."""
+    """The answers of one group: for each batch, windows that a lesser doc_id has elsewhere, and which."""
     rows = group.to_pylist()
     numbers: dict[bytes, int] = {}
-    words, begins, sizes, own = [], [], [], []
-    base = 0
+    windows, own, indexes = [], [], []
     for r in rows:
-        least = np.frombuffer(r["least"], np.int64)
-        tokens = [s.split(b" ") for s in _grown(r["data"]).split(b"\n")]
-        counts = np.array([len(t) for t in tokens])
-        flat = np.fromiter((numbers.setdefault(w, len(numbers)) for t in tokens for w in t), np.int64, int(counts.sum()))
-        windows = counts - length + 1
-        at = base + np.cumsum(counts) - counts
-        within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        words.append(flat)
-        begins.append(np.repeat(at, windows) + within)
-        own.append(np.repeat(least, windows))
-        sizes.append(int(windows.sum()))
-        base += len(flat)
-    node = deep_nodes(np.concatenate(words), np.concatenate(begins), length)
+        texts, at, least, steps = _unpack(r["data"])
+        words = texts.tobytes().split(b" ")
+        number = np.fromiter((numbers.setdefault(x, len(numbers)) for x in words), np.int32, len(words))
+        windows.append(number[at].reshape(-1, length))
+        own.append(least)
+        indexes.append(np.cumsum(steps))
+    order, depth = suffix_tree(np.concatenate(windows))
+    starts = deep_nodes(depth, length)
     mine = np.concatenate(own)
-    lowest = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(lowest, node, mine)
-    lowest = lowest[node]
+    lowest = np.empty(len(mine), np.int64)
+    lowest[order] = np.repeat(np.minimum.reduceat(mine[order], starts), np.diff(np.append(starts, len(order))))
     out = []
-    for r, low, least in zip(rows, np.split(lowest, np.cumsum(sizes)[:-1]), own, strict=True):
+    for r, low, least, index in zip(rows, np.split(lowest, np.cumsum([len(x) for x in own])[:-1]), own, indexes, strict=True):
         changed = np.flatnonzero(low < least)
-        if not len(changed):
-            continue
-        new = np.concatenate([[True], (np.diff(changed) != 1) | (np.diff(low[changed]) != 0)])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(changed)))
-        runs = np.stack([changed[first], count, low[changed[first]]], axis=1).astype(np.int64)
-        out.append((r["batch"], r["bucket"], 4, len(runs), runs.tobytes(), None))
+        if len(changed):
+            out.append((r["batch"], r["bucket"], ANSWERS, len(changed), _pack(_steps(index[changed].astype(np.int32)), low[changed])))
     return _table(out)
 
 
 # -- what stays
 def _removed(group: pa.Table, length: int, ids: list) -> dict[int, np.ndarray]:
     """Row of a batch -> starts of its repeated windows."""
-    answers = {r["bucket"]: np.frombuffer(r["data"], np.int64).reshape(-1, 3) for r in _of_kind(group, 4)}
-    leasts = {r["bucket"]: np.frombuffer(r["least"], np.int64) for r in _of_kind(group, 2)}
-    doc_id = np.array([np.iinfo(np.int64).min if d is None else d for d in ids], np.int64)
-    found_rows, found = [], []
-    for r in _of_kind(group, 3):
-        sizes, occurs = np.frombuffer(r["least"], np.int32).astype(np.int64), np.frombuffer(_grown(r["data"]), np.int32).reshape(-1, 3).astype(np.int64)
-        offsets = np.cumsum(sizes) - sizes
-        low = np.repeat(leasts[r["bucket"]], sizes)
-        runs = answers.get(r["bucket"])
-        if runs is not None:
-            within = np.arange(runs[:, 1].sum()) - np.repeat(np.cumsum(runs[:, 1]) - runs[:, 1], runs[:, 1])
-            low[np.repeat(runs[:, 0], runs[:, 1]) + within] = np.repeat(runs[:, 2], runs[:, 1])
-        n = sizes[occurs[:, 0]]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(occurs[:, 1], n)
-        repeated = low[np.repeat(offsets[occurs[:, 0]], n) + within] < doc_id[row]
-        found_rows.append(row[repeated])
-        found.append((np.repeat(occurs[:, 2], n) + within)[repeated])
-    if not found:
+    stored = _of_kind(group, PLACES)
+    if not stored:
         return {}
-    rows, starts = np.concatenate(found_rows), np.concatenate(found)
-    order = np.argsort(rows, kind="stable")
-    rows, starts = rows[order], starts[order]
-    cut = np.flatnonzero(np.diff(rows)) + 1
-    return {int(r[0]): s for r, s in zip(np.split(rows, cut), np.split(starts, cut), strict=True) if len(r)}
+    row, start, window, low = _unpack(stored[0]["data"])
+    row, start, window, low = np.cumsum(row), np.cumsum(start), np.cumsum(window), low.copy()
+    for r in _of_kind(group, ANSWERS):
+        steps, found = _unpack(r["data"])
+        low[np.cumsum(steps)] = found
+    doc_id = np.array([np.iinfo(np.int64).min if d is None else d for d in ids], np.int64)
+    gone = low[window] < doc_id[row]
+    row, start = row[gone], start[gone]
+    cut = np.flatnonzero(np.diff(row)) + 1
+    return {int(r[0]): s for r, s in zip(np.split(row, cut), np.split(start, cut), strict=True) if len(r)}
 
 
 def _kept(group: pa.Table, length: int, whole: bool, schema: pa.Schema) -> pa.Table:
-    stored = _of_kind(group, 0)
+    stored = _of_kind(group, DOCUMENTS)
     if not stored:
         return schema.empty_table()
     docs = _documents(stored[0]["data"])
@@ -355,10 +450,6 @@ def _settled(table: pa.Table) -> pa.Table:
     return table
 
 
-def _bits(entries: float, most: int) -> int:
-    return max(6, int(np.ceil(np.log2(max(1.0, entries / most)))))
-
-
 def without_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """documents -> (doc_id, text, n_words, n_removed, removed), a row for each row: what stays of each text, its words joined by
     single spaces, and removed, the first word and the word after the last of each removed stretch, flat.
@@ -377,19 +468,38 @@ def drop_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     return _without(docs, length, True)
 
 
-def _without(docs: DataFrame, length: int, whole: bool) -> DataFrame:
-    batches = materialise(docs.mapInArrow(_packed, _ROWS), "substring-batches")
+def _bits(entries: float, most: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1.0, entries / most)))))
+
+
+def _windows(batches: DataFrame, length: int) -> DataFrame:
+    """Each batch's repeated windows and their places."""
     size = batches.agg(F.sum("n")).first()[0] or 0
-    bits = _bits(size / 6 * 0.2, BUCKET_ENTRIES)
-    asked = batches.select("batch", "data").mapInArrow(lambda it: _requests(it, length, bits), "batch long, bucket int, data binary")
-    repeated = materialise(asked.groupBy("bucket").applyInArrow(_repeated, _ROWS), "substring-repeated")
-    found = repeated.agg(F.sum("n")).first()[0] or 0
-    group_bits = _bits(found * 20.0, GROUP_WORDS)
-    segments = materialise(batches.union(repeated).groupBy("batch").applyInArrow(lambda t: _settled(_segments(t, length, group_bits)), _ROWS), "substring-segments")
-    answers = materialise(segments.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: _settled(_tree(t, length)), _ROWS), "substring-answers")
-    # the segments' texts are not needed again
-    kept = segments.select("batch", "bucket", "kind", "n", F.when(F.col("kind") == 3, F.col("data")).alias("data"), "least")
+    bits = max(6, _bits(size / 6, BUCKET_ENTRIES))  # a word and its space take 6 bytes or so
+    asked = batches.select("batch", "data").mapInArrow(lambda it: _requests(it, length, bits), _ROWS)
+    marks = asked.groupBy("bucket").applyInArrow(_repeated, _ROWS)
+    return materialise(batches.union(marks).groupBy("batch").applyInArrow(lambda t: _settled(_candidates(t, length, bits)), _ROWS), "substring-windows")
+
+
+def _groups(windows: DataFrame, length: int, most: int, long) -> DataFrame:
+    """The windows in groups: hashes of prefixes with at most `most` windows each fall into ranges of a quarter of that on average, so that a few share one."""
+    bits = _bits(4.0 * (windows.agg(F.sum("n")).first()[0] or 0), most)
+    return windows.mapInArrow(lambda it: _dealt(it, length, bits, long), _ROWS)
+
+
+def _without(docs: DataFrame, length: int, whole: bool, most: int = GROUP_WINDOWS) -> DataFrame:
+    batches = materialise(docs.mapInArrow(_packed, _ROWS), "substring-batches")
+    found = _windows(batches, length)
+    windows = found.where(F.col("kind") == WINDOWS)
+    prefixes = long_prefixes(windows, length, most)
+    long = docs.sparkSession.sparkContext.broadcast(prefixes)
+    answers = _groups(windows, length, most, long).groupBy("bucket").applyInArrow(lambda t: _settled(_tree(t, length)), _ROWS)
+    if len(prefixes.get(length, ())):
+        lone = materialise(windows.mapInArrow(lambda it: _alone(it, length, long), "batch long, window int, least long, words binary"), "substring-alone")
+        lowest = lone.groupBy("words").agg(F.min("least").alias("low"))
+        answers = answers.union(lone.join(lowest, "words").select("batch", "window", "low").mapInArrow(_lone_answers, _ROWS))
+    kept = found.where(F.col("kind") == PLACES).union(materialise(answers, "substring-answers"))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]
     schema = docs.schema if whole else T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    return batches.union(kept).union(answers).groupBy("batch").applyInArrow(lambda t: _settled(_kept(t, length, whole, arrow)), schema)
+    return batches.union(kept).groupBy("batch").applyInArrow(lambda t: _settled(_kept(t, length, whole, arrow)), schema)

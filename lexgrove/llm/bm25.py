@@ -1,4 +1,10 @@
-"""Exact BM25 top-k over an inverted index in shards, with block-max pruning and global statistics."""
+"""Exact BM25 top-k over an inverted index in shards, by block-max WAND with global statistics.
+
+A shard's documents fall into blocks, and so do posting lists: of each term and block the index has the postings and, once idf and the average
+length are known, their greatest score. A query has a cursor, a heap of its k best scores and the least of them as threshold. The pivot is the
+first block from the cursor on whose terms' maxima sum to the threshold at least; blocks before it are passed over unread, the pivot's postings are
+scored, the threshold rises, and the cursor moves on. Queries take these steps side by side, so that a step is a few array operations.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +23,10 @@ from .common import materialise, release
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 300_000
-#: Bytes of text in a shard, documents in a block of it, queries that are answered together, parts that results are merged in.
-SHARD_BYTES, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 64, 4096, 1024
-#: Queries whose bounds and scores are computed together.
-TILE = 32
-#: A term in over this share of a shard's documents is common: its part of a block's bound comes from block maxima alone.
-COMMON_SHARE = 1 / 16
+#: Bytes of text and documents in a shard, documents in a block of it, queries that go to the shards together, parts that results are merged in.
+SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 1 << 16, 64, 4096, 1024
+#: Cells (query and block, or query and document) and postings that steps of a search hold at most.
+CELLS, POSTINGS = 1 << 21, 1 << 22
 _TERM_CHUNK = 1 << 16
 
 
@@ -58,7 +62,7 @@ _INDEX = "shard long, n_docs long, n_terms long, doc_ids binary, lengths binary,
 _INDEX_NAMES = [c.split()[0] for c in _INDEX.split(", ")]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int, most_docs: int) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId() << 32, 0
     ids, lengths, keys, counts, size = [], [], [], [], 0
 
@@ -81,7 +85,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             keys.append(k)
             counts.append(n)
             size += len(text or "")
-            if size >= most:
+            if size >= most or len(ids) >= most_docs:
                 yield done()
                 made, size = made + 1, 0
                 ids, lengths, keys, counts = [], [], [], []
@@ -90,9 +94,10 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield done()
 
 
-def index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def index(docs: DataFrame, shard_bytes: int | None = None, shard_docs: int | None = None) -> DataFrame:
     """documents -> a row for each shard of the inverted index. Rows without doc_id are left out; empty texts count as documents."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _shards(it, shard_bytes), _INDEX)
+    most, most_docs = shard_bytes or SHARD_BYTES, shard_docs or SHARD_DOCS
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _shards(it, most, most_docs), _INDEX)
 
 
 class _Shard:
@@ -138,72 +143,107 @@ class _Queries:
     average: float = 1.0
 
 
-def search(row: dict, q: _Queries, k: int, how: Bm25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best documents of one shard for each query: (query number, doc_id, score).
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for counts[0] numbers, then from starts[1], and so on."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
-    A query's rare terms are read from their posting lists. A block of documents is bounded by its best document so far
-    plus, for each common term, the term's block maximum. The blocks of the highest bounds are scored first, which gives a k-th
-    score; all blocks whose bound is under it are passed over. Queries are taken in tiles, as a tile's bounds and the
-    scores of the blocks left are then two matrix products.
-    """
-    shard = _Shard(row)
+
+class _Blocks:
+    """The postings of a shard's terms that queries ask for, by term and block: where a term's blocks begin, each block's number, first posting and greatest score."""
+
+    def __init__(self, shard: _Shard, place: np.ndarray, idf: np.ndarray, norm: np.ndarray, how: Bm25, size: int):
+        have = np.flatnonzero(place >= 0)
+        counts = (np.diff(shard.starts)[place[have]] if len(have) else np.zeros(0)).astype(np.int64)
+        at = _spread(shard.starts[place[have]] if len(have) else counts, counts)
+        self.docs = shard.docs[at]
+        tf = shard.tf[at]
+        term = np.repeat(have, counts)
+        self.score = idf[term] * tf * (how.k1 + 1) / (tf + norm[self.docs])
+        block = self.docs // size
+        new = np.ones(len(term), bool)
+        new[1:] = (np.diff(term) != 0) | (np.diff(block) != 0)
+        self.first = np.append(np.flatnonzero(new), len(term))
+        self.block = block[self.first[:-1]]
+        self.maxima = np.maximum.reduceat(self.score, self.first[:-1]) if len(term) else np.zeros(0)
+        # of each term that is asked for: its first block; terms that the shard lacks have none
+        self.starts = np.searchsorted(term[self.first[:-1]], np.arange(len(place) + 1))
+
+
+def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best documents of one shard for each query: (query number, doc_id, score). counted, if given, gets the blocks scored and passed over."""
+    shard, size = _Shard(row), BLOCK_DOCS
     n = len(shard.doc_ids)
-    blocks = -(-n // BLOCK_DOCS)
-    width = blocks * BLOCK_DOCS
+    blocks = -(-n // size)
     norm = how.k1 * (1 - how.b + how.b * shard.lengths / q.average)
-    place = shard.places(q.terms)
-    df = np.where(place >= 0, np.diff(shard.starts)[place] if len(shard.terms) else 0, 0)
-    common = np.flatnonzero(df > max(BLOCK_DOCS, COMMON_SHARE * n))
-    row_of = np.full(len(q.terms), -1)
-    row_of[common] = np.arange(len(common))
-    impact = shard.tf * (how.k1 + 1) / (shard.tf + norm[shard.docs])
-    dense = np.zeros((len(common), width))
-    for r, t in enumerate(common):
-        a, e = shard.starts[place[t]], shard.starts[place[t] + 1]
-        dense[r, shard.docs[a:e]] = impact[a:e] * q.idf[t]
-    maxima = dense.reshape(len(common), blocks, BLOCK_DOCS).max(axis=2)
+    lists = _Blocks(shard, shard.places(q.terms), q.idf, norm, how, size)
     found = []
-    for tile in range(0, len(q.ids), TILE):
-        numbers = range(tile, min(tile + TILE, len(q.ids)))
-        has = np.zeros((len(numbers), len(common)))
-        score = np.zeros((len(numbers), width))
-        for i, number in enumerate(numbers):
-            own = q.numbers[q.starts[number] : q.starts[number + 1]]
-            own = own[df[own] > 0]
-            rows = row_of[own]
-            has[i, rows[rows >= 0]] = 1
-            rare = own[rows < 0]
-            if len(rare):
-                first, count = shard.starts[place[rare]], df[rare]
-                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                score[i] = np.bincount(shard.docs[at], impact[at] * np.repeat(q.idf[rare], count), width)
-        bound = score.reshape(len(numbers), blocks, BLOCK_DOCS).max(axis=2) + has @ maxima
-        first_blocks = max(1, -(-2 * k // BLOCK_DOCS) + 1)
-        least = np.zeros(len(numbers))
-        for i in range(len(numbers)):
-            take = np.argpartition(-bound[i], min(first_blocks, blocks - 1))[:first_blocks]
-            docs = (take[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-            rows = np.flatnonzero(has[i])
-            part = score[i, docs] + dense[np.ix_(rows, docs)].sum(axis=0)
-            if len(part) >= k:
-                least[i] = np.partition(part, len(part) - k)[len(part) - k] - 1e-5
-        open_ = bound >= least[:, None]
-        left = np.flatnonzero(open_.any(axis=0))
-        docs = (left[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-        docs = docs[docs < n]
-        full = score[:, docs] + has @ dense[:, docs]
-        for i, number in enumerate(numbers):
-            s = full[i]
-            level = np.partition(s, len(s) - k)[len(s) - k] - 2e-6 if len(s) > k else 0.0
-            keep = np.flatnonzero((s >= level) & (s > 0))
-            who, best = docs[keep], np.round(s[keep], 6)
-            top = np.lexsort((shard.doc_ids[who], -best))[:k]
-            found.append((np.full(len(top), number), shard.doc_ids[who[top]], best[top]))
+    step = max(1, min(CELLS // max(1, blocks), CELLS // size))
+    for begin in range(0, len(q.ids), step):
+        found.append(_wand(shard, lists, q, range(begin, min(begin + step, len(q.ids))), blocks, k, counted))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: int, k: int, counted: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, n = BLOCK_DOCS, len(numbers)
+    own = q.numbers[q.starts[numbers.start] : q.starts[numbers.stop]]
+    of = np.repeat(np.arange(n), np.diff(q.starts[numbers.start : numbers.stop + 1]))
+    has = np.diff(lists.starts)[own]
+    # each query's blocks of postings, by query and block
+    entry, cell = _spread(lists.starts[own], has), np.repeat(of, has)
+    cell = cell * blocks + lists.block[entry]
+    bound = np.bincount(cell, lists.maxima[entry], n * blocks)
+    order = np.argsort(cell, kind="stable")
+    entry, cell = entry[order], cell[order]
+    cells = np.searchsorted(cell, np.arange(n * blocks + 1))
+    bound = bound.reshape(n, blocks)
+    best, who = np.zeros((n, k)), np.full((n, k), -1)  # each query's heap
+    least = np.zeros(n)
+    cursor = np.zeros(n, np.int64)
+    active, pivots = np.arange(n), np.arange(blocks)
+    scored = 0
+    while len(active):
+        able = (bound[active] >= np.maximum(least[active], 1e-9)[:, None]) & (pivots >= cursor[active][:, None])
+        pivot = able.argmax(axis=1)
+        active, pivot = active[able.any(axis=1)], pivot[able.any(axis=1)]
+        cursor[active] = pivot + 1
+        scored += len(active)
+        at, end = cells[active * blocks + pivot], cells[active * blocks + pivot + 1]
+        weight = np.cumsum(lists.first[entry[at]] * 0 + (end - at))  # blocks of postings a query reads
+        for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight * size // POSTINGS)) + 1):
+            if len(part):
+                _score(shard, lists, entry, at[part], end[part], active[part], pivot[part], best, who, least, k)
+    if counted is not None:
+        counted["scored"] = counted.get("scored", 0) + scored
+        counted["passed"] = counted.get("passed", 0) + int((bound > 0).sum()) - scored
+    number, place = np.nonzero(who >= 0)
+    return numbers.start + number, shard.doc_ids[who[number, place]], best[number, place]
+
+
+def _score(shard, lists, entry, at, end, active, pivot, best, who, least, k) -> None:
+    """Scores of the pivots' documents, which go into the heaps of their queries."""
+    size = BLOCK_DOCS
+    mine = entry[_spread(at, end - at)]
+    counts = lists.first[mine + 1] - lists.first[mine]
+    postings = _spread(lists.first[mine], counts)
+    where = np.repeat(np.repeat(np.arange(len(active)), end - at), counts)
+    full = np.bincount(where * size + lists.docs[postings] % size, lists.score[postings], len(active) * size)
+    full = np.round(full.reshape(len(active), size), 6)
+    doc = pivot[:, None] * size + np.arange(size)
+    # only queries with a document that may enter; of equal scores the lesser doc_id is better
+    enters = np.flatnonzero((full >= np.maximum(best[active, k - 1], 1e-9)[:, None]).any(axis=1))
+    if not len(enters):
+        return
+    a = active[enters]
+    score, docs = np.concatenate([best[a], full[enters]], axis=1), np.concatenate([who[a], doc[enters]], axis=1)
+    docs[score <= 0] = -1
+    ids = np.where(docs >= 0, shard.doc_ids[np.clip(docs, 0, len(shard.doc_ids) - 1)], np.iinfo(np.int64).max)
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    best[a], who[a] = np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
+    least[a] = best[a, k - 1] - 1e-6  # bounds are sums in another order, and scores are rounded
+
+
 _FOUND = "part int, query binary, doc binary, score binary"
 
 
@@ -236,7 +276,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, how: Bm25 = Bm25())
     Scores sum over a query's distinct terms and are rounded to 6 places; equal scores rank by doc_id; documents of score 0
     are no results, so empty queries and empty tables give none. Statistics are those of all documents. The index is built once;
     queries go to it in blocks of QUERY_BLOCK, which bounds what is broadcast. Each shard gives its own exact best, and
-    their union has the exact best of all. Queries that share an id are answered each.
+    their union has the exact best of all. Queries that share an id are answered each. A shard closes by bytes or by documents,
+    whichever comes first, so that any number of empty texts is no large shard.
     """
     spark = docs.sparkSession
     shards = materialise(index(docs), "bm25-index")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -16,6 +17,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lexgrove.llm import bm25, packing, queries, simhash, substring
 
 from .conftest import SCHEMA, documents
@@ -117,10 +120,10 @@ def repeats(rows, length=13):
     return out
 
 
-@pytest.mark.parametrize(("batch", "long_prefix"), [(8 << 20, 5000), (2000, 2), (500, 5000)])
-def test_repeated_windows_go(docs, nothing, monkeypatch, batch, long_prefix):
+@pytest.mark.parametrize(("batch", "most"), [(8 << 20, 500_000), (2000, 40), (500, 2), (3000, 1)])
+def test_repeated_windows_go(docs, nothing, monkeypatch, batch, most):
     monkeypatch.setattr(substring, "BATCH_BYTES", batch)
-    monkeypatch.setattr(substring, "LONG_PREFIX_BATCHES", long_prefix)
+    monkeypatch.setattr(substring._without, "__defaults__", (most,))
     rows = substring.without_repeats(docs).collect()
     key = lambda x: tuple(str(y) for y in x)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in rows), key=key) == sorted(repeats(documents()), key=key)
@@ -136,6 +139,32 @@ def test_repeats_of_short_windows(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == sorted(repeats(rows, 4))
 
 
+@pytest.mark.parametrize("most", [1, 5, 50, 500])
+def test_groups_of_windows_are_bounded(spark, docs, monkeypatch, most):
+    """Prefixes are lengthened until each has few windows; all windows but those too many by themselves are in a group."""
+    monkeypatch.setattr(substring, "BATCH_BYTES", 1000)
+    batches = docs.mapInArrow(substring._packed, substring._ROWS).cache()
+    windows = substring._windows(batches, 13).where("kind = 2").cache()
+    long = substring.long_prefixes(windows, 13, most)
+    sent = spark.sparkContext.broadcast(long)
+    sizes = [r.n for r in substring._groups(windows, 13, most, sent).groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    lone = windows.mapInArrow(lambda it: substring._alone(it, 13, sent), "batch long, window int, least long, words binary")
+    assert max(sizes, default=0) <= 4 * most and sum(sizes) + lone.count() == windows.agg(F.sum("n")).first()[0]
+    assert (most > 5 or len(long[1])) and (most > 1 or lone.count()) and all(r["count"] > most for r in lone.groupBy("words").count().collect())
+
+
+@given(st.lists(st.lists(st.integers(0, 3), min_size=5, max_size=5), min_size=1, max_size=60))
+def test_trees_have_the_repeats_below_their_deep_nodes(rows):
+    rows = np.array(rows, np.int32)
+    order, depth = substring.suffix_tree(rows)
+    assert [tuple(x) for x in rows[order]] == sorted(map(tuple, rows))
+    for a, b, d in zip(rows[order], rows[order][1:], depth, strict=False):
+        assert (a[:d] == b[:d]).all() and (d == 5 or a[d] != b[d])
+    for least in range(1, 6):
+        parts = np.split(rows[order], substring.deep_nodes(depth, least)[1:])
+        assert len(parts) == len({tuple(x[:least]) for x in rows}) and all(len({tuple(x[:least]) for x in p}) == 1 for p in parts)
+
+
 def test_texts_without_repeats_stay_as_they_are(docs):
     kept = substring.drop_repeats(docs)
     assert kept.columns == docs.columns
@@ -237,11 +266,12 @@ def ranked(rows, ids, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block", "tile"), [(32 << 20, 64, 32), (600, 4, 3)])
-def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, tile):
+@pytest.mark.parametrize(("shard", "block", "cells"), [(32 << 20, 64, 1 << 21), (600, 4, 50)])
+def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, cells):
     monkeypatch.setattr(bm25, "SHARD_BYTES", shard)
     monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
-    monkeypatch.setattr(bm25, "TILE", tile)
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    monkeypatch.setattr(bm25, "POSTINGS", 40)
     rows = [(d, t) for d, t, *_ in documents()][:-3]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     monkeypatch.setattr(bm25, "QUERY_BLOCK", 7)
@@ -256,6 +286,53 @@ def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, tile):
     assert bm25.top_k(docs, nothing).count() == 0 and bm25.top_k(nothing, docs).count() == 0 and bm25.top_k(docs, docs).count() > 0
 
 
+def shard_row(texts):
+    """One row of the index, made without Spark."""
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    bm25.TaskContext, kept = type("T", (), {"get": staticmethod(Context)}), bm25.TaskContext
+    try:
+        return next(bm25._shards(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]), 1 << 40, 1 << 40)).to_pylist()[0]
+    finally:
+        bm25.TaskContext = kept
+
+
+def test_blocks_are_passed_over_and_results_stay_exact():
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) + (f" rare{k % 900}" if k % 3 == 0 else "") for k in range(6000)]
+    row = shard_row(texts)
+    lists = [np.unique(bm25.terms(t)) for t in ("a rare3 rare33", "b c rare600", "h", "", "nowhere")]
+    distinct, numbers = np.unique(np.concatenate(lists), return_inverse=True)
+    shard = bm25._Shard(row)
+    place = shard.places(distinct)
+    df = np.where(place >= 0, np.diff(shard.starts)[place], 0)
+    q = bm25._Queries(np.arange(len(lists)), distinct, np.cumsum([0, *map(len, lists)]), numbers, bm25.Bm25().idf(len(texts), df), shard.lengths.mean())
+    counted = {}
+    query, doc, score = bm25.search(row, q, 5, bm25.Bm25(), counted)
+    assert counted["passed"] > 2 * counted["scored"] > 0
+    norm = 1.5 * (0.25 + 0.75 * shard.lengths / q.average)
+    for number, terms in enumerate(lists):
+        full = np.zeros(len(texts))
+        for t in terms:
+            p = shard.places(np.array([t]))[0]
+            if p >= 0:
+                at = slice(shard.starts[p], shard.starts[p + 1])
+                full[shard.docs[at]] += q.idf[np.searchsorted(distinct, t)] * shard.tf[at] * 2.5 / (shard.tf[at] + norm[shard.docs[at]])
+        full = np.round(full, 6)
+        top = [d for d in np.lexsort((np.arange(len(texts)), -full))[:5].tolist() if full[d] > 0]
+        mine = query == number
+        assert sorted(doc[mine].tolist()) == sorted(top) and np.allclose(sorted(score[mine]), sorted(full[top]), atol=2e-6)
+
+
+def test_many_empty_texts_are_many_shards(spark):
+    empty = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text")).coalesce(1)
+    shards = [r.n_docs for r in bm25.index(empty).select("n_docs").collect()]
+    assert max(shards) <= bm25.SHARD_DOCS and sum(shards) == 200_000
+    some = empty.union(spark.createDataFrame([(-1, "only one text")], "doc_id long, text string"))
+    assert [(r.query_id, r.doc_id) for r in bm25.top_k(some, some.where("doc_id < 2")).collect()] == [(-1, -1)]
+
+
 SF = "/root/testdata/sf0.001"
 
 

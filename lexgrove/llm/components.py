@@ -13,6 +13,8 @@ from .common import materialise
 
 #: Links that are contracted together in one task.
 PART_LINKS = 1_000_000
+#: Keys whose value is broadcast, at most.
+HOT_KEYS = 1 << 14
 
 
 def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,3 +88,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the values of their key, by an inner join that no frequent key makes lopsided.
+
+    values has a row for each key and how many rows have it (n). Keys with over a HOT_KEYS-th of all rows are fewer than HOT_KEYS: their values are
+    broadcast, and their rows stay where they are. The others are joined by a shuffle.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(values.where(F.col("n") * HOT_KEYS > total).drop("n"))
+    cold = values.where(F.col("n") * HOT_KEYS <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

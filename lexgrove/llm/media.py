@@ -1,4 +1,7 @@
-"""Payloads stored as images in archives, and a data source that reads archives by byte range."""
+"""Payloads stored as images in archives, and a data source that reads archives by byte range.
+
+A task's archives count when its manifest rows are committed. What other attempts at it wrote has other names and is never read.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialise, scratch_path
+from .common import scratch_path
 
 #: Samples in a row of an image; payloads are padded to a positive multiple of it.
 WIDTH = 192
@@ -24,6 +27,8 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 3
+#: Beside the archives: the table of those that count.
+MANIFEST = "manifest"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -80,10 +85,9 @@ class _Archives:
 
     def add(self, doc_id: int | None, text: bytes | None) -> None:
         if self.zip is None:
-            self.name = f"{self.base}/part-{self.part:06d}-{len(self.made):05d}.zip"
-            # an attempt that dies leaves a file of another name, which is never read
-            self.temporary = f"{self.base}/_{self.part:06d}-{TaskContext.get().taskAttemptId()}.tmp"
-            self.out = self.files.open_output_stream(self.temporary)
+            # each attempt at a task has names of its own: what a dead one leaves is in no manifest
+            self.name = f"{self.base}/part-{self.part:06d}-{TaskContext.get().taskAttemptId()}-{len(self.made):05d}.zip"
+            self.out = self.files.open_output_stream(self.name)
             self.zip, self.size, self.count = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED), 0, 0
         image = to_png(payload(text))
         entry = zipfile.ZipInfo(f"{self.count}/{'' if doc_id is None else doc_id}/{len(text or b'')}.png")
@@ -96,9 +100,9 @@ class _Archives:
     def close(self) -> None:
         if self.zip is not None:
             self.zip.close()
+            size = self.out.tell()
             self.out.close()
-            self.files.move(self.temporary, self.name)
-            self.made.append((self.name, self.count))
+            self.made.append((self.name, self.count, size))
             self.zip = None
 
 
@@ -108,17 +112,18 @@ def _archive(batches: Iterator[pa.RecordBatch], folder: str, most: int) -> Itera
         for doc_id, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
             archives.add(doc_id.as_py(), text.as_py())
     archives.close()
-    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in archives.made], pa.string()), pa.array([c for _, c in archives.made], pa.int64())], ["archive", "members"])
+    columns = zip(*archives.made, strict=True) if archives.made else ([], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["archive", "members", "bytes"])
 
 
 def store(docs: DataFrame, most: int = ARCHIVE_BYTES) -> str:
-    """Write the texts of documents into archives in the shared folder; gives the folder back."""
+    """Write the texts of documents into archives in the shared folder, and a manifest of the archives that count beside them; gives the folder back."""
     folder = scratch_path(docs.sparkSession, "media")
     files, base = _files(folder if "://" in folder else f"file://{folder}")
     files.create_dir(base, recursive=True)
     uri = folder if "://" in folder else f"file://{folder}"
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _archive(it, uri, most), "archive string, members long")
-    materialise(made, "media-archives")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _archive(it, uri, most), "archive string, members long, bytes long")
+    made.write.parquet(f"{uri}/{MANIFEST}")
     return uri
 
 
@@ -141,12 +146,12 @@ class _Reader(DataSourceReader):
         self.step = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges from the archives' sizes alone: their directories are read by the tasks."""
-        from pyarrow import fs
+        """Ranges from the manifest's archives and their sizes alone: their directories are read by the tasks."""
+        from pyarrow import dataset
 
         files, base = _files(self.folder)
-        found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        archives = sorted((i.path, i.size) for i in found if i.path.endswith(".zip"))
+        found = dataset.dataset(f"{base}/{MANIFEST}", filesystem=files, format="parquet").to_table(["archive", "bytes"])
+        archives = sorted(zip(found["archive"].to_pylist(), found["bytes"].to_pylist(), strict=True))
         return [ByteRange(p, at, min(at + self.step, size)) for p, size in archives for at in range(0, size, self.step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:

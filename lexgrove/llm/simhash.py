@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
-from .components import components
+from .components import components, looked_up
 
 SEED = 42
 #: A fingerprint is cut into two segments of 32 bits. Of two fingerprints at distance 2 or less, one segment differs in 1 bit or none.
@@ -36,12 +36,16 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
         ends = list(accumulate(map(len, w)))
         ends = [e + i for i, e in enumerate(ends)]
         parts = [joined[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[words - 1 :], strict=False)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(parts), _CHUNK):
-        raw = np.frombuffer(b"".join([digest(p, SEED) for p in parts[i : i + _CHUNK]]), np.uint8).reshape(-1, 8)
+    return majority(b"".join([digest(p, SEED) for p in parts]))
+
+
+def majority(hashes: bytes) -> int:
+    """Of 64-bit hashes (big-endian, one after another) the bits that are set in over half of them; 0 without hashes. Signed, as Spark's long."""
+    ones, n = np.zeros(64, np.int64), len(hashes) // 8
+    for i in range(0, n, _CHUNK):
+        raw = np.frombuffer(hashes, np.uint8, 8 * min(_CHUNK, n - i), 8 * i).reshape(-1, 8)
         ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int32)
-    bits = np.packbits((2 * ones > len(parts)).astype(np.uint8))
-    return int.from_bytes(bits.tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits((2 * ones > n).astype(np.uint8)).tobytes(), "big", signed=True)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -103,13 +107,12 @@ def groups(docs: DataFrame, words: int = 3) -> DataFrame:
     An empty table gives an empty table.
     """
     prints = materialise(fingerprints(docs, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = materialise(nodes, "simhash-nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     own = roots.join(nodes, "fp")
     merged = own.groupBy("root").agg(F.min("least").alias("reached")).join(roots, "root").select("fp", "reached")
-    ids = nodes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = materialise(nodes.join(merged, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"), "n"), "simhash-ids")
+    return looked_up(prints, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -42,6 +42,16 @@ WHOLE = {
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights; this work is dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
 }
+# The public names of licences of other families, whose notices belong to the unknown class. Each second one is only calibrated on.
+OTHERS = [
+    "the Eclipse Public License 2.0", "the Boost Software License 1.0", "the ISC License", "the zlib License", "the Artistic License 2.0", "the European Union Public Licence, version 1.2",
+    "the Common Development and Distribution License, version 1.1", "the Python Software Foundation License, version 2", "the SIL Open Font License, version 1.1", "the Microsoft Public License",
+    "the Academic Free License 3.0", "the PostgreSQL License", "the Open Software License, version 3.0", "the Q Public License 1.0", "the Common Public License 1.0", "the IBM Public License, version 1.0",
+    "the PHP License, version 3.01", "the Ruby License", "the Vim License", "the University of Illinois Open Source License", "the Open Data Commons Database License 1.0", "the Reciprocal Public License 1.5",
+    "a commercial license", "a proprietary license", "the terms of the agreement", "the site licence", "the Unicode License, version 3", "the OpenSSL License",
+]
+#: Words of names that say nothing of a family, besides those of frames, of other licences and of common text.
+VAGUE = "international universal new style clause later version attribution dedication unported text texts".split()
 #: Words that other text has as well, for paragraphs of the unknown class.
 COMMON = (
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has"
@@ -61,15 +71,17 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Training:
     """copies: noisy copies of each template sentence. share: unknown paragraphs for each licence paragraph. false: share of
-    unknown paragraphs that the calibrated threshold may let through. least: similarity to a template that confirms."""
+    unknown paragraphs that the calibrated threshold may let through. least: similarity to a template that confirms. held: frames and names
+    of this many at the end of each list are kept for the calibration, after which the model learns from all."""
 
     copies: int = 4
     share: float = 3.0
-    epochs: int = 60
+    epochs: int = 120
     rate: float = 4.0
     l2: float = 1e-5
     false: float = 0.0005
     least: float = 0.5
+    held: int = 3
     seed: int = 5
 
 
@@ -92,13 +104,49 @@ class Model:
     """Softmax regression over the word 1- to 3-grams of templates; other grams have no weight but count in the length."""
 
     def __init__(self, how: Training = Training()):
-        self.how, rnd = how, random.Random(how.seed)
+        self.how = how
         self.families = [*sorted(templates()), UNKNOWN]
-        samples: list[tuple[list[str], int]] = []
+        known = {w for ts in templates().values() for t in ts for w in _grams(_words(t))} | {w for n in OTHERS for w in _grams(_words(n))}
+        self.vocabulary = {g: k for k, g in enumerate(sorted(known))}
+        self._code()
+        frames = len(GRANTS) - how.held
+        learned = {f: [g.format(n) for n in names[: max(2, len(names) - 1)] for g in GRANTS[:frames]] for f, names in NAMES.items()}
+        unseen = {f: [g.format(n) for k, n in enumerate(names) for g in (GRANTS if k >= max(2, len(names) - 1) else GRANTS[frames:])] for f, names in NAMES.items()}
+        whole = {f: learned.get(f, []) + WHOLE.get(f, []) * (8 if f == "all-rights-reserved" else 3) for f in self.families[:-1]}
+        self.weights = self._fit(self._samples(whole, [g.format(n) for n in OTHERS[::2] for g in GRANTS[:frames]], how.seed))
+        self._calibrate(self._samples(unseen, [g.format(n) for n in OTHERS[1::2] for g in GRANTS], how.seed + 1))
+        self.weights = self._fit(self._samples(templates(), [g.format(n) for n in OTHERS for g in GRANTS], how.seed + 2))
+        ids = lambda t: np.array(sorted({self.vocabulary[g] for g in _grams(_words(t))}))
+        self.width = np.zeros(len(self.vocabulary), np.int64)
+        for g, k in self.vocabulary.items():
+            self.width[k] = g.count(" ") + 1
+        self.shapes = {f: _Sets([ids(t) for t in sorted(set(ts))], len(self.vocabulary)) for f, ts in templates().items()}
+        self.whole = {f: _Sets([ids(t) for t in ts], len(self.vocabulary)) for f, ts in WHOLE.items()}
+        self.grants = {f: _Sets([x for t in ts if len(x := ids(t)) >= GRANT_GRAMS], len(self.vocabulary)) for f, ts in WHOLE.items()}
+        vague = {w for t in [*GRANTS, *OTHERS] for w in _words(t)} | set(COMMON) | set(VAGUE)
+        telling = lambda n: " ".join(x for x in _words(n) if x not in vague and not x.isdigit())
+        self.names = {f: _Sets([ids(n) for n in names], len(self.vocabulary)) for f, names in NAMES.items()}
+        self.own = {f: _Sets([np.array([self.vocabulary[w] for w in telling(n).split()], np.int64) for n in names], len(self.vocabulary)) for f, names in NAMES.items()}
+        self.shortest = min(x.sizes.min() for x in self.shapes.values())
+        # features that a name has to itself; features of grants with a word that common text lacks, and the least of these that half a grant has
+        self.tells = np.zeros(len(self.vocabulary), bool)
+        for x in self.own.values():
+            self.tells |= x.rows.any(axis=0)
+        rare = np.zeros(len(self.vocabulary), bool)
+        for g, k in self.vocabulary.items():
+            rare[k] = any(w not in COMMON for w in g.split())
+        rows = np.concatenate([x.rows for x in self.grants.values() if len(x.sizes)])
+        self.granting = rows.any(axis=0) & rare
+        self.least_granting = max(1, int((np.ceil(how.least * rows.sum(axis=1)) - (rows & ~rare).sum(axis=1)).min()))
+
+    def _samples(self, known: dict[str, list[str]], others: list[str], seed: int) -> list[tuple[list[str], int]]:
+        """Noisy copies of licence sentences, and paragraphs of the unknown class: notices of other licences, common words, nonsense, a template's words in another order."""
+        how, rnd, unknown = self.how, random.Random(seed), len(self.families) - 1
         nonsense = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
         pool = [w for ts in templates().values() for t in ts for w in _words(t)]
-        for k, f in enumerate(self.families[:-1]):
-            for t in templates()[f]:
+        samples: list[tuple[list[str], int]] = []
+        for k, texts in [*((self.families.index(f), ts) for f, ts in known.items()), (unknown, others)]:
+            for t in texts:
                 for _ in range(how.copies):
                     w = _words(t)
                     if len(w) > 6 and rnd.random() < 0.3:
@@ -116,20 +164,26 @@ class Model:
                 w = [nonsense() if rnd.random() < 0.6 else rnd.choice(COMMON) for _ in range(n)]
             else:  # a template's words, but not its sentence
                 w = [rnd.choice(pool) if rnd.random() < 0.3 else rnd.choice(COMMON) for _ in range(n)]
-            samples.append((w, len(self.families) - 1))
+            samples.append((w, unknown))
         rnd.shuffle(samples)
-        vocabulary: dict[str, int] = {}
-        known = {w for ts in templates().values() for t in ts for w in _grams(_words(t))}
-        for g in sorted(known):
-            vocabulary[g] = len(vocabulary)
-        self.vocabulary = vocabulary
-        self._code()
-        held = samples[: len(samples) // 5]
-        self.weights = self._fit(samples[len(samples) // 5 :])
-        self._calibrate(held)
-        self.shapes = {f: [frozenset(_grams(_words(t))) for t in sorted(set(ts))] for f, ts in templates().items()}
-        self.grants = {f: [s for t in ts if len(s := frozenset(_grams(_words(t)))) >= GRANT_GRAMS] for f, ts in WHOLE.items()}
-        self.shortest = min(len(x) for shapes in self.shapes.values() for x in shapes)
+        return samples
+
+    def confirms(self, family: str, seen: np.ndarray) -> tuple[float, bool]:
+        """(similarity, whether it confirms) of a paragraph's features to the family's templates: a whole sentence of it, or a frame and the family's own name.
+
+        A name must be there by its own words (those that frames, common text and other licences lack), all of them, and by most of its grams, and no
+        other family's name may be there more fully.
+        """
+        similarity = self.shapes[family].share(seen).max()
+        if family in self.whole and (self.whole[family].share(seen) >= self.how.least).any():
+            return float(similarity), bool(similarity >= self.how.least)
+
+        def named(f: str) -> tuple[float, int]:
+            full = np.where((self.own[f].sizes > 0) & (self.own[f].share(seen) == 1), self.names[f].share(seen), 0.0)
+            return max(zip(full.tolist(), self.names[f].sizes.tolist(), strict=True))
+
+        mine = named(family) if family in self.names else (0.0, 0)
+        return float(similarity), bool(similarity >= self.how.least and mine[0] >= 0.6 and mine >= max(map(named, self.names)))
 
     def _code(self) -> None:
         """Words by number, and 2- and 3-grams by the numbers of their words."""
@@ -150,7 +204,9 @@ class Model:
     def features(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of words (0: not in a template) -> (features, places of their first words) of all known grams."""
         n = numbers
-        places, codes = [np.flatnonzero(n)], [n[n > 0]]
+        once = n > 0  # a word said again and again counts once
+        once[1:] &= n[1:] != n[:-1]
+        places, codes = [np.flatnonzero(once)], [n[once]]
         two = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0))
         code = n[two] * self.base + n[two + 1]
         places.append(two)
@@ -217,8 +273,15 @@ class Model:
         ends = np.array(ends)
         feature, place = self.features(self.numbers(words))
         order = np.argsort(place, kind="stable")
-        total = np.concatenate([np.zeros((1, len(self.families))), np.cumsum(self.weights[feature[order]], axis=0)])
-        cut = np.searchsorted(place[order], ends)
+        feature, place = feature[order], place[order]
+        total = np.concatenate([np.zeros((1, len(self.families))), np.cumsum(self.weights[feature], axis=0)])
+        cut = np.searchsorted(place, ends)
+
+        def seen(a: int, e: int) -> np.ndarray:
+            """Features of lines a to e - 1."""
+            own, at = feature[cut[a] : cut[e]], place[cut[a] : cut[e]]
+            return np.unique(own[at + self.width[own] <= ends[e]])
+
         z = (total[cut[1:]] - total[cut[:-1]]) / np.sqrt(np.diff(ends))[:, None] + self.weights[-1]
         p = _softmax(z / self.temperature)
         best = p.argmax(axis=1)
@@ -226,32 +289,36 @@ class Model:
         out = []
         for k in named.tolist():
             family = self.families[best[k]]
-            grams = set(_grams(words[ends[k] : ends[k + 1]]))
-            similarity = max(len(grams & s) / len(s) for s in self.shapes[family])
-            out.append((k, family, float(p[k, best[k]]), similarity, similarity >= self.how.least))
-        return lines, sorted(out + self._wrapped(words, ends, total, cut, np.array(blocks), {(k, f) for k, f, *_, ok in out if ok}))
+            out.append((k, family, float(p[k, best[k]]), *self.confirms(family, seen(k, k + 1))))
+        tells, granting = (np.concatenate([[0], np.cumsum(x[feature])]) for x in (self.tells, self.granting))
+        if not tells[-1] and granting[-1] < self.least_granting:
+            return lines, out
+        return lines, sorted(out + self._wrapped(ends, total, cut, np.array(blocks), seen, tells[cut], granting[cut], {(k, f) for k, f, *_, ok in out if ok}))
 
-    def _wrapped(self, words, ends, total, cut, blocks, confirmed) -> list[tuple[int, str, float, float, bool]]:
+    def _wrapped(self, ends, total, cut, blocks, seen, tells, granting, confirmed) -> list[tuple[int, str, float, float, bool]]:
         """What templates confirm of runs of 2 to WRAP_LINES lines, and whole grants also of 1 and where the model isn't sure, without an empty line between them; no two runs of a family share a line."""
         found = []
         for n in range(1, min(WRAP_LINES, len(blocks)) + 1):
-            # enough known grams for the shortest template, and no empty line
-            at = np.flatnonzero((blocks[n - 1 :] == blocks[: len(blocks) - n + 1]) & (cut[n:] - cut[:-n] >= self.how.least * self.shortest))
+            # no empty line, and a word of a name and enough known grams for the shortest template, or enough of a grant
+            whole = granting[n:] - granting[:-n] >= self.least_granting
+            at = np.flatnonzero((blocks[n - 1 :] == blocks[: len(blocks) - n + 1]) & (whole | (n > 1) & (tells[n:] > tells[:-n]) & (cut[n:] - cut[:-n] >= self.how.least * self.shortest)))
             if not len(at):
                 continue
             z = (total[cut[at + n]] - total[cut[at]]) / np.sqrt(ends[at + n] - ends[at])[:, None] + self.weights[-1]
             p = _softmax(z / self.temperature)
             best = p[:, :-1].argmax(axis=1)
             sure = (p.argmax(axis=1) < len(self.families) - 1) & (p.max(axis=1) >= self.threshold) & (n > 1)
-            # enough known grams for half of a whole grant, which names by itself
-            for k in np.flatnonzero(sure | (cut[at + n] - cut[at] >= self.how.least * GRANT_GRAMS)).tolist():
+            for k in np.flatnonzero(sure | whole[at]).tolist():
                 family, first = self.families[best[k]], int(at[k])
-                shapes = self.shapes[family] if sure[k] else self.grants.get(family, [])
-                if not any((i, family) in confirmed for i in range(first, first + n)):
-                    grams = set(_grams(words[ends[first] : ends[first + n]]))
-                    similarity = max((len(grams & s) / len(s) for s in shapes), default=0)
-                    if similarity >= self.how.least:
-                        found.append((-similarity, n, first, family, float(p[k, best[k]])))
+                if any((i, family) in confirmed for i in range(first, first + n)):
+                    continue
+                own = seen(first, first + n)
+                similarity = self.grants[family].share(own).max(initial=0.0) if family in self.grants else 0.0
+                ok = similarity >= self.how.least
+                if sure[k] and not ok:
+                    similarity, ok = self.confirms(family, own)
+                if ok:
+                    found.append((-float(similarity), n, first, family, float(p[k, best[k]])))
         out, taken = [], set()
         for similarity, n, first, family, probability in sorted(found):
             own = {(i, family) for i in range(first, first + n)}
@@ -261,6 +328,20 @@ class Model:
         return out
 
 
+class _Sets:
+    """Sets of features: rows has one for each, sizes how many it has."""
+
+    def __init__(self, sets: list[np.ndarray], width: int):
+        self.rows = np.zeros((len(sets), width), bool)
+        for row, x in zip(self.rows, sets, strict=True):
+            row[x] = True
+        self.sizes = self.rows.sum(axis=1)
+
+    def share(self, seen: np.ndarray) -> np.ndarray:
+        """Of each set the share that is seen."""
+        return self.rows[:, seen].sum(axis=1) / np.maximum(self.sizes, 1)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -287,8 +368,8 @@ def scan(docs: DataFrame, how: Training = Training()) -> DataFrame:
     """documents -> (doc_id, n_paragraphs, licences), a row for each row; licences: the paragraphs that are named, in order.
 
     The model is trained on templates alone, so its size is fixed, and it is broadcast. A paragraph is a line with a word. A
-    prediction below the calibrated probability is unknown and not named; a template of the family of which the paragraph
-    has at least half of the word n-grams confirms it. Lines without an empty one between them are matched together as well. Null and empty texts: no paragraphs.
+    prediction below the calibrated probability is unknown and not named. A template of the family of which the paragraph has at least half of the
+    word n-grams confirms it if it has the family's own name as well, or if the template is a sentence of the licence. Lines without an empty one between them are matched together as well. Null and empty texts: no paragraphs.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model(how))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _scan(it, sent), _OUT)

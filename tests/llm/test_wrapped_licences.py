@@ -26,3 +26,28 @@ def test_wrapped_texts_are_confirmed(family, width):
 def test_the_frame_of_a_notice_confirms_no_family():
     text = "Use of this source code is governed by the Foo licence\nthat can be found in the LICENSE file."
     assert not any(ok for *_, ok in licenses.model().paragraphs(text.replace("\n", " "))[1])
+
+
+@pytest.mark.parametrize("text", [
+    "Licensed under the Eclipse Public License 2.0.", "Distributed under the Boost Software License 1.0.", "Released under the ISC License.", "Published under the Sleepycat License, version 2.0.",
+    "This program is licensed under the Zope Public License 2.1.", "Licensed under the Mulan Permissive Software License, Version 2.", "The The The The The The", "Of Of Of Of Of Of Of Of", "public public license license 2.0 2.0",
+    "Apache helicopters flew over the city on Monday, and the pilots were at MIT.", "He lost his driver's license in May.",
+])
+def test_other_licences_and_other_text_are_not_confirmed(text):
+    n, found = licenses.model().paragraphs(text)
+    assert n == 1 and not any(ok for *_, ok in found), found
+
+
+@pytest.mark.parametrize(("text", "family"), [
+    ("Dual use permitted; covered by the Apache License, Version 2.0 (see NOTICE).", "apache"), ("The samples are, unlike the book, released under the MIT License.", "mit"), ("Our fonts aside, everything here is available under the BSD 3-Clause License!", "bsd"),
+    ("Documentation is licensed under CC BY-SA 4.0 unless noted.", "cc-by-sa"), ("Photos: licensed under CC BY 4.0, thanks to all authors.", "cc-by"), ("The tables are in the public domain; released under CC0 1.0.", "cc0"),
+    ("You can use it under the GNU Lesser General Public License, version 3, or buy a licence.", "lgpl"), ("The server is under the GNU Affero General Public License, version 3.", "agpl"), ("This file is covered by the Mozilla Public License, Version 2.0.", "mpl"),
+])
+def test_notices_that_no_template_has_are_confirmed(text, family):
+    assert [f for _, f, *_, ok in licenses.model().paragraphs(text)[1] if ok] == [family]
+
+
+def test_repeated_words_name_nothing():
+    m = licenses.model()
+    assert not [x for w in ("the", "of", "license", "mit", "public") for k in (3, 9, 30) for x in m.paragraphs(" ".join([w] * k))[1] if x[4]]
+    assert 0.5 <= m.threshold < 1

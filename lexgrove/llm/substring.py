@@ -1,7 +1,8 @@
 """Removal of repeated word windows, by suffix trees over groups of suffixes that share a prefix.
 
-A suffix of interest starts a window of `length` words, and of a suffix only these count. Batches of documents number the distinct windows that
-occur in another document too (what occurs in one is a leaf at the root and goes no further) and hold the least doc_id of each. Prefixes
+A suffix of interest starts a window of `length` words, and of a suffix only these count. Windows that occur in one document only are leaves at the
+root and go no further. Of those that are left, the ones in a row are a run; of equal runs only the document of least doc_id has to ask for its
+windows, as in the others all of them go. Batches of documents number the distinct windows of such runs and hold the least doc_id of each. Prefixes
 split them into groups that fit in a task: a prefix is one word, or where more than `most` windows start with it two, four and so on
 up to the whole window. In a group, windows are sorted word by word; the common prefixes of neighbours give the tree, whose
 internal nodes at the depth of `length` words are the repeats, and the least doc_id below each decides which windows go. A window that by
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import materialise, release
+from .components import looked_up
 
 #: Words of a removable window.
 WINDOW = 13
@@ -35,8 +37,8 @@ _COUNTED = 1 << 20
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROWS = "batch long, bucket int, kind int, n long, data binary"
 _KINDS = {"batch": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "n": pa.int64(), "data": pa.binary()}
-#: Kinds of rows: documents, marks of repeated windows, windows, their places, answers.
-DOCUMENTS, MARKS, WINDOWS, PLACES, ANSWERS = range(5)
+#: Kinds of rows: documents, marks of repeated windows, runs of them, windows, their places, answers.
+DOCUMENTS, MARKS, RUNS, WINDOWS, PLACES, ANSWERS = range(6)
 
 
 class _Hashes(dict):
@@ -209,8 +211,10 @@ def _numbered(words: np.ndarray, places: np.ndarray, keys: np.ndarray, length: i
     return rank[number], places[first[order]]
 
 
-def _candidates(group: pa.Table, length: int, bits: int) -> pa.Table:
-    """Of one batch: its distinct windows that another document has, with words and least doc_id, and their places in its documents."""
+def _runs(group: pa.Table, length: int, bits: int) -> pa.Table:
+    """Of one batch: its distinct runs of windows that another document has, with words and least doc_id, and where its documents have them."""
+    import xxhash
+
     stored = _of_kind(group, DOCUMENTS)
     if not stored:
         return _table([])
@@ -223,34 +227,70 @@ def _candidates(group: pa.Table, length: int, bits: int) -> pa.Table:
     hit = marked[w.at]
     if not hit.any():
         return _table([])
-    # the words of all runs of marked windows, in a row; places: where a window starts among them
     start = np.arange(len(hit)) - np.repeat(np.cumsum(w.sizes) - w.sizes, w.sizes)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)) | np.concatenate([[False], (np.diff(w.row) != 0) & hit[1:] & hit[:-1], [False]]))
     index: dict[bytes, int] = {}
-    number, places, at = [], [], 0
+    known: dict[bytes, int] = {}
+    number, sizes, least, places = [], [], [], []
     for a, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if hit[a]:
-            words = w.words[w.row[a]][start[a] : start[a] + e - a + length - 1]
-            number.extend([index.setdefault(x, len(index)) for x in words])
-            places.append(np.arange(at, at + e - a))
-            at += len(words)
-    number, places = np.array(number, np.int32), np.concatenate(places)
-    window, first = _numbered(number, places, w.at[hit], length)
-    row, start = w.row[hit].astype(np.int32), start[hit].astype(np.int32)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, window, np.array([0 if d is None else d for d in w.ids], np.int64)[row])
-    # only the words of first places are sent
-    change = np.zeros(len(number) + 1, np.int32)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + length, -1)
-    needed = np.cumsum(change)[:-1] > 0
-    moved = (np.cumsum(needed) - 1)[first].astype(np.int32)
-    texts = np.frombuffer(b" ".join(index), np.uint8)
-    batch = stored[0]["batch"]
-    return _table([
-        (batch, 0, WINDOWS, len(first), _pack(texts, number[needed], _steps(moved), least)),
-        (batch, 0, PLACES, len(row), _pack(_steps(row), _steps(start), _steps(window.astype(np.int32)), least)),
-    ])
+            row, first = int(w.row[a]), int(start[a])
+            words, doc_id = w.words[row][first : first + e - a + length - 1], w.ids[row]
+            k = known.setdefault(xxhash.xxh3_128_digest(b" ".join(words)), len(sizes))
+            if k == len(sizes):
+                number.extend([index.setdefault(x, len(index)) for x in words])
+                sizes.append(len(words))
+                least.append(doc_id)
+            elif doc_id < least[k]:
+                least[k] = doc_id
+            places.append((row, first, k))
+    row, first, run = (np.array(x, np.int32) for x in zip(*places, strict=True))
+    arrays = (np.frombuffer(b" ".join(index), np.uint8), np.array(number, np.int32), np.array(sizes, np.int32), np.array(least, np.int64), np.frombuffer(b"".join(known), np.uint8))
+    return _table([(stored[0]["batch"], 0, RUNS, len(sizes), _pack(*arrays, _steps(row), _steps(first), _steps(run)))])
+
+
+def _run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, batch, number, least): each run by 128 bits of hash."""
+    for b in batches:
+        for batch, data in zip(b.column("batch").to_pylist(), b.column("data"), strict=True):
+            _, _, sizes, least, keys, *_ = _unpack(data.as_py())
+            runs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sizes), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([runs, pa.array([batch] * len(sizes), pa.int64()), pa.array(range(len(sizes)), pa.int32()), pa.array(least)], ["run", "batch", "number", "least"])
+
+
+def _windowed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch: the distinct windows of runs that no lesser doc_id has whole, and where its documents have which runs and windows. lower: runs that one has."""
+    for b in batches:
+        for batch, data, lower in zip(b.column("batch").to_pylist(), b.column("data"), b.column("lower").to_pylist(), strict=True):
+            texts, number, sizes, least, _, row, first, run = _unpack(data.as_py())
+            low = least.copy()
+            for x in lower or ():
+                low[x["number"]] = x["low"]
+            held = low == least
+            word, own = np.repeat(held, sizes), np.repeat(np.arange(len(sizes)), sizes)
+            number, own = number[word], own[word]
+            places = np.flatnonzero(own[: len(own) - length + 1] == own[length - 1 :]) if len(own) else np.zeros(0, np.int64)
+            rows = []
+            window, where = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(places):
+                words = texts.tobytes().split(b" ")
+                window, where = _numbered(number, places, _grams(_hashed(words)[number], length)[places], length)
+                lowest = np.full(len(where), np.iinfo(np.int64).max)
+                np.minimum.at(lowest, window, least[own[places]])
+                # only the words of first places, and only the texts of these
+                change = np.zeros(len(number) + 1, np.int32)
+                np.add.at(change, where, 1)
+                np.add.at(change, where + length, -1)
+                needed = np.cumsum(change)[:-1] > 0
+                used, at = np.unique(number[needed], return_inverse=True)
+                moved = (np.cumsum(needed) - 1)[where].astype(np.int32)
+                kept = np.frombuffer(b" ".join([words[k] for k in used.tolist()]), np.uint8)
+                rows.append((batch, 0, WINDOWS, len(where), _pack(kept, at.astype(np.int32), _steps(moved), lowest)))
+            else:
+                lowest = np.zeros(0, np.int64)
+            rows.append((batch, 0, PLACES, len(row), _pack(row, first, run, sizes - np.int32(length - 1), low, held, _steps(window.astype(np.int32)), lowest)))
+            yield _batch_of(rows)
+        release()
 
 
 class _Suffixes:
@@ -403,16 +443,22 @@ def _removed(group: pa.Table, length: int, ids: list) -> dict[int, np.ndarray]:
     stored = _of_kind(group, PLACES)
     if not stored:
         return {}
-    row, start, window, low = _unpack(stored[0]["data"])
-    row, start, window, low = np.cumsum(row), np.cumsum(start), np.cumsum(window), low.copy()
+    row, first, run, sizes, low, held, window, lowest = _unpack(stored[0]["data"])
+    row, first, run, window, lowest = np.cumsum(row), np.cumsum(first), np.cumsum(run), np.cumsum(window), lowest.copy()
     for r in _of_kind(group, ANSWERS):
         steps, found = _unpack(r["data"])
-        low[np.cumsum(steps)] = found
+        lowest[np.cumsum(steps)] = found
+    # the least doc_id of each window of each run: for held runs their windows', for others the run's
+    each = np.repeat(low, sizes)
+    each[np.repeat(held, sizes)] = lowest[window]
+    begin, n = (np.cumsum(sizes) - sizes)[run], sizes[run]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     doc_id = np.array([np.iinfo(np.int64).min if d is None else d for d in ids], np.int64)
-    gone = low[window] < doc_id[row]
+    row, start = np.repeat(row, n), np.repeat(first, n) + within
+    gone = each[np.repeat(begin, n) + within] < doc_id[row]
     row, start = row[gone], start[gone]
     cut = np.flatnonzero(np.diff(row)) + 1
-    return {int(r[0]): s for r, s in zip(np.split(row, cut), np.split(start, cut), strict=True) if len(r)}
+    return {int(r[0]): x for r, x in zip(np.split(row, cut), np.split(start, cut), strict=True) if len(r)}
 
 
 def _kept(group: pa.Table, length: int, whole: bool, schema: pa.Schema) -> pa.Table:
@@ -473,12 +519,17 @@ def _bits(entries: float, most: int) -> int:
 
 
 def _windows(batches: DataFrame, length: int) -> DataFrame:
-    """Each batch's repeated windows and their places."""
+    """Each batch's windows that have to be asked for, and the places of all repeated ones."""
     size = batches.agg(F.sum("n")).first()[0] or 0
     bits = max(6, _bits(size / 6, BUCKET_ENTRIES))  # a word and its space take 6 bytes or so
     asked = batches.select("batch", "data").mapInArrow(lambda it: _requests(it, length, bits), _ROWS)
     marks = asked.groupBy("bucket").applyInArrow(_repeated, _ROWS)
-    return materialise(batches.union(marks).groupBy("batch").applyInArrow(lambda t: _settled(_candidates(t, length, bits)), _ROWS), "substring-windows")
+    runs = materialise(batches.union(marks).groupBy("batch").applyInArrow(lambda t: _settled(_runs(t, length, bits)), _ROWS), "substring-runs")
+    keys = runs.mapInArrow(_run_keys, "run binary, batch long, number int, least long")
+    lowest = materialise(keys.groupBy("run").agg(F.min("least").alias("low"), F.count("*").alias("n")).where("n > 1"), "substring-lowest")
+    lower = looked_up(keys, lowest, "run").where("low < least").groupBy("batch").agg(F.collect_list(F.struct("number", "low")).alias("lower"))
+    asked = runs.select("batch", "data").join(lower, "batch", "left")
+    return materialise(asked.mapInArrow(lambda it: _windowed(it, length), _ROWS), "substring-windows")
 
 
 def _groups(windows: DataFrame, length: int, most: int, long) -> DataFrame:

@@ -25,8 +25,8 @@ _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 300_000
 #: Bytes of text and documents in a shard, documents in a block of it, queries that go to the shards together, parts that results are merged in.
 SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 1 << 16, 64, 4096, 1024
-#: Cells (query and block, or query and document) and postings that steps of a search hold at most.
-CELLS, POSTINGS = 1 << 21, 1 << 22
+#: Cells (query and block), blocks of posting lists, and postings that a step of a search holds at most (or one query's, if it has more).
+CELLS, ENTRIES, POSTINGS = 1 << 21, 1 << 21, 1 << 19
 _TERM_CHUNK = 1 << 16
 
 
@@ -145,7 +145,10 @@ class _Queries:
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for counts[0] numbers, then from starts[1], and so on."""
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    ends = np.cumsum(counts)
+    out = np.repeat(starts - ends + counts, counts)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 class _Blocks:
@@ -155,14 +158,15 @@ class _Blocks:
         have = np.flatnonzero(place >= 0)
         counts = (np.diff(shard.starts)[place[have]] if len(have) else np.zeros(0)).astype(np.int64)
         at = _spread(shard.starts[place[have]] if len(have) else counts, counts)
-        self.docs = shard.docs[at]
-        tf = shard.tf[at]
+        docs, tf = shard.docs[at], shard.tf[at]
         term = np.repeat(have, counts)
-        self.score = idf[term] * tf * (how.k1 + 1) / (tf + norm[self.docs])
-        block = self.docs // size
+        self.score = idf[term] * tf * (how.k1 + 1) / (tf + norm[docs])
+        self.inner = docs % np.int32(size)
+        block = docs // size
         new = np.ones(len(term), bool)
         new[1:] = (np.diff(term) != 0) | (np.diff(block) != 0)
-        self.first = np.append(np.flatnonzero(new), len(term))
+        self.first = np.append(np.flatnonzero(new), len(term)).astype(np.int32)
+        self.counts = np.diff(self.first)
         self.block = block[self.first[:-1]]
         self.maxima = np.maximum.reduceat(self.score, self.first[:-1]) if len(term) else np.zeros(0)
         # of each term that is asked for: its first block; terms that the shard lacks have none
@@ -177,9 +181,12 @@ def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = Non
     norm = how.k1 * (1 - how.b + how.b * shard.lengths / q.average)
     lists = _Blocks(shard, shard.places(q.terms), q.idf, norm, how, size)
     found = []
-    step = max(1, min(CELLS // max(1, blocks), CELLS // size))
-    for begin in range(0, len(q.ids), step):
-        found.append(_wand(shard, lists, q, range(begin, min(begin + step, len(q.ids))), blocks, k, counted))
+    asked = np.concatenate([[0], np.cumsum(np.diff(lists.starts)[q.numbers])])[q.starts]  # blocks of posting lists before each query's
+    begin, most = 0, max(1, CELLS // max(1, blocks))
+    while begin < len(q.ids):
+        end = min(len(q.ids), begin + most, max(begin + 1, int(np.searchsorted(asked, asked[begin] + ENTRIES, "right")) - 1))
+        found.append(_wand(shard, lists, q, range(begin, end), blocks, k, counted))
+        begin = end
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -190,14 +197,12 @@ def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: in
     own = q.numbers[q.starts[numbers.start] : q.starts[numbers.stop]]
     of = np.repeat(np.arange(n), np.diff(q.starts[numbers.start : numbers.stop + 1]))
     has = np.diff(lists.starts)[own]
-    # each query's blocks of postings, by query and block
-    entry, cell = _spread(lists.starts[own], has), np.repeat(of, has)
-    cell = cell * blocks + lists.block[entry]
-    bound = np.bincount(cell, lists.maxima[entry], n * blocks)
-    order = np.argsort(cell, kind="stable")
-    entry, cell = entry[order], cell[order]
-    cells = np.searchsorted(cell, np.arange(n * blocks + 1))
-    bound = bound.reshape(n, blocks)
+    # each query's blocks of posting lists, by query and block
+    entry = _spread(lists.starts[own].astype(np.int32), has.astype(np.int32))
+    cell = np.repeat(of * blocks, has) + lists.block[entry]
+    bound = np.bincount(cell, lists.maxima[entry], n * blocks).reshape(n, blocks)
+    cells = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n * blocks))])
+    entry = entry[np.argsort(cell, kind="stable")]
     best, who = np.zeros((n, k)), np.full((n, k), -1)  # each query's heap
     least = np.zeros(n)
     cursor = np.zeros(n, np.int64)
@@ -210,8 +215,8 @@ def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: in
         cursor[active] = pivot + 1
         scored += len(active)
         at, end = cells[active * blocks + pivot], cells[active * blocks + pivot + 1]
-        weight = np.cumsum(lists.first[entry[at]] * 0 + (end - at))  # blocks of postings a query reads
-        for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight * size // POSTINGS)) + 1):
+        weight = np.cumsum((end - at) * size)  # a block of a posting list has `size` postings at most
+        for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight // POSTINGS)) + 1):
             if len(part):
                 _score(shard, lists, entry, at[part], end[part], active[part], pivot[part], best, who, least, k)
     if counted is not None:
@@ -225,10 +230,11 @@ def _score(shard, lists, entry, at, end, active, pivot, best, who, least, k) ->
     """Scores of the pivots' documents, which go into the heaps of their queries."""
     size = BLOCK_DOCS
     mine = entry[_spread(at, end - at)]
-    counts = lists.first[mine + 1] - lists.first[mine]
+    counts = lists.counts[mine]
     postings = _spread(lists.first[mine], counts)
-    where = np.repeat(np.repeat(np.arange(len(active)), end - at), counts)
-    full = np.bincount(where * size + lists.docs[postings] % size, lists.score[postings], len(active) * size)
+    cell = np.repeat(np.repeat(np.arange(0, len(active) * size, size, dtype=np.int32), end - at), counts)
+    cell += lists.inner[postings]
+    full = np.bincount(cell, lists.score[postings], len(active) * size)
     full = np.round(full.reshape(len(active), size), 6)
     doc = pivot[:, None] * size + np.arange(size)
     # only queries with a document that may enter; of equal scores the lesser doc_id is better

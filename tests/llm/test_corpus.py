@@ -272,6 +272,7 @@ def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, cells):
     monkeypatch.setattr(bm25, "SHARD_BYTES", shard)
     monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
     monkeypatch.setattr(bm25, "CELLS", cells)
+    monkeypatch.setattr(bm25, "ENTRIES", cells)
     monkeypatch.setattr(bm25, "POSTINGS", 40)
     rows = [(d, t) for d, t, *_ in documents()][:-3]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)

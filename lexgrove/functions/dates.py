@@ -23,9 +23,10 @@ def _iso(text: Column, pattern: str, order: str, named: bool = False) -> Column:
 
 
 def loose_date(text: Column) -> Column:
-    """The first spelling that holds, as YYYY-MM-DD; '' if none. Day first with dots, month first with slashes."""
+    """The first spelling that holds, as YYYY-MM-DD; '' if none. RFC 2822 goes first; day first with dots, month first with slashes."""
     low = F.lower(F.trim(text))
     return F.coalesce(
+        _iso(low, r"^(?:[a-z]{3},?\s+)?(\d{1,2})\s+([a-z]{3})\s+(\d{4}|\d\d)\s+\d{1,2}:\d\d", "dmy", named=True),
         _iso(low, rf"{_YEAR}년\s*(\d{{1,2}})월\s*(\d{{1,2}})일", "ymd"),
         _iso(low, rf"\b{_YEAR}[-/.](\d{{1,2}})[-/.](\d{{1,2}})\b", "ymd"),
         _iso(low, rf"\b([a-z]{{3,9}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+{_YEAR}\b", "mdy", named=True),

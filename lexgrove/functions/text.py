@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The stop list of the tokenizer.
 STOP = "the a an of to in for and or is are was were be on at as by with that this it from".split()
 TOKEN = r"[a-z0-9]+(?:[._\-][a-z0-9]+)*"
+COMPOUND = r"[a-z0-9]+(?:[._\-][a-z0-9]+)+"
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,25 +18,27 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term), a row for each token: the rows form of text.tokens(), all in generated code."""
+    """(chunk_id, terms): all terms of each chunk in order, those of text.tokens(), by functions over the whole text that run in generated code."""
     text = F.lower(X.chunk_text(F.col("text"), F.col("heading"), F.col("file")))
-    words = chunks.select("chunk_id", F.explode(F.regexp_extract_all(text, F.lit(X.TOKEN), F.lit(0))).alias("t")).where(~F.col("t").isin(X.STOP))
-    compound = F.col("t").rlike(r"[._\-]")
-    parts = F.posexplode(F.when(compound, F.concat(F.array("t"), F.split("t", r"[._\-]+"))).otherwise(F.array("t"))).alias("k", "t")
-    every = words.select("chunk_id", parts).where((F.col("k") == 0) | ~F.col("t").isin([*X.STOP, ""]))
-    return every.select("chunk_id", X.stem(F.col("t")).alias("term"))
+    joined = lambda pattern: F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), " ")
+    # every token, then the parts of compounds; a space before and after each
+    words = F.concat(F.lit(" "), joined(X.TOKEN), F.lit(" "), F.translate(joined(X.COMPOUND), "._-", "   "), F.lit(" "))
+    kept = F.regexp_replace(words, rf"(?<= )(?:{'|'.join(X.STOP)}) ", "")
+    stems = F.trim(F.regexp_replace(kept, r"([^ ]{2}[^ s])s(?= )", "$1"))
+    return chunks.select("chunk_id", F.when(stems != "", F.sort_array(F.split(stems, " +"))).otherwise(F.array().cast("array<string>")).alias("terms"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, n_tokens). One shuffle, by chunk: both the counts of terms and the chunk's length follow without another."""
-    tf = chunk_terms(chunks).repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("n_tokens", F.sum("tf").over(Window.partitionBy("chunk_id")))
+    """(chunk_id, term, tf, n_tokens). A chunk is one row, so that nothing is shuffled: equal terms of its ordered ones are runs of its text."""
+    rows = chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"), F.concat(F.array_join("terms", " "), F.lit(" ")).alias("_t")).where("n_tokens > 0")
+    runs = rows.select("chunk_id", "n_tokens", F.explode(F.regexp_extract_all("_t", F.lit(r"([^ ]+ )\1*"), F.lit(0))).alias("_run"))
+    term = F.substring_index("_run", " ", 1)
+    return runs.select("chunk_id", term.alias("term"), (F.length("_run") / (F.length(term) + 1)).cast("long").alias("tf"), "n_tokens")
 
 
-def lengths(chunks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+def lengths(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens) of all chunks, those without a token too."""
-    found = (postings(chunks) if posts is None else posts).groupBy("chunk_id").agg(F.max("n_tokens").alias("n_tokens"))
-    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    return chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def write_index(chunks: DataFrame, path: str) -> None:
     posts = postings(chunks.sparkSession.read.parquet(f"{path}/chunks"))
     posts.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    lengths(stored, chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths(stored).write.mode("overwrite").parquet(f"{path}/lengths")
     document_frequency(chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/df")
 
 

@@ -5,10 +5,16 @@ Rankings have a total order: rounded score, then corpus_pos. Everything is set-b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import keep
 from . import index as I
 
 # The ranking constants.
@@ -57,17 +63,120 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(vectors: DataFrame, asked: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """The k nearest of all vectors (vec_id, v) for each asked one (qid, q), both of unit length.
+def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The asked vectors (qid, q), some `block` at a time, as their numbers and a matrix."""
+    n = max(1, -(-asked.count() // block))
+    for k in range(n):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k).orderBy("qid").collect()
+        if rows:
+            yield [r["qid"] for r in rows], np.array([r["q"] for r in rows], np.float64)
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _kinds(vectors: DataFrame, asked: DataFrame) -> str:
+    return f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema['vec_id'].dataType.simpleString()}"
 
-    Asked vectors go out in blocks: each row of the vectors meets an array of at most `block` asked vectors, keeps the
-    scores, and only the k best of a question leave a task (WindowGroupLimit).
+
+def cosine(vectors: DataFrame, asked: DataFrame, k: int | None, block: int = 512) -> DataFrame:
+    """(qid, chunk_id, cos[, rank]): the k nearest of all vectors (vec_id, v) for each asked one (qid, q), both of unit length; without k all of them.
+
+    Blocks of asked vectors, of bounded size, go to all tasks one after another. A batch of vectors meets a block in one matrix product, and a
+    task gives its k best for each question only. Vectors of one table have one length; null vectors are left out.
+    """
+    results = []
+    for ids, matrix in _blocks(asked.where("q is not null"), block):
+
+        def near(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            who, best = [[] for _ in ids], [np.zeros(0) for _ in ids]
+            for b in batches:
+                names = np.array(b.column(0).to_pylist(), object)
+                score = np.round(_matrix(b.column(1)) @ matrix.T + 0.0, 6) if len(b) else np.zeros((0, len(ids)))
+                for i, qid in enumerate(ids):
+                    if k is None:
+                        yield pa.RecordBatch.from_arrays([pa.array([qid] * len(names)), pa.array(names.tolist()), pa.array(score[:, i])], ["qid", "chunk_id", "cos"])
+                        continue
+                    s, w = np.concatenate([best[i], score[:, i]]), [*who[i], *names.tolist()]
+                    if len(s) > k:  # ties at the k-th score all stay until the last
+                        keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        keep = keep[sorted(range(len(keep)), key=lambda x: (-s[keep[x]], w[keep[x]]))[:k]]
+                        s, w = s[keep], [w[x] for x in keep]
+                    best[i], who[i] = s, w
+            for qid, w, s in zip(ids, who, best, strict=True):
+                if len(w):
+                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(w)), pa.array(w), pa.array(s)], ["qid", "chunk_id", "cos"])
+
+        results.append(vectors.where("v is not null").select("vec_id", "v").mapInArrow(near, f"{_kinds(vectors, asked)}, cos double"))
+    if not results:
+        found = asked.sparkSession.createDataFrame([], f"{_kinds(vectors, asked)}, cos double")
+    else:
+        found = reduce(DataFrame.union, results)
+    return found if k is None else top(found, "cos", k)
+
+
+def cosine_ranks(vectors: DataFrame, asked: DataFrame, wanted: DataFrame, block: int = 512) -> DataFrame:
+    """(qid, chunk_id, cos, rank) of wanted pairs (qid, chunk_id): the rank of a vector among all for a question, by counting, without ranking all.
+
+    Each task counts how many of its vectors come before each wanted one, and the counts are summed. wanted is what a question's candidates are, so
+    that a block's are few.
     """
-    blocks = asked.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.count() // block)))))
-    grouped = blocks.groupBy("_b").agg(F.collect_list(F.struct("qid", "q")).alias("asked"))
-    pairs = vectors.join(F.broadcast(grouped)).select("vec_id", "v", F.explode("asked").alias("a"))
-    scored = pairs.select("a.qid", F.col("vec_id").alias("chunk_id"), F.round(dot(F.col("v"), F.col("a.q")), 6).alias("cos"))
-    return top(scored, "cos", k)
+    pairs = wanted.join(vectors.select(F.col("vec_id").alias("chunk_id"), "v"), "chunk_id").join(asked, "qid")
+    scored = pairs.select("qid", "chunk_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("cos"))
+    results = []
+    for ids, matrix in _blocks(asked.where("q is not null"), block):
+        held = scored.join(asked.sparkSession.createDataFrame([(i,) for i in ids], asked.select("qid").schema), "qid", "left_semi").orderBy("qid", F.desc("cos"), "chunk_id").collect()
+        lists = {qid: [(r["cos"], r["chunk_id"]) for r in held if r["qid"] == qid] for qid in {r["qid"] for r in held}}
+
+        def before(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, lists=lists) -> Iterator[pa.RecordBatch]:
+            counts = {qid: np.zeros(len(x), np.int64) for qid, x in lists.items()}
+            for b in batches:
+                if not len(b):
+                    continue
+                names = np.array(b.column(0).to_pylist(), object)
+                score = np.round(_matrix(b.column(1)) @ matrix.T + 0.0, 6)
+                for i, qid in enumerate(ids):
+                    if qid not in lists:
+                        continue
+                    rising = -np.array([c for c, _ in lists[qid]])
+                    place = np.searchsorted(rising, -score[:, i], "right")  # wanted ones after the vector or equal to it are to count it
+                    counts[qid] += np.cumsum(np.bincount(place, minlength=len(rising) + 1))[: len(rising)]
+                    for row in np.flatnonzero(np.searchsorted(rising, -score[:, i], "left") < place):
+                        for j, (c, name) in enumerate(lists[qid]):
+                            if c == score[row, i] and names[row] < name:
+                                counts[qid][j] += 1
+            for qid, x in lists.items():
+                yield pa.RecordBatch.from_arrays([pa.array([qid] * len(x)), pa.array([n for _, n in x]), pa.array([c for c, _ in x]), pa.array(counts[qid])], ["qid", "chunk_id", "cos", "before"])
+
+        if lists:
+            counted = vectors.where("v is not null").select("vec_id", "v").mapInArrow(before, f"{_kinds(vectors, asked)}, cos double, before long")
+            results.append(counted.groupBy("qid", "chunk_id", "cos").agg((F.sum("before") + 1).alias("rank")))
+    if not results:
+        return asked.sparkSession.createDataFrame([], f"{_kinds(vectors, asked)}, cos double, rank long")
+    return reduce(DataFrame.union, results)
+
+
+def fused_top(bm: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, rrf, rank): the k best by reciprocal ranks, without ranking everything for a question. asked: qid, q; k is at most 61.
+
+    The k-th best is at least 1 / (60 + k) where k chunks have a term of the question. So a chunk of lexical rank r, at the best a near one by cosine,
+    needs 1 / (60 + r) + 0.5 / 61 to be that much; and one without a term, at most 0.5 / 61, gets a place only if fewer than k have one, when it is
+    among the nearest 2 k. Ranks by cosine of these candidates are counted.
+    """
+    least = 1 / (RRF_K + k) - DENSE_WEIGHT / (RRF_K + 1)
+    if least <= 0:
+        raise ValueError(f"k = {k} is too large for bounded candidates")
+    lexical = top(bm.where("bm25 > 0"), "bm25", int(1 / least) - RRF_K + 1).select("qid", "chunk_id", F.col("rank").alias("_rb"))
+    lexical = keep(lexical, "lexical")
+    near = cosine(vectors, asked, 2 * k).select("qid", "chunk_id", F.col("rank").alias("_near"))
+    # of the near ones, those with a term but too low a lexical rank cannot get a place
+    low = bm.where("bm25 > 0").join(near.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").join(lexical, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id")
+    dense = near.join(low, ["qid", "chunk_id"], "left_anti").join(lexical, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", F.lit(None).cast("int").alias("_rb"), F.col("_near").cast("long").alias("_rc"))
+    ranks = cosine_ranks(vectors, asked, lexical.select("qid", "chunk_id")).select("qid", "chunk_id", F.col("rank").alias("_rc"))
+    both = lexical.join(ranks, ["qid", "chunk_id"], "left").select("qid", "chunk_id", "_rb", "_rc").union(dense)
+    fused = F.coalesce(1.0 / (RRF_K + F.col("_rb")), F.lit(0.0)) + F.coalesce(DENSE_WEIGHT / (RRF_K + F.col("_rc")), F.lit(0.0))
+    return top(both.select("qid", "chunk_id", F.round(fused, 9).alias("rrf")), "rrf", k)
 
 
 def rrf(bm: DataFrame, cos: DataFrame | None) -> DataFrame:
@@ -92,8 +201,8 @@ def diverse(ranked: DataFrame, score: str, k: int) -> DataFrame:
 def round_robin(chunks: DataFrame, budget: int) -> DataFrame:
     """One chunk of each bucket per turn, buckets in the order of their first chunk, until the budget. chunks: chunk_id, bucket, corpus_pos."""
     w = Window.partitionBy("bucket")
-    turns = chunks.withColumn("turn", F.row_number().over(w.orderBy("corpus_pos"))).withColumn("_start", F.min("corpus_pos").over(w))
-    return turns.orderBy("turn", "_start").limit(budget).drop("_start")
+    turns = chunks.withColumn("turn", F.row_number().over(w.orderBy("corpus_pos"))).where(F.col("turn") <= budget)  # no later turn can be chosen
+    return turns.withColumn("_start", F.min("corpus_pos").over(w)).orderBy("turn", "_start").limit(budget).drop("_start")
 
 
 def folders_named(questions: DataFrame, chunks: DataFrame) -> DataFrame:

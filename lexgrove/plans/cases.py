@@ -34,20 +34,20 @@ QUESTIONS = Table("qid bigint, question string", [
 ])
 SCOPES = Table("scope string", [("src1",), ("src1/",), ("src",), ("",), ("src10/10",), ("src2//",)])
 ROUTING = Table("qid bigint, question string", [
-    (1, "What did Maya say in her second reply?"),
+    (1, "What did Ines say in her second reply?"),
     (2, "Compare his first and second reply"),
-    (3, "What was in the last email of Daniel Okonkwo on May 7?"),
+    (3, "What was in the last email of Tomas Brandl on May 7?"),
     (4, "Summarise the message of 1995-03-12, please."),
     (5, "Who wrote on 3/14/1996 and on 12 March?"),
     (6, "the most recent message, the newest one"),
     (7, "nothing to route here"),
 ])
-SENDERS = Table("sender string", [("Maya Ruiz",), ("Daniel Okonkwo",), ("Al Ng",), ("이수진",), ("Reply Bot",)])
+SENDERS = Table("sender string", [("Ines Halvorsen",), ("Tomas Brandl",), ("Al Ng",), ("이수진",), ("Reply Bot",)])
 SUBJECTS = Table("id bigint, subject string", [
     (1, "Re: Fw: fees"), (2, "AW: Angebot"), (3, "WG: Angebot"), (4, "Fees"), (5, "  re:RE: x"), (6, None), (7, "Regarding: fees"), (8, "전달: 보고"),
 ])
 PARTIES = Table("id bigint, party string", [
-    (1, "Maya Ruiz <maya@example.com>"), (2, '"Okonkwo, Daniel" <d@example.com>'), (3, "someone@example.com"), (4, "  Plain Name "), (5, None), (6, "<x@example.com>"),
+    (1, "Ines Halvorsen <ines@example.com>"), (2, '"Brandl, Tomas" <d@example.com>'), (3, "someone@example.com"), (4, "  Plain Name "), (5, None), (6, "<x@example.com>"),
 ])
 MARKDOWN = Table("file string, text string", [
     ("a.md", "# Plan\n\nFirst paragraph.\n\nSecond paragraph.\n\n| a | b |\n| 1 | 2 |\n\nAfter the table.\n## Fees\nThe fee is 4,800.\n## 2024-05-07 A -> B\nHello."),

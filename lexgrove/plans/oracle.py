@@ -181,14 +181,14 @@ SELECT file AS thread, file || '#' || pos AS chunk_id, overview, greatest(0, bod
 SQL["plan_read"] = f"""WITH {_MESSAGES}, t AS (SELECT file, count(*) AS chunks, count(*) FILTER (sender = 'user') AS target_chunks FROM msg GROUP BY file)
 SELECT *, CASE WHEN chunks % 3 > 0 AND target_chunks > 0 AND (target_chunks <= 2 OR chunks % 2 = 0) THEN 'target' WHEN chunks % 3 = 0 AND chunks % 2 = 0 THEN 'thread' ELSE 'search' END AS plan FROM t"""
 SQL["first_seen_names"] = """WITH s AS (SELECT conv_id::VARCHAR AS file, role, min(turn) AS place FROM conversations GROUP BY ALL) SELECT file, string_agg(role, ', ' ORDER BY place, role) AS names FROM s GROUP BY file"""
-SQL["senders_named"] = "SELECT * FROM (VALUES (1::BIGINT, 'Maya Ruiz'), (3, 'Daniel Okonkwo')) t(qid, sender)"
+SQL["senders_named"] = "SELECT * FROM (VALUES (1::BIGINT, 'Ines Halvorsen'), (3, 'Tomas Brandl')) t(qid, sender)"
 SQL["dates_named"] = """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
 n AS (SELECT 3::BIGINT AS qid, day FROM d WHERE month(day) = 5 AND day(day) = 7 UNION ALL SELECT 4, day FROM d WHERE day = DATE '1995-03-12'
   UNION ALL SELECT 5, day FROM d WHERE day = DATE '1996-03-14' UNION ALL SELECT 5, day FROM d WHERE month(day) = 3 AND day(day) = 12)
 SELECT qid, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last FROM n GROUP BY qid"""
 SQL["ordinals_named"] = "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT), (2, NULL), (3, -1), (4, NULL), (5, NULL), (6, -1), (7, NULL)) t(qid, ordinal)"
 SQL["subject_verbs"] = "SELECT * FROM (VALUES (1::BIGINT, 'fees', 'replied'), (2, 'Angebot', 'replied'), (3, 'Angebot', 'forwarded'), (4, 'Fees', 'wrote'), (5, 'x', 'replied'), (6, '', 'wrote'), (7, 'Regarding: fees', 'wrote'), (8, '보고', 'forwarded')) t(id, base, verb)"
-SQL["display_names"] = "SELECT * FROM (VALUES (1::BIGINT, 'Maya Ruiz'), (2, 'Okonkwo, Daniel'), (3, 'someone@example.com'), (4, 'Plain Name'), (5, ''), (6, '<x@example.com>')) t(id, name)"
+SQL["display_names"] = "SELECT * FROM (VALUES (1::BIGINT, 'Ines Halvorsen'), (2, 'Brandl, Tomas'), (3, 'someone@example.com'), (4, 'Plain Name'), (5, ''), (6, '<x@example.com>')) t(id, name)"
 SQL["date_parse_cascade"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders"
 SQL["human_dates"] = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%A, %B %-d, %Y') AS text, count(*) AS n FROM orders GROUP BY 1, 2"
 

@@ -50,7 +50,7 @@ def _asked(spark, sf):
 def _bm25(spark, sf, questions):
     chunks = _chunks(spark, sf)
     posts = keep(I.postings(chunks), "postings")
-    return R.bm25(posts, I.corpus_statistics(I.lengths(chunks, posts)), I.document_frequency(posts), questions)
+    return R.bm25(posts, I.corpus_statistics(I.lengths(chunks)), I.document_frequency(posts), questions)
 
 
 def _long(*names):
@@ -84,7 +84,7 @@ def bm25_scoped_global_stats(spark, sf):
     chunks = _chunks(spark, sf)
     posts = keep(I.postings(chunks), "postings")
     scoped = posts.join(chunks.where(X.in_scope(F.col("file"), F.lit("src1/"))).select("chunk_id"), "chunk_id", "left_semi")
-    bm = R.bm25(scoped, I.corpus_statistics(I.lengths(chunks, posts)), I.document_frequency(posts), _asked(spark, sf))
+    bm = R.bm25(scoped, I.corpus_statistics(I.lengths(chunks)), I.document_frequency(posts), _asked(spark, sf))
     return R.top(bm, "bm25", 5).select("qid", *_long("rank"), "chunk_id", "bm25")
 
 
@@ -105,17 +105,15 @@ def cosine_topk(spark, sf):
     return R.cosine(v, asked, 5).select("qid", *_long("rank"), "chunk_id", F.round("cos", 4).alias("cos"))
 
 
-def _cosines(spark, sf):
+def _asked_vectors(spark, sf):
     """Synthetic pairing: a benchmark item asks with the vector of its number, and vectors belong to the documents of theirs."""
-    v = _vectors(spark, sf)
-    asked = v.join(_asked(spark, sf).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    return R.cosine(v, asked, v.count())
+    return _vectors(spark, sf).join(_asked(spark, sf).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
 
 
 @query
 def rrf_fusion(spark, sf):
-    fused = R.rrf(_bm25(spark, sf, _asked(spark, sf)), _cosines(spark, sf).select("qid", "chunk_id", "cos"))
-    return R.top(fused, "rrf", 10).select("qid", *_long("rank"), "chunk_id", F.round("rrf", 8).alias("rrf"))
+    fused = R.fused_top(keep(_bm25(spark, sf, _asked(spark, sf)), "bm25"), _vectors(spark, sf), _asked_vectors(spark, sf), 10)
+    return fused.select("qid", *_long("rank"), "chunk_id", F.round("rrf", 8).alias("rrf"))
 
 
 @query
@@ -154,7 +152,7 @@ def quota_retrieval(spark, sf):
 
 @query
 def dense_rescue(spark, sf):
-    cos = _cosines(spark, sf).select("qid", "chunk_id", "cos").where("qid <> chunk_id")
+    cos = R.cosine(_vectors(spark, sf), _asked_vectors(spark, sf), 2).select("qid", "chunk_id", "cos").where("qid <> chunk_id")
     hits = R.top(_bm25(spark, sf, _asked(spark, sf)).withColumn("cos", F.lit(None).cast("double")), "bm25", 5)
     return R.dense_rescue(hits, cos, 0.2).where("origin = 'dense'").select("qid", "chunk_id", F.round("cos", 4).alias("cos"))
 

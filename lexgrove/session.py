@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,11 +25,13 @@ def session(name: str = "lexgrove", **more: str) -> SparkSession:
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder that spark.checkpoint.dir names and read back: for what several branches of a plan use.
 
-    Where the setting is unset (local runs), a temporary folder that goes with the process.
+    Where the setting is unset and all runs in one process, a temporary folder that goes with the process.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexgrove-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,14 +74,35 @@ def looks_stuck(text: Column, tail: int = 300, window: int = 3600, times: int =
     return (F.length(text) >= tail) & ((F.length(recent) - F.length(F.replace(recent, end, F.lit("")))) / tail >= times)
 
 
+_ENTITY = r"&(#[xX][0-9a-fA-F]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]{1,7};)"
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; U+FFFD where there is none."""
+    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def unescape(text: Column) -> Column:
+    """Character references as characters: numbers in decimal and hexadecimal, and the named ones of HTML 4; others stay. Each is read once."""
+    names = F.create_map(*(F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))), F.lit("apos"), F.lit("'"))
+    between, found = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+
+    def one(e: Column) -> Column:
+        bare = F.rtrim(e, F.lit(";"))
+        number = F.when(F.substring(e, 2, 1).isin("x", "X"), F.conv(F.substring(bare, 3, 6), 16, 10)).otherwise(F.substring(bare, 2, 7)).try_cast("bigint")
+        return F.when(F.startswith(e, F.lit("#")), _character(number)).otherwise(F.coalesce(F.try_element_at(names, bare), F.concat(F.lit("&"), e)))
+
+    rebuilt = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), rebuilt).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
     """Markup to lines: scripts, styles and the head go, ends of blocks are line ends, other tags go, entities are characters."""
     x = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>", " ")
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h1|h2|h3|h4|h5|h6|blockquote)>", "\n")
-    x = F.regexp_replace(x, r"<[^>]+>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.replace(x, F.lit(" "), F.lit(" ")), r"\n{3,}", "\n\n")
+    x = unescape(F.regexp_replace(x, r"<[^>]+>", ""))
+    return F.regexp_replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), r"\n{3,}", "\n\n")
 
 
 def estimate_tokens(characters: Column) -> Column:

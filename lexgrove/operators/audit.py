@@ -44,8 +44,8 @@ def encode_line(text: Column) -> Column:
 
 
 def decode_line(text: Column) -> Column:
-    held = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    """encode_line() undone in one pass: what is left and right of escaped backslashes is decoded apart."""
+    return F.array_join(F.transform(F.split(text, r"\\\\"), lambda part: F.replace(part, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def note_blocker(audit: DataFrame) -> DataFrame:
@@ -97,6 +97,17 @@ def listed(notes: DataFrame, files: DataFrame) -> DataFrame:
     return notes.join(known, "note", "left").select("note", head.alias("heading"), F.coalesce("_in", F.lit(False)).alias("indexed"))
 
 
+def used_chunks(hits: DataFrame) -> DataFrame:
+    """(qid, chunks): what each question got to read, in its order, as a record keeps it. hits: qid, label, chunk_id, file, heading, bm25, cos."""
+    one = F.struct(F.col("chunk_id").alias("id"), "file", "heading", F.round("bm25", 3).alias("score"), F.round("cos", 3).alias("cos"))
+    return hits.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", one.alias("c")))), lambda x: x["c"]).alias("chunks"))
+
+
+def without(notes: DataFrame, name: str) -> DataFrame:
+    """Notes (note, text) without one, given by its name with or without .md; the others as they are."""
+    return notes.where(~F.col("note").isin(name, f"{name}.md"))
+
+
 def append(records: DataFrame, path: str, machine: str) -> None:
     """Append-only JSON lines, a folder for each machine, so that no two writers share a file."""
     records.withColumn("machine", X.machine_slug(F.lit(machine))).write.mode("append").partitionBy("machine").json(path)

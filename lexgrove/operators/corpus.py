@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 PLACEHOLDER = r"\{\{(\w+):([\w.-]+)\}\}"
 
 
@@ -50,6 +54,68 @@ def undeclared(used: DataFrame, declared: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("problem", F.lit("undeclared")).union(b.exceptAll(a).withColumn("problem", F.lit("unused")))
 
 
+AMOUNT_WRITTEN, ISO_DATE = r"[$€]\s?\d[\d,]*(?:\.\d+)?", r"\b(\d{4}-\d{2}-\d{2})\b"
+
+
+def source_problems(docs: DataFrame, constants: DataFrame, days: DataFrame, never: DataFrame, known_files: DataFrame) -> DataFrame:
+    """(file, problem, detail): what is wrong with the source of a corpus before it is rendered.
+
+    docs: file, text, declared (ids). constants: kind, id, value, file. days: day, the dates that may be written. never: phrase, what no rendered text may
+    have. known_files: file, those that exist besides the documents. Amounts are to be placeholders, dates known, declared ids used and used ones declared,
+    unknown ids are named, constants' files exist and have them, and no amount lies within another.
+    """
+    t = F.coalesce("text", F.lit(""))
+    found = lambda df, problem, detail: df.select("file", F.lit(problem).alias("problem"), detail.cast("string").alias("detail"))
+    each = lambda pattern, group: F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(group))))
+    written = docs.select("file", each(AMOUNT_WRITTEN, 0).alias("_d"))
+    dates = docs.select("file", each(ISO_DATE, 1).alias("_d")).join(days.select(F.col("day").alias("_d")), "_d", "left_anti")
+    rendered = render(docs.select(F.col("file").alias("doc_id"), t.alias("text")), constants.select("kind", "id", "value"))
+    # a phrase meets the texts that have its first word
+    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(X.bare(c)), F.lit(r"(?U)\w+"), F.lit(0))))
+    first = never.select("phrase", F.regexp_extract(F.lower(X.bare(F.col("phrase"))), r"(?U)(\w+)", 1).alias("_w"))
+    said = rendered.select("doc_id", "rendered", word(F.col("rendered")).alias("_w")).join(first, "_w").where(F.contains(X.bare(F.col("rendered")), X.bare(F.col("phrase"))))
+    used = docs.select("file", each(PLACEHOLDER, 2).alias("id"))
+    declared = docs.select("file", F.explode(F.coalesce("declared", F.array().cast("array<string>"))).alias("id"))
+    unknown = rendered.select(F.col("doc_id").alias("file"), F.explode(F.filter(F.split("unknown", ","), lambda x: x != "")).alias("_d"))
+    placed = constants.where("file is not null")
+    files = docs.select("file").union(known_files.select("file")).distinct()
+    here = placed.join(docs.select("file"), "file", "left_semi").where("kind = 'amount'").join(used, ["file", "id"], "left_anti")
+    digits = constants.where("kind = 'amount'").select(F.regexp_replace("value", r"[^\d.]", "").alias("digits"))
+    inside = substring_collisions(digits).select(F.lit(None).cast("string").alias("file"), F.concat_ws(" in ", "a", "b").alias("_d"))
+    parts = [
+        found(written, "literal amount", F.col("_d")), found(dates, "unknown date", F.col("_d")), found(said.select(F.col("doc_id").alias("file"), "phrase").distinct(), "never to be written", F.col("phrase")),
+        *(found(undeclared(used, declared).where(F.col("problem") == p), p, F.col("id")) for p in ("undeclared", "unused")), found(unknown, "unknown constant", F.col("_d")),
+        found(docs.where(F.contains(t, F.lit("{{TODO"))), "unfinished", F.lit("")), found(placed.join(files, "file", "left_anti"), "no such file", F.col("id")), found(here, "not placed", F.col("id")), found(inside, "amount within another", F.col("_d")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def build_manifest(written: DataFrame, inherited: DataFrame) -> DataFrame:
+    """(file, kind, sha256, same) of a corpus that was built: written (file, kind, content), and whether inherited files (file, content) are byte by byte what they were."""
+    before = inherited.select("file", F.sha2("content", 256).alias("_before"))
+    hashed = written.select("file", "kind", F.sha2("content", 256).alias("sha256")).join(before, "file", "left")
+    return hashed.select("file", "kind", "sha256", F.coalesce(F.col("sha256") == F.col("_before"), F.lit(True)).alias("same"))
+
+
+def structure(chunks: DataFrame, files: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(file, check): what of an index contradicts its files.
+
+    chunks: file, n, of, date, overview (null for what is no message). files: file. skipped: file, partial. Messages of a thread are numbered without gaps in
+    the order of their dates and have one overview; each file is indexed or named as skipped, and what is partly read is indexed.
+    """
+    mail = chunks.where("n is not null").groupBy("file", "n").agg(F.min("date").alias("date"), F.max("of").alias("of"))
+    late = mail.withColumn("_before", F.lag("date").over(Window.partitionBy("file").orderBy("n"))).where("_before > date and date <> ''").select("file").distinct()
+    gaps = mail.groupBy("file").agg(F.count("*").alias("_n"), F.max("n").alias("_last"), F.max("of").alias("_of")).where("_n <> _last or _of <> _last")
+    threads = mail.groupBy("file").agg(F.max("of").alias("_of")).where("_of > 1")
+    overviews = threads.join(chunks.where("overview").groupBy("file").agg(F.count("*").alias("_k")), "file", "left").where("coalesce(_k, 0) <> 1")
+    indexed = chunks.select("file").distinct()
+    lost = files.select("file").join(indexed, "file", "left_anti").join(skipped.where("not partial"), "file", "left_anti")
+    partly = skipped.where("partial").select("file").join(indexed, "file", "left_anti")
+    both = skipped.where("not partial").select("file").join(indexed, "file", "left_semi")
+    checks = {"messages out of order": late, "numbers with gaps": gaps, "no single overview": overviews, "neither indexed nor skipped": lost, "partly read but not indexed": partly, "skipped but indexed": both}
+    return reduce(DataFrame.union, (df.select("file", F.lit(name).alias("check")) for name, df in checks.items()))
+
+
 def haystack(spark: SparkSession, chunks: int, needle: str, depth: float, seed: int = 7) -> DataFrame:
     """(pos, text): filler paragraphs, the same for a seed, with one needle at a relative depth."""
     words = F.array(*map(F.lit, "report review matter filing notice schedule draft response record meeting option period office draft party detail".split()))
@@ -63,20 +129,23 @@ BAND, BANNER_SHARE, GAP_SHARE = 320000, 0.6, 12
 
 
 def slide_order(shapes: DataFrame) -> DataFrame:
-    """Adds place, the reading order of a slide's shapes. shapes: slide, shape, x, y, cx, width.
+    """Adds place, the reading order of a slide's shapes. shapes: slide, shape, x, y, cx, width; x and y are null for shapes without a place.
 
-    Wide shapes are banners and come first. The others fall into columns where the gaps between their left edges are wide; if there
+    Wide shapes are banners and come first. Shapes without a place are taken to stand at the left, below all others. The others fall into columns where the gaps between their left edges are wide; if there
     are several columns, one of them with two shapes, they are read by column, else in bands from top to bottom.
     """
     w = Window.partitionBy("slide")
     banner = F.col("cx") >= BANNER_SHARE * F.col("width")
-    s = shapes.withColumn("_banner", banner)
-    by_x = Window.partitionBy("slide", "_banner").orderBy("x", "shape")
-    jump = (F.col("x") - F.lag("x").over(by_x) > F.col("width") / GAP_SHARE).cast("int")
+    s = shapes.withColumn("_x", F.coalesce("x", F.lit(0))).withColumn("_y", F.coalesce("y", F.lit(10**12) + F.col("shape"))).withColumn("_banner", F.coalesce(banner, F.lit(False)))
+    by_x = Window.partitionBy("slide", "_banner").orderBy("_x", "shape")
+    jump = (F.col("_x") - F.lag("_x").over(by_x) > F.col("width") / GAP_SHARE).cast("int")
     s = s.withColumn("_jump", F.coalesce(jump, F.lit(0)))
     s = s.withColumn("_column", F.sum("_jump").over(by_x.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_in", F.count("*").over(Window.partitionBy("slide", "_banner", "_column")))
-    columns = (F.max(F.when(~F.col("_banner"), F.col("_column"))).over(w) > 0) & (F.max(F.when(~F.col("_banner"), F.col("_in"))).over(w) >= 2)
+    plain = ~F.col("_banner")
+    columns = (F.max(F.when(plain, F.col("_column"))).over(w) > 0) & (F.max(F.when(plain, F.col("_in"))).over(w) >= 2)
     s = s.withColumn("_by_column", F.coalesce(columns, F.lit(False)))
-    key = (F.when(F.col("_banner"), 0).otherwise(1), F.when(F.col("_by_column") & ~F.col("_banner"), F.col("_column")).otherwise(0), F.when(F.col("_by_column") | F.col("_banner"), F.col("y")).otherwise(F.floor(F.col("y") / BAND)), "x", "shape")
-    return s.withColumn("place", F.row_number().over(w.orderBy(*key))).drop("_banner", "_jump", "_column", "_in", "_by_column")
+    by_column = F.col("_by_column") & ~F.col("_banner")
+    down = F.when(F.col("_by_column") | F.col("_banner"), F.col("_y")).otherwise(F.bround(F.col("_y") / BAND))
+    key = (F.when(F.col("_banner"), 0).otherwise(1), F.when(by_column, F.col("_column")).otherwise(0), down, F.when(by_column, F.col("shape")).otherwise(F.col("_x")), "shape")
+    return s.withColumn("place", F.row_number().over(w.orderBy(*key))).drop("_x", "_y", "_banner", "_jump", "_column", "_in", "_by_column")

@@ -76,6 +76,39 @@ def report(skipped: DataFrame, names: int = 3) -> DataFrame:
     return counts.join(few, "why").select("why", "n", F.concat("names", more).alias("names"))
 
 
+MANIFEST = "sidecar string, source string, hash string, empty boolean"
+
+
+def convertible(files: DataFrame, manifest: DataFrame, tools: list[str]) -> DataFrame:
+    """Files that a tool can convert, with what conversion_decision() asks: files (file, dir, stem, ext, mtime, sha256) meet their sidecars, other companions and the manifest."""
+    shown = files.where(~hidden(F.concat("stem", "ext")) & F.col("ext").isin(list(CONVERTED)))
+    shown = shown.withColumn("tool", tool_of(F.col("ext"))).withColumn("sidecar", F.concat("dir", "stem", made_ext(F.col("ext"))))
+    beside = files.select(F.col("file").alias("sidecar"), F.col("mtime").alias("_m"))
+    stem = F.lower("stem")
+    others = files.where(F.col("ext").isin(READ)).select("dir", stem.alias("_stem"), F.col("ext").alias("_ext")).groupBy("dir", "_stem").agg(F.collect_set("_ext").alias("_others"))
+    rows = shown.withColumn("_stem", stem).join(beside, "sidecar", "left").join(others, ["dir", "_stem"], "left")
+    rows = rows.join(manifest.select("sidecar", F.col("source").alias("_source"), F.col("hash").alias("known_hash"), F.coalesce("empty", F.lit(False)).alias("known_empty")), "sidecar", "left")
+    time = lambda c: F.unix_millis(F.col(c).cast("timestamp")) / 1000
+    other = F.size(F.array_remove(F.coalesce("_others", F.array().cast("array<string>")), made_ext(F.col("ext")))) > 0
+    return rows.select(
+        "file", "sidecar", "sha256", "tool", time("mtime").alias("mtime"), F.col("_m").isNotNull().alias("sidecar_exists"), time("_m").alias("sidecar_mtime"), F.coalesce(F.col("_source") == F.col("file"), F.lit(False)).alias("ours"),
+        F.coalesce("known_hash", F.lit("")).alias("known_hash"), F.coalesce("known_empty", F.lit(False)).alias("known_empty"), other.alias("other_companion"), F.coalesce(F.col("tool").isin(tools), F.lit(False)).alias("has_tool"),
+    )
+
+
+def next_manifest(manifest: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
+    """The manifest after conversions (file, sidecar, sha256, event): what was made or found empty replaces its row, and rows whose source is gone go."""
+    made = events.where("event in ('converted', 'empty')").select("sidecar", F.col("file").alias("source"), F.col("sha256").alias("hash"), (F.col("event") == "empty").alias("empty"))
+    return live_manifest(manifest.join(made, "sidecar", "left_anti").select("sidecar", "source", "hash", "empty").union(made), files).select("sidecar", "source", "hash", "empty")
+
+
+def warning_lines(skipped: DataFrame) -> DataFrame:
+    """(line): how many files can't be seen, and how many only in part, each with its first names. skipped: file, partial."""
+    why = F.when(F.col("partial"), "indexed but only PARTIALLY read (footnotes, headers and footers are dropped)").otherwise("NOT indexed and cannot be seen")
+    said = report(skipped.select("file", why.alias("why")))
+    return said.select(F.concat(F.lit("[coverage] "), F.col("n").cast("string"), F.lit(" file(s) are "), "why", F.lit(": "), "names").alias("line"))
+
+
 def conversion_decision(rows: DataFrame, dry_run: bool = False) -> DataFrame:
     """Adds decision to convertible files: none, stale, pending or convert.
 

@@ -238,20 +238,24 @@ def quota(scores: DataFrame, members: DataFrame, groups: DataFrame, k: int = TOP
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(shown), "chunk_id"))).drop("_late", "_r")
 
 
-def embed(chunks: DataFrame, function, size: int = 32) -> DataFrame:
-    """(chunk_id, v): unit vectors of heading and text, by a function from a list of texts to a list of vectors, in batches."""
+def embed(chunks: DataFrame, function, size: int = 32, kind: str = "search_document") -> DataFrame:
+    """(chunk_id, v): unit vectors of heading and text, by a function from a list of texts to a list of vectors, in batches.
+
+    A function with an attribute prefixed that is true gets each text behind what it is for ("search_document: ", "search_query: ").
+    """
+    before = f"{kind}: " if getattr(function, "prefixed", False) else ""
     import pandas as pd
 
     def made(batches):
         for b in batches:
             vectors = []
             for at in range(0, len(b), size):
-                vectors += [list(map(float, v)) for v in function(b["t"].iloc[at : at + size].tolist())]
+                vectors += [list(map(float, v)) for v in function([before + t for t in b["t"].iloc[at : at + size]])]
             yield pd.DataFrame({"chunk_id": b["chunk_id"], "v": vectors})
 
     texts = chunks.select("chunk_id", F.concat_ws("\n", F.nullif("heading", F.lit("")), "text").alias("t"))
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return texts.mapInPandas(made, f"chunk_id {kind}, v array<double>").select("chunk_id", unit(F.col("v")).alias("v"))
+    id_kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return texts.mapInPandas(made, f"chunk_id {id_kind}, v array<double>").select("chunk_id", unit(F.col("v")).alias("v"))
 
 
 def dense_rescue(hits: DataFrame, cos: DataFrame, least: float = DENSE_MIN) -> DataFrame:

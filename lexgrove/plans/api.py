@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +26,43 @@ from .generate import Generator
 NOTES = "model-notes"
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 @dataclass
 class Matter:
-    """A namespace: a folder of documents, and under `store` its tables."""
+    """A namespace: a folder of documents, and under `store` its tables. Each ingest writes a generation of its own and names it as current when it is whole."""
 
     spark: SparkSession
     docs: str
     store: str
 
+    def generation(self) -> dict | None:
+        """The current generation: generation, version (of the chunks), vectors (whether it has them)."""
+        found = _read(self.spark, f"{self.store}/current")
+        row = found.orderBy(F.desc("at")).first() if found is not None else None
+        return row.asDict() if row else None
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store}/{name}")
+        now = self.generation()
+        if now is None:
+            raise LookupError(f"nothing is ingested in {self.store}")
+        return self.spark.read.parquet(f"{self.store}/{now['generation']}/{name}")
+
+
+def matters(spark: SparkSession, base: str) -> list[str]:
+    """Names of the matters below a folder: its folders with a folder docs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(path) if s.isDirectory()] if files.exists(path) else []
+    return sorted(p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "docs")))
 
 
 def _mail_text(messages: DataFrame) -> DataFrame:
@@ -52,46 +82,88 @@ def _slide_text(slides: DataFrame) -> DataFrame:
     return slides.groupBy("file").agg(joined.alias("text"))
 
 
+def convert(matter: Matter, runner: Callable[[str, str, str], tuple[bool, str | None]], tools: list[str], dry_run: bool = False) -> DataFrame:
+    """(file, event, detail) of files that a local tool turns into a readable one beside them; the manifest of what was made is kept under the store.
+
+    runner(tool, source, sidecar) runs a tool and gives (whether it worked, the text of what it made); it is called by tasks, once for each file
+    to convert. A sidecar without text is a scan: it is remembered by its source's hash. Sources that are gone leave the manifest.
+    """
+    spark, path = matter.spark, f"{matter.store}/manifest"
+    found = files_.walk(spark, matter.docs)
+    known = _read(spark, path)
+    manifest = known.select("sidecar", "source", "hash", "empty") if known is not None else spark.createDataFrame([], V.MANIFEST)
+    decided = V.conversion_decision(V.convertible(found, manifest, tools), dry_run)
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            done = [runner(t, f, s) if d == "convert" else (True, None) for t, f, s, d in zip(rows["tool"], rows["file"], rows["sidecar"], rows["decision"], strict=True)]
+            yield pd.DataFrame({**{c: rows[c] for c in ("file", "sidecar", "sha256", "tool", "decision")}, "ok": [o for o, _ in done], "text": [t for _, t in done]})
+
+    ran = decided.select("file", "sidecar", "sha256", "tool", "decision").mapInPandas(run, "file string, sidecar string, sha256 string, tool string, decision string, ok boolean, text string")
+    events = _kept(matter, uuid.uuid4().hex, "conversions", V.after_conversion(ran).where("event is not null").select("file", "sidecar", "sha256", "tool", "event"))
+    if not dry_run:
+        after = V.next_manifest(manifest, events, found)
+        _kept(matter, uuid.uuid4().hex, "manifest", after).write.mode("overwrite").parquet(path)
+    return events.select("file", "event", F.concat("sidecar", F.lit(" ("), "tool", F.lit(")")).alias("detail"))
+
+
 def ingest(matter: Matter, tools: list[str] | None = None, embedder=None) -> bool:
-    """Read, segment and index a matter's documents, with vectors if there is a function that makes them; False if nothing has changed."""
-    spark = matter.spark
-    found = files_.walk(spark, matter.docs, content=True)
-    known = V.classify(found.select("file", "dir", "stem", "ext", "sha256"), tools=tools)
-    now = found.join(known.where("status = 'indexable'").select("file"), "file", "left_semi")
-    known.where("status = 'skipped'").write.mode("overwrite").parquet(f"{matter.store}/skipped")
-    try:
-        changes = I.file_changes(matter.table("files"), now)
-        if I.up_to_date(changes, I.CHUNK_VERSION, False, False):
-            return False
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    texts = files_.texts(now).union(office.word_files(now).where("error is null").select("file", "text"))
-    texts = texts.union(_slide_text(office.slide_files(now))).union(_mail_text(mail.mail_files(now)))
-    messages = T.ordered(mail.mail_files(now))
-    meta = T.with_meta(S.chunk(texts), T.marked_self(messages))
+    """Read, segment and index a matter's documents, with vectors if there is a function that makes them; False if nothing has changed.
+
+    Nothing has changed if the files are the same, the chunks are of this version, and vectors are there or can't be made.
+    """
+    spark, now = matter.spark, matter.generation()
+    listed = files_.walk(spark, matter.docs)
+    known = V.classify(listed.select("file", "dir", "stem", "ext", "sha256"), tools=tools)
+    readable = known.where("status = 'indexable'").select("file")
+    if now is not None and I.up_to_date(I.file_changes(matter.table("files"), listed.join(readable, "file", "left_semi")), now["version"], now["vectors"], embedder is not None):
+        return False
+    run = uuid.uuid4().hex
+    store = f"{matter.store}/{run}"
+    found = files_.walk(spark, matter.docs, content=True).join(readable, "file", "left_semi")
+    words = _kept(matter, run, "word", office.word_files(found))
+    decks = _kept(matter, run, "decks", office.deck_rows(found))
+    mails = _kept(matter, run, "mail", mail.mail_files(found))
+    broken = words.where("error is not null").select("file", "error").union(office.deck_facts(decks).where("error is not null").select("file", "error"))
+    partial = words.where("size(dropped) > 0").select("file", F.concat(F.lit("partially read: text of its "), F.array_join("dropped", ", "), F.lit(" is not indexed")).alias("why"))
+    skipped = known.where("status = 'skipped'").select("file", "why", F.lit(False).alias("partial"))
+    skipped = skipped.union(broken.select("file", F.concat(F.lit("can't be read: "), "error"), F.lit(False))).union(partial.select("file", "why", F.lit(True)))
+    skipped.write.parquet(f"{store}/skipped")
+    texts = files_.texts(found).union(words.where("error is null").select("file", "text"))
+    texts = texts.union(_slide_text(office.slide_texts(decks))).union(_mail_text(mails))
+    meta = T.with_meta(S.chunk(texts), T.marked_self(T.ordered(mails)))
     overview = F.startswith("heading", F.lit("thread overview (")) & F.endswith("file", F.lit(".eml"))
     # files in the order of their paths, then chunks: a fixed-width key sorts so without a global sort
     place = F.concat_ws("#", "file", F.lpad(F.col("chunk_pos").cast("string"), 9, "0"))
     chunks = meta.withColumn("corpus_pos", place).withColumn("overview", overview).withColumn("is_self", F.coalesce("is_self", F.lit(False)))
-    I.write_index(chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos", "n", "of", "sender", "recipient", "date", "is_self", "overview"), matter.store)
+    I.write_index(chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos", "n", "of", "sender", "recipient", "date", "is_self", "overview"), store)
     if embedder is not None:
-        R.embed(matter.table("chunks"), embedder).write.mode("overwrite").parquet(f"{matter.store}/vectors")
-    now.select("file", "sha256").write.mode("overwrite").parquet(f"{matter.store}/files")
+        R.embed(spark.read.parquet(f"{store}/chunks"), embedder).write.parquet(f"{store}/vectors")
+    found.select("file", "sha256").write.parquet(f"{store}/files")
+    named = spark.createDataFrame([(run, I.CHUNK_VERSION, embedder is not None)], "generation string, version int, vectors boolean")
+    named.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{matter.store}/current")
     return True
 
 
 def coverage(matter: Matter) -> DataFrame:
-    """(file, state) of what is not indexed yet, is gone, or is skipped, with the reason."""
+    """(file, state, why) of what is not indexed yet, is gone, is skipped or could not be read, or is read only in part."""
     found = files_.walk(matter.spark, matter.docs)
     known = V.classify(found)
     d = V.diff(known.where("status = 'indexable'"), matter.table("files")).withColumn("why", F.lit(None).cast("string"))
-    return d.union(known.where("status = 'skipped'").select("file", "status", "why"))
+    read = matter.table("skipped").join(known.where("status = 'indexable'").select("file"), "file", "left_semi")
+    return d.union(known.where("status = 'skipped'").select("file", "status", "why")).union(read.select("file", F.when(F.col("partial"), "partial").otherwise("skipped"), "why"))
+
+
+def coverage_lines(matter: Matter) -> DataFrame:
+    """(line): what is said before an answer: how many files can't be seen, how many only in part, with the first names of each."""
+    return V.warning_lines(matter.table("skipped"))
 
 
-def _kept(matter: Matter, name: str, df: DataFrame) -> DataFrame:
-    """A step's result, written under the store and read again, so that what uses it more than once doesn't compute it again."""
-    path = f"{matter.store}/run/{name}"
+def _kept(matter: Matter, run: str, name: str, df: DataFrame) -> DataFrame:
+    """A step's result, written under the store for one run and read again, so that what uses it more than once doesn't compute it again."""
+    path = f"{matter.store}/run/{run}/{name}"
     df.write.mode("overwrite").parquet(path)
     return matter.spark.read.schema(df.schema).parquet(path)
 
@@ -110,9 +182,19 @@ def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bo
     A question about few messages, or a broad one about a thread, reads them whole. The others are searched: BM25, fused with
     cosines if there is a function that embeds questions; folders and senders that a question names get places of their own; the nearest chunk and
     holders of its figures ride along, and with any message the thread's overview. Statistics are those of all chunks but, for ask,
-    the derived notes; a question's scope limits what is ranked, and its own top_k and diverse go before the given ones.
+    the derived notes, unless a question's scope lies in them; a question's scope limits what is ranked, and its own top_k and diverse go before the given ones.
     """
-    chunks, posts = matter.table("chunks"), matter.table("postings")
+    if not notes and "scope" in questions.columns:
+        inside = F.coalesce(X.in_scope(F.coalesce("scope", F.lit("")), F.lit(NOTES)), F.lit(False))
+        if not questions.where(inside).isEmpty():
+            own = (questions.where(inside), True), (questions.where(~inside), False)
+            first, second = (_search(matter, q, top_k, n, diverse, embedder, me) for q, n in own)
+            return first.union(second)
+    return _search(matter, questions, top_k, notes, diverse, embedder, me)
+
+
+def _search(matter: Matter, questions: DataFrame, top_k: int, notes: bool, diverse: bool, embedder, me: list[str] | None) -> DataFrame:
+    chunks, posts, run = matter.table("chunks"), matter.table("postings"), uuid.uuid4().hex
     if not notes:
         chunks = chunks.where(~F.startswith("file", F.lit(NOTES + "/")))
         posts = posts.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
@@ -120,20 +202,21 @@ def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bo
     bm = R.bm25(posts, I.corpus_statistics(lens), I.document_frequency(posts), questions)
     place = chunks.select("chunk_id", "file", "heading", "title", "text")
     own = _overrides(questions, top_k, diverse)
-    in_scope = chunks.select("chunk_id", "file", "heading").join(own.select("qid", "scope"), X.in_scope(F.col("file"), F.col("scope"))).select("qid", "chunk_id", "file", "heading")
-    scoped = _kept(matter, "bm25", bm.join(in_scope.select("qid", "chunk_id"), ["qid", "chunk_id"]))
+    scoped_ = lambda hits: (
+        hits.join(place.select("chunk_id", "file"), "chunk_id").join(own.select("qid", "scope"), "qid").where(X.in_scope(F.col("file"), F.col("scope"))).select(*hits.columns)
+    )
+    scoped = _kept(matter, run, "bm25", scoped_(bm))
     cos = None
-    if embedder is not None:
-        asked = R.embed(questions.select(F.col("qid").alias("chunk_id"), F.lit("").alias("heading"), F.col("question").alias("text")), embedder).select(F.col("chunk_id").alias("qid"), F.col("v").alias("q"))
-        vectors = matter.table("vectors").withColumnRenamed("chunk_id", "vec_id")
-        cos = R.cosine(vectors, asked, vectors.count()).select("qid", "chunk_id", "cos").join(in_scope.select("qid", "chunk_id"), ["qid", "chunk_id"])
-        cos = _kept(matter, "cosines", cos)
+    if embedder is not None and matter.generation()["vectors"]:  # else some chunks have no vector
+        asked = R.embed(questions.select(F.col("qid").alias("chunk_id"), F.lit("").alias("heading"), F.col("question").alias("text")), embedder, kind="search_query").select(F.col("chunk_id").alias("qid"), F.col("v").alias("q"))
+        cos = R.cosine(matter.table("vectors").withColumnRenamed("chunk_id", "vec_id"), asked, None)
+        cos = _kept(matter, run, "cosines", scoped_(cos))
     fused = R.rrf(scoped, cos)
-    target = _kept(matter, "targets", T.targets(questions, chunks, me))
-    read = _kept(matter, "reads", T.reads(questions, chunks, target))
-    searched = _kept(matter, "fused", fused.join(read.select("qid").distinct(), "qid", "left_anti"))
+    target = _kept(matter, run, "targets", T.targets(questions, chunks, me))
+    read = _kept(matter, run, "reads", T.reads(questions, chunks, target))
+    searched = _kept(matter, run, "fused", fused.join(read.select("qid").distinct(), "qid", "left_anti"))
     # plain and diverse rankings
-    bucketed = searched.join(in_scope, ["qid", "chunk_id"]).withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket").join(own, "qid")
+    bucketed = searched.join(place.select("chunk_id", "file", "heading"), "chunk_id").withColumn("bucket", X.source_key(F.col("file"), F.col("heading"))).select(*fused.columns, "bucket").join(own, "qid")
     first = F.row_number().over(Window.partitionBy("qid", "bucket").orderBy(F.desc("rrf"), "chunk_id"))
     order = Window.partitionBy("qid").orderBy(F.col("diverse") & (F.col("_first") > 1), F.desc("rrf"), "chunk_id")
     ranked = bucketed.withColumn("_first", first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
@@ -145,7 +228,7 @@ def search(matter: Matter, questions: DataFrame, top_k: int = R.TOP_K, notes: bo
     groups = folders.select("qid", F.concat(F.lit("folder "), "folder").alias("grp")).union(target.select("qid", F.concat(F.lit("sender "), "sender")))
     grouped = R.quota(searched, members, groups, top_k)
     columns = ["qid", "chunk_id", "bm25", "cos", "rank"]
-    hits = _kept(matter, "ranked", ranked.join(groups.select("qid"), "qid", "left_anti").select(*columns).union(grouped.select(*columns)))
+    hits = _kept(matter, run, "ranked", ranked.join(groups.select("qid"), "qid", "left_anti").select(*columns).union(grouped.select(*columns)))
     late = F.lit(1 << 30).alias("rank")
     if cos is not None:
         near = R.dense_rescue(hits, cos.join(read.select("qid").distinct(), "qid", "left_anti")).where("origin = 'dense'")
@@ -173,6 +256,9 @@ def check(answers: DataFrame, sources: DataFrame, mode: str = "ask") -> DataFram
     ]
     if mode == "reason":
         out.append(w(answers.where(C.missing_inference(F.col("answer"))), "NO INFERENCE LABEL", F.lit("")))
+        if "reasoning_tokens" in answers.columns:
+            thought = C.no_thinking(F.col("answer"), F.col("reasoning_tokens"))
+            out.append(w(answers.where(thought.isNotNull()), "NO THINKING", F.lit("the model did not think")))
     if mode == "summary":
         out.append(w(C.ungrounded(answers), "UNGROUNDED SENTENCE", F.col("claim")))
     if "finish" in answers.columns:
@@ -183,42 +269,57 @@ def check(answers: DataFrame, sources: DataFrame, mode: str = "ask") -> DataFram
     return warnings.distinct()
 
 
-def answer(matter: Matter, questions: DataFrame, generator: Generator, mode: str = "ask", top_k: int | None = None, min_score: float = R.MIN_SCORE, machine: str = "local", embedder=None, me: list[str] | None = None) -> DataFrame:
-    """Questions (qid, question, scope) -> audit records, appended to the matter's audit folder as well.
+def answer(
+    matter: Matter, questions: DataFrame, generator: Generator, mode: str = "ask", top_k: int | None = None, min_score: float = R.MIN_SCORE, machine: str = "local", embedder=None, me: list[str] | None = None,
+    previous: DataFrame | None = None,
+) -> DataFrame:
+    """Questions (qid, question, scope) -> audit records, appended to the matter's audit folder as well. previous: (qid, question, answer), the turns before.
 
-    The gate's refusals never reach the generator: what passes is written out before it is asked, once.
+    The gate's refusals never reach the generator: what passes is written out before it is asked, once. If the generator fails as a whole, records
+    with its error are appended before the error goes on.
     """
-    spark, store = matter.spark, matter.store
+    spark, run = matter.spark, uuid.uuid4().hex
     reason = mode == "reason"
     questions = questions.select(*(c for c in ("qid", "question", "scope", "top_k", "diverse") if c in questions.columns))
     if "scope" not in questions.columns:
         questions = questions.withColumn("scope", F.lit(None).cast("string"))
     k = max(top_k or 0, R.REASON_TOP_K) if reason else top_k or R.TOP_K
-    search(matter, questions, k, notes=mode != "ask", diverse=reason, embedder=embedder, me=me).write.mode("overwrite").parquet(f"{store}/run/hits")
-    hits = spark.read.parquet(f"{store}/run/hits")
+    hits = _kept(matter, run, "hits", search(matter, questions, k, notes=mode != "ask", diverse=reason, embedder=embedder, me=me))
     read = hits.where("read").groupBy("qid").agg(F.max("dropped").alias("gather_dropped"), F.count("*").alias("gathered"))
     gated = R.gate(hits, questions, min_score).join(read, "qid", "left").withColumn("refused", F.col("refused") & F.col("gathered").isNull())
     rules = {"ask": P.ANSWER_RULES, "reason": P.REASON_RULES, "summary": P.SUMMARY_RULES}[mode]
-    P.sources_prompt(hits.join(gated.where("not refused").select("qid"), "qid", "left_semi"), questions, rules).write.mode("overwrite").parquet(f"{store}/run/prompts")
-    generator.answer(spark.read.parquet(f"{store}/run/prompts")).write.mode("overwrite").parquet(f"{store}/run/answers")
-    answers = spark.read.parquet(f"{store}/run/answers").join(questions.select("qid", "question"), "qid")
+    asked = P.sources_prompt(hits.join(gated.where("not refused").select("qid"), "qid", "left_semi"), questions, rules)
+    if previous is not None:
+        turns = previous.select("qid", F.col("question").alias("_q"), F.col("answer").alias("_a"))
+        asked = asked.join(turns, "qid", "left").select("qid", P.with_previous(F.col("prompt"), F.col("_q"), F.coalesce("_a", F.lit(""))).alias("prompt"))
+    prompts = _kept(matter, run, "prompts", asked)
+    config = F.to_json(F.struct(
+        F.lit(mode).alias("mode"), F.lit(k).alias("top_k"), F.lit(min_score).alias("min_score"), F.lit(embedder is not None).alias("dense"), F.lit(machine).alias("machine"),
+        *(F.lit(str(v)).alias(n) for n, v in getattr(generator, "facts", dict)().items()),
+    ))
+    none = F.array().cast("array<string>")
+    base = questions.join(gated, "qid").join(U.used_chunks(hits), "qid", "left")
+
+    def recorded(rows: DataFrame, answered, warnings, tokens, error) -> DataFrame:
+        return rows.select(
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("ts"), "qid", "question", F.col("scope").alias("only"), F.round("bm25_top", 3).alias("top_score"), F.round("cos_top", 3).alias("cos_top"),
+            "refused", "chunks", F.when(F.col("refused"), "Not in the documents.").otherwise(answered).alias("answer"), warnings.alias("warnings"), "gathered", config.alias("config"), F.struct(tokens.cast("long").alias("total_tokens")).alias("usage"), error.alias("error"),
+        )
+
+    try:
+        answers = _kept(matter, run, "answers", generator.answer(prompts))
+    except Exception as e:
+        text = F.lit(None).cast("string")
+        U.append(recorded(base, text, none, F.lit(None), F.when(F.col("refused"), text).otherwise(f"{type(e).__name__}: {e}"[:500])), f"{matter.store}/audit", machine)
+        raise
+    answers = answers.join(questions.select("qid", "question"), "qid")
     if mode == "summary":
         answers = answers.withColumn("answer", C.cap_citations(F.col("answer")))
     warned = check(answers.where("answer is not null"), hits, mode).groupBy("qid").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "class", "detail"))).alias("warnings"))
-    none = F.array().cast("array<string>")
-    config = F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(k).alias("top_k"), F.lit(min_score).alias("min_score"), F.lit(embedder is not None).alias("dense"), F.lit(machine).alias("machine")))
     coverage_ = F.when(F.col("gather_dropped") > 0, F.array(F.concat(F.lit("COVERAGE: "), F.col("gather_dropped").cast("string"), F.lit(" chunks were left out")))).otherwise(none)
-    records = (
-        questions.join(gated, "qid").join(answers.drop("question"), "qid", "left").join(warned, "qid", "left")
-        .select(
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("ts"), "qid", "question", F.col("scope").alias("only"), F.round("bm25_top", 3).alias("top_score"), F.round("cos_top", 3).alias("cos_top"),
-            "refused", F.when(F.col("refused"), "Not in the documents.").otherwise(F.col("answer")).alias("answer"), F.concat(F.coalesce("warnings", none), coverage_).alias("warnings"), "gathered", config.alias("config"),
-            F.struct(F.col("tokens").alias("total_tokens")).alias("usage"), "error",
-        )
-    )
-    records.write.mode("overwrite").parquet(f"{store}/run/audit")
-    done = spark.read.parquet(f"{store}/run/audit")
-    U.append(done, f"{store}/audit", machine)
+    rows = base.join(answers.drop("question"), "qid", "left").join(warned, "qid", "left")
+    done = _kept(matter, run, "audit", recorded(rows, F.col("answer"), F.concat(F.coalesce("warnings", none), coverage_), F.col("tokens"), F.col("error")))
+    U.append(done, f"{matter.store}/audit", machine)
     return done
 
 
@@ -237,14 +338,14 @@ def summary_chunks(matter: Matter, scope: str | None, budget: int = T.SUMMARY_BU
 
 def summarize(matter: Matter, generator: Generator, scope: str | None = None, out: str | None = None, budget: int = T.SUMMARY_BUDGET) -> DataFrame:
     """One summary of a scope: (qid, answer, warnings). It is written to `out` only if it isn't empty. There is no gate."""
-    spark, store = matter.spark, matter.store
+    spark = matter.spark
     kept = summary_chunks(matter, scope, budget).withColumn("qid", F.lit(0).cast("long"))
     label = F.row_number().over(Window.partitionBy("qid").orderBy("file", "chunk_id"))
-    kept.select("qid", label.alias("label"), "chunk_id", "file", "title", "heading", "text").write.mode("overwrite").parquet(f"{store}/run/summary")
-    sources = spark.read.parquet(f"{store}/run/summary")
+    run = uuid.uuid4().hex
+    sources = _kept(matter, run, "summary", kept.select("qid", label.alias("label"), "chunk_id", "file", "title", "heading", "text"))
     questions = spark.createDataFrame([(0, "Summarise the sources.")], "qid long, question string")
-    generator.answer(P.sources_prompt(sources, questions, P.SUMMARY_RULES)).write.mode("overwrite").parquet(f"{store}/run/summary_answer")
-    answers = spark.read.parquet(f"{store}/run/summary_answer").join(questions, "qid").withColumn("answer", C.cap_citations(F.coalesce("answer", F.lit(""))))
+    answers = _kept(matter, run, "summary_answer", generator.answer(P.sources_prompt(sources, questions, P.SUMMARY_RULES)))
+    answers = answers.join(questions, "qid").withColumn("answer", C.cap_citations(F.coalesce("answer", F.lit(""))))
     warned = check(answers, sources, "summary").groupBy("qid").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "class", "detail"))).alias("warnings"))
     done = answers.join(warned, "qid", "left").select("qid", "answer", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
     if out and not done.where("trim(answer) <> ''").isEmpty():
@@ -253,8 +354,18 @@ def summarize(matter: Matter, generator: Generator, scope: str | None = None, ou
 
 
 def write_notes(matter: Matter, records: DataFrame) -> DataFrame:
-    """Derived notes of the last run's usable answers, as (note, text) rows under the store; what was written."""
-    hits = matter.spark.read.parquet(f"{matter.store}/run/hits").select("qid", "label", "file", "heading")
+    """Derived notes of usable answers, as (note, text) rows under the store, with the chunks that the records name as sources; what was written."""
+    hits = records.select("qid", F.posexplode("chunks").alias("label", "c")).select("qid", (F.col("label") + 1).alias("label"), "c.file", "c.heading")
     notes = U.rendered_notes(records, hits)
     notes.write.mode("append").parquet(f"{matter.store}/notes")
     return notes
+
+
+def drop_note(matter: Matter, name: str) -> bool:
+    """Take a note away, by its name with or without .md; whether there was one."""
+    path = f"{matter.store}/notes"
+    notes = _read(matter.spark, path)
+    if notes is None or U.without(notes, name).count() == notes.count():
+        return False
+    _kept(matter, uuid.uuid4().hex, "notes", U.without(notes, name)).write.mode("overwrite").parquet(path)
+    return True

@@ -269,7 +269,7 @@ j AS (SELECT *, coalesce((x - lag(x) OVER (PARTITION BY slide, banner ORDER BY x
 c AS (SELECT *, sum(jump) OVER (PARTITION BY slide, banner ORDER BY x, shape ROWS UNBOUNDED PRECEDING) AS col FROM j),
 n AS (SELECT *, count(*) OVER (PARTITION BY slide, banner, col) AS inside FROM c),
 b AS (SELECT *, coalesce(max(CASE WHEN NOT banner THEN col END) OVER (PARTITION BY slide) > 0 AND max(CASE WHEN NOT banner THEN inside END) OVER (PARTITION BY slide) >= 2, false) AS by_col FROM n)
-SELECT slide, shape, row_number() OVER (PARTITION BY slide ORDER BY CASE WHEN banner THEN 0 ELSE 1 END, CASE WHEN by_col AND NOT banner THEN col ELSE 0 END, CASE WHEN by_col OR banner THEN y ELSE y // 320000 END, x, shape) AS place FROM b"""
+SELECT slide, shape, row_number() OVER (PARTITION BY slide ORDER BY CASE WHEN banner THEN 0 ELSE 1 END, CASE WHEN by_col AND NOT banner THEN col ELSE 0 END, CASE WHEN by_col OR banner THEN y ELSE round_even(y / 320000.0, 0) END, CASE WHEN by_col AND NOT banner THEN shape ELSE x END, shape) AS place FROM b"""
 SQL["template_render"] = """SELECT p_partkey AS doc_id, 'Part $' || format('{:,}', floor(p_retailprice)::BIGINT) || ' of ' || CASE WHEN p_size = 7 THEN '{{brand:p' || p_partkey || '}}' ELSE p_brand END || ', see {{amount:none}}.' AS rendered,
   'amount:none' || CASE WHEN p_size = 7 THEN ',brand:p' || p_partkey ELSE '' END AS unknown FROM part"""
 _TIMELINE = "t AS (SELECT o_orderkey, o_custkey AS party, CASE o_orderstatus WHEN 'O' THEN 'message' WHEN 'F' THEN 'call' ELSE 'note' END AS kind, CASE WHEN o_totalprice > 200000 THEN 'in' ELSE 'out' END AS direction FROM orders)"

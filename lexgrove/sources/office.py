@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -17,6 +18,7 @@ P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 # Names of heading styles in several languages, and parts of a Word file that are not its body.
 HEADING = re.compile(r"(?:heading|überschrift|titre|título|titolo|제목)\s*-?(\d)", re.I)
 TITLE = re.compile(r"(?:title|titel|제목)$", re.I)
+SLIDE_WIDTH = 12192000
 SIDE_PARTS = {"footnotes": "footnotes", "endnotes": "endnotes", "header": "headers", "footer": "footers"}
 
 
@@ -90,11 +92,11 @@ def _slide_number(name: str) -> int:
     return int(re.search(r"(\d+)\.xml$", name)[1])
 
 
-def slide_shapes(content: bytes) -> list[tuple[int, int, int, int, int, int, str]]:
-    """(slide, shape, x, y, cx, slide width, text) of a deck's shapes with text, groups' offsets added, tables as rows of pipes."""
+def slide_shapes(content: bytes) -> list[tuple[int, int, int | None, int | None, int, int, str]]:
+    """(slide, shape, x, y, cx, slide width, text) of a deck's shapes with text, groups' offsets added, tables as rows of pipes; x and y are null if a shape's layout places it."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         size = ElementTree.fromstring(z.read("ppt/presentation.xml")).find(P + "sldSz") if "ppt/presentation.xml" in z.namelist() else None
-        width = int(size.get("cx")) if size is not None else 9144000
+        width = int(size.get("cx")) if size is not None else SLIDE_WIDTH
         out = []
         for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_slide_number):
             tree = ElementTree.fromstring(z.read(name)).find(f"{P}cSld/{P}spTree")
@@ -103,7 +105,7 @@ def slide_shapes(content: bytes) -> list[tuple[int, int, int, int, int, int, str
         return out
 
 
-def _walk(node, dx: int, dy: int) -> Iterator[tuple[int, int, int, str]]:
+def _walk(node, dx: int, dy: int) -> Iterator[tuple[int | None, int | None, int, str]]:
     for e in node:
         box = e.find(f".//{A}xfrm") if e.tag != P + "graphicFrame" else e.find(P + "xfrm")
         off, ext = (box.find(A + "off"), box.find(A + "ext")) if box is not None else (None, None)
@@ -120,16 +122,16 @@ def _walk(node, dx: int, dy: int) -> Iterator[tuple[int, int, int, str]]:
             else:
                 text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(A + "t")).strip() for p in e.iter(A + "p"))))
             if text:
-                yield x + dx, y + dy, cx, text
+                yield (x + dx, y + dy, cx, text) if off is not None else (None, None, cx, text)
 
 
 def slide_notes(content: bytes) -> list[tuple[int, str]]:
-    """(slide, notes) of a deck, lines of a page number only left out."""
+    """(slide, notes) of a deck, lines that are the slide's number left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         out = []
         for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/notesSlides/notesSlide\d+\.xml", n)), key=_slide_number):
             lines = ["".join(t.text or "" for t in p.iter(A + "t")).strip() for p in ElementTree.fromstring(z.read(name)).iter(A + "p")]
-            text = "\n".join(x for x in lines if x and not x.isdigit())
+            text = "\n".join(x for x in lines if x and x != str(_slide_number(name)))
             if text:
                 out.append((_slide_number(name), text))
         return out
@@ -154,6 +156,16 @@ def word_files(files: DataFrame) -> DataFrame:
     return files.where("ext = '.docx'").select("file", "content").mapInArrow(_docx, "file string, text string, dropped array<string>, error string")
 
 
+def media_count(content: bytes) -> int:
+    """Pictures, sounds and films of a deck."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return sum(n.startswith("ppt/media/") and not n.endswith("/") for n in z.namelist())
+
+
+#: Numbers of rows of a deck that are no shapes: its speaker's notes, its count of media, its error.
+_NOTES, _MEDIA, _ERROR = 10**6, 10**6 + 1, 10**6 + 2
+
+
 def _pptx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "slide", "shape", "x", "y", "cx", "width", "text"]
     kinds = [pa.string(), *[pa.int64()] * 6, pa.string()]
@@ -161,23 +173,37 @@ def _pptx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             try:
-                rows += [(file, *s) for s in slide_shapes(content.as_py())]
-                rows += [(file, s, 10**6, 0, 10**12, 0, 1, "Speaker notes:\n" + t) for s, t in slide_notes(content.as_py())]
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
-                continue
+                found = [(file, *s) for s in slide_shapes(content.as_py())]
+                found += [(file, s, _NOTES, 0, 0, 0, 1, "Speaker notes:\n" + t) for s, t in slide_notes(content.as_py())]
+                rows += [*found, (file, 0, _MEDIA, 0, 0, media_count(content.as_py()), 1, None)]
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+                rows.append((file, 0, _ERROR, 0, 0, 0, 1, f"{type(e).__name__}: {e}"))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def slide_files(files: DataFrame) -> DataFrame:
-    """files with content -> (file, slide, text) of .pptx files: shapes in reading order by slide_order(), then the speaker's notes."""
-    from pyspark.sql import functions as F
+def deck_rows(files: DataFrame) -> DataFrame:
+    """files with content -> rows of .pptx files: shapes, notes, the count of media, or the error of a deck that can't be read."""
+    return files.where("ext = '.pptx'").select("file", "content").mapInArrow(_pptx, "file string, slide long, shape long, x long, y long, cx long, width long, text string")
+
+
+def deck_facts(rows: DataFrame) -> DataFrame:
+    """(file, media, error) of decks."""
+    of = lambda kind, column: F.max(F.when(F.col("shape") == kind, F.col(column)))
+    return rows.groupBy("file").agg(F.coalesce(of(_MEDIA, "cx"), F.lit(0)).alias("media"), of(_ERROR, "text").alias("error"))
+
 
+def slide_texts(rows: DataFrame) -> DataFrame:
+    """deck_rows() -> (file, slide, text): shapes in reading order by slide_order(), then the speaker's notes."""
     from ..operators.corpus import slide_order
 
-    shapes = files.where("ext = '.pptx'").select("file", "content").mapInArrow(_pptx, "file string, slide long, shape long, x long, y long, cx long, width long, text string")
-    keyed = shapes.withColumn("number", F.col("slide")).withColumn("slide", F.concat_ws("#", "file", "slide"))
-    placed = slide_order(keyed.where("cx >= 0 and shape < 1000000")).select("file", "number", "place", "text")
-    notes = keyed.where("shape = 1000000").select("file", "number", F.lit(1 << 30).alias("place"), "text")
+    keyed = rows.withColumn("number", F.col("slide")).withColumn("slide", F.concat_ws("#", "file", "slide"))
+    placed = slide_order(keyed.where(F.col("shape") < _NOTES)).select("file", "number", "place", "text")
+    notes = keyed.where(F.col("shape") == _NOTES).select("file", "number", F.lit(1 << 30).alias("place"), "text")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n")
     return placed.union(notes).groupBy("file", "number").agg(joined.alias("text")).select("file", F.col("number").alias("slide"), "text")
+
+
+def slide_files(files: DataFrame) -> DataFrame:
+    """files with content -> (file, slide, text) of .pptx files."""
+    return slide_texts(deck_rows(files))

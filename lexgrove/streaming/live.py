@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,21 +31,23 @@ def event_counters(events: DataFrame, window: str = "1 hour", late: str = "2 hou
 def upsert_index(batch: DataFrame, path: str) -> None:
     """Of a batch of files (file, sha256, text), write what is new or changed, a folder for each generation.
 
-    A reader takes the newest row of each file. Files that an earlier generation has with the same hash are left out.
+    A reader takes the newest row of each file. Files whose newest hash is the same are left out; of the stored rows only names, hashes and times are
+    read for that. A file without a hash is gone: its newest row has neither hash nor text.
     """
     spark = batch.sparkSession
     try:
-        have = latest(spark.read.parquet(path)).select("file", "sha256")
-        batch = batch.join(have, ["file", "sha256"], "left_anti")
-    except Exception as e:  # no generation yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+        stored = spark.read.parquet(path).groupBy("file").agg(F.max_by(F.struct("sha256"), "seen").alias("_s")).select("file", F.col("_s.sha256").alias("_have"))
+        batch = batch.join(stored, "file", "left").where(~F.col("sha256").eqNullSafe(F.col("_have"))).drop("_have")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # else there is no generation yet
     batch.withColumn("seen", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def latest(index: DataFrame) -> DataFrame:
+    """The newest row of each file that isn't gone."""
     row = F.max_by(F.struct(*index.columns), F.col("seen"))
-    return index.groupBy("file").agg(row.alias("_r")).select("_r.*")
+    return index.groupBy("file").agg(row.alias("_r")).select("_r.*").where("sha256 is not null")
 
 
 def follow_folder(files: DataFrame, path: str, checkpoint: str):
@@ -52,9 +55,9 @@ def follow_folder(files: DataFrame, path: str, checkpoint: str):
     return files.writeStream.foreachBatch(lambda b, _: upsert_index(b, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold_frames(lines: list[str]) -> dict:
-    """An answer from the lines of its event stream: text, usage, finish, error. A repeating text ends it with 'loop'."""
-    text, usage, finish, error, parts = "", None, None, None, 0
+def fold_frames(lines: Iterable[str]) -> dict:
+    """An answer from the lines of its event stream: text, usage, finish, error. A repeating text ends it with 'loop', and no further line is read."""
+    text, usage, thought, finish, error, parts = "", None, None, None, None, 0
     for line in lines:
         if not line.startswith("data:"):
             continue
@@ -69,7 +72,9 @@ def fold_frames(lines: list[str]) -> dict:
             e = frame["error"]
             error = e.get("message", str(e)) if isinstance(e, dict) else str(e)
             break
-        usage = (frame.get("usage") or {}).get("total_tokens", usage)
+        used = frame.get("usage") or {}
+        usage = used.get("total_tokens", usage)
+        thought = (used.get("completion_tokens_details") or {}).get("reasoning_tokens", thought)
         for choice in frame.get("choices") or []:
             piece = (choice.get("delta") or {}).get("content") or ""
             text += piece
@@ -80,36 +85,47 @@ def fold_frames(lines: list[str]) -> dict:
             break
     if not text and usage is None and finish is None and error is None:
         error = "empty stream"
-    return {"answer": text, "tokens": usage, "finish": finish, "error": error}
+    return {"answer": text, "tokens": usage, "reasoning_tokens": thought, "finish": finish, "error": error}
 
 
 _ANSWER = "answer_id long, answer string, tokens long, finish string, error string"
 
 
-def _fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    out = fold_frames(rows.sort_values("seq")["line"].tolist())
-    return pd.DataFrame([(key[0], out["answer"], out["tokens"], out["finish"], out["error"])], columns=["answer_id", "answer", "tokens", "finish", "error"]).astype({"tokens": "Int64"})
+def _folded(answer_id: int, lines: Iterable[str], **more) -> pd.DataFrame:
+    out = fold_frames(lines) | more
+    return pd.DataFrame([(answer_id, out["answer"], out["tokens"], out["finish"], out["error"])], columns=["answer_id", "answer", "tokens", "finish", "error"]).astype({"tokens": "Int64"})
 
 
 def answers(frames: DataFrame) -> DataFrame:
     """Recorded frames (answer_id, seq, line) -> answers."""
-    return frames.groupBy("answer_id").applyInPandas(_fold, _ANSWER)
+    return frames.groupBy("answer_id").applyInPandas(lambda key, rows: _folded(key[0], rows.sort_values("seq")["line"].tolist()), _ANSWER)
 
 
-def answers_stream(frames: DataFrame) -> DataFrame:
-    """The same for a stream: lines are kept for each answer until its last, an error, or the end marker comes."""
+def answers_stream(frames: DataFrame, patience_ms: int = 600_000) -> DataFrame:
+    """The same for a stream. An answer is given out at its end marker, at an error, or as soon as its text repeats, when later frames are no longer kept.
+
+    An answer that gets no frame for patience_ms is given out as it is, with the error 'no end'. What has been given out is forgotten
+    after the same time.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held, over = state.get if state.exists else ([], False)
+        if state.hasTimedOut:
+            state.remove()
+            if not over:
+                yield _folded(key[0], [x[12:] for x in sorted(held)], error="no end")
+            return
+        held = list(held)
         for b in batches:
             held += [f"{int(s):012d}{x}" for s, x in zip(b["seq"], b["line"], strict=True)]
-        lines = [x[12:] for x in sorted(held)]
-        if any(x.startswith("data:") and (x[5:].strip() == "[DONE]" or '"error"' in x) for x in lines):
-            state.remove()
-            out = fold_frames(lines)
-            yield pd.DataFrame([(key[0], out["answer"], out["tokens"], out["finish"], out["error"])], columns=["answer_id", "answer", "tokens", "finish", "error"]).astype({"tokens": "Int64"})
-        else:
-            state.update((held,))
-
-    return frames.groupBy("answer_id").applyInPandasWithState(step, _ANSWER, "held array<string>", "append", GroupStateTimeout.NoTimeout)
+        if not over:
+            lines = [x[12:] for x in sorted(held)]
+            ended = any(x.startswith("data:") and (x[5:].strip() == "[DONE]" or '"error"' in x) for x in lines)
+            if ended or fold_frames(lines)["finish"] == "loop":
+                over = True
+                yield _folded(key[0], lines)
+        state.update(([] if over else held, over))
+        state.setTimeoutDuration(patience_ms)
+
+    return frames.groupBy("answer_id").applyInPandasWithState(step, _ANSWER, "held array<string>, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

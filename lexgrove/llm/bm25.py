@@ -3,7 +3,8 @@
 A shard's documents fall into blocks, and so do posting lists: of each term and block the index has the postings and, once idf and the average
 length are known, their greatest score. A query has a cursor, a heap of its k best scores and the least of them as threshold. The pivot is the
 first block from the cursor on whose terms' maxima sum to the threshold at least; blocks before it are passed over unread, the pivot's postings are
-scored, the threshold rises, and the cursor moves on. Queries take these steps side by side, so that a step is a few array operations.
+scored, the threshold rises, and the cursor moves on. The cursors of many queries move along the blocks side by side, so that a block is scored for all that
+have it as pivot by a few array operations.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ _CACHE_WORDS = 300_000
 #: Bytes of text and documents in a shard, documents in a block of it, queries that go to the shards together, parts that results are merged in.
 SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 1 << 16, 64, 4096, 1024
 #: Cells (query and block), blocks of posting lists, and postings that a step of a search holds at most (or one query's, if it has more).
-CELLS, ENTRIES, POSTINGS = 1 << 21, 1 << 21, 1 << 19
+CELLS, ENTRIES, POSTINGS = 1 << 22, 1 << 21, 1 << 19
+#: Terms of over this share of a shard's documents have a score for each document of a block instead of postings.
+DENSE_SHARE = 1 / 40
 _TERM_CHUNK = 1 << 16
 
 
@@ -152,11 +155,26 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Blocks:
-    """The postings of a shard's terms that queries ask for, by term and block: where a term's blocks begin, each block's number, first posting and greatest score."""
+    """The posting lists of a shard's terms that queries ask for, by block, with the greatest score of each term in each block.
+
+    A block of a frequent term's list has a score for each document (dense: by block, term and document; frequent: each term's number there or -1).
+    Those of other terms are postings: of each term its blocks, and of a block its number, first posting and greatest score.
+    """
 
     def __init__(self, shard: _Shard, place: np.ndarray, idf: np.ndarray, norm: np.ndarray, how: Bm25, size: int):
-        have = np.flatnonzero(place >= 0)
-        counts = (np.diff(shard.starts)[place[have]] if len(have) else np.zeros(0)).astype(np.int64)
+        n = -(-len(norm) // size)
+        df = np.where(place >= 0, np.diff(shard.starts)[place] if len(shard.terms) else 0, 0)
+        often = np.flatnonzero(df > DENSE_SHARE * len(norm))
+        self.frequent = np.full(len(place), -1)
+        self.frequent[often] = np.arange(len(often))
+        self.dense = np.zeros((n, len(often), size))
+        for r, t in enumerate(often.tolist()):
+            at = slice(shard.starts[place[t]], shard.starts[place[t] + 1])
+            docs, tf = shard.docs[at], shard.tf[at]
+            self.dense[docs // size, r, docs % size] = idf[t] * tf * (how.k1 + 1) / (tf + norm[docs])
+        self.dense_maxima = self.dense.max(axis=2, initial=0.0).T
+        have = np.flatnonzero((df > 0) & (self.frequent < 0))
+        counts = df[have].astype(np.int64)
         at = _spread(shard.starts[place[have]] if len(have) else counts, counts)
         docs, tf = shard.docs[at], shard.tf[at]
         term = np.repeat(have, counts)
@@ -169,20 +187,19 @@ class _Blocks:
         self.counts = np.diff(self.first)
         self.block = block[self.first[:-1]]
         self.maxima = np.maximum.reduceat(self.score, self.first[:-1]) if len(term) else np.zeros(0)
-        # of each term that is asked for: its first block; terms that the shard lacks have none
+        # of each term that is asked for: its first block of postings
         self.starts = np.searchsorted(term[self.first[:-1]], np.arange(len(place) + 1))
 
 
 def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best documents of one shard for each query: (query number, doc_id, score). counted, if given, gets the blocks scored and passed over."""
     shard, size = _Shard(row), BLOCK_DOCS
-    n = len(shard.doc_ids)
-    blocks = -(-n // size)
+    blocks = -(-len(shard.doc_ids) // size)
     norm = how.k1 * (1 - how.b + how.b * shard.lengths / q.average)
     lists = _Blocks(shard, shard.places(q.terms), q.idf, norm, how, size)
     found = []
-    asked = np.concatenate([[0], np.cumsum(np.diff(lists.starts)[q.numbers])])[q.starts]  # blocks of posting lists before each query's
-    begin, most = 0, max(1, CELLS // max(1, blocks))
+    asked = np.concatenate([[0], np.cumsum(np.diff(lists.starts)[q.numbers])])[q.starts]  # blocks of postings before each query's
+    begin, most = 0, max(1, CELLS // max(1, blocks, lists.dense.shape[1]))
     while begin < len(q.ids):
         end = min(len(q.ids), begin + most, max(begin + 1, int(np.searchsorted(asked, asked[begin] + ENTRIES, "right")) - 1))
         found.append(_wand(shard, lists, q, range(begin, end), blocks, k, counted))
@@ -193,32 +210,32 @@ def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = Non
 
 
 def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: int, k: int, counted: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size, n = BLOCK_DOCS, len(numbers)
+    n = len(numbers)
     own = q.numbers[q.starts[numbers.start] : q.starts[numbers.stop]]
     of = np.repeat(np.arange(n), np.diff(q.starts[numbers.start : numbers.stop + 1]))
-    has = np.diff(lists.starts)[own]
-    # each query's blocks of posting lists, by query and block
-    entry = _spread(lists.starts[own].astype(np.int32), has.astype(np.int32))
-    cell = np.repeat(of * blocks, has) + lists.block[entry]
-    bound = np.bincount(cell, lists.maxima[entry], n * blocks).reshape(n, blocks)
+    has = np.zeros((n, lists.dense.shape[1]))
+    often = lists.frequent[own] >= 0
+    has[of[often], lists.frequent[own[often]]] = 1
+    # each query's blocks of postings, by block and query
+    count = np.diff(lists.starts)[own]
+    entry = _spread(lists.starts[own].astype(np.int32), count.astype(np.int32))
+    cell = (lists.block[entry] * n + np.repeat(of, count)).astype(np.int32)
+    bound = (has @ lists.dense_maxima).T + np.bincount(cell, lists.maxima[entry], n * blocks).reshape(blocks, n)
     cells = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n * blocks))])
     entry = entry[np.argsort(cell, kind="stable")]
-    best, who = np.zeros((n, k)), np.full((n, k), -1)  # each query's heap
-    least = np.zeros(n)
-    cursor = np.zeros(n, np.int64)
-    active, pivots = np.arange(n), np.arange(blocks)
+    best, who = np.zeros((n, k)), np.full((n, k), -1)  # each query's heap, and the least score that may enter it
+    least = np.full(n, 1e-9)
     scored = 0
-    while len(active):
-        able = (bound[active] >= np.maximum(least[active], 1e-9)[:, None]) & (pivots >= cursor[active][:, None])
-        pivot = able.argmax(axis=1)
-        active, pivot = active[able.any(axis=1)], pivot[able.any(axis=1)]
-        cursor[active] = pivot + 1
+    # all cursors move on together: the pivot of a query is the next block whose bound reaches its least score
+    for pivot in range(blocks):
+        active = np.flatnonzero(bound[pivot] >= least)
         scored += len(active)
-        at, end = cells[active * blocks + pivot], cells[active * blocks + pivot + 1]
-        weight = np.cumsum((end - at) * size)  # a block of a posting list has `size` postings at most
-        for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight // POSTINGS)) + 1):
-            if len(part):
-                _score(shard, lists, entry, at[part], end[part], active[part], pivot[part], best, who, least, k)
+        if len(active):
+            at, end = cells[pivot * n + active], cells[pivot * n + active + 1]
+            weight = np.cumsum((end - at) * BLOCK_DOCS)  # a block of postings has so many at most
+            for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight // POSTINGS)) + 1):
+                rows = has if len(part) == n else has[active[part]]
+                _score(shard, lists, rows @ lists.dense[pivot], entry, at[part], end[part], active[part], pivot, best, who, least)
     if counted is not None:
         counted["scored"] = counted.get("scored", 0) + scored
         counted["passed"] = counted.get("passed", 0) + int((bound > 0).sum()) - scored
@@ -226,28 +243,28 @@ def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: in
     return numbers.start + number, shard.doc_ids[who[number, place]], best[number, place]
 
 
-def _score(shard, lists, entry, at, end, active, pivot, best, who, least, k) -> None:
-    """Scores of the pivots' documents, which go into the heaps of their queries."""
-    size = BLOCK_DOCS
+def _score(shard, lists, full, entry, at, end, active, pivot, best, who, least) -> None:
+    """Scores of the pivot's documents, to what frequent terms give, which go into the heaps of their queries."""
+    size, k = BLOCK_DOCS, best.shape[1]
     mine = entry[_spread(at, end - at)]
-    counts = lists.counts[mine]
-    postings = _spread(lists.first[mine], counts)
-    cell = np.repeat(np.repeat(np.arange(0, len(active) * size, size, dtype=np.int32), end - at), counts)
-    cell += lists.inner[postings]
-    full = np.bincount(cell, lists.score[postings], len(active) * size)
-    full = np.round(full.reshape(len(active), size), 6)
-    doc = pivot[:, None] * size + np.arange(size)
+    if len(mine):
+        counts = lists.counts[mine]
+        postings = _spread(lists.first[mine], counts)
+        cell = np.repeat(np.repeat(np.arange(0, len(active) * size, size, dtype=np.int32), end - at), counts)
+        cell += lists.inner[postings]
+        full = full + np.bincount(cell, lists.score[postings], len(active) * size).reshape(full.shape)
+    full = np.round(full, 6)
     # only queries with a document that may enter; of equal scores the lesser doc_id is better
-    enters = np.flatnonzero((full >= np.maximum(best[active, k - 1], 1e-9)[:, None]).any(axis=1))
+    enters = np.flatnonzero(full.max(axis=1) >= np.maximum(best[active, k - 1], 1e-9))
     if not len(enters):
         return
-    a = active[enters]
-    score, docs = np.concatenate([best[a], full[enters]], axis=1), np.concatenate([who[a], doc[enters]], axis=1)
+    a, doc = active[enters], pivot * size + np.arange(size)
+    score, docs = np.concatenate([best[a], full[enters]], axis=1), np.concatenate([who[a], np.broadcast_to(doc, (len(a), size))], axis=1)
     docs[score <= 0] = -1
     ids = np.where(docs >= 0, shard.doc_ids[np.clip(docs, 0, len(shard.doc_ids) - 1)], np.iinfo(np.int64).max)
     order = np.lexsort((ids, -score), axis=1)[:, :k]
     best[a], who[a] = np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
-    least[a] = best[a, k - 1] - 1e-6  # bounds are sums in another order, and scores are rounded
+    least[a] = np.maximum(best[a, k - 1] - 1e-6, 1e-9)  # bounds are sums in another order, and scores are rounded
 
 
 _FOUND = "part int, query binary, doc binary, score binary"

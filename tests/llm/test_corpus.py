@@ -267,8 +267,9 @@ def ranked(rows, ids, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block", "cells"), [(32 << 20, 64, 1 << 21), (600, 4, 50)])
-def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, cells):
+@pytest.mark.parametrize(("shard", "block", "cells", "dense"), [(32 << 20, 64, 1 << 21, 1 / 16), (600, 4, 50, 0), (600, 4, 50, 0.4), (32 << 20, 16, 50, 1)])
+def test_top_k_is_exact(spark, docs, nothing, monkeypatch, shard, block, cells, dense):
+    monkeypatch.setattr(bm25, "DENSE_SHARE", dense)
     monkeypatch.setattr(bm25, "SHARD_BYTES", shard)
     monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
     monkeypatch.setattr(bm25, "CELLS", cells)

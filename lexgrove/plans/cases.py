@@ -97,3 +97,6 @@ FRAMES = Table("answer_id bigint, seq bigint, line string", [
     (1, 2, _D + '{"choices":[{"delta":{"content":"is 5."}}]}'), (1, 4, _D + "[DONE]"), (2, 1, "event: error"), (2, 2, _D + '{"error":{"message":"no model"}}'), (3, 1, ": ping"), (3, 2, _D + "[DONE]"),
     (4, 1, _D + "not json"), (4, 2, _D + '{"choices":[{"delta":{"content":"cut"},"finish_reason":"length"}]}'),
 ])
+ALIASES = Table("party string, aliases array<string>, not_aliases array<string>", [("Alpha", ["Firm Alpha", "Alpha"], ["Alpha IP Group"]), ("Bravo", ["Firm Bravo", "Bravo"], None)])
+VERDICTS = Table("item string, place int, pattern string, verdict string", [("en", 1, "[0-9]{3}", "wrong"), ("en", 2, "a", "correct"), ("de", 1, "[0-9]", "correct")])
+CONSTANTS = Table("kind string, id string, value string, file string", [("amount", "fee", "$1,500", "p1.md"), ("amount", "cap", "$500", None), ("date", "day", "x", "gone.md")])

@@ -237,6 +237,18 @@ SQL["pairs_agree"] = f"""WITH {_SCORED}, g AS (SELECT doc_id // 2 AS pair, bool_
 SQL["sweep_table"] = "SELECT event_type AS setting, user_id % 10 AS item, count(*) AS n, count(*) FILTER (value > 50) AS correct, count(DISTINCT left(props, 120)) AS distinct_answers FROM events GROUP BY 1, 2"
 SQL["score_items"] = "SELECT unnest(range(1, 11)) AS n, unnest([true, true, false, false, true, false, true, true, false, false]) AS passed"
 SQL["score_three_way"] = "SELECT unnest(range(1, 11)) AS n, unnest(['CORRECT', 'CORRECT', 'SILENT', 'SILENT', 'CORRECT', 'WRONG', 'CORRECT', 'WRONG', 'WRONG', 'CORRECT']) AS label"
+SQL["score_judged"] = """WITH d AS (SELECT *, doc_id % 12 AS k, doc_id % 24 = 19 AS lost, lang = 'de' AS other FROM documents),
+r AS (SELECT *, CASE k WHEN 0 THEN 'no record' WHEN 1 THEN 'error' WHEN 2 THEN 'forbidden token' WHEN 3 THEN 'refused' WHEN 5 THEN 'required token missing' WHEN 6 THEN 'amount not in the cited source'
+  WHEN 7 THEN concat_ws('; ', CASE WHEN other THEN 'forbidden name' END, CASE WHEN lost THEN 'amount in no chunk' END)
+  WHEN 8 THEN 'token without licence' WHEN 9 THEN 'token beside pattern' WHEN 10 THEN 'amount given' WHEN 11 THEN 'forged label' ELSE '' END AS reasons FROM d)
+SELECT doc_id AS qid, CASE WHEN reasons = '' THEN 'CORRECT' WHEN k IN (3, 5) THEN 'SILENT' ELSE 'WRONG' END AS label, reasons, k = 11 AS forged, k = 6 AS misplaced FROM r"""
+SQL["sweep_best"] = """WITH t AS (SELECT event_type AS setting, user_id % 10 AS item, (count(*) FILTER (value > 50))::DOUBLE / count(*) AS share, count(DISTINCT left(props, 120)) AS answers FROM events GROUP BY 1, 2),
+m AS (SELECT setting, round(avg(share), 6) AS mean, sum(answers)::BIGINT AS distinct_answers FROM t GROUP BY setting)
+SELECT *, row_number() OVER (ORDER BY mean DESC, setting) = 1 AS best FROM m"""
+SQL["sweep_verdicts"] = """SELECT lang AS item, CASE WHEN lang = 'en' AND regexp_matches(text, '[0-9]{3}') THEN 'wrong' WHEN lang = 'en' AND contains(lower(text), 'a') THEN 'correct'
+  WHEN lang = 'de' AND regexp_matches(text, '[0-9]') THEN 'correct' ELSE 'ambiguous' END AS verdict, count(*) AS n FROM documents GROUP BY 1, 2"""
+SQL["sealed_gap"] = f"""WITH {_SCORED}, g AS (SELECT avg((label = 'CORRECT')::INT) FILTER (doc_id % 2 <> 0) AS p, avg((label = 'CORRECT')::INT) FILTER (doc_id % 2 = 0) AS s FROM scored)
+SELECT round(p, 6) AS public, round(s, 6) AS sealed, round(p - s, 6) AS gap FROM g"""
 SQL["corpus_numbers"] = r"SELECT DISTINCT replace(unnest(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?')), ',', '') AS number FROM documents"
 SQL["fabricated_numbers"] = r"""WITH n AS (SELECT DISTINCT doc_id AS qid, lang, replace(unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?')), ',', '') AS number FROM documents)
 SELECT qid, number FROM n WHERE lang = 'en' AND NOT regexp_full_match(number, '\d{1,2}') AND number NOT IN (SELECT number FROM n WHERE lang <> 'en')"""
@@ -277,6 +289,13 @@ SQL["register_rows"] = f"WITH {_TIMELINE} SELECT o_orderkey, c_name AS name, kin
 SQL["silent_parties"] = f"WITH {_TIMELINE} SELECT c_custkey AS party, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT party FROM t WHERE direction = 'in')"
 SQL["placeholder_check"] = """WITH u AS (SELECT l_suppkey AS file, l_partkey AS id FROM lineitem WHERE l_returnflag <> 'A'), d AS (SELECT l_suppkey AS file, l_partkey AS id FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'A')
 SELECT *, 'undeclared' AS problem FROM (SELECT * FROM u EXCEPT SELECT * FROM d) a UNION ALL SELECT *, 'unused' FROM (SELECT * FROM d EXCEPT SELECT * FROM u) b"""
+SQL["corpus_problems"] = """WITH d AS (SELECT 'p' || p_partkey || '.md' AS file, p_partkey % 4 AS k FROM part), e AS (SELECT * FROM (VALUES (0, 'literal amount', '$4,500'), (0, 'unknown date', '2026-01-02'),
+  (2, 'unknown constant', 'amount:nope'), (2, 'unfinished', ''), (3, 'never to be written', 'secret names'), (3, 'unused', 'old')) t(k, problem, detail))
+SELECT file, problem, detail FROM d JOIN e USING (k) UNION ALL SELECT 'gone.md', 'no such file', 'day' UNION ALL SELECT NULL, 'amount within another', '500 in 1500'"""
+SQL["build_manifest"] = """SELECT source || '/' || doc_id AS file, lang AS kind, sha256(text || CASE WHEN lang = 'de' THEN '!' ELSE '' END) AS sha256, source = 'src3' OR lang <> 'de' AS same FROM documents"""
+SQL["corpus_structure"] = """WITH t AS (SELECT conv_id AS k, conv_id::VARCHAR AS file, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT file, 'numbers with gaps' AS "check" FROM t WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT file, 'no single overview' FROM t WHERE k % 5 = 0 AND n > 1 UNION ALL SELECT file, 'skipped but indexed' FROM t WHERE k % 7 = 0
+UNION ALL SELECT 'x' || file, 'neither indexed nor skipped' FROM t WHERE k % 13 = 0 UNION ALL SELECT 'p' || file, 'partly read but not indexed' FROM t WHERE k % 11 = 0"""
 SQL["question_overrides"] = """SELECT * FROM (VALUES (1::BIGINT, NULL, NULL::BIGINT, false, 'What is the fee?', false), (2, 'firm-alpha/2026', 8, false, 'What is the fee?', false), (3, NULL, NULL, true, 'a :: b', false),
   (4, NULL, NULL, false, 'x', true), (5, NULL, NULL, false, 'x', true), (6, NULL, NULL, false, 'plain', false)) t(qid, scope, top_k, diverse, question, bad)"""
 SQL["markdown_chunks"] = """SELECT * FROM (VALUES ('a.md#0', 'Plan', '', 'First paragraph.' || chr(10) || chr(10) || 'Second paragraph.'), ('a.md#1', 'Plan', '', '| a | b |' || chr(10) || '| 1 | 2 |'), ('a.md#2', 'Plan', '', 'After the table.'),

@@ -536,6 +536,50 @@ def score_three_way(spark, sf):
     return E.three_way(_rows(spark, cases.ITEMS)).select("n", "label")
 
 
+def _cast(kind: str):
+    return F.array().cast(kind)
+
+
+@query
+def score_judged(spark, sf):
+    """Documents as answers about one party's fee: the number of each decides which condition it meets."""
+    d = _t(spark, sf, "documents").select("doc_id", "lang")
+    k, fee = F.col("doc_id") % 12, (F.col("doc_id") + 1000).cast("string")
+    when = lambda n, value: F.when(k == n, value)
+    said = F.concat(F.when((k == 7) & (F.col("lang") == "de"), "Firm Bravo").otherwise("Firm Alpha"), F.lit(" quoted $"), fee, F.lit(" [S1]."))
+    answer = F.when(k == 0, None).when(k.isin(3, 4), "Not in the documents.").when(k == 11, "As in [S9].").otherwise(said)
+    price, none = F.concat(F.lit("$"), fee), _cast("array<string>")
+    items = d.select(
+        F.col("doc_id").alias("qid"), F.when(k == 4, "refuse").otherwise("fact").alias("type"), F.lit("What did Alpha quote?").alias("question"), answer.alias("answer"), when(1, "failed").alias("error"), F.lit(False).alias("refused"),
+        *(none.alias(c) for c in ("warnings", "names", "cite_must", "cite_must_not", "expect_warning", "forbid_warning")), when(5, F.array(F.lit("9 May"))).alias("must"), _cast("array<array<string>>").alias("any"),
+        when(2, F.array(price)).alias("must_not"), when(8, F.array(F.struct(price.alias("token"), F.array(F.lit("per patent")).alias("licences")))).alias("must_not_unless"),
+        when(9, F.array(F.struct(F.lit("alpha").alias("token"), F.lit("quoted .[0-9]").alias("pattern")))).alias("cooccur"), (k == 10).alias("forbid_amounts"), when(7, F.array(F.lit("Bravo"))).alias("names_not"), F.lit(True).alias("local"),
+    )
+    held = F.when(k == 6, F.col("doc_id") + 1001).otherwise(F.col("doc_id") + 1000).cast("string")
+    sources = d.select(F.col("doc_id").alias("qid"), F.lit(1).alias("label"), F.lit("alpha/fees.md").alias("file"), F.concat(F.lit("Fee of "), held).alias("text"))
+    numbers = d.where("doc_id % 24 <> 19").select(fee.alias("number"))
+    found = E.judged(items, sources, _rows(spark, cases.ALIASES), numbers)
+    return found.select("qid", "label", F.array_join("reasons", "; ").alias("reasons"), "forged", "misplaced")
+
+
+@query
+def sweep_best(spark, sf):
+    return E.best_setting(sweep_table(spark, sf))
+
+
+@query
+def sweep_verdicts(spark, sf):
+    runs = _t(spark, sf, "documents").select(F.col("lang").alias("item"), F.col("text").alias("answer"))
+    found = E.verdicts(runs, _rows(spark, cases.VERDICTS))
+    return found.groupBy("item", "verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def sealed_gap(spark, sf):
+    g = E.sealed_gap(_scored(spark, sf).withColumn("sealed", F.col("doc_id") % 2 == 0))
+    return g.select(*(F.round(c, 6).alias(c) for c in ("public", "sealed", "gap")))
+
+
 @query
 def corpus_numbers(spark, sf):
     n = _t(spark, sf, "documents").select(F.explode(F.transform(X.numbers(F.col("text")), X.bare)).alias("number"))
@@ -667,6 +711,38 @@ def placeholder_check(spark, sf):
     return P.undeclared(l.where("l_returnflag <> 'A'"), l.where("l_linestatus = 'O' or l_returnflag = 'A'"))
 
 
+@query
+def corpus_problems(spark, sf):
+    """Parts as sources of a corpus, of four kinds."""
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, "Pay $4,500 on 2026-01-02.").when(k == 1, "{{amount:fee}} is due").when(k == 2, "{{amount:nope}} {{TODO}}").otherwise("The secret names are kept.")
+    ids = F.when(k == 1, F.array(F.lit("fee"))).when(k == 2, F.array(F.lit("nope"))).when(k == 3, F.array(F.lit("old")))
+    docs = _t(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("file"), text.alias("text"), ids.alias("declared"))
+    days, never, files = (spark.createDataFrame([(v,)], f"{n} string") for n, v in (("day", "2026-03-03"), ("phrase", "secret names"), ("file", "old.md")))
+    return P.source_problems(docs, _rows(spark, cases.CONSTANTS), days, never, files)
+
+
+@query
+def build_manifest(spark, sf):
+    d = _t(spark, sf, "documents")
+    f = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    content = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    written = d.select(f.alias("file"), F.col("lang").alias("kind"), content.alias("content"))
+    return P.build_manifest(written, d.where("source <> 'src3'").select(f.alias("file"), F.col("text").alias("content")))
+
+
+@query
+def corpus_structure(spark, sf):
+    """Threads as an index: some have lost their second message, some have no overview, some files are named as skipped."""
+    m = T.ordered(_messages(spark, sf)).select("file", "n", "of", "date", F.lit(None).cast("boolean").alias("overview"))
+    files = m.select("file").distinct()
+    number = F.col("file").cast("long")
+    views = files.where(number % 5 != 0).select("file", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(True))
+    named = lambda prefix, every: files.where(number % every == 0).select(F.concat(F.lit(prefix), F.col("file")).alias("file"))
+    skipped = named("", 7).withColumn("partial", F.lit(False)).union(named("p", 11).withColumn("partial", F.lit(True)))
+    return P.structure(m.where((number % 3 != 0) | (F.col("n") != 2)).union(views), files.union(named("x", 13)), skipped)
+
+
 @query
 def question_overrides(spark, sf):
     q = parse_questions(_rows(spark, cases.OVERRIDES))

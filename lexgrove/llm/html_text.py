@@ -18,7 +18,11 @@ _BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements that never hold others, or that need no end tag: they are not tracked.
+#: Elements that need no end tag, and the starts that end them if they are asides.
+_ENDED = {
+    "p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "span": set(),
+}
+#: Elements that never hold others, or that need no end tag: they are tracked only as asides and within them.
 _LOOSE = set("area b base big br caption cite code col dd dt em embed font hr i img input label li link mark meta option p q s small source span strong sub sup td th tr track tt u wbr".split())
 _ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead"
@@ -97,7 +101,9 @@ def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, int, int]]:
                 text, linked = [], 0
         if name == "a":
             links = 0 if m["end"] or not _HREF.search(m["rest"]) else 1
-        if name in _LOOSE or name == "a":
+        while not m["end"] and open_ and open_[-1][1] and name in _ENDED.get(open_[-1][0], ()):
+            aside -= open_.pop()[1]
+        if name == "a" or name in _LOOSE and not (name in _ENDED and (aside or not m["end"] and m["rest"] and _is_aside(name, m["rest"], within[-1] > 0, by_name))):
             continue
         if m["end"]:
             if any(n == name for n, _ in open_):
@@ -108,14 +114,14 @@ def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, int, int]]:
                         within.pop()
                     if was_aside and not aside:
                         links = 0
-                        if not gap:
+                        if not gap and n not in _ENDED:
                             yield "", 0, within[-1]
-                        gap = True
+                        gap = gap or n not in _ENDED
                     if n == name:
                         break
         elif not m["rest"].endswith("/"):
             is_aside = _is_aside(name, m["rest"], within[-1] > 0, by_name)
-            if is_aside and not aside and text and "".join(text).strip():
+            if is_aside and not aside and name != "span" and text and "".join(text).strip():
                 yield flush()
             open_.append((name, is_aside))
             aside += is_aside

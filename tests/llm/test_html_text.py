@@ -32,3 +32,15 @@ def test_lines_of_links_between_text_stay():
     anchors = f"<p><a name=top>{LONG}</p><p><a id=b />{LONG}</p><p>{LONG}</p>"
     assert html_text.extract(f"<body><div>{anchors}</div></body>") == "\n".join([LONG] * 3)
     assert html_text.extract(f"<article><p>{see}</p></article>") == seen
+
+
+def test_asides_in_elements_that_need_no_end_tag():
+    story = f"<p>{LONG}</p>{{}}<p>{LONG}</p>"
+    text = f"{LONG}\n{LONG}"
+    for more in (
+        '<p class="advert">BUY</p>', '<p class="advert">BUY', '<ul><li class="related">See more</li></ul>', '<ul><li class="share"><ul><li>x<li>y</ul>z<li class="ad">q</ul>',
+        '<table><tr><td class="sidebar">Side</td></tr></table>', '<table><tr><td class="sidebar">Side<tr class="ad"><td>x</td></table>', "<dl><dt class=promo>Now<dd class=promo>or never</dl>",
+    ):
+        assert html_text.extract(f"<article>{story.format(more)}</article>") == text, more
+    assert html_text.extract(f'<article>{story.format("<ul><li class=ad>x<li>An item.</ul>")}</article>') == f"{LONG}\nAn item.\n{LONG}"
+    assert html_text.extract(f'<article><p>One <span class="ad">BUY <span>now</span> or <b>never</b></span> line.</p><p class="lead">{LONG}</p></article>') == f"One line.\n{LONG}"

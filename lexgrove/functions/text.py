@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import html
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The stop list of the tokenizer.
 STOP = "the a an of to in for and or is are was were be on at as by with that this it from".split()
 TOKEN = r"[a-z0-9]+(?:[._\-][a-z0-9]+)*"
-COMPOUND = r"[a-z0-9]+(?:[._\-][a-z0-9]+)+"
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
 
 
@@ -21,10 +23,10 @@ def stem(t: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of terms: stop words go before stemming; a compound gives itself and its parts that are no stop words."""
-    stop = F.array(*map(F.lit, STOP))
-    whole = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t))
-    part = lambda t: F.transform(F.filter(F.split(t, r"[._\-]+"), lambda p: (p != "") & ~F.array_contains(stop, p)), stem)
-    return F.flatten(F.transform(whole, lambda t: F.concat(F.array(stem(t)), F.when(t.rlike(r"[._\-]"), part(t)).otherwise(F.array().cast("array<string>")))))
+    whole = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP))
+    part = lambda t: F.transform(F.filter(F.split(t, r"[._\-]+"), lambda p: ~p.isin(["", *STOP])), stem)
+    compound = lambda t: F.translate(t, "._-", "") != t
+    return F.flatten(F.transform(whole, lambda t: F.when(compound(t), F.concat(F.array(stem(t)), part(t))).otherwise(F.array(stem(t)))))
 
 
 def chunk_text(text: Column, heading: Column, file: Column) -> Column:
@@ -74,35 +76,39 @@ def looks_stuck(text: Column, tail: int = 300, window: int = 3600, times: int =
     return (F.length(text) >= tail) & ((F.length(recent) - F.length(F.replace(recent, end, F.lit("")))) / tail >= times)
 
 
-_ENTITY = r"&(#[xX][0-9a-fA-F]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]{1,7};)"
+# Elements that go with all they hold, and tags that stand for the end of a line.
+HTML_DROPPED = r"(?is)<(script|style|head).*?</\1>"
+HTML_ENDS = r"(?i)<br\s*/?>|</p>|</div>|</tr>|</li>|</h\d>|</blockquote>|</table>"
+HTML_BEGINS = r"(?i)<p[^>]*>|<div[^>]*>|<blockquote[^>]*>"
+#: What is done to markup before character references are read, and after it: pattern, replacement.
+BEFORE_REFERENCES = [(HTML_DROPPED, ""), (HTML_ENDS, "\n"), (HTML_BEGINS, "\n"), (r"<[^>]+>", "")]
+AFTER_REFERENCES = [("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
 
 
-def _character(code: Column) -> Column:
-    """The character of a number; U+FFFD where there is none."""
-    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references of HTML 5 as characters, each read once. Spark has no function for its 2,231 names and their prefixes, so this runs on Arrow batches."""
+    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
-def unescape(text: Column) -> Column:
-    """Character references as characters: numbers in decimal and hexadecimal, and the named ones of HTML 4; others stay. Each is read once."""
-    names = F.create_map(*(F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))), F.lit("apos"), F.lit("'"))
-    between, found = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+def strip_html(markup: Column) -> Column:
+    """Markup to lines: scripts, styles and the head go, block tags are line ends, other tags go, references are characters, blanks before a line end go."""
+    for pattern, new in BEFORE_REFERENCES:
+        markup = F.regexp_replace(markup, pattern, new)
+    text = unescape(markup)
+    for pattern, new in AFTER_REFERENCES:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
-    def one(e: Column) -> Column:
-        bare = F.rtrim(e, F.lit(";"))
-        number = F.when(F.substring(e, 2, 1).isin("x", "X"), F.conv(F.substring(bare, 3, 6), 16, 10)).otherwise(F.substring(bare, 2, 7)).try_cast("bigint")
-        return F.when(F.startswith(e, F.lit("#")), _character(number)).otherwise(F.coalesce(F.try_element_at(names, bare), F.concat(F.lit("&"), e)))
 
-    rebuilt = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), rebuilt).otherwise(text)
-
-
-def strip_html(html: Column) -> Column:
-    """Markup to lines: scripts, styles and the head go, ends of blocks are line ends, other tags go, entities are characters."""
-    x = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>", " ")
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h1|h2|h3|h4|h5|h6|blockquote)>", "\n")
-    x = unescape(F.regexp_replace(x, r"<[^>]+>", ""))
-    return F.regexp_replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), r"\n{3,}", "\n\n")
+def stripped(markup: str) -> str:
+    """The same for one text, for what is parsed within a task."""
+    for pattern, new in BEFORE_REFERENCES:
+        markup = re.sub(pattern, new, markup)
+    text = html.unescape(markup)
+    for pattern, new in AFTER_REFERENCES:
+        text = re.sub(pattern, new, text)
+    return text
 
 
 def estimate_tokens(characters: Column) -> Column:

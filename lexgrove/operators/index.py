@@ -18,22 +18,14 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, terms): all terms of each chunk in order, those of text.tokens(), by functions over the whole text that run in generated code."""
-    text = F.lower(X.chunk_text(F.col("text"), F.col("heading"), F.col("file")))
-    joined = lambda pattern: F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), " ")
-    # every token, then the parts of compounds; a space before and after each
-    words = F.concat(F.lit(" "), joined(X.TOKEN), F.lit(" "), F.translate(joined(X.COMPOUND), "._-", "   "), F.lit(" "))
-    kept = F.regexp_replace(words, rf"(?<= )(?:{'|'.join(X.STOP)}) ", "")
-    stems = F.trim(F.regexp_replace(kept, r"([^ ]{2}[^ s])s(?= )", "$1"))
-    return chunks.select("chunk_id", F.when(stems != "", F.sort_array(F.split(stems, " +"))).otherwise(F.array().cast("array<string>")).alias("terms"))
+    """(chunk_id, terms): all terms of each chunk."""
+    return chunks.select("chunk_id", X.tokens(X.chunk_text(F.col("text"), F.col("heading"), F.col("file"))).alias("terms"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, n_tokens). A chunk is one row, so that nothing is shuffled: equal terms of its ordered ones are runs of its text."""
-    rows = chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"), F.concat(F.array_join("terms", " "), F.lit(" ")).alias("_t")).where("n_tokens > 0")
-    runs = rows.select("chunk_id", "n_tokens", F.explode(F.regexp_extract_all("_t", F.lit(r"([^ ]+ )\1*"), F.lit(0))).alias("_run"))
-    term = F.substring_index("_run", " ", 1)
-    return runs.select("chunk_id", term.alias("term"), (F.length("_run") / (F.length(term) + 1)).cast("long").alias("tf"), "n_tokens")
+    """(chunk_id, term, tf, n_tokens). A chunk's terms are counted where the chunk is: what partial aggregation sends on is its postings."""
+    rows = chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"), "terms")
+    return rows.select("chunk_id", "n_tokens", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.any_value("n_tokens").alias("n_tokens"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -41,11 +33,23 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"))
 
 
+def lengths_of(posts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same from postings, without reading a text again."""
+    found = posts.groupBy("chunk_id").agg(F.any_value("n_tokens").alias("n_tokens"))
+    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
+
+
 def document_frequency(posts: DataFrame) -> DataFrame:
     """Chunks with each term. A posting is one per chunk and term, so a count is enough."""
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def statistics_of(posts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """corpus_statistics() from postings: their tf add up to all tokens, and chunks are only counted."""
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    return chunks.agg(F.count("*").alias("n_chunks")).join(total).select("n_chunks", "n_tokens", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_chunks")).alias("avg_tokens"))
+
+
 def corpus_statistics(chunk_lengths: DataFrame) -> DataFrame:
     return chunk_lengths.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.avg("n_tokens").alias("avg_tokens"))
 
@@ -55,9 +59,9 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     posts = postings(chunks.sparkSession.read.parquet(f"{path}/chunks"))
     posts.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    lengths(stored).write.mode("overwrite").parquet(f"{path}/lengths")
-    document_frequency(chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/df")
+    stored, posts = (chunks.sparkSession.read.parquet(f"{path}/{name}") for name in ("chunks", "postings"))
+    lengths_of(posts, stored).write.mode("overwrite").parquet(f"{path}/lengths")
+    document_frequency(posts).write.mode("overwrite").parquet(f"{path}/df")
 
 
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:

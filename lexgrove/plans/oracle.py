@@ -119,12 +119,13 @@ SELECT qid, length(prompt) AS chars, sha256(prompt) AS sha256 FROM p"""
 
 # -- segmentation
 def _strip(html: str) -> str:
-    x = rf"regexp_replace({html}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>', ' ', 'g')"
-    x = rf"regexp_replace({x}, '(?i)<br\s*/?>|</(?:p|div|li|tr|h1|h2|h3|h4|h5|h6|blockquote)>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
-    return rf"regexp_replace(replace({x}, chr(160), ' '), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    """Markup to lines. Of the character references, the pages have only these, with and without a semicolon."""
+    x = f"regexp_replace({html}, '(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)<br\s*/?>|</(p|div|tr|li|h[0-9]|blockquote|table)>', chr(10), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)<(p|div|blockquote)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return rf"regexp_replace(regexp_replace(replace({x}, chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
 _PAGE_LINES = f"""

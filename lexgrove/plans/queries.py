@@ -50,7 +50,7 @@ def _asked(spark, sf):
 def _bm25(spark, sf, questions):
     chunks = _chunks(spark, sf)
     posts = keep(I.postings(chunks), "postings")
-    return R.bm25(posts, I.corpus_statistics(I.lengths(chunks)), I.document_frequency(posts), questions)
+    return R.bm25(posts, I.statistics_of(posts, chunks), I.document_frequency(posts), questions)
 
 
 def _long(*names):
@@ -84,7 +84,7 @@ def bm25_scoped_global_stats(spark, sf):
     chunks = _chunks(spark, sf)
     posts = keep(I.postings(chunks), "postings")
     scoped = posts.join(chunks.where(X.in_scope(F.col("file"), F.lit("src1/"))).select("chunk_id"), "chunk_id", "left_semi")
-    bm = R.bm25(scoped, I.corpus_statistics(I.lengths(chunks)), I.document_frequency(posts), _asked(spark, sf))
+    bm = R.bm25(scoped, I.statistics_of(posts, chunks), I.document_frequency(posts), _asked(spark, sf))
     return R.top(bm, "bm25", 5).select("qid", *_long("rank"), "chunk_id", "bm25")
 
 

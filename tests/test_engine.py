@@ -173,7 +173,7 @@ def test_attached_mails_and_html():
     outer.add_attachment(b"x", maintype="application", subtype="pdf", filename="fees.pdf")
     got = mail.messages(email.message_from_bytes(outer.as_bytes(), policy=email.policy.default))
     assert [m["subject"] for m in got] == ["Für dich", "Inner"] and got[0]["attachments"] == ["fees.pdf"]
-    assert mail.strip_html("<style>x</style><p>a&amp;b</p><br>c").split() == ["a&b", "c"]
+    assert text.stripped("<style>x</style><p>a&amp;b</p><br>c").split() == ["a&b", "c"]
 
 
 @pytest.fixture(scope="module")
@@ -315,10 +315,17 @@ def test_substring_collisions_and_money(spark):
     assert spark.range(1).select(corpus.money(F.lit(1234.5))).first()[0] == "$1,234.50"
 
 
-def test_entities(spark):
-    raw = "Caf&eacute; &#x27;x&#39; &mdash; A&#8217;s &amp;lt; &nosuch; &#0; &#xD800; &#1114112; AT&T &copy;&#128512;"
-    assert one(spark, text.unescape, raw, "none", None) == ["Caf\u00e9 'x' \u2014 A\u2019s &lt; &nosuch; \ufffd \ufffd \ufffd AT&T \u00a9\U0001f600", "none", None]
-    assert one(spark, text.strip_html, "<style>x</style><p>a&amp;b</p><br>c&nbsp;d") == [" a&b\n\nc d"]
+def test_references_and_lines_of_markup(spark):
+    raw = "Caf&eacute; &#x27;x&#39; &mdash; A&#8217;s &amp;lt; &nosuch; &#0; &#xD800; &#1114112; AT&T &copy;&#128512; &amp b &CounterClockwiseContourIntegral; &notit;"
+    assert one(spark, text.unescape, raw, "none", None) == ["Caf\u00e9 'x' \u2014 A\u2019s &lt; &nosuch; \ufffd \ufffd \ufffd AT&T \u00a9\U0001f600 & b \u2233 \u00acit;", "none", None]
+    markup = {
+        "<style>x</style><p>a&amp;b</p><br>c&nbsp;d": "\na&b\n\nc d",
+        "<div>c<p>d</p></div>": "\nc\nd\n\n",
+        "<SCRIPT a='b'>1<2</script>x <i>y</i>  \t</td></table>z<h3>t</H3>": "x y\nzt\n",
+        "<p class=x>one<blockquote>two</blockquote>\n\n\n\n</li>three": "\none\ntwo\n\nthree",
+    }
+    assert one(spark, text.strip_html, *markup, None) == [*markup.values(), None]
+    assert [text.stripped(x) for x in markup] == list(markup.values())
 
 
 def test_history_lines_are_decoded_in_one_pass(spark):

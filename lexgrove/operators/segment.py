@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 MERGE_CHARS = 900
 
 
@@ -55,31 +59,52 @@ def raw_chunks(rows: DataFrame) -> DataFrame:
     return grouped.select("file", "section", "first_line", "heading", "title", F.regexp_replace(F.regexp_replace("text", r"^\s+", ""), r"\s+$", "").alias("text"))
 
 
+def _followers(raw: DataFrame, most: int) -> DataFrame:
+    """raw with k (place in the file), run (stretch in which neighbours may join), begins (first of its run) and next: the first one of the run that a chunk begun here can't take any more, null if it takes all.
+
+    A chunk that takes i to j has the characters of their texts and two between each. With before, what the run's earlier texts and their two have,
+    j doesn't fit where the sum from i to j is most + 4 at least; so the fitting ones are counted by a range of before, which holds most / 3 rows or fewer.
+    """
+    w = Window.partitionBy("file").orderBy("section", "first_line")
+    table = F.ltrim("text").startswith("|")
+    apart = F.lag("file").over(w).isNull() | ~F.lag("heading").over(w).eqNullSafe(F.col("heading")) | ~F.lag("title").over(w).eqNullSafe(F.col("title")) | table | F.coalesce(F.lag(table).over(w), F.lit(False))
+    rows = raw.withColumn("k", F.row_number().over(w)).withColumn("begins", apart).withColumn("run", F.sum(F.col("begins").cast("int")).over(w))
+    run = Window.partitionBy("file", "run")
+    size = (F.length("text") + 2).cast("long")
+    rows = rows.withColumn("_size", size).withColumn("_before", F.coalesce(F.sum("_size").over(run.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_all", F.sum("_size").over(run)).withColumn("_end", F.max("k").over(run))
+    rows = rows.withColumn("_past", F.col("k") + F.count("*").over(run.orderBy("_before").rangeBetween(0, most + 3)))
+    follows = F.when((F.col("_past") <= F.col("_end")) | (F.col("_all") >= F.col("_before") + most + 4), F.greatest(F.col("k") + 1, F.col("_past") - 1))
+    return rows.withColumn("next", F.when(follows <= F.col("_end"), follows).cast("int")).drop("_size", "_before", "_all", "_end", "_past")
+
+
+def _reached(rows: DataFrame) -> DataFrame:
+    """(file, k) of all that the first of a run leads to over next: pointers double in each round, so that the rounds are the logarithm of the most chunks of a run."""
+    jumps = rows.where("next is not null").select("file", "k", "next")
+    reached = rows.where("begins and next is not null").select("file", "k")
+    found = []
+    while not (jumps := keep(jumps, "jumps")).isEmpty():
+        new = keep(reached.join(jumps, ["file", "k"]).select("file", F.col("next").alias("k")), "reached")
+        found.append(new)
+        reached = reached.union(new)
+        jumps = jumps.join(jumps.select("file", F.col("k").alias("next"), F.col("next").alias("_far")), ["file", "next"]).select("file", "k", F.col("_far").alias("next"))
+    return reduce(DataFrame.union, found, rows.where("begins").select("file", "k"))
+
+
 def merge(raw: DataFrame, most: int = MERGE_CHARS) -> DataFrame:
     """(file, chunk_pos, chunk_id, heading, title, text): small neighbours with equal heading and title become one.
 
-    A fold over a file's chunks in order, inside the JVM: what comes next joins the last one while their lengths sum to under
-    `most` and neither is a table. A file is one row's array, so a fold never spans more than a file.
+    What comes next joins a chunk while their lengths sum to under `most` and neither is a table. Where a chunk begun at a place would end is
+    known for each place (_followers), so the chunks are the places that pointers lead to: no file is folded in one row, and a file of any length costs
+    its length times the logarithm of its chunks.
     """
-    item = F.struct("section", "first_line", "heading", "title", "text")
-    files = raw.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    parts = F.transform("items", lambda x: F.struct(x["heading"].alias("heading"), x["title"].alias("title"), x["text"].alias("text")))
-    kind = "struct<done:array<struct<heading:string,title:string,text:string>>,last:struct<heading:string,title:string,text:string>>"
-    start = F.struct(F.array().cast("array<struct<heading:string,title:string,text:string>>").alias("done"), F.lit(None).cast("struct<heading:string,title:string,text:string>").alias("last")).cast(kind)
-
-    def step(acc, x):
-        last = acc["last"]
-        joins = (
-            last.isNotNull() & (last["heading"] == x["heading"]) & (last["title"] == x["title"]) & (F.length(last["text"]) + F.length(x["text"]) < most)
-            & ~F.ltrim(x["text"]).startswith("|") & ~F.ltrim(last["text"]).startswith("|")
-        )
-        both = F.struct(x["heading"].alias("heading"), x["title"].alias("title"), F.concat_ws("\n\n", last["text"], x["text"]).alias("text"))
-        done = F.when(last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
-        return F.when(joins, F.struct(acc["done"].alias("done"), both.alias("last")).cast(kind)).otherwise(F.struct(done.alias("done"), x.alias("last")).cast(kind))
-
-    folded = F.aggregate(parts, start, step, lambda a: F.concat(a["done"], F.array(a["last"])))
-    out = files.select("file", F.posexplode(folded).alias("chunk_pos", "c"))
-    return out.select("file", "chunk_pos", F.concat_ws("#", "file", F.col("chunk_pos").cast("string")).alias("chunk_id"), "c.heading", "c.title", "c.text")
+    rows = keep(_followers(raw, most), "followers")
+    starts = _reached(rows).withColumn("_start", F.lit(1))
+    w = Window.partitionBy("file").orderBy("k")
+    placed = rows.select("file", "k", "heading", "title", "text").join(starts, ["file", "k"], "left").withColumn("chunk_pos", (F.count("_start").over(w) - 1).cast("int"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n")
+    out = placed.groupBy("file", "chunk_pos").agg(F.any_value("heading").alias("heading"), F.any_value("title").alias("title"), text.alias("text"))
+    return out.select("file", "chunk_pos", F.concat_ws("#", "file", F.col("chunk_pos").cast("string")).alias("chunk_id"), "heading", "title", "text")
 
 
 def chunk(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import email.message
 import io
 import json
 import os
+import random
 import zipfile
 
 import numpy as np
@@ -493,3 +494,38 @@ def test_reports(spark):
     assert (gap.public, gap.sealed, gap.gap) == (0.5, 1.0, -0.5)
     claims, flagged = spark.createDataFrame([("s", True), ("s", False)], "scope string, grounded boolean"), spark.createDataFrame([("s", "1"), ("s", "2")], "scope string, number string")
     assert tuple(score.faithfulness(claims, flagged, spark.createDataFrame([("1",)], "number string")).first()) == ("s", 2, 1, 1, 1)
+
+
+def folded(rows, most):
+    """Chunks of (heading, title, text) by a plain fold."""
+    out = []
+    for h, t, x in rows:
+        last = out[-1] if out else None
+        if last and last[:2] == [h, t] and len(last[2]) + len(x) < most and not x.lstrip().startswith("|") and not last[2].lstrip().startswith("|"):
+            last[2] += "\n\n" + x
+        else:
+            out.append([h, t, x])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_equals_a_fold(spark, seed):
+    rnd = random.Random(seed)
+    most, rows = rnd.choice([12, 30, 900]), []
+    for f in range(12):
+        heading = "h"
+        for k in range(rnd.choice([1, 2, 9, 200])):
+            heading = heading if rnd.random() > 0.1 else rnd.choice("hgk")
+            rows.append((f"f{f}", k // 70, k, heading, "", rnd.choice(["", " |"] + [""] * 5) + "x" * rnd.choice([1, 1, 2, 3, 7, 11, most - 1, most, most * 3])))
+    got = segment.merge(spark.createDataFrame(rows, "file string, section int, first_line int, heading string, title string, text string").repartition(5), most)
+    have = [(r.file, r.chunk_pos, r.heading, r.title, r.text) for r in got.orderBy("file", "chunk_pos").collect()]
+    want = [(f, k, *c) for f in sorted({r[0] for r in rows}) for k, c in enumerate(folded([r[3:] for r in rows if r[0] == f], most))]
+    assert have == want
+
+
+def test_merging_one_long_file(spark):
+    """200,000 pieces of one file without a heading."""
+    raw = spark.range(200_000).select(F.lit("f").alias("file"), F.lit(0).alias("section"), F.col("id").cast("int").alias("first_line"), F.lit("").alias("heading"), F.lit("").alias("title"), F.repeat(F.lit("x"), (F.col("id") % 97 + 1).cast("int")).alias("text"))
+    found = segment.merge(raw).agg(F.count("*"), F.sum(F.length("text"))).first()
+    want = folded([("", "", "x" * (k % 97 + 1)) for k in range(200_000)], 900)
+    assert tuple(found) == (len(want), sum(len(c[2]) for c in want))

@@ -54,16 +54,6 @@ def corpus_statistics(chunk_lengths: DataFrame) -> DataFrame:
     return chunk_lengths.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.avg("n_tokens").alias("avg_tokens"))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Parquet tables under a path. Postings are clustered by term, so that a question's terms prune files."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    posts = postings(chunks.sparkSession.read.parquet(f"{path}/chunks"))
-    posts.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored, posts = (chunks.sparkSession.read.parquet(f"{path}/{name}") for name in ("chunks", "postings"))
-    lengths_of(posts, stored).write.mode("overwrite").parquet(f"{path}/lengths")
-    document_frequency(posts).write.mode("overwrite").parquet(f"{path}/df")
-
-
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file, status): added, removed, changed or same, of two tables (file, sha256)."""
     o, n = old.select("file", F.col("sha256").alias("_old")), new.select("file", F.col("sha256").alias("_new"))

@@ -16,6 +16,7 @@ from ..operators import coverage as V
 from ..operators import index as I
 from ..operators import retrieve as R
 from ..operators import segment as S
+from ..operators import segments as G
 from ..operators import threads as T
 from ..operators import verify as C
 from ..sources import files as files_
@@ -38,23 +39,27 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 @dataclass
 class Matter:
-    """A namespace: a folder of documents, and under `store` its tables. Each ingest writes a generation of its own and names it as current when it is whole."""
+    """A namespace: a folder of documents, and under `store` its tables: an index in segments, to which each ingest adds what has changed, and the list of what can't be read."""
 
     spark: SparkSession
     docs: str
     store: str
 
     def generation(self) -> dict | None:
-        """The current generation: generation, version (of the chunks), vectors (whether it has them)."""
+        """The newest ingest: index (its folder), version (of the chunks), vectors (whether there are any), skipped (a folder)."""
         found = _read(self.spark, f"{self.store}/current")
         row = found.orderBy(F.desc("at")).first() if found is not None else None
         return row.asDict() if row else None
 
     def table(self, name: str) -> DataFrame:
+        """chunks, postings, lengths, files, vectors or skipped, as they are now."""
         now = self.generation()
         if now is None:
             raise LookupError(f"nothing is ingested in {self.store}")
-        return self.spark.read.parquet(f"{self.store}/{now['generation']}/{name}")
+        if name == "skipped":
+            return self.spark.read.parquet(f"{self.store}/{now['skipped']}")
+        index = G.Segments(self.spark, f"{self.store}/{now['index']}")
+        return index.files() if name == "files" else index.live(name).drop("seg")
 
 
 def matters(spark: SparkSession, base: str) -> list[str]:
@@ -112,17 +117,22 @@ def convert(matter: Matter, runner: Callable[[str, str, str], tuple[bool, str |
 def ingest(matter: Matter, tools: list[str] | None = None, embedder=None) -> bool:
     """Read, segment and index a matter's documents, with vectors if there is a function that makes them; False if nothing has changed.
 
-    Nothing has changed if the files are the same, the chunks are of this version, and vectors are there or can't be made.
+    Nothing has changed if the files are the same, the chunks are of this version, and vectors are there or can't be made. If only files have
+    changed, those alone are parsed, and their postings and vectors are added as a segment; else the index is made anew, without vectors if they can't be made.
     """
-    spark, now = matter.spark, matter.generation()
+    spark, now, run = matter.spark, matter.generation(), uuid.uuid4().hex
     listed = files_.walk(spark, matter.docs)
     known = V.classify(listed.select("file", "dir", "stem", "ext", "sha256"), tools=tools)
-    readable = known.where("status = 'indexable'").select("file")
-    if now is not None and I.up_to_date(I.file_changes(matter.table("files"), listed.join(readable, "file", "left_semi")), now["version"], now["vectors"], embedder is not None):
-        return False
-    run = uuid.uuid4().hex
-    store = f"{matter.store}/{run}"
-    found = files_.walk(spark, matter.docs, content=True).join(readable, "file", "left_semi")
+    readable = _kept(matter, run, "readable", listed.join(known.where("status = 'indexable'").select("file"), "file", "left_semi").select("file", "sha256"))
+    if now is not None:
+        changes = _kept(matter, run, "changes", I.file_changes(matter.table("files"), readable))
+        if I.up_to_date(changes, now["version"], now["vectors"], embedder is not None):
+            return False
+    as_is = now is not None and now["version"] == I.CHUNK_VERSION and now["vectors"] == (embedder is not None)
+    if not as_is:
+        changes = readable.select("file", F.lit("added").alias("status"))
+    more = changes.where("status in ('added', 'changed')")
+    found = files_.walk(spark, matter.docs, content=True).join(more, "file", "left_semi")
     words = _kept(matter, run, "word", office.word_files(found))
     decks = _kept(matter, run, "decks", office.deck_rows(found))
     mails = _kept(matter, run, "mail", mail.mail_files(found))
@@ -130,7 +140,9 @@ def ingest(matter: Matter, tools: list[str] | None = None, embedder=None) -> boo
     partial = words.where("size(dropped) > 0").select("file", F.concat(F.lit("partially read: text of its "), F.array_join("dropped", ", "), F.lit(" is not indexed")).alias("why"))
     skipped = known.where("status = 'skipped'").select("file", "why", F.lit(False).alias("partial"))
     skipped = skipped.union(broken.select("file", F.concat(F.lit("can't be read: "), "error"), F.lit(False))).union(partial.select("file", "why", F.lit(True)))
-    skipped.write.parquet(f"{store}/skipped")
+    if as_is:  # what was found of files that are as they were
+        skipped = skipped.union(matter.table("skipped").join(changes.where("status = 'same'").select("file"), "file", "left_semi").select("file", "why", "partial"))
+    skipped.write.parquet(f"{matter.store}/skipped/{run}")
     texts = files_.texts(found).union(words.where("error is null").select("file", "text"))
     texts = texts.union(_slide_text(office.slide_texts(decks))).union(_mail_text(mails))
     meta = T.with_meta(S.chunk(texts), T.marked_self(T.ordered(mails)))
@@ -138,11 +150,13 @@ def ingest(matter: Matter, tools: list[str] | None = None, embedder=None) -> boo
     # files in the order of their paths, then chunks: a fixed-width key sorts so without a global sort
     place = F.concat_ws("#", "file", F.lpad(F.col("chunk_pos").cast("string"), 9, "0"))
     chunks = meta.withColumn("corpus_pos", place).withColumn("overview", overview).withColumn("is_self", F.coalesce("is_self", F.lit(False)))
-    I.write_index(chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos", "n", "of", "sender", "recipient", "date", "is_self", "overview"), store)
-    if embedder is not None:
-        R.embed(spark.read.parquet(f"{store}/chunks"), embedder).write.parquet(f"{store}/vectors")
-    found.select("file", "sha256").write.parquet(f"{store}/files")
-    named = spark.createDataFrame([(run, I.CHUNK_VERSION, embedder is not None)], "generation string, version int, vectors boolean")
+    chunks = chunks.select("chunk_id", "file", "chunk_pos", "heading", "title", "text", "corpus_pos", "n", "of", "sender", "recipient", "date", "is_self", "overview")
+    folder = now["index"] if as_is else f"index-{run}"
+    makers = {"vectors": lambda own: R.embed(own, embedder)} if embedder is not None else {}
+    batch = more.join(readable, "file").select("file", "sha256").union(changes.where("status = 'removed'").select("file", F.lit(None).cast("string")))
+    G.Segments(spark, f"{matter.store}/{folder}", makers).apply(batch, chunks)
+    row = (folder, I.CHUNK_VERSION, embedder is not None, f"skipped/{run}")
+    named = spark.createDataFrame([row], "index string, version int, vectors boolean, skipped string")
     named.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{matter.store}/current")
     return True
 

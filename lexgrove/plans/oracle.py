@@ -68,6 +68,9 @@ SQL["term_frequencies"] = f"WITH {_POSTS} SELECT chunk_id, count(*) AS terms, ma
 SQL["corpus_stats"] = f"WITH {_POSTS} SELECT count(*) AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens, round(avg(n_tokens), 6) AS avg_tokens FROM lens"
 SQL["bm25_batch_benchmark"] = f"WITH {_bm25()} {_top('bm', 'bm25', 5, 'chunk_id, bm25')}"
 SQL["bm25_scoped_global_stats"] = "WITH " + _bm25(where="starts_with(file, 'src1/')") + " " + _top("bm", "bm25", 5, "chunk_id, bm25")
+_AMENDED = """chunk AS (SELECT doc_id AS chunk_id, source || '/' || doc_id AS file, lang AS heading,
+  CASE doc_id % 9 WHEN 1 THEN text || ' amended and amended again' WHEN 2 THEN 'replaced by ' || left(text, 200) ELSE text END AS text FROM documents WHERE doc_id % 9 <> 3)"""
+SQL["incremental_index"] = f"WITH {_bm25()} {_top('bm', 'bm25', 5, 'chunk_id, bm25')}".replace(_CHUNK, _AMENDED)
 SQL["normalise_vectors"] = f"WITH {_VECTORS} SELECT vec_id, len(v) AS n, v[1] AS first, round(list_dot_product(v, v), 3) AS norm FROM vectors"
 SQL["cosine_topk"] = f"""WITH {_VECTORS}, c AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_dot_product(b.v, a.v), 6) AS cos FROM vectors a, vectors b WHERE a.vec_id % 100 = 0)
 {_top('c', 'cos', 5, 'chunk_id, round(cos, 4) AS cos')}"""

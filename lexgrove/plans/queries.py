@@ -16,9 +16,10 @@ from ..operators import index as I
 from ..operators import retrieve as R
 from ..operators import score as E
 from ..operators import segment as S
+from ..operators import segments as G
 from ..operators import threads as T
 from ..operators import verify as C
-from ..session import keep
+from ..session import keep, scratch
 from ..sources.files import parse_questions
 from ..streaming import live as L
 from . import cases, prompts
@@ -88,6 +89,21 @@ def bm25_scoped_global_stats(spark, sf):
     return R.top(bm, "bm25", 5).select("qid", *_long("rank"), "chunk_id", "bm25")
 
 
+@query
+def incremental_index(spark, sf):
+    """BM25 after four batches: most documents, the others, then a third of all changed, replaced or removed."""
+    docs = _t(spark, sf, "documents")
+    index = G.Segments(spark, scratch(spark, "index"))
+    third = F.pmod(F.col("doc_id"), F.lit(9))
+    amended = docs.where(third.isin(1, 2)).withColumn("text", F.when(third == 1, F.concat("text", F.lit(" amended and amended again"))).otherwise(F.concat(F.lit("replaced by "), F.left("text", F.lit(200)))))
+    for part, gone in ((docs.where(third != 0), False), (docs.where(third == 0), False), (amended, False), (docs.where(third == 3), True)):
+        chunks = I.chunks_of(part)
+        hashes = chunks.select("file", F.lit(None).cast("string").alias("sha256") if gone else F.sha2("text", 256).alias("sha256"))
+        index.apply(hashes, chunks)
+    bm = R.bm25(*G.bm25_inputs(index), _asked(spark, sf))
+    return R.top(bm, "bm25", 5).select("qid", *_long("rank"), "chunk_id", "bm25")
+
+
 def _vectors(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", R.unit(F.col("embedding")).alias("v"))
 

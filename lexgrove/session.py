@@ -22,12 +22,11 @@ def session(name: str = "lexgrove", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder that spark.checkpoint.dir names and read back: for what several branches of a plan use.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share.
 
     Where the setting is unset and all runs in one process, a temporary folder that goes with the process.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -35,6 +34,22 @@ def keep(df: DataFrame, label: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="lexgrove-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-    path = f"{base.rstrip('/')}/lexgrove/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/lexgrove/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: for what several branches of a plan use."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Take a written table away, on whatever file system it is; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

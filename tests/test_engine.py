@@ -89,11 +89,11 @@ def test_numbers_held(spark):
     assert one(spark, retrieve.question_numbers, "who quoted 11,750 in 2024 on 2026-09-15 or 12?")[0] == ["11750"]
 
 
-def test_index_is_up_to_date_only_without_changes(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    index.write_index(index.chunks_of(docs), str(tmp_path))
-    posts = spark.read.parquet(f"{tmp_path}/postings")
-    assert posts.agg(F.sum("tf")).first()[0] == spark.read.parquet(f"{tmp_path}/lengths").agg(F.sum("n_tokens")).first()[0]
+def test_index_is_up_to_date_only_without_changes(spark):
+    docs = index.chunks_of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    posts = index.postings(docs)
+    assert sorted(index.lengths_of(posts, docs).collect()) == sorted(index.lengths(docs).collect())
+    assert index.statistics_of(posts, docs).first().asDict() == index.corpus_statistics(index.lengths(docs)).first().asDict()
     a = spark.createDataFrame([("x", "1"), ("y", "2")], "file string, sha256 string")
     assert index.up_to_date(index.file_changes(a, a), index.CHUNK_VERSION, True, True)
     assert not index.up_to_date(index.file_changes(a, a.limit(1)), index.CHUNK_VERSION, True, True)
@@ -486,6 +486,27 @@ def test_dense_search_summary_and_notes(spark, matter, tmp_path):
     assert note.note.endswith("-which-rates.md") and "## Answer\n\nThe rate is 480 [S1: firm-bravo/fees.txt > page 2]." in note.text
 
 
+def test_ingest_again_reads_what_changed(spark, tmp_path_factory, monkeypatch):
+    root = tmp_path_factory.mktemp("again")
+    put = lambda name, content: (root / "docs" / name).write_bytes(content)
+    (root / "docs").mkdir()
+    for name, content in {"a.md": b"red fox", "b.txt": b"blue fox", "c.md": b"green", "bad.docx": b"no archive"}.items():
+        put(name, content)
+    m = api.Matter(spark, str(root / "docs"), str(root / "store"))
+    assert api.ingest(m)
+    before, parsed = {r.chunk_id: r.text for r in m.table("chunks").collect()}, []
+    monkeypatch.setattr(api.files_, "texts", lambda found, f=api.files_.texts: (parsed.extend(r.file for r in found.select("file").collect()), f(found))[1])
+    put("b.txt", b"blue and yellow"), put("d.md", b"white fox"), (root / "docs" / "c.md").unlink()
+    assert api.ingest(m) and not api.ingest(m)
+    assert sorted(parsed) == ["b.txt", "d.md"]
+    chunks = {r.chunk_id: r.text for r in m.table("chunks").collect()}
+    assert chunks == {"a.md#0": before["a.md#0"], "b.txt#0": "blue and yellow", "d.md#0": "white fox"}
+    assert {(r.term, r.chunk_id) for r in m.table("postings").where("term in ('fox', 'blue', 'green')").collect()} == {("fox", "a.md#0"), ("blue", "b.txt#0"), ("fox", "d.md#0")}
+    assert [r.file for r in m.table("skipped").collect()] == ["bad.docx"] and {r.file for r in m.table("files").collect()} == {"a.md", "b.txt", "d.md", "bad.docx"}
+    hits = api.search(m, spark.createDataFrame([(1, "fox")], "qid long, question string")).collect()
+    assert {r.chunk_id for r in hits} == {"a.md#0", "d.md#0"}
+
+
 def test_reports(spark):
     table = spark.createDataFrame([("b", 4, 2, 1, 1, 1), ("a", 2, 2, 0, 0, 0)], "cls string, n long, correct long, silent long, wrong long, silent_wrong long")
     lines = [r.line for r in score.envelope(table, "cls").orderBy("line_no").collect()]

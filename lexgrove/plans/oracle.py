@@ -235,6 +235,16 @@ SQL["wilson_interval"] = f"""WITH {_SCORED}, g AS (SELECT source, count(*)::DOUB
 SELECT source, n::BIGINT AS n, k::BIGINT AS passes, round(p, 6) AS rate, round(greatest(0, (p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 6) AS low,
   round(least(1, (p + zz / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 6) AS high FROM p"""
 SQL["scorecard_rollup"] = f"WITH {_SCORED} SELECT coalesce(lang, 'TOTAL') AS lang, count(*) AS n, count(*) FILTER (passed) AS passes, round((count(*) FILTER (passed)) / count(*), 6) AS rate FROM scored GROUP BY ROLLUP (lang)"
+SQL["event_windows_stream"] = SQL["event_windows"]
+_TURNS = """
+turns AS (SELECT user_id AS u, ts, event_id, 'about ' || event_type AS q, event_type <> 'error' AND NOT value < 10 AS kept FROM events),
+gaps AS (SELECT *, lag(ts) OVER (PARTITION BY u ORDER BY ts, event_id) AS before FROM turns),
+sess AS (SELECT *, last_value(CASE WHEN before IS NULL OR ts >= before + INTERVAL 600 MINUTE THEN ts END IGNORE NULLS) OVER (PARTITION BY u ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps)"""
+SQL["session_memory"] = f"""WITH {_TURNS},
+p AS (SELECT *, last_value(CASE WHEN kept THEN event_id END IGNORE NULLS) OVER (PARTITION BY u, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM sess)
+SELECT p.event_id, strftime(p.session, '%Y-%m-%d %H:%M:%S') AS session, p.previous, concat_ws(' ', p.q, t.q) AS query FROM p LEFT JOIN turns t ON t.event_id = p.previous"""
+SQL["session_table"] = f"""WITH {_TURNS}
+SELECT u AS user, strftime(session, '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS turns, count(*) FILTER (kept) AS kept FROM sess GROUP BY u, session"""
 SQL["mcnemar_exact"] = f"""WITH {_SCORED}, g AS (SELECT source, count(*) AS pairs, count(*) FILTER (passed AND NOT passed_b) AS only_a, count(*) FILTER (NOT passed AND passed_b) AS only_b FROM scored GROUP BY source)
 SELECT *, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 6) AS p FROM g"""
 SQL["pairs_agree"] = f"""WITH {_SCORED}, g AS (SELECT doc_id // 2 AS pair, bool_and(label = 'CORRECT') AS c, bool_or(label = 'WRONG') AS w FROM scored GROUP BY 1) SELECT count(*) AS pairs, count(*) FILTER (c) AS all_correct, count(*) FILTER (w) AS any_wrong FROM g"""

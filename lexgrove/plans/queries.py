@@ -17,6 +17,7 @@ from ..operators import retrieve as R
 from ..operators import score as E
 from ..operators import segment as S
 from ..operators import segments as G
+from ..operators import sessions as M
 from ..operators import threads as T
 from ..operators import verify as C
 from ..session import keep, scratch
@@ -500,6 +501,43 @@ def event_windows(spark, sf):
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@query
+def event_windows_stream(spark, sf):
+    """The same counts from a stream: parts of a week, in the order in which events arrive, up to two hours late; some are sent again, long after."""
+    e = _t(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    late = F.make_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(120)).cast("int"))
+    arrival = F.col("ts") + late
+    first = e.agg(F.date_trunc("day", F.min("ts").cast("timestamp"))).scalar()
+    part = F.floor(F.datediff(arrival.cast("timestamp"), first) / 7).cast("int")
+    again = e.where("event_id % 10 = 0").withColumn("part", part + 2)
+    place = scratch(spark, "arrivals")
+    sent = e.withColumn("part", part).union(again)
+    for k in [r["part"] for r in sent.select("part").distinct().orderBy("part").collect()]:  # one part for each week of events
+        sent.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in/{k:06d}")
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    L.follow_counters(stream, f"{place}/out", f"{place}/checkpoint", "6 hours", "8 days").awaitTermination()
+    w = L.current_counters(spark, f"{place}/out")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def _turns(spark, sf):
+    """Events as turns of a chat with their users."""
+    a = _audit(spark, sf)
+    return a.select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.concat_ws(" ", F.lit("about"), "event_type").alias("question"), F.when(F.col("event_type") != "error", F.col("answer")).alias("answer"), "refused")
+
+
+@query
+def session_memory(spark, sf):
+    m = M.remembered(_turns(spark, sf), 600)
+    return m.select(F.col("seq").alias("event_id"), F.date_format("session", "yyyy-MM-dd HH:mm:ss").alias("session"), F.col("previous.seq").alias("previous"), "query")
+
+
+@query
+def session_table(spark, sf):
+    s = M.sessions(_turns(spark, sf), 600)
+    return s.select("user", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "turns", "kept")
+
+
 def _scored(spark, sf):
     """Two rules that predict a label: by length, and by script."""
     d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id")

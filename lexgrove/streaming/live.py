@@ -28,6 +28,47 @@ def event_counters(events: DataFrame, window: str = "1 hour", late: str = "2 hou
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def follow_counters(events: DataFrame, path: str, checkpoint: str, window: str = "1 hour", late: str = "2 hours"):
+    """A query that keeps counts by window and type of a stream of events at path, each event once, whatever is replayed.
+
+    Each batch's changed windows are written to a folder of their own, named by the batch's number, and only a number that the commit log doesn't have: after a
+    failure, a batch that is given again finds itself logged, or writes its folder anew before it is logged.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number in committed(spark, path):
+            batch.write.format("noop").mode("overwrite").save()  # the state of the batch is made all the same
+            return
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/changes/{number}")
+        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{number}")
+
+    return event_counters(events, window, late).writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def committed(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of the batches that are whole; one for each micro-batch."""
+    log = _stored(spark, f"{path}/log")
+    return {r["batch"] for r in log.collect()} if log is not None else set()
+
+
+def current_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(start, event_type, n, total) as of the last committed batch: of each window its newest row."""
+    log = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/log")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/changes").join(log, "batch", "left_semi")
+    newest = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("c"))
+    return newest.select("start", "event_type", "c.n", "c.total")
+
+
 def upsert_index(batch: DataFrame, path: str) -> None:
     """Of a batch of files (file, sha256, text), write what is new or changed, a folder for each generation.
 

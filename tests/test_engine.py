@@ -73,6 +73,19 @@ def test_mcnemar_and_wilson(spark):
         n, k = r.b + r.c, min(r.b, r.c)
         assert r.p == pytest.approx(1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n), abs=1e-9)
         assert r[3] is None or 0 <= r[3] <= r[4] <= 1
+    # large counts, against exact sums
+    for n, ks in ((1001, (300, 450, 470, 499, 500)), (20_000, (9_000, 9_700, 9_900, 9_990, 10_000)), (100_000, (48_000, 49_500, 49_990, 25_000, 3))):
+        at, total, want = 1, 0, {}
+        for k in range(max(ks) + 1):
+            total += at
+            want[k] = total
+            at = at * (n - k) // (k + 1)
+        got = spark.createDataFrame([(k, n - k) for k in ks], "b long, c long").select("b", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
+        for r in got:
+            exact = want[r.b] * 2 * 10**60 // 2**n / 10**60 if want[r.b] * 10**30 > 2**n else None
+            assert r.p < 1e-29 if exact is None else r.p == pytest.approx(min(1.0, exact), rel=1e-9)
+    far = spark.createDataFrame([(49_999_000, 50_001_000), (5 * 10**7, 5 * 10**7), (10**6, 10**8)], "b long, c long").select(stats.mcnemar(F.col("b"), F.col("c")).alias("p"))
+    assert [r.p for r in far.collect()] == [pytest.approx(0.841, abs=1e-3), 1.0, 0.0]
 
 
 def test_quota_reranks_inside_groups(spark):

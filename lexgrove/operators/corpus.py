@@ -125,6 +125,12 @@ def haystack(spark: SparkSession, chunks: int, needle: str, depth: float, seed:
     return spark.range(chunks).select(F.col("id").alias("pos"), F.when(F.col("id") == at, needle).otherwise(text).alias("text"))
 
 
+def hidden_in(filler: DataFrame, needle: str, depth: float) -> DataFrame:
+    """The same with given texts (pos, text) as filler: the needle stands in the place of the one at that relative depth."""
+    at = filler.agg(F.expr(f"percentile_disc({depth}) WITHIN GROUP (ORDER BY pos)")).scalar()
+    return filler.select("pos", F.when(F.col("pos") == at, needle).otherwise(F.col("text")).alias("text"))
+
+
 BAND, BANNER_SHARE, GAP_SHARE = 320000, 0.6, 12
 
 

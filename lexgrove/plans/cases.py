@@ -1,4 +1,4 @@
-"""Small literal tables that queries are applied to where the data have nothing of the kind."""
+"""Small literal tables: questions, scopes and rules that queries apply to the given tables."""
 
 from __future__ import annotations
 
@@ -42,61 +42,6 @@ ROUTING = Table("qid bigint, question string", [
     (6, "the most recent message, the newest one"),
     (7, "nothing to route here"),
 ])
-SENDERS = Table("sender string", [("Ines Halvorsen",), ("Tomas Brandl",), ("Al Ng",), ("이수진",), ("Reply Bot",)])
-SUBJECTS = Table("id bigint, subject string", [
-    (1, "Re: Fw: fees"), (2, "AW: Angebot"), (3, "WG: Angebot"), (4, "Fees"), (5, "  re:RE: x"), (6, None), (7, "Regarding: fees"), (8, "전달: 보고"),
-])
-PARTIES = Table("id bigint, party string", [
-    (1, "Ines Halvorsen <ines@example.com>"), (2, '"Brandl, Tomas" <d@example.com>'), (3, "someone@example.com"), (4, "  Plain Name "), (5, None), (6, "<x@example.com>"),
-])
-MARKDOWN = Table("file string, text string", [
-    ("a.md", "# Plan\n\nFirst paragraph.\n\nSecond paragraph.\n\n| a | b |\n| 1 | 2 |\n\nAfter the table.\n## Fees\nThe fee is 4,800.\n## 2024-05-07 A -> B\nHello."),
-    ("b.md", "No heading.\n\nStill none.\n\f# Second page\nText."),
-    ("c.md", "\n\n   \n"),
-])
-ANSWERS = Table("qid bigint, question string, answer string", [
-    (1, "What did Alpha quote?", "- Firm Alpha quoted $19,500 [S2].\n- The cap is 75,000 [S1]."),
-    (2, "Is nineteen thousand five hundred right?", "Yes, 19,500 [S2] is right. See [S9]."),
-    (3, "Under which section?", "It falls under section 112 [S2].\nTherefore it is $4,800 in all [S2]."),
-    (4, "Did Bravo reply?", "Firm Bravo did not reply [S1]. Firm Echo never responded."),
-    (5, "Who said so?", "Firm Charlie said the fee is low [S3], [S1][S2][S3][S1][S2]."),
-    (6, "Anything?", "Not in the documents."),
-    (7, "Sum?", "The total is 19,500 + 4,800 = 24,300 [INFERENCE] [S1, S2]."),
-])
-_S = [
-    (1, "alpha/fees.md", "Fee cap of $75,000", "The estimate of Firm Alpha is 19,500 for 35 U.S.C. 112 work."),
-    (2, "bravo/mail.eml", "2024-05-07 Firm Bravo -> Firm Charlie", "We propose 4,800."),
-    (3, "alpha/note.md", "", "Other text."),
-]
-SOURCES = Table("qid bigint, label int, file string, heading string, text string", [(q, *s) for q in range(1, 8) for s in _S])
-SPELLED = Table("id bigint, text string", [
-    (1, "nineteen thousand five hundred"), (2, "one hundred and one, then two million"), (3, "no figures and none"), (4, "twenty one or thirty"), (5, None), (6, "a hundred thousand"),
-])
-_NO: list = []
-ITEMS = Table(
-    "n bigint, type string, answer string, refused boolean, must array<string>, any array<array<string>>, must_not array<string>, facts array<array<string>>, min_facts int, n_sources int, labels array<int>",
-    [
-        (1, "fact", "The fee is $12,500 [S1].", False, ["$12,500"], _NO, _NO, _NO, None, 2, [1]),
-        (2, "fact", "It was on 7 May.", False, ["May 7"], _NO, ["June 1"], _NO, None, 2, _NO),
-        (3, "fact", "There are 24 of them, in 2024.", False, ["20"], _NO, _NO, _NO, None, 2, _NO),
-        (4, "list", "Alpha and Bravo.", False, ["Alpha"], [["Bravo", "Charlie"], ["Delta"]], _NO, _NO, None, 2, _NO),
-        (5, "refuse", "That is not specified in the sources.", False, _NO, _NO, ["$5,000"], _NO, None, 2, _NO),
-        (6, "refuse", "It costs $5,000.", False, _NO, _NO, ["$5,000"], _NO, None, 2, _NO),
-        (7, "summary", "Fees rose. Bravo left.", False, _NO, _NO, _NO, [["fees"], ["bravo"], ["echo"]], 2, 2, _NO),
-        (8, "fact", "The fee is 12,500 [S7].", False, ["12,500"], _NO, _NO, _NO, None, 2, [7]),
-        (9, "fact", None, None, ["x"], _NO, _NO, _NO, None, 0, _NO),
-        (10, "fact", "Not in the documents.", True, _NO, _NO, _NO, _NO, None, 0, _NO),
-    ],
-)
-OVERRIDES = Table("qid bigint, value string", [
-    (1, "What is the fee?"), (2, "--only firm-alpha/2026 --top-k 8 :: What is the fee?"), (3, "--diverse :: a :: b"), (4, "--wrong 3 :: x"), (5, "--top-k many :: x"), (6, " :: plain"),
-])
-_D = "data: "
-FRAMES = Table("answer_id bigint, seq bigint, line string", [
-    (1, 1, _D + '{"choices":[{"delta":{"content":"The fee "}}]}'), (1, 3, _D + '{"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total_tokens":12}}'),
-    (1, 2, _D + '{"choices":[{"delta":{"content":"is 5."}}]}'), (1, 4, _D + "[DONE]"), (2, 1, "event: error"), (2, 2, _D + '{"error":{"message":"no model"}}'), (3, 1, ": ping"), (3, 2, _D + "[DONE]"),
-    (4, 1, _D + "not json"), (4, 2, _D + '{"choices":[{"delta":{"content":"cut"},"finish_reason":"length"}]}'),
-])
 ALIASES = Table("party string, aliases array<string>, not_aliases array<string>", [("Alpha", ["Firm Alpha", "Alpha"], ["Alpha IP Group"]), ("Bravo", ["Firm Bravo", "Bravo"], None)])
 VERDICTS = Table("item string, place int, pattern string, verdict string", [("en", 1, "[0-9]{3}", "wrong"), ("en", 2, "a", "correct"), ("de", 1, "[0-9]", "correct")])
 CONSTANTS = Table("kind string, id string, value string, file string", [("amount", "fee", "$1,500", "p1.md"), ("amount", "cap", "$500", None), ("date", "day", "x", "gone.md")])

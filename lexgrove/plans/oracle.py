@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import STOP
 from ..operators.retrieve import GENERIC_FOLDER_WORDS
-from . import cases
+from . import cases, derived
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _WORDS = r"[a-z0-9]+(?:[._\-][a-z0-9]+)*"
@@ -185,32 +185,16 @@ SELECT file AS thread, file || '#' || pos AS chunk_id, overview, greatest(0, bod
 SQL["plan_read"] = f"""WITH {_MESSAGES}, t AS (SELECT file, count(*) AS chunks, count(*) FILTER (sender = 'user') AS target_chunks FROM msg GROUP BY file)
 SELECT *, CASE WHEN chunks % 3 > 0 AND target_chunks > 0 AND (target_chunks <= 2 OR chunks % 2 = 0) THEN 'target' WHEN chunks % 3 = 0 AND chunks % 2 = 0 THEN 'thread' ELSE 'search' END AS plan FROM t"""
 SQL["first_seen_names"] = """WITH s AS (SELECT conv_id::VARCHAR AS file, role, min(turn) AS place FROM conversations GROUP BY ALL) SELECT file, string_agg(role, ', ' ORDER BY place, role) AS names FROM s GROUP BY file"""
-SQL["senders_named"] = "SELECT * FROM (VALUES (1::BIGINT, 'Ines Halvorsen'), (3, 'Tomas Brandl')) t(qid, sender)"
 SQL["dates_named"] = """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
 n AS (SELECT 3::BIGINT AS qid, day FROM d WHERE month(day) = 5 AND day(day) = 7 UNION ALL SELECT 4, day FROM d WHERE day = DATE '1995-03-12'
   UNION ALL SELECT 5, day FROM d WHERE day = DATE '1996-03-14' UNION ALL SELECT 5, day FROM d WHERE month(day) = 3 AND day(day) = 12)
 SELECT qid, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last FROM n GROUP BY qid"""
-SQL["ordinals_named"] = "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT), (2, NULL), (3, -1), (4, NULL), (5, NULL), (6, -1), (7, NULL)) t(qid, ordinal)"
-SQL["subject_verbs"] = "SELECT * FROM (VALUES (1::BIGINT, 'fees', 'replied'), (2, 'Angebot', 'replied'), (3, 'Angebot', 'forwarded'), (4, 'Fees', 'wrote'), (5, 'x', 'replied'), (6, '', 'wrote'), (7, 'Regarding: fees', 'wrote'), (8, '보고', 'forwarded')) t(id, base, verb)"
-SQL["display_names"] = "SELECT * FROM (VALUES (1::BIGINT, 'Ines Halvorsen'), (2, 'Brandl, Tomas'), (3, 'someone@example.com'), (4, 'Plain Name'), (5, ''), (6, '<x@example.com>')) t(id, name)"
 SQL["date_parse_cascade"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders"
 SQL["human_dates"] = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%A, %B %-d, %Y') AS text, count(*) AS n FROM orders GROUP BY 1, 2"
 
 # -- checks
 SQL["verify_numbers"] = r"""WITH a AS (SELECT doc_id AS qid, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '\[S\d+\]', '', 'g'), '(?m)^\s*\d+[.)]\s', '', 'g'), '\d+(?:,\d{3})*(?:\.\d+)?'))) AS number FROM documents)
 SELECT qid, number FROM a WHERE NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id - 1 = a.qid AND contains(replace(s.text, ',', ''), replace(a.number, ',', '')))"""
-SQL["verify_citation_numbers"] = "SELECT 1::BIGINT AS qid, '19,500' AS number, 'S2' AS cited, 'S1' AS found"
-SQL["verify_citations"] = "SELECT 2::BIGINT AS qid, 9::BIGINT AS label"
-SQL["verify_attribution"] = "SELECT 5::BIGINT AS qid, 'Firm Charlie' AS name"
-SQL["verify_negatives"] = "SELECT 4::BIGINT AS qid, 'Firm Bravo' AS party"
-SQL["verify_grounding"] = "SELECT * FROM (VALUES (6::BIGINT, 0::BIGINT, 'Not in the documents.'), (7, 0, 'The total is 19,500 + 4,800 = 24,300 [INFERENCE] [S1, S2].')) t(qid, claim_no, claim)"
-SQL["inference_labels"] = "SELECT unnest(range(1, 8)) AS qid, unnest([false, false, true, false, false, false, false]) AS missing"
-SQL["cap_citations"] = f"SELECT qid, CASE WHEN qid = 5 THEN 'Firm Charlie said the fee is low [S3], [S1][S2][S3].' ELSE answer END AS answer FROM {cases.ANSWERS.sql()}"
-_R = {1: "alpha/fees.md > Fee cap of $75,000", 2: "bravo/mail.eml > 2024-05-07 Firm Bravo -> Firm Charlie", 3: "alpha/note.md > (no heading)"}
-SQL["resolve_citations"] = (
-    "SELECT qid, " + f"replace(replace(replace(replace(answer, '[S1, S2]', '[S1: {_R[1]}; S2: {_R[2]}]'), '[S1]', '[S1: {_R[1]}]'), '[S2]', '[S2: {_R[2]}]'), '[S3]', '[S3: {_R[3]}]') AS answer FROM {cases.ANSWERS.sql()}"
-)
-SQL["spelled_numbers"] = "SELECT * FROM (VALUES (1::BIGINT, '19500'), (2, '101,2000000'), (3, ''), (4, '21,30'), (5, ''), (6, '100000')) t(id, numbers)"
 SQL["refusal_text"] = "SELECT lang, doc_id % 5 < 2 AS refusal, count(*) AS n FROM documents GROUP BY 1, 2"
 SQL["loop_detector"] = "SELECT doc_id, length(text) >= 300 AND (length(right(text, 3600)) - length(replace(right(text, 3600), right(text, 300), ''))) / 300 >= 3 AS stuck FROM documents"
 SQL["finish_status"] = "SELECT CASE WHEN event_type = 'error' THEN 'TRUNCATED' WHEN event_type = 'signup' THEN 'LOOP' WHEN value < 5 THEN 'EMPTY ANSWER' ELSE 'none' END AS warning, count(*) AS n FROM events GROUP BY 1"
@@ -249,8 +233,6 @@ SQL["mcnemar_exact"] = f"""WITH {_SCORED}, g AS (SELECT source, count(*) AS pair
 SELECT *, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 6) AS p FROM g"""
 SQL["pairs_agree"] = f"""WITH {_SCORED}, g AS (SELECT doc_id // 2 AS pair, bool_and(label = 'CORRECT') AS c, bool_or(label = 'WRONG') AS w FROM scored GROUP BY 1) SELECT count(*) AS pairs, count(*) FILTER (c) AS all_correct, count(*) FILTER (w) AS any_wrong FROM g"""
 SQL["sweep_table"] = "SELECT event_type AS setting, user_id % 10 AS item, count(*) AS n, count(*) FILTER (value > 50) AS correct, count(DISTINCT left(props, 120)) AS distinct_answers FROM events GROUP BY 1, 2"
-SQL["score_items"] = "SELECT unnest(range(1, 11)) AS n, unnest([true, true, false, false, true, false, true, true, false, false]) AS passed"
-SQL["score_three_way"] = "SELECT unnest(range(1, 11)) AS n, unnest(['CORRECT', 'CORRECT', 'SILENT', 'SILENT', 'CORRECT', 'WRONG', 'CORRECT', 'WRONG', 'WRONG', 'CORRECT']) AS label"
 SQL["score_judged"] = """WITH d AS (SELECT *, doc_id % 12 AS k, doc_id % 24 = 19 AS lost, lang = 'de' AS other FROM documents),
 r AS (SELECT *, CASE k WHEN 0 THEN 'no record' WHEN 1 THEN 'error' WHEN 2 THEN 'forbidden token' WHEN 3 THEN 'refused' WHEN 5 THEN 'required token missing' WHEN 6 THEN 'amount not in the cited source'
   WHEN 7 THEN concat_ws('; ', CASE WHEN other THEN 'forbidden name' END, CASE WHEN lost THEN 'amount in no chunk' END)
@@ -310,9 +292,4 @@ SQL["build_manifest"] = """SELECT source || '/' || doc_id AS file, lang AS kind,
 SQL["corpus_structure"] = """WITH t AS (SELECT conv_id AS k, conv_id::VARCHAR AS file, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT file, 'numbers with gaps' AS "check" FROM t WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT file, 'no single overview' FROM t WHERE k % 5 = 0 AND n > 1 UNION ALL SELECT file, 'skipped but indexed' FROM t WHERE k % 7 = 0
 UNION ALL SELECT 'x' || file, 'neither indexed nor skipped' FROM t WHERE k % 13 = 0 UNION ALL SELECT 'p' || file, 'partly read but not indexed' FROM t WHERE k % 11 = 0"""
-SQL["question_overrides"] = """SELECT * FROM (VALUES (1::BIGINT, NULL, NULL::BIGINT, false, 'What is the fee?', false), (2, 'firm-alpha/2026', 8, false, 'What is the fee?', false), (3, NULL, NULL, true, 'a :: b', false),
-  (4, NULL, NULL, false, 'x', true), (5, NULL, NULL, false, 'x', true), (6, NULL, NULL, false, 'plain', false)) t(qid, scope, top_k, diverse, question, bad)"""
-SQL["markdown_chunks"] = """SELECT * FROM (VALUES ('a.md#0', 'Plan', '', 'First paragraph.' || chr(10) || chr(10) || 'Second paragraph.'), ('a.md#1', 'Plan', '', '| a | b |' || chr(10) || '| 1 | 2 |'), ('a.md#2', 'Plan', '', 'After the table.'),
-  ('a.md#3', 'Fees', 'Plan', 'The fee is 4,800.'), ('a.md#4', '2024-05-07 A -> B', '', 'Hello.'), ('b.md#0', 'page 1', '', 'No heading.' || chr(10) || chr(10) || 'Still none.'), ('b.md#1', 'page 2 / Second page', '', 'Text.')) t(chunk_id, heading, title, text)"""
-SQL["stream_answers"] = "SELECT * FROM (VALUES (1::BIGINT, 'The fee is 5.', 12::BIGINT, 'stop', NULL), (2, '', NULL, NULL, 'no model'), (3, '', NULL, NULL, 'empty stream'), (4, 'cut', NULL, 'length', NULL)) t(answer_id, answer, tokens, finish, error)"
-SQL["haystack"] = "SELECT r AS pos, r = 1000 AS needle FROM range(2000) t(r)"
+SQL |= derived.SQL

@@ -23,7 +23,7 @@ from ..operators import verify as C
 from ..session import keep, scratch
 from ..sources.files import parse_questions
 from ..streaming import live as L
-from . import cases, prompts
+from . import cases, derived, prompts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -256,7 +256,7 @@ def page_split(spark, sf):
 
 @query
 def markdown_chunks(spark, sf):
-    return S.chunk(_rows(spark, cases.MARKDOWN)).select("chunk_id", "heading", "title", "text")
+    return S.chunk(derived.markdown(spark, sf)).select("chunk_id", "heading", "title", "text")
 
 
 # -- threads
@@ -318,7 +318,7 @@ def first_seen_names(spark, sf):
 
 @query
 def senders_named(spark, sf):
-    return T.senders_named(_rows(spark, cases.ROUTING), _rows(spark, cases.SENDERS))
+    return T.senders_named(derived.sender_questions(spark, sf), derived.senders(spark, sf))
 
 
 @query
@@ -330,18 +330,18 @@ def dates_named(spark, sf):
 
 @query
 def ordinals_named(spark, sf):
-    return _rows(spark, cases.ROUTING).select("qid", T.ordinals_named(F.col("question")).cast("long").alias("ordinal"))
+    return derived.ordinal_questions(spark, sf).select("qid", T.ordinals_named(F.col("question")).cast("long").alias("ordinal"))
 
 
 @query
 def subject_verbs(spark, sf):
-    s = _rows(spark, cases.SUBJECTS)
+    s = derived.subjects(spark, sf)
     return s.select("id", X.base_subject(F.col("subject")).alias("base"), X.subject_verb(F.col("subject"), F.lit(False), F.lit(False)).alias("verb"))
 
 
 @query
 def display_names(spark, sf):
-    return _rows(spark, cases.PARTIES).select("id", X.display_name(F.col("party")).alias("name"))
+    return derived.parties(spark, sf).select("id", X.display_name(F.col("party")).alias("name"))
 
 
 @query
@@ -371,57 +371,49 @@ def verify_numbers(spark, sf):
     return C.unverified_numbers(answers, sources)
 
 
-def _answers(spark):
-    return _rows(spark, cases.ANSWERS)
-
-
-def _sources(spark):
-    return _rows(spark, cases.SOURCES)
-
-
 @query
 def verify_citation_numbers(spark, sf):
-    return C.mis_cited(_answers(spark), _sources(spark))
+    return C.mis_cited(derived.answers(spark, sf), derived.sources(spark, sf))
 
 
 @query
 def verify_citations(spark, sf):
-    return C.forged(_answers(spark), _sources(spark)).select("qid", *_long("label"))
+    return C.forged(derived.answers(spark, sf), derived.sources(spark, sf)).select("qid", *_long("label"))
 
 
 @query
 def verify_attribution(spark, sf):
-    return C.unverified_attributions(_answers(spark), _sources(spark))
+    return C.unverified_attributions(derived.answers(spark, sf), derived.sources(spark, sf))
 
 
 @query
 def verify_negatives(spark, sf):
-    return C.unverified_negatives(_answers(spark), _sources(spark))
+    return C.unverified_negatives(derived.answers(spark, sf), derived.sources(spark, sf))
 
 
 @query
 def verify_grounding(spark, sf):
-    return C.ungrounded(_answers(spark)).select("qid", *_long("claim_no"), "claim")
+    return C.ungrounded(derived.answers(spark, sf)).select("qid", *_long("claim_no"), "claim")
 
 
 @query
 def inference_labels(spark, sf):
-    return _answers(spark).select("qid", C.missing_inference(F.col("answer")).alias("missing"))
+    return derived.answers(spark, sf).select("qid", C.missing_inference(F.col("answer")).alias("missing"))
 
 
 @query
 def cap_citations(spark, sf):
-    return _answers(spark).select("qid", C.cap_citations(F.col("answer")).alias("answer"))
+    return derived.answers(spark, sf).select("qid", C.cap_citations(F.col("answer")).alias("answer"))
 
 
 @query
 def resolve_citations(spark, sf):
-    return C.resolve_citations(_answers(spark), _sources(spark))
+    return C.resolve_citations(derived.answers(spark, sf), derived.sources(spark, sf))
 
 
 @query
 def spelled_numbers(spark, sf):
-    return _rows(spark, cases.SPELLED).select("id", F.array_join(C.spelled_numbers(F.col("text")), ",").alias("numbers"))
+    return derived.spelled(spark, sf).select("id", F.array_join(C.spelled_numbers(F.col("text")), ",").alias("numbers"))
 
 
 @query
@@ -582,12 +574,12 @@ def sweep_table(spark, sf):
 
 @query
 def score_items(spark, sf):
-    return E.passes(_rows(spark, cases.ITEMS)).select("n", "passed")
+    return E.passes(derived.items(spark, sf)).select("n", "passed")
 
 
 @query
 def score_three_way(spark, sf):
-    return E.three_way(_rows(spark, cases.ITEMS)).select("n", "label")
+    return E.three_way(derived.items(spark, sf)).select("n", "label")
 
 
 def _cast(kind: str):
@@ -799,16 +791,17 @@ def corpus_structure(spark, sf):
 
 @query
 def question_overrides(spark, sf):
-    q = parse_questions(_rows(spark, cases.OVERRIDES))
+    q = parse_questions(derived.overrides(spark, sf))
     return q.select("qid", "scope", *_long("top_k"), "diverse", "question", F.col("error").isNotNull().alias("bad"))
 
 
 @query
 def stream_answers(spark, sf):
-    return L.answers(_rows(spark, cases.FRAMES)).select("answer_id", "answer", "tokens", "finish", "error")
+    return L.answers(derived.frames(spark, sf)).select("answer_id", "answer", "tokens", "finish", "error")
 
 
 @query
 def haystack(spark, sf):
-    h = P.haystack(spark, 2000, "The vault code is 4711.", 0.5)
-    return h.select("pos", F.contains("text", F.lit("4711")).alias("needle"))
+    filler = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")
+    h = P.hidden_in(filler, "The vault code is 4711.", 0.5)
+    return h.select("pos", F.contains("text", F.lit("vault code is 4711")).alias("needle"))

@@ -6,7 +6,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -21,12 +21,16 @@ def stem(t: Column) -> Column:
     return F.when((F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss"), F.left(t, F.length(t) - 1)).otherwise(t)
 
 
-def tokens(text: Column) -> Column:
-    """Array of terms: stop words go before stemming; a compound gives itself and its parts that are no stop words."""
-    whole = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP))
-    part = lambda t: F.transform(F.filter(F.split(t, r"[._\-]+"), lambda p: ~p.isin(["", *STOP])), stem)
-    compound = lambda t: F.translate(t, "._-", "") != t
-    return F.flatten(F.transform(whole, lambda t: F.when(compound(t), F.concat(F.array(stem(t)), part(t))).otherwise(F.array(stem(t)))))
+def terms(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(*keys, term), a row for each token of each row's text. Stop words go before stemming; a compound gives itself and its parts that are no stop words.
+
+    Tokens are rows, not arrays, so that all that is done to each of them runs in generated code.
+    """
+    words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_t")).where(~F.col("_t").isin(STOP))
+    compound = F.translate("_t", "._-", "") != F.col("_t")
+    parts = F.posexplode(F.when(compound, F.concat(F.array("_t"), F.split("_t", r"[._\-]+"))).otherwise(F.array("_t"))).alias("_k", "_t")
+    every = words.select(*keys, parts).where((F.col("_k") == 0) | ~F.col("_t").isin(["", *STOP]))
+    return every.select(*keys, stem(F.col("_t")).alias("term"))
 
 
 def chunk_text(text: Column, heading: Column, file: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,25 +18,29 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, terms): all terms of each chunk."""
-    return chunks.select("chunk_id", X.tokens(X.chunk_text(F.col("text"), F.col("heading"), F.col("file"))).alias("terms"))
+    """(chunk_id, term), a row for each token."""
+    return X.terms(chunks, X.chunk_text(F.col("text"), F.col("heading"), F.col("file")), "chunk_id")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, n_tokens). A chunk's terms are counted where the chunk is: what partial aggregation sends on is its postings."""
-    rows = chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"), "terms")
-    return rows.select("chunk_id", "n_tokens", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.any_value("n_tokens").alias("n_tokens"))
+    """(chunk_id, term, tf, n_tokens). Texts are dealt out by chunk first, so that terms and lengths are counted where they are and nothing else is shuffled."""
+    tf = chunk_terms(chunks.repartition("chunk_id")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return tf.withColumn("n_tokens", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens) of all chunks, those without a token too."""
-    return chunk_terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("n_tokens"))
+    found = chunk_terms(chunks).groupBy("chunk_id").agg(F.count("*").alias("n_tokens"))
+    return _all_lengths(chunks, found)
+
+
+def _all_lengths(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
 
 
 def lengths_of(posts: DataFrame, chunks: DataFrame) -> DataFrame:
     """The same from postings, without reading a text again."""
-    found = posts.groupBy("chunk_id").agg(F.any_value("n_tokens").alias("n_tokens"))
-    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
+    return _all_lengths(chunks, posts.groupBy("chunk_id").agg(F.any_value("n_tokens").alias("n_tokens")))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

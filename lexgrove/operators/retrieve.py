@@ -27,7 +27,7 @@ GENERIC_FOLDER_WORDS = ["firm", "ip", "law", "llp", "llc", "pc", "group", "partn
 
 def question_terms(questions: DataFrame) -> DataFrame:
     """(qid, term), each once."""
-    return questions.select("qid", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("term"))
+    return X.terms(questions, F.col("question"), "qid").distinct()
 
 
 def bm25(posts: DataFrame, statistics: DataFrame, df: DataFrame, questions: DataFrame) -> DataFrame:

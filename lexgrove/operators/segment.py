@@ -82,13 +82,14 @@ def _reached(rows: DataFrame) -> DataFrame:
     """(file, k) of all that the first of a run leads to over next: pointers double in each round, so that the rounds are the logarithm of the most chunks of a run."""
     jumps = rows.where("next is not null").select("file", "k", "next")
     reached = rows.where("begins and next is not null").select("file", "k")
-    found = []
-    while not (jumps := keep(jumps, "jumps")).isEmpty():
-        new = keep(reached.join(jumps, ["file", "k"]).select("file", F.col("next").alias("k")), "reached")
-        found.append(new)
-        reached = reached.union(new)
-        jumps = jumps.join(jumps.select("file", F.col("k").alias("next"), F.col("next").alias("_far")), ["file", "next"]).select("file", "k", F.col("_far").alias("next"))
-    return reduce(DataFrame.union, found, rows.where("begins").select("file", "k"))
+    found = [rows.where("begins").select("file", "k")]
+    while not jumps.isEmpty():
+        new = reached.join(jumps, ["file", "k"]).select("file", F.col("next").alias("k"), F.lit(None).cast("int").alias("next"))
+        far = jumps.join(jumps.select("file", F.col("k").alias("next"), F.col("next").alias("_far")), ["file", "next"]).select("file", "k", F.col("_far").alias("next"))
+        both = keep(new.union(far), "jumps")
+        found.append(both.where("next is null").select("file", "k"))
+        reached, jumps = reached.union(found[-1]), both.where("next is not null")
+    return reduce(DataFrame.union, found)
 
 
 def merge(raw: DataFrame, most: int = MERGE_CHARS) -> DataFrame:

@@ -78,17 +78,17 @@ def _followers(raw: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("next", F.when(follows <= F.col("_end"), follows).cast("int")).drop("_size", "_before", "_all", "_end", "_past")
 
 
-def _reached(rows: DataFrame) -> DataFrame:
-    """(file, k) of all that the first of a run leads to over next: pointers double in each round, so that the rounds are the logarithm of the most chunks of a run."""
+def reached(rows: DataFrame) -> DataFrame:
+    """(file, k, begins, next) -> (file, k) of what begins, and of all that it leads to over next: pointers double in each round, so that the rounds are the logarithm of the most chunks of a run."""
     jumps = rows.where("next is not null").select("file", "k", "next")
-    reached = rows.where("begins and next is not null").select("file", "k")
+    at = rows.where("begins and next is not null").select("file", "k")
     found = [rows.where("begins").select("file", "k")]
     while not jumps.isEmpty():
-        new = reached.join(jumps, ["file", "k"]).select("file", F.col("next").alias("k"), F.lit(None).cast("int").alias("next"))
+        new = at.join(jumps, ["file", "k"]).select("file", F.col("next").alias("k"), F.lit(None).cast("int").alias("next"))
         far = jumps.join(jumps.select("file", F.col("k").alias("next"), F.col("next").alias("_far")), ["file", "next"]).select("file", "k", F.col("_far").alias("next"))
         both = keep(new.union(far), "jumps")
         found.append(both.where("next is null").select("file", "k"))
-        reached, jumps = reached.union(found[-1]), both.where("next is not null")
+        at, jumps = at.union(found[-1]), both.where("next is not null")
     return reduce(DataFrame.union, found)
 
 
@@ -100,7 +100,7 @@ def merge(raw: DataFrame, most: int = MERGE_CHARS) -> DataFrame:
     its length times the logarithm of its chunks.
     """
     rows = keep(_followers(raw, most), "followers")
-    starts = _reached(rows).withColumn("_start", F.lit(1))
+    starts = reached(rows).withColumn("_start", F.lit(1))
     w = Window.partitionBy("file").orderBy("k")
     placed = rows.select("file", "k", "heading", "title", "text").join(starts, ["file", "k"], "left").withColumn("chunk_pos", (F.count("_start").over(w) - 1).cast("int"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n")

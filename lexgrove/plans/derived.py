@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.threads import ORDINALS
@@ -188,6 +188,22 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def threads(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, line_no, line): each conversation as one mail: its last turn on top, every earlier one quoted in it, a level deeper each, in three styles."""
+    c = _t(spark, sf, "conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    turn, who, style = F.col("turn").cast("string"), F.col("role"), F.col("conv_id") % 3
+    party = F.concat(F.initcap(who), F.lit(" Party <"), who, F.lit("@x.example>"))
+    block = F.concat(F.lit("From: "), party, F.lit("\nSent: Tuesday, March 5, 2026 4:4"), turn, F.lit(" PM\nTo: Someone <s@x.example>\nSubject: RE: topic "), turn, F.lit("\n\n"))
+    german = F.concat(F.lit("-----Original Message-----\n**Von:** "), party, F.lit("\nGesendet: 0"), turn, F.lit(".03.2026 10:00\nAn: Jemand\nBetreff: AW: topic "), turn, F.lit("\n\n"))
+    wrote = F.concat(F.lit("On Mon, Mar 4, 2026 at 9:1"), turn, F.lit(" AM "), party, F.when(F.col("turn") % 2 == 0, F.lit(" wrote:\n")).otherwise("\nwrote:\n"))
+    own = F.concat(F.when(F.col("turn") == F.col("_last"), "").when(style == 0, block).when(style == 1, wrote).otherwise(german), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    marks = F.repeat(F.lit("> "), (F.col("_last") - F.col("turn")).cast("int"))
+    rows = c.withColumn("_last", last).select("conv_id", (F.col("_last") - F.col("turn")).alias("depth"), marks.alias("marks"), F.posexplode(F.split(own, "\n")).alias("k", "l"))
+    number = F.col("depth") * 1_000_000 + F.col("k")
+    return rows.select(F.col("conv_id").cast("string").alias("file"), number.alias("line_no"), F.concat("marks", "l").alias("line"))
+
+
 # -- the same in SQL
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
@@ -248,6 +264,13 @@ SELECT doc_id AS qid, CASE WHEN k = 1 THEN source || '/x' END AS scope, CASE WHE
     "stream_answers": """SELECT conv_id AS answer_id, string_agg(text, '' ORDER BY turn) AS answer, CASE WHEN conv_id % 5 > 1 THEN sum(length(text))::BIGINT END AS tokens,
   CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'length' ELSE 'stop' END AS finish, CASE WHEN conv_id % 5 = 0 THEN 'no model' END AS error FROM conversations GROUP BY conv_id""",
     "haystack": "SELECT doc_id AS pos, doc_id = (SELECT quantile_disc(doc_id, 0.5) FROM documents) AS needle FROM documents",
+    "thread_split": r"""WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last, upper(role[1]) || role[2:] || ' Party <' || role || '@x.example>' AS party FROM conversations)
+SELECT conv_id::VARCHAR AS file, last - turn AS pos, CASE WHEN turn = last THEN '' ELSE party END AS sender, CASE WHEN turn = last OR conv_id % 3 = 1 THEN '' WHEN conv_id % 3 = 0 THEN 'Someone <s@x.example>' ELSE 'Jemand' END AS recipient,
+  CASE WHEN turn = last OR conv_id % 3 = 1 THEN '' WHEN conv_id % 3 = 0 THEN 'RE: topic ' || turn ELSE 'AW: topic ' || turn END AS subject,
+  CASE WHEN turn = last THEN '' WHEN conv_id % 3 = 0 THEN 'Tuesday, March 5, 2026 4:4' || turn || ' PM' WHEN conv_id % 3 = 1 THEN 'Mon, Mar 4, 2026 at 9:1' || turn || ' AM ' || party ELSE '0' || turn || '.03.2026 10:00' END AS date_raw,
+  sha256(regexp_replace(regexp_replace(text, '^\s*
+', ''), '
+\s*$', '')) AS sha256 FROM c""",
     # of the keys: k = 3 needs one of two languages, k = 6 two of three facts
     "score_items": "SELECT doc_id AS n, CASE doc_id % 10 WHEN 2 THEN false WHEN 3 THEN lang IN ('en', 'de') WHEN 5 THEN false WHEN 8 THEN false WHEN 9 THEN false ELSE true END AS passed FROM documents",
     "score_three_way": "SELECT doc_id AS n, CASE doc_id % 10 WHEN 2 THEN 'SILENT' WHEN 3 THEN CASE WHEN lang IN ('en', 'de') THEN 'CORRECT' ELSE 'SILENT' END WHEN 5 THEN 'WRONG' WHEN 7 THEN 'WRONG' WHEN 8 THEN 'WRONG' ELSE 'CORRECT' END AS label FROM documents",

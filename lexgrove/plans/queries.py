@@ -13,6 +13,7 @@ from ..operators import audit as U
 from ..operators import corpus as P
 from ..operators import coverage as V
 from ..operators import index as I
+from ..operators import quoted as Q
 from ..operators import retrieve as R
 from ..operators import score as E
 from ..operators import segment as S
@@ -310,6 +311,12 @@ def plan_read(spark, sf):
     return planned.select("file", "chunks", "target_chunks", "plan")
 
 
+@query
+def thread_split(spark, sf):
+    m = Q.split(derived.threads(spark, sf))
+    return m.select("file", *_long("pos"), F.col("from").alias("sender"), F.col("to").alias("recipient"), "subject", "date_raw", F.sha2("text", 256).alias("sha256"))
+
+
 @query
 def first_seen_names(spark, sf):
     m = _messages(spark, sf).groupBy("file", "sender").agg(F.min("pos").alias("at"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lexgrove import schema
 from lexgrove.functions import dates, stats, text
-from lexgrove.operators import audit, corpus, coverage, index, retrieve, score, segment, threads, verify
+from lexgrove.operators import audit, corpus, coverage, index, quoted, retrieve, score, segment, threads, verify
 from lexgrove.plans import api, prompts
 from lexgrove.plans.generate import RecordedGenerator
 from lexgrove.sources import files, mail, office
@@ -113,6 +113,28 @@ def test_index_is_up_to_date_only_without_changes(spark):
     assert not index.up_to_date(index.file_changes(a, a), index.CHUNK_VERSION, False, True) and not index.up_to_date(index.file_changes(a, a), 0, True, True)
 
 
+def test_quoted_chains_are_split_alike_by_rows_and_by_file(spark):
+    rnd = random.Random(8)
+    pieces = [
+        "Thanks, filed.", "", "   ", "From: Tomas Brandl <tb@x.example>\nSent: Tuesday, March 3, 2026 4:40 PM\nTo: Ines <ines@x.example>; Al\n\tNg <al@x.example>\nCc: 'X' <x@x.example>\nSubject: RE: Fees", "From: alone\nno date here",
+        "*Von:* Tomas\n*Gesendet:* 03.03.2026\n*An:* Ines\n*Betreff:* AW: x", "On Mon, Mar 2, 2026 at 9:12 AM Ines Halvorsen <ines@x.example> wrote:", "On Mon, Mar 2, 2026, Ines Halvorsen\n<ines@x.example> wrote:", "On reflection he wrote:", "Le 2 mars 2026 à 10:00, Zoé a écrit :",
+        "2026. 3. 2. 오후 3:10, 이수진 님이 작성:", "-----Original Message-----", "Begin forwarded message:", "__________", "From: a\nDate: 2026-01-01\nFrom: b <b@x.example>\nDate: 2026-01-02\nSubject: s", "Subject: no sender\nDate: 2026-01-01",
+        "From: long\n one\n two\n three\n four\n five\n six\nDate: 2026-01-01\nTo: x", "Note: text", "> quoted\n>> deeper", "On the 5th, x@y.example writes:", "Am 5. Mai 2026 schrieb Karl <k@x.example>:", "Date: 2026-01-01 From: x", "보낸 사람: 김\n보낸 날짜: 2026-03-01\n받는 사람: 이\n제목: 건",
+    ]
+    bodies = {}
+    for k in range(60):
+        out, depth = [], 0
+        for _ in range(rnd.randint(0, 9)):
+            out += ["> " * depth + x + rnd.choice(["", "", "\r"]) for x in rnd.choice(pieces).split("\n")]
+            depth += rnd.random() < 0.3
+        bodies[f"f{k:02d}"] = out
+    rows = [(f, k, x) for f, lines in bodies.items() for k, x in enumerate(lines)]
+    got = quoted.split(spark.createDataFrame(rows, "file string, line_no int, line string").repartition(3)).orderBy("file", "pos").collect()
+    have = [(r.file, r.pos, r["from"], r.to, r.cc, r.subject, r.date_raw, r.text) for r in got]
+    want = [(f, k, m["from"], m["to"], m["cc"], m["subject"], m["date_raw"], "\n".join(m["lines"])) for f, lines in sorted(bodies.items()) if lines for k, m in enumerate(mail.split_thread(lines))]
+    assert have == want
+
+
 def docx(body, **parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

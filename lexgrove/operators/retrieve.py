@@ -20,6 +20,8 @@ from . import index as I
 # The ranking constants.
 K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT = 60, 0.5
+#: Scores whose difference is less may be equal once they are rounded to nine places.
+ROUNDED = 2e-9
 TOP_K, MIN_SCORE, DENSE_MIN, REASON_TOP_K = 5, 1.0, 0.5, 8
 QUOTA_MIN, RESCUE_DIGITS, RESCUE_MAX = 3, 3, 2
 GENERIC_FOLDER_WORDS = ["firm", "ip", "law", "llp", "llc", "pc", "group", "partners", "the", "and", "of", "co"]
@@ -63,6 +65,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Parts of unit vectors are counted in steps of 1e-5, so that a cosine is a whole number of 1e-10 wherever it is computed, and ties are ties.
+_STEPS = 100_000
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a with each row of b, to six places, halves up."""
+    exact = np.rint(a * _STEPS) @ np.rint(b * _STEPS).T
+    return np.floor((exact + 5_000) / 10_000) / 1e6
+
+
+def cosine_of(a: Column, b: Column) -> Column:
+    """The same for two columns."""
+    steps = lambda v: F.transform(v.cast("array<double>"), lambda x: F.rint(x * _STEPS))
+    return F.floor((dot(steps(a), steps(b)) + 5_000) / 10_000) / 1e6
+
+
 def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
     """The asked vectors (qid, q), some `block` at a time, as their numbers and a matrix."""
     n = max(1, -(-asked.count() // block))
@@ -93,7 +111,7 @@ def cosine(vectors: DataFrame, asked: DataFrame, k: int | None, block: int = 512
             who, best = [[] for _ in ids], [np.zeros(0) for _ in ids]
             for b in batches:
                 names = np.array(b.column(0).to_pylist(), object)
-                score = np.round(_matrix(b.column(1)) @ matrix.T + 0.0, 6) if len(b) else np.zeros((0, len(ids)))
+                score = _cosines(_matrix(b.column(1)), matrix) if len(b) else np.zeros((0, len(ids)))
                 for i, qid in enumerate(ids):
                     if k is None:
                         yield pa.RecordBatch.from_arrays([pa.array([qid] * len(names)), pa.array(names.tolist()), pa.array(score[:, i])], ["qid", "chunk_id", "cos"])
@@ -123,7 +141,7 @@ def cosine_ranks(vectors: DataFrame, asked: DataFrame, wanted: DataFrame, block:
     that a block's are few.
     """
     pairs = wanted.join(vectors.select(F.col("vec_id").alias("chunk_id"), "v"), "chunk_id").join(asked, "qid")
-    scored = pairs.select("qid", "chunk_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("cos"))
+    scored = pairs.select("qid", "chunk_id", cosine_of(F.col("v"), F.col("q")).alias("cos"))
     results = []
     for ids, matrix in _blocks(asked.where("q is not null"), block):
         held = scored.join(asked.sparkSession.createDataFrame([(i,) for i in ids], asked.select("qid").schema), "qid", "left_semi").orderBy("qid", F.desc("cos"), "chunk_id").collect()
@@ -135,7 +153,7 @@ def cosine_ranks(vectors: DataFrame, asked: DataFrame, wanted: DataFrame, block:
                 if not len(b):
                     continue
                 names = np.array(b.column(0).to_pylist(), object)
-                score = np.round(_matrix(b.column(1)) @ matrix.T + 0.0, 6)
+                score = _cosines(_matrix(b.column(1)), matrix)
                 for i, qid in enumerate(ids):
                     if qid not in lists:
                         continue
@@ -158,25 +176,30 @@ def cosine_ranks(vectors: DataFrame, asked: DataFrame, wanted: DataFrame, block:
 
 
 def fused_top(bm: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, rrf, rank): the k best by reciprocal ranks, without ranking everything for a question. asked: qid, q; k is at most 61.
+    """(qid, chunk_id, rrf, rank): the k best by reciprocal ranks, for any k, without ranking everything for a question. asked: qid, q.
 
-    The k-th best is at least 1 / (60 + k) where k chunks have a term of the question. So a chunk of lexical rank r, at the best a near one by cosine,
-    needs 1 / (60 + r) + 0.5 / 61 to be that much; and one without a term, at most 0.5 / 61, gets a place only if fewer than k have one, when it is
-    among the nearest 2 k. Ranks by cosine of these candidates are counted.
+    A threshold algorithm. Both rankings are read to a depth at which what neither has shown, at most 1.5 / (61 + depth), can't reach the k-th of the lexical
+    ones, 1 / (60 + k); where fewer have a term all of those are read, and the nearest k fill up. A candidate's known part is its lower bound, and
+    with what a rank just below the depth would add its upper one; the k-th lower bound of a question leaves few whose other rank is looked for: by cosine it is
+    counted, in the lexical ranking it is read as far as the lowest of them. ROUNDED is what scores are rounded by, so that ties are those of rrf().
     """
-    least = 1 / (RRF_K + k) - DENSE_WEIGHT / (RRF_K + 1)
-    if least <= 0:
-        raise ValueError(f"k = {k} is too large for bounded candidates")
-    lexical = top(bm.where("bm25 > 0"), "bm25", int(1 / least) - RRF_K + 1).select("qid", "chunk_id", F.col("rank").alias("_rb"))
-    lexical = keep(lexical, "lexical")
-    near = cosine(vectors, asked, 2 * k).select("qid", "chunk_id", F.col("rank").alias("_near"))
-    # of the near ones, those with a term but too low a lexical rank cannot get a place
-    low = bm.where("bm25 > 0").join(near.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").join(lexical, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id")
-    dense = near.join(low, ["qid", "chunk_id"], "left_anti").join(lexical, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", F.lit(None).cast("int").alias("_rb"), F.col("_near").cast("long").alias("_rc"))
-    ranks = cosine_ranks(vectors, asked, lexical.select("qid", "chunk_id")).select("qid", "chunk_id", F.col("rank").alias("_rc"))
-    both = lexical.join(ranks, ["qid", "chunk_id"], "left").select("qid", "chunk_id", "_rb", "_rc").union(dense)
-    fused = F.coalesce(1.0 / (RRF_K + F.col("_rb")), F.lit(0.0)) + F.coalesce(DENSE_WEIGHT / (RRF_K + F.col("_rc")), F.lit(0.0))
-    return top(both.select("qid", "chunk_id", F.round(fused, 9).alias("rrf")), "rrf", k)
+    depth = int(1.5 / (1 / (RRF_K + k) - ROUNDED)) - RRF_K
+    pair = ["qid", "chunk_id"]
+    lexical = keep(top(bm.where("bm25 > 0"), "bm25", depth).select(*pair, F.col("rank").alias("_rb")), "lexical")
+    near = keep(cosine(vectors, asked, depth).select(*pair, F.col("rank").alias("_rc")), "near")
+    part = lambda weight, rank: F.coalesce(weight / (RRF_K + F.col(rank)), F.lit(0.0))
+    both = lexical.join(near, pair, "full_outer").withColumn("_low", part(F.lit(1.0), "_rb") + part(F.lit(DENSE_WEIGHT), "_rc"))
+    missing = F.when(F.col("_rb").isNull(), 1.0).otherwise(0.0) + F.when(F.col("_rc").isNull(), DENSE_WEIGHT).otherwise(0.0)
+    least = both.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_low")))).where(F.col("_n") == k).select("qid", F.col("_low").alias("_least"))
+    live = both.join(least, "qid", "left").where(F.col("_low") + missing / (RRF_K + 1 + depth) >= F.coalesce("_least", F.lit(0.0)) - ROUNDED)
+    live = keep(live.select(*pair, "_rb", "_rc"), "candidates")
+    counted = cosine_ranks(vectors, asked, live.where("_rc is null").select(*pair)).select(*pair, F.col("rank").alias("_more_rc"))
+    scored = keep(live.where("_rb is null").select(*pair).join(bm.where("bm25 > 0"), pair), "late")
+    lowest = scored.groupBy("qid").agg(F.min("bm25").alias("_lowest"))
+    deeper = bm.join(lowest, "qid").where("bm25 > 0 and bm25 >= _lowest").withColumn("_more_rb", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "chunk_id")))
+    read = deeper.join(scored.select(*pair), pair, "left_semi").select(*pair, "_more_rb")
+    ranked = live.join(counted, pair, "left").join(read, pair, "left").select(*pair, F.coalesce("_rb", "_more_rb").alias("_rb"), F.coalesce("_rc", "_more_rc").alias("_rc"))
+    return top(ranked.select(*pair, F.round(part(F.lit(1.0), "_rb") + part(F.lit(DENSE_WEIGHT), "_rc"), 9).alias("rrf")), "rrf", k)
 
 
 def rrf(bm: DataFrame, cos: DataFrame | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .phrases import phrases_in
 
 PLACEHOLDER = r"\{\{(\w+):([\w.-]+)\}\}"
 
@@ -70,10 +71,8 @@ def source_problems(docs: DataFrame, constants: DataFrame, days: DataFrame, neve
     written = docs.select("file", each(AMOUNT_WRITTEN, 0).alias("_d"))
     dates = docs.select("file", each(ISO_DATE, 1).alias("_d")).join(days.select(F.col("day").alias("_d")), "_d", "left_anti")
     rendered = render(docs.select(F.col("file").alias("doc_id"), t.alias("text")), constants.select("kind", "id", "value"))
-    # a phrase meets the texts that have its first word
-    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(X.bare(c)), F.lit(r"(?U)\w+"), F.lit(0))))
-    first = never.select("phrase", F.regexp_extract(F.lower(X.bare(F.col("phrase"))), r"(?U)(\w+)", 1).alias("_w"))
-    said = rendered.select("doc_id", "rendered", word(F.col("rendered")).alias("_w")).join(first, "_w").where(F.contains(X.bare(F.col("rendered")), X.bare(F.col("phrase"))))
+    held = phrases_in(rendered.select("doc_id", "rendered", X.bare(F.col("rendered")).alias("_bare")), ["doc_id", "_bare"], "_bare", never.select(X.bare(F.col("phrase")).alias("phrase")))
+    said = held.withColumnRenamed("phrase", "_p").join(never.select("phrase", X.bare(F.col("phrase")).alias("_p")), "_p").where(F.contains("_bare", F.col("_p"))).select("doc_id", "phrase")
     used = docs.select("file", each(PLACEHOLDER, 2).alias("id"))
     declared = docs.select("file", F.explode(F.coalesce("declared", F.array().cast("array<string>"))).alias("id"))
     unknown = rendered.select(F.col("doc_id").alias("file"), F.explode(F.filter(F.split("unknown", ","), lambda x: x != "")).alias("_d"))

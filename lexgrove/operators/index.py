@@ -50,8 +50,9 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def statistics_of(posts: DataFrame, chunks: DataFrame) -> DataFrame:
     """corpus_statistics() from postings: their tf add up to all tokens, and chunks are only counted."""
-    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    return chunks.agg(F.count("*").alias("n_chunks")).join(total).select("n_chunks", "n_tokens", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_chunks")).alias("avg_tokens"))
+    n = chunks.agg(F.count("*")).scalar()
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).select(n.alias("n_chunks"), "n_tokens")
+    return total.select("n_chunks", "n_tokens", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_chunks")).alias("avg_tokens"))
 
 
 def corpus_statistics(chunk_lengths: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as X
+from .phrases import phrases_in
 
 # What says that something is not there, and what excludes a neighbour in a sentence.
 REFUSAL_PATTERNS = [
@@ -101,14 +102,12 @@ def three_way(items: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, key: list[str], text: str, parties: DataFrame) -> DataFrame:
     """(*key, party), each once: parties that a text names by an alias, not as part of a longer word, and not within a name that is another's.
 
-    parties: party, aliases, not_aliases. A text meets the aliases whose first word it has, by an equi join.
+    parties: party, aliases, not_aliases. All aliases are looked for in one pass over the texts.
     """
-    word = r"[a-z]+|[0-9]+"
-    alias = parties.select("party", "not_aliases", F.explode(F.array_distinct("aliases")).alias("_alias"))
-    alias = alias.withColumn("_word", F.regexp_extract(F.lower("_alias"), f"({word})", 1)).where("_word <> ''")
-    asked = texts.select(*key, F.col(text).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({word})"), F.lit(1)))).alias("_word"))
+    alias = parties.select("party", "not_aliases", F.explode(F.array_distinct("aliases")).alias("_alias")).where("_alias rlike '[A-Za-z0-9]'")
+    rows = texts.select(*key, F.col(text).alias("_text"))
+    met = phrases_in(rows, [*key, "_text"], "_text", alias.select(F.col("_alias").alias("phrase"))).withColumnRenamed("phrase", "_alias").join(alias, "_alias")
     quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-    met = asked.join(alias, "_word")
     blank = F.aggregate(F.coalesce("not_aliases", F.array().cast("array<string>")), F.col("_text"), lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?i)"), quoted(n)), F.lit(" ")))
     return met.where(F.regexp_like(blank, F.concat(F.lit("(?i)(?<![A-Za-z])"), quoted(F.col("_alias")), F.lit("(?![A-Za-z])")))).select(*key, "party").distinct()
 
@@ -272,10 +271,10 @@ def sweep(runs: DataFrame) -> DataFrame:
 
 def verdicts(runs: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds verdict to runs (item, answer): that of the first rule (item, place, pattern, verdict) whose pattern the lower-cased answer has, else 'ambiguous'."""
-    met = runs.withColumn("_run", F.monotonically_increasing_id()).join(rules.select("item", "place", "pattern", F.col("verdict").alias("_v")), "item", "left")
-    hit = F.when(F.regexp_like(F.lower(F.coalesce("answer", F.lit(""))), F.col("pattern")), F.struct("place", F.col("_v").alias("verdict")))
-    found = met.groupBy("_run", *runs.columns).agg(F.min(hit).alias("_hit"))
-    return found.select(*runs.columns, F.coalesce("_hit.verdict", F.lit("ambiguous")).alias("verdict"))
+    listed = rules.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("place", "pattern", F.col("verdict").alias("v")))).alias("_rules"))
+    answer = F.lower(F.coalesce("answer", F.lit("")))
+    first = F.get(F.filter("_rules", lambda r: F.regexp_like(answer, r["pattern"])), F.lit(0))
+    return runs.join(listed, "item", "left").withColumn("verdict", F.coalesce(first["v"], F.lit("ambiguous"))).select(*runs.columns, "verdict")
 
 
 def best_setting(tallies: DataFrame) -> DataFrame:

@@ -292,4 +292,10 @@ SQL["build_manifest"] = """SELECT source || '/' || doc_id AS file, lang AS kind,
 SQL["corpus_structure"] = """WITH t AS (SELECT conv_id AS k, conv_id::VARCHAR AS file, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT file, 'numbers with gaps' AS "check" FROM t WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT file, 'no single overview' FROM t WHERE k % 5 = 0 AND n > 1 UNION ALL SELECT file, 'skipped but indexed' FROM t WHERE k % 7 = 0
 UNION ALL SELECT 'x' || file, 'neither indexed nor skipped' FROM t WHERE k % 13 = 0 UNION ALL SELECT 'p' || file, 'partly read but not indexed' FROM t WHERE k % 11 = 0"""
+SQL["phrase_mentions"] = r"""WITH p AS (SELECT DISTINCT lower(regexp_extract(text, '^(?:\S+\s){4}\S+')) AS phrase FROM benchmark)
+SELECT doc_id, phrase FROM documents JOIN p ON phrase <> '' AND contains(lower(text), phrase)"""
+SQL["nested_messages"] = r"""WITH RECURSIVE o AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, CASE WHEN turn = 0 THEN 'Re: top ' || conv_id WHEN turn % 3 = 2 THEN 'Fwd: part ' || turn END AS own FROM conversations),
+t AS (SELECT conv_id, turn, own AS subject, false AS inherited, 0::BIGINT AS depth, lpad(turn::VARCHAR, 9, '0') AS path FROM o WHERE parent IS NULL
+  UNION ALL SELECT o.conv_id, o.turn, coalesce(o.own, t.subject), o.own IS NULL, t.depth + 1, t.path || '.' || lpad(o.turn::VARCHAR, 9, '0') FROM o JOIN t ON o.conv_id = t.conv_id AND o.parent = t.turn)
+SELECT conv_id AS file, turn AS part, CASE WHEN inherited THEN regexp_replace(subject, '^(Re|Fwd): ', '') ELSE subject END AS subject, inherited, depth, path FROM t"""
 SQL |= derived.SQL

@@ -13,6 +13,7 @@ from ..operators import audit as U
 from ..operators import corpus as P
 from ..operators import coverage as V
 from ..operators import index as I
+from ..operators import phrases as H
 from ..operators import quoted as Q
 from ..operators import retrieve as R
 from ..operators import score as E
@@ -317,6 +318,16 @@ def thread_split(spark, sf):
     return m.select("file", *_long("pos"), F.col("from").alias("sender"), F.col("to").alias("recipient"), "subject", "date_raw", F.sha2("text", 256).alias("sha256"))
 
 
+@query
+def nested_messages(spark, sf):
+    """Turns as attached messages: each hangs under the one of half its number; every third has a subject of its own."""
+    c = _t(spark, sf, "conversations")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    subject = F.when(F.col("turn") == 0, F.concat(F.lit("Re: top "), F.col("conv_id").cast("string"))).when(F.col("turn") % 3 == 2, F.concat(F.lit("Fwd: part "), F.col("turn").cast("string")))
+    n = T.nested(c.select(F.col("conv_id").alias("file"), F.col("turn").alias("part"), parent.alias("parent"), subject.alias("subject")))
+    return n.select("file", "part", "subject", "inherited", *_long("depth"), "path")
+
+
 @query
 def first_seen_names(spark, sf):
     m = _messages(spark, sf).groupBy("file", "sender").agg(F.min("pos").alias("at"))
@@ -378,6 +389,13 @@ def verify_numbers(spark, sf):
     return C.unverified_numbers(answers, sources)
 
 
+@query
+def phrase_mentions(spark, sf):
+    """Beginnings of the benchmark's items in all documents."""
+    start = F.regexp_extract("text", r"^(?:\S+\s){4}\S+", 0)
+    return H.phrases_in(_t(spark, sf, "documents"), ["doc_id"], "text", _t(spark, sf, "benchmark").select(start.alias("phrase"))).select("doc_id", F.lower("phrase").alias("phrase")).distinct()
+
+
 @query
 def verify_citation_numbers(spark, sf):
     return C.mis_cited(derived.answers(spark, sf), derived.sources(spark, sf))

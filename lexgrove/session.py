@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.cteRecursionRowLimit": "-1",  # a level of all messages may have any number of rows
 }
 
 

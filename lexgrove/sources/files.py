@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.coverage import hidden
@@ -29,10 +29,12 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, scope, top_k, diverse, question, error) of a question file: blank lines and # comments go; '[flags] :: question'."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
-    numbered = lines.withColumn("qid", F.monotonically_increasing_id())
-    return parse_questions(numbered)
+    """(qid, scope, top_k, diverse, question, error) of a question file: blank lines and # comments go; '[flags] :: question'. qid is the line's number, of a second file 2^32 above, and so on."""
+    files = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    place = F.dense_rank().over(Window.orderBy("_file")) - 1  # a few files at most
+    lines = files.withColumn("_place", place).select("_place", F.posexplode(F.split("value", r"\r?\n")).alias("_line", "value"))
+    lines = lines.where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+    return parse_questions(lines.select((F.col("_place") * (1 << 32) + F.col("_line") + 1).cast("long").alias("qid"), "value"))
 
 
 def parse_questions(lines: DataFrame) -> DataFrame:

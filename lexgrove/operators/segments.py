@@ -96,7 +96,7 @@ class Segments:
         if not n:
             return 0
         name = f"segment-{uuid.uuid4().hex}"
-        write = lambda rows, part: rows.write.parquet(f"{self.path}/{name}/{part}")
+        write = lambda rows, part: rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{part}")
         at = F.lit(seg).alias("seg")
         write(changed.select("file", "sha256", at), "files")
         write(chunks.join(changed.where("sha256 is not null").select("file"), "file", "left_semi").select("*", at), "chunks")
@@ -139,7 +139,7 @@ class Segments:
     def merge(self, version: int, segments: list[tuple[str, int, int]], some: list[tuple[str, int, int]]) -> None:
         """Some of a version's segments as one, under the same version's batches: rows keep the batch that made them."""
         names, every, name = [s[0] for s in some], [s[0] for s in segments], f"segment-{uuid.uuid4().hex}"
-        write = lambda rows, part: rows.write.parquet(f"{self.path}/{name}/{part}")
+        write = lambda rows, part: rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{part}")
         live = lambda part: self._live(self._read(part, names), every)
         write(live("chunks"), "chunks")
         write(live("postings").repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")

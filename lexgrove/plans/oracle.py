@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOP
+from ..operators.audit import NOTE_HEAD
 from ..operators.retrieve import GENERIC_FOLDER_WORDS
 from . import cases, derived
 
@@ -292,6 +293,27 @@ SQL["build_manifest"] = """SELECT source || '/' || doc_id AS file, lang AS kind,
 SQL["corpus_structure"] = """WITH t AS (SELECT conv_id AS k, conv_id::VARCHAR AS file, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT file, 'numbers with gaps' AS "check" FROM t WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT file, 'no single overview' FROM t WHERE k % 5 = 0 AND n > 1 UNION ALL SELECT file, 'skipped but indexed' FROM t WHERE k % 7 = 0
 UNION ALL SELECT 'x' || file, 'neither indexed nor skipped' FROM t WHERE k % 13 = 0 UNION ALL SELECT 'p' || file, 'partly read but not indexed' FROM t WHERE k % 11 = 0"""
+SQL["audit_log"] = SQL["audit_counters"]
+SQL["envelope_lines"] = f"""WITH t AS ({SQL["class_table"]}), p AS (SELECT *, wrong / n AS p, 1.96 * 1.96 AS zz FROM t),
+i AS (SELECT *, greatest(0, (p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)) AS low, least(1, (p + zz / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)) AS high FROM p)
+SELECT row_number() OVER (ORDER BY lang) + 1 AS line_no, format('| {{}} | {{}} | {{}} | {{}} | {{}} | {{}} | {{:.3f}} | {{:.3f}}-{{:.3f}} |', lang, n, correct, silent, wrong, silent_wrong, p, low, high) AS line FROM i
+UNION ALL SELECT 0, '| lang | n | correct | silent | wrong | silent wrong | rate | interval |' UNION ALL SELECT 1, '|---|---|---|---|---|---|---|---|'"""
+SQL["banned_sources"] = f"""WITH {derived.ANSWERS_SQL}
+SELECT qid, CASE WHEN contains(answer, '$' || fee) THEN '$' || fee ELSE fee END AS amount, 'alpha/' AS fragment FROM answers WHERE regexp_matches(answer, '(^|[^0-9,])' || fee) AND NOT contains(replace(text, ',', ''), replace(fee, ',', ''))"""
+SQL["summary_faithfulness"] = rf"""WITH {derived.ANSWERS_SQL},
+l AS (SELECT answers.qid, source AS scope, unnest(string_split(answer, chr(10))) AS claim FROM answers JOIN amount USING (qid)),
+c AS (SELECT scope, count(*) AS claims, count(*) FILTER (NOT (len(string_split_regex(trim(regexp_replace(claim, '^[\s\-*+•\d.)\]]+', '')), '\s+')) >= 4 AND NOT regexp_matches(claim, '\[S\d+\]'))) AS grounded FROM l GROUP BY scope),
+k AS (SELECT qid, text, source AS scope, (doc_id % 900 + 100)::VARCHAR AS low, (doc_id + 11000)::VARCHAR AS fee, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(answer, '\[S\d+\]', '', 'g'), '(?m)^\s*\d+[.)]\s', '', 'g'), '\d+(?:,\d{{3}})*(?:\.\d+)?'))) AS number
+  FROM (SELECT qid, answer FROM answers) a JOIN (SELECT * EXCLUDE (fee, other) FROM amount) USING (qid)),
+u AS (SELECT scope, replace(number, ',', '') AS number FROM k WHERE NOT (contains(replace(text, ',', ''), replace(number, ',', '')) OR contains(fee || ' 35 112 2024-05-07 ' || low, replace(number, ',', '')))),
+n AS (SELECT (o_orderkey * 1000)::VARCHAR AS number FROM orders UNION SELECT (p_partkey + 2311000)::VARCHAR FROM part),
+f AS (SELECT scope, count(*) FILTER (n.number IS NULL) AS fabricated, count(*) FILTER (n.number IS NOT NULL) AS coverage_gap FROM u LEFT JOIN n USING (number) GROUP BY scope)
+SELECT scope, claims, grounded, coalesce(fabricated, 0) AS fabricated, coalesce(coverage_gap, 0) AS coverage_gap FROM c LEFT JOIN f USING (scope)"""
+SQL["notes_of_records"] = f"""WITH usable AS (SELECT * FROM events WHERE value >= 10 AND event_type <> 'view' AND NOT value > 90),
+s AS (SELECT *, strftime(ts, '%Y-%m-%d') || '-what-of-' || event_type || '-for-the-1st' AS stem FROM usable), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY date_trunc('second', ts), event_id) AS k FROM s),
+q AS (SELECT *, 'What of ' || event_type || ' for the 1st user, please, again?' AS question FROM k)
+SELECT event_id, stem || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS note, sha256(array_to_string(['# Note: ' || question, '', '{NOTE_HEAD}', '', '- kind: model-note', '- written: ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), '- warnings: none', '- sources:',
+  '  - S1: file1/' || user_id || ' > Fees', '  - S2: file2/' || user_id || ' > (no heading)', '', '## Question', '', question, '', '## Answer', '', 'an answer [S1: file1/' || user_id || ' > Fees]', ''], chr(10))) AS sha256 FROM q"""
 SQL["phrase_mentions"] = r"""WITH p AS (SELECT DISTINCT lower(regexp_extract(text, '^(?:\S+\s){4}\S+')) AS phrase FROM benchmark)
 SELECT doc_id, phrase FROM documents JOIN p ON phrase <> '' AND contains(lower(text), phrase)"""
 SQL["nested_messages"] = r"""WITH RECURSIVE o AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, CASE WHEN turn = 0 THEN 'Re: top ' || conv_id WHEN turn % 3 = 2 THEN 'Fwd: part ' || turn END AS own FROM conversations),

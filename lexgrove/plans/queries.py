@@ -23,7 +23,7 @@ from ..operators import sessions as M
 from ..operators import threads as T
 from ..operators import verify as C
 from ..session import keep, scratch
-from ..sources.files import parse_questions
+from ..sources.files import audit, parse_questions
 from ..streaming import live as L
 from . import cases, derived, prompts
 
@@ -633,6 +633,54 @@ def score_judged(spark, sf):
     return found.select("qid", "label", F.array_join("reasons", "; ").alias("reasons"), "forged", "misplaced")
 
 
+@query
+def banned_sources(spark, sf):
+    """Amounts that only a file has which must not be cited."""
+    items = derived.answers(spark, sf).withColumn("cite_must_not", F.array(F.lit("alpha/"), F.lit("bravo/")))
+    return E.banned_sources(items, derived.sources(spark, sf)).select("qid", "amount", "fragment")
+
+
+@query
+def summary_faithfulness(spark, sf):
+    """Answers as summaries of their source: claims with and without citation, and numbers that its documents don't have but perhaps others do."""
+    said = derived.answers(spark, sf)
+    scope = _t(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("scope"))
+    lines = said.select("qid", F.explode(F.split("answer", "\n")).alias("claim"))
+    bare = C.ungrounded(said).groupBy("qid").agg(F.count("*").alias("_n"))
+    claims = lines.groupBy("qid").agg(F.count("*").alias("_all")).join(bare, "qid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    flags = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_all")), lambda i: i > F.col("_n"))
+    claims = claims.join(scope, "qid").select("scope", F.explode(flags).alias("grounded"))
+    flagged = C.unverified_numbers(said, derived.sources(spark, sf)).join(scope, "qid").select("scope", F.regexp_replace("number", ",", "").alias("number"))
+    corpus = _t(spark, sf, "orders").select((F.col("o_orderkey") * 1000).cast("string").alias("number")).union(_t(spark, sf, "part").select((F.col("p_partkey") + 2311000).cast("string")))
+    return E.faithfulness(claims, flagged, corpus)
+
+
+@query
+def envelope_lines(spark, sf):
+    return E.envelope(E.class_table(_scored(spark, sf), "lang"), "lang").select(*_long("line_no"), "line")
+
+
+@query
+def audit_log(spark, sf):
+    """Records appended by two machines as JSON lines and read again, with lines between that are none."""
+    place = scratch(spark, "audit")
+    records = _audit(spark, sf).withColumn("qid", F.col("event_id")).select("ts", "qid", "user_id", "error", "refused", "answer", "warnings", "usage")
+    for machine, k in (("Left Desk", 0), ("right.desk", 1)):
+        U.append(records.where(F.pmod("qid", F.lit(2)) == k), place, machine)
+    records.limit(0).select(F.lit("x")).union(spark.range(3).select(F.lit("no record"))).coalesce(1).write.mode("append").text(f"{place}/machine=right-desk")
+    kind = "qid long, user_id long, error string, refused boolean, answer string, warnings array<string>, usage struct<total_tokens: bigint>"
+    return U.counters(audit(spark, place, kind), ["user_id"])
+
+
+@query
+def notes_of_records(spark, sf):
+    """Notes of all records that may become one, each with two sources."""
+    a = _audit(spark, sf).select("event_id", "user_id", F.col("when").alias("ts"), F.col("event_id").alias("qid"), F.concat_ws(" ", F.lit("What of"), "event_type", F.lit("for  the 1st user, please, again?")).alias("question"), "refused", "answer", "warnings")
+    rows = F.array(*(F.struct(F.lit(n).alias("label"), F.concat(F.lit(f"file{n}/"), F.col("user_id").cast("string")).alias("file"), F.lit(h).alias("heading")) for n, h in ((1, "Fees"), (2, ""))))
+    n = U.rendered_notes(a, a.select("qid", F.explode(rows).alias("s")).select("qid", "s.*"))
+    return n.select(F.col("qid").alias("event_id"), "note", F.sha2("text", 256).alias("sha256"))
+
+
 @query
 def sweep_best(spark, sf):
     return E.best_setting(sweep_table(spark, sf))

@@ -40,6 +40,11 @@ WHOLE = {
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "apache": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind."],
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights; this work is dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
 }
 # The public names of licences of other families, whose notices belong to the unknown class. Each second one is only calibrated on.
@@ -50,6 +55,13 @@ OTHERS = [
     "the PHP License, version 3.01", "the Ruby License", "the Vim License", "the University of Illinois Open Source License", "the Open Data Commons Database License 1.0", "the Reciprocal Public License 1.5",
     "a commercial license", "a proprietary license", "the terms of the agreement", "the site licence", "the Unicode License, version 3", "the OpenSSL License",
 ]
+# The sentences that grant some of these, which share much with those of other families. They belong to the unknown class.
+OTHER_GRANTS = [
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted.",
+]
 #: Words of names that say nothing of a family, besides those of frames, of other licences and of common text.
 VAGUE = "international universal new style clause later version attribution dedication unported text texts".split()
 #: Words that other text has as well, for paragraphs of the unknown class.
@@ -60,8 +72,8 @@ COMMON = (
     " free general version terms use copy permission license licence granted work made available rights reserved source code file software under released driver plate marriage"
 ).split()
 
-#: Lines over which a notice may be wrapped.
-WRAP_LINES = 8
+#: Words of a run of lines that is looked at as one notice, as a multiple of the longest template's.
+WRAP_TIMES = 1.5
 #: Templates of so many n-grams are grants written out.
 GRANT_GRAMS = 50
 
@@ -106,16 +118,16 @@ class Model:
     def __init__(self, how: Training = Training()):
         self.how = how
         self.families = [*sorted(templates()), UNKNOWN]
-        known = {w for ts in templates().values() for t in ts for w in _grams(_words(t))} | {w for n in OTHERS for w in _grams(_words(n))}
+        known = {w for ts in templates().values() for t in ts for w in _grams(_words(t))} | {w for n in [*OTHERS, *OTHER_GRANTS] for w in _grams(_words(n))}
         self.vocabulary = {g: k for k, g in enumerate(sorted(known))}
         self._code()
         frames = len(GRANTS) - how.held
         learned = {f: [g.format(n) for n in names[: max(2, len(names) - 1)] for g in GRANTS[:frames]] for f, names in NAMES.items()}
         unseen = {f: [g.format(n) for k, n in enumerate(names) for g in (GRANTS if k >= max(2, len(names) - 1) else GRANTS[frames:])] for f, names in NAMES.items()}
         whole = {f: learned.get(f, []) + WHOLE.get(f, []) * (8 if f == "all-rights-reserved" else 3) for f in self.families[:-1]}
-        self.weights = self._fit(self._samples(whole, [g.format(n) for n in OTHERS[::2] for g in GRANTS[:frames]], how.seed))
+        self.weights = self._fit(self._samples(whole, [g.format(n) for n in OTHERS[::2] for g in GRANTS[:frames]] + OTHER_GRANTS * 3, how.seed))
         self._calibrate(self._samples(unseen, [g.format(n) for n in OTHERS[1::2] for g in GRANTS], how.seed + 1))
-        self.weights = self._fit(self._samples(templates(), [g.format(n) for n in OTHERS for g in GRANTS], how.seed + 2))
+        self.weights = self._fit(self._samples(templates(), [g.format(n) for n in OTHERS for g in GRANTS] + OTHER_GRANTS * 3, how.seed + 2))
         ids = lambda t: np.array(sorted({self.vocabulary[g] for g in _grams(_words(t))}))
         self.width = np.zeros(len(self.vocabulary), np.int64)
         for g, k in self.vocabulary.items():
@@ -128,6 +140,7 @@ class Model:
         self.names = {f: _Sets([ids(n) for n in names], len(self.vocabulary)) for f, names in NAMES.items()}
         self.own = {f: _Sets([np.array([self.vocabulary[w] for w in telling(n).split()], np.int64) for n in names], len(self.vocabulary)) for f, names in NAMES.items()}
         self.shortest = min(x.sizes.min() for x in self.shapes.values())
+        self.longest = int(WRAP_TIMES * max(len(_words(t)) for ts in templates().values() for t in ts))
         # features that a name has to itself; features of grants with a word that common text lacks, and the least of these that half a grant has
         self.tells = np.zeros(len(self.vocabulary), bool)
         for x in self.own.values():
@@ -296,26 +309,33 @@ class Model:
         return lines, sorted(out + self._wrapped(ends, total, cut, np.array(blocks), seen, tells[cut], granting[cut], {(k, f) for k, f, *_, ok in out if ok}))
 
     def _wrapped(self, ends, total, cut, blocks, seen, tells, granting, confirmed) -> list[tuple[int, str, float, float, bool]]:
-        """What templates confirm of runs of 2 to WRAP_LINES lines, and whole grants also of 1 and where the model isn't sure, without an empty line between them; no two runs of a family share a line."""
-        found = []
-        for n in range(1, min(WRAP_LINES, len(blocks)) + 1):
-            # no empty line, and a word of a name and enough known grams for the shortest template, or enough of a grant
+        """What templates confirm of runs of lines without an empty one between them, up to 1.5 times the longest template in words, if the model is sure of their family; no two runs of a family share a line.
+
+        A whole grant in one line is looked at here as well.
+        """
+        found, n = [], 0
+        while n < len(blocks):
+            n += 1
+            short = ends[n:] - ends[:-n] <= self.longest
+            if n > 1 and not short.any():
+                break
+            # a word of a name and enough known grams for the shortest template, or enough of a grant
             whole = granting[n:] - granting[:-n] >= self.least_granting
-            at = np.flatnonzero((blocks[n - 1 :] == blocks[: len(blocks) - n + 1]) & (whole | (n > 1) & (tells[n:] > tells[:-n]) & (cut[n:] - cut[:-n] >= self.how.least * self.shortest)))
+            some = whole | (n > 1) & (tells[n:] > tells[:-n]) & (cut[n:] - cut[:-n] >= self.how.least * self.shortest)
+            at = np.flatnonzero((short | (n == 1)) & (blocks[n - 1 :] == blocks[: len(blocks) - n + 1]) & some)
             if not len(at):
                 continue
             z = (total[cut[at + n]] - total[cut[at]]) / np.sqrt(ends[at + n] - ends[at])[:, None] + self.weights[-1]
             p = _softmax(z / self.temperature)
-            best = p[:, :-1].argmax(axis=1)
-            sure = (p.argmax(axis=1) < len(self.families) - 1) & (p.max(axis=1) >= self.threshold) & (n > 1)
-            for k in np.flatnonzero(sure | whole[at]).tolist():
+            best = p.argmax(axis=1)
+            for k in np.flatnonzero((best < len(self.families) - 1) & (p.max(axis=1) >= self.threshold)).tolist():
                 family, first = self.families[best[k]], int(at[k])
                 if any((i, family) in confirmed for i in range(first, first + n)):
                     continue
                 own = seen(first, first + n)
                 similarity = self.grants[family].share(own).max(initial=0.0) if family in self.grants else 0.0
                 ok = similarity >= self.how.least
-                if sure[k] and not ok:
+                if not ok and n > 1:
                     similarity, ok = self.confirms(family, own)
                 if ok:
                     found.append((-float(similarity), n, first, family, float(p[k, best[k]])))

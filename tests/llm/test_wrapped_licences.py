@@ -51,3 +51,23 @@ def test_repeated_words_name_nothing():
     m = licenses.model()
     assert not [x for w in ("the", "of", "license", "mit", "public") for k in (3, 9, 30) for x in m.paragraphs(" ".join([w] * k))[1] if x[4]]
     assert 0.5 <= m.threshold < 1
+
+
+GRANTS = {
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "boost": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software',
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+
+
+@pytest.mark.parametrize("width", [1, 40, 70, 3000])
+@pytest.mark.parametrize("family", ["mit", *GRANTS])
+def test_grants_at_any_wrapping(family, width):
+    words = (GRANTS | TEXTS)[family]
+    text = "\n".join(textwrap.wrap(words, width) if width > 1 else words.split())
+    m = licenses.model()
+    found = [(f, p) for _, f, p, _, ok in m.paragraphs("Some words.\n\n" + text)[1] if ok]
+    assert {f for f, _ in found} == ({family} if family in m.families else set())
+    assert all(p >= m.threshold for _, p in found)

@@ -20,6 +20,8 @@ from . import index as I
 # The ranking constants.
 K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT = 60, 0.5
+#: Terms of a batch of questions that are broadcast, at most.
+BROADCAST_TERMS = 200_000
 #: Scores whose difference is less may be equal once they are rounded to nine places.
 ROUNDED = 2e-9
 TOP_K, MIN_SCORE, DENSE_MIN, REASON_TOP_K = 5, 1.0, 0.5, 8
@@ -35,18 +37,19 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def bm25(posts: DataFrame, statistics: DataFrame, df: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, chunk_id, bm25) for chunks with a term of the question; the others score 0.
 
-    posts may be those of a scope; statistics and df are those of the whole corpus. Terms that no question has are
-    dropped before anything is joined by a semi join that the questions' terms, a table of their size, may broadcast.
+    posts may be those of a scope; statistics and df are those of the whole corpus. Up to BROADCAST_TERMS the questions' terms are broadcast, after a count, and
+    postings are cut down to them where they are; more of them are joined by a shuffle.
     """
-    terms = question_terms(questions)
-    asked = terms.select("term").distinct()
+    terms = keep(question_terms(questions), "terms")
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
+    asked = few(terms.select("term").distinct())
     n, average = (statistics.select(c).scalar() for c in ("n_chunks", "avg_tokens"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.join(asked, "term", "left_semi").select("term", idf.alias("idf"))
+    weighted = few(df.join(asked, "term", "left_semi").select("term", idf.alias("idf")))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / average))
     scored = posts.join(weighted, "term").select("term", "chunk_id", part.alias("part"))
-    return scored.join(terms, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    return scored.join(few(terms), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
 
 
 def top(scores: DataFrame, score: str, k: int, by: str = "qid", tie: str = "chunk_id") -> DataFrame:

@@ -46,7 +46,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: for what several branches of a plan use."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

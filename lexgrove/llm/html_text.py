@@ -186,11 +186,10 @@ def extract(page: str | None) -> str:
         return ""
     found = list(lines(page))
     lengths = [own if 2 * own >= len(text) else 0 for text, own, _ in found]
-    if max((sum(lengths[i : i + BLOCK_LINES]) for i in range(len(lengths))), default=0) < SURGE_CHARS:
-        # no text surges: names are overruled if it does without them
+    if not any(lengths):  # all text is in what the names call asides: they are wrong, however long it is
         whole = list(lines(page, by_name=False))
         sizes = [own if 2 * own >= len(text) else 0 for text, own, _ in whole]
-        if max((sum(sizes[i : i + BLOCK_LINES]) for i in range(len(sizes))), default=0) >= SURGE_CHARS:
+        if any(sizes):
             found, lengths = whole, sizes
     if not any(lengths):
         lengths = [len(text) for text, _, _ in found]

@@ -1,5 +1,7 @@
 """Main text where marks, names and links mislead."""
 
+import pytest
+
 from lexgrove.llm import html_text
 
 LONG = "A sentence of the story that is long enough to make the text surge, with some words more in it."
@@ -44,3 +46,12 @@ def test_asides_in_elements_that_need_no_end_tag():
         assert html_text.extract(f"<article>{story.format(more)}</article>") == text, more
     assert html_text.extract(f'<article>{story.format("<ul><li class=ad>x<li>An item.</ul>")}</article>') == f"{LONG}\nAn item.\n{LONG}"
     assert html_text.extract(f'<article><p>One <span class="ad">BUY <span>now</span> or <b>never</b></span> line.</p><p class="lead">{LONG}</p></article>') == f"One line.\n{LONG}"
+
+
+@pytest.mark.parametrize("length", [20, 138, 5000])
+def test_an_aside_stays_out_however_long_it_is(length):
+    notice = "We use cookies. " * (length // 16 + 1)
+    assert html_text.extract(f'<body><div class="cookie-notice"><p>{notice}</p></div><div class="story"><p>Rain fell.</p></div></body>') == "Rain fell."
+    assert html_text.extract(f'<body><main><p>Rain fell.</p></main><div class="newsletter">{notice}</div></body>') == "Rain fell."
+    # where nothing else has text the name is wrong
+    assert html_text.extract(f'<body><div class="sidebar"><p>{notice}</p></div></body>') == notice.strip()

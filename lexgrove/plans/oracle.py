@@ -293,6 +293,13 @@ SQL["build_manifest"] = """SELECT source || '/' || doc_id AS file, lang AS kind,
 SQL["corpus_structure"] = """WITH t AS (SELECT conv_id AS k, conv_id::VARCHAR AS file, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT file, 'numbers with gaps' AS "check" FROM t WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT file, 'no single overview' FROM t WHERE k % 5 = 0 AND n > 1 UNION ALL SELECT file, 'skipped but indexed' FROM t WHERE k % 7 = 0
 UNION ALL SELECT 'x' || file, 'neither indexed nor skipped' FROM t WHERE k % 13 = 0 UNION ALL SELECT 'p' || file, 'partly read but not indexed' FROM t WHERE k % 11 = 0"""
+_MEANT = f"""{_MESSAGES.strip()},
+mails AS (SELECT file, pos, sender, date, file || '#' || pos AS chunk_id, file::BIGINT * 100 + pos AS corpus_pos, row_number() OVER (PARTITION BY file ORDER BY CASE WHEN file::BIGINT % 2 = 0 THEN date END, pos DESC) AS n FROM msg),
+meant AS (SELECT 1::BIGINT AS qid, * FROM (SELECT * FROM mails WHERE sender = 'assistant' ORDER BY file DESC, n DESC LIMIT 1) x UNION ALL SELECT 2, * FROM mails WHERE sender = 'user' AND date = '2024-03-02')"""
+SQL["message_targets"] = f"WITH {_MEANT} SELECT qid, sender, 'named' AS via, count(*) AS chunks, min(corpus_pos) AS first, max(corpus_pos) AS last FROM meant GROUP BY qid, sender"
+SQL["message_reads"] = f"""WITH {_MEANT}, few AS (SELECT * FROM meant WHERE qid IN (SELECT qid FROM meant GROUP BY qid HAVING count(*) <= 32)),
+every AS (SELECT 3::BIGINT AS qid, chunk_id, corpus_pos, greatest(0, count(*) OVER () - 40) AS dropped, row_number() OVER (ORDER BY corpus_pos) AS place FROM mails)
+SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY corpus_pos) AS place, 0::BIGINT AS dropped FROM few UNION ALL SELECT qid, chunk_id, place, dropped FROM every WHERE place <= 40"""
 SQL["audit_log"] = SQL["audit_counters"]
 SQL["envelope_lines"] = f"""WITH t AS ({SQL["class_table"]}), p AS (SELECT *, wrong / n AS p, 1.96 * 1.96 AS zz FROM t),
 i AS (SELECT *, greatest(0, (p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)) AS low, least(1, (p + zz / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)) AS high FROM p)

@@ -305,6 +305,32 @@ def gather_budget(spark, sf):
     return T.gather(chunks, 4).select("thread", "chunk_id", "overview", *_long("dropped"))
 
 
+_MAIL_QUESTIONS = [(1, "What did the assistant say in the last message?"), (2, "What did the user write on 2024-03-02?"), (3, "Summarise the whole thread"), (4, "Nothing of the kind")]
+
+
+def _mail(spark, sf):
+    """Questions, and all messages as chunks."""
+    m = T.marked_self(T.ordered(_messages(spark, sf)))
+    chunks = m.select("file", "n", "sender", "date", "is_self", F.lit(False).alias("overview"), F.concat_ws("#", "file", F.col("pos").cast("string")).alias("chunk_id"), (F.col("file").cast("long") * 100 + F.col("pos")).alias("corpus_pos"), F.col("pos").cast("string").alias("heading"))
+    return spark.createDataFrame(_MAIL_QUESTIONS, "qid long, question string"), keep(chunks, "mail")
+
+
+@query
+def message_targets(spark, sf):
+    """Whose messages questions mean, and which of them: by an ordinal, by a day."""
+    asked, chunks = _mail(spark, sf)
+    target = T.targets(asked, chunks)
+    found = T.target_chunks(asked, chunks, target).groupBy("qid", "sender").agg(F.count("*").alias("chunks"), F.min("corpus_pos").alias("first"), F.max("corpus_pos").alias("last"))
+    return target.join(found, ["qid", "sender"], "left").select("qid", "sender", "via", "chunks", "first", "last")
+
+
+@query
+def message_reads(spark, sf):
+    """What is read whole for the same questions: the messages meant if they are few, all within a budget for a broad one."""
+    asked, chunks = _mail(spark, sf)
+    return T.reads(asked, chunks, T.targets(asked, chunks)).select("qid", "chunk_id", *_long("place", "dropped"))
+
+
 @query
 def plan_read(spark, sf):
     t = _messages(spark, sf).groupBy("file").agg(F.count("*").alias("chunks"), F.count_if(F.col("sender") == "user").alias("target_chunks"))

@@ -359,9 +359,9 @@ def test_registered_queries_match_brute_force(spark):
 
 def test_all_registered_queries_give_a_row_for_each_row(spark):
     documents_, pages = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages"))
-    for name in ("op1_license_scan", "op3_sentencepiece", "op5_toxicity", "op6_token_counts", "op10_media_columns"):
+    for name in ("op1_license_scan", "op3_sentencepiece", "op5_toxicity", "op6_token_counts", "op10_media_columns", "op11_minhash_neardup", "op12_periodic_runs"):
         assert queries.QUERIES[name](spark, SF).count() == documents_
-    assert queries.QUERIES["op7_html_extract"](spark, SF).count() == pages and len(queries.QUERIES) == 10
+    assert queries.QUERIES["op7_html_extract"](spark, SF).count() == pages and len(queries.QUERIES) == 13
 
 
 def test_pipeline(spark):

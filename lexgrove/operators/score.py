@@ -311,8 +311,8 @@ def sealed_gap(scored: DataFrame) -> DataFrame:
 def faithfulness(claims: DataFrame, flagged: DataFrame, corpus_numbers: DataFrame) -> DataFrame:
     """(scope, claims, grounded, fabricated, coverage_gap): flagged numbers that the corpus has are gaps of coverage, the others made up.
 
-    claims: scope, grounded. flagged: scope, number. corpus_numbers: number.
+    claims: scope, grounded. flagged: scope, number. corpus_numbers: number, repeated or not.
     """
-    split = flagged.join(corpus_numbers.select("number", F.lit(True).alias("_known")), "number", "left").groupBy("scope").agg(F.count_if(F.col("_known").isNull()).alias("fabricated"), F.count_if(F.col("_known")).alias("coverage_gap"))
+    split = flagged.join(corpus_numbers.select("number").distinct().withColumn("_known", F.lit(True)), "number", "left").groupBy("scope").agg(F.count_if(F.col("_known").isNull()).alias("fabricated"), F.count_if(F.col("_known")).alias("coverage_gap"))
     counted = claims.groupBy("scope").agg(F.count("*").alias("claims"), F.count_if("grounded").alias("grounded"))
     return counted.join(split, "scope", "left").select("scope", "claims", "grounded", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fabricated", "coverage_gap")))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import parts
 
 CHUNK_VERSION = 1
+#: Characters of text that a task counts the terms of; it holds some thirty bytes for each.
+TASK_CHARACTERS = 16_000_000
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
@@ -22,9 +25,14 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return X.terms(chunks, X.chunk_text(F.col("text"), F.col("heading"), F.col("file")), "chunk_id")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, n_tokens). Texts are dealt out by chunk first, so that terms and lengths are counted where they are and nothing else is shuffled."""
-    tf = chunk_terms(chunks.repartition("chunk_id")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def text_parts(chunks: DataFrame) -> int:
+    """Partitions that the chunks' texts are dealt out to, by their characters."""
+    return parts(chunks, TASK_CHARACTERS, F.coalesce(F.length("text"), F.lit(0)) + 64)
+
+
+def postings(chunks: DataFrame, n: int | None = None) -> DataFrame:
+    """(chunk_id, term, tf, n_tokens). Texts are dealt out by chunk first, to n tasks (by default as many as their characters ask for), so that terms and lengths are counted where they are and nothing else is shuffled."""
+    tf = chunk_terms(chunks.repartition(n or text_parts(chunks), "chunk_id")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     return tf.withColumn("n_tokens", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
 

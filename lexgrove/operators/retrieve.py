@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import keep
+from ..session import keep, parts
 from . import index as I
 
 # The ranking constants.
@@ -22,6 +22,8 @@ K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT = 60, 0.5
 #: Terms of a batch of questions that are broadcast, at most.
 BROADCAST_TERMS = 200_000
+#: Scores of a question's term in a chunk that a task sums, about.
+TASK_SCORES = 4_000_000
 #: Scores whose difference is less may be equal once they are rounded to nine places.
 ROUNDED = 2e-9
 TOP_K, MIN_SCORE, DENSE_MIN, REASON_TOP_K = 5, 1.0, 0.5, 8
@@ -38,17 +40,19 @@ def bm25(posts: DataFrame, statistics: DataFrame, df: DataFrame, questions: Data
     """(qid, chunk_id, bm25) for chunks with a term of the question; the others score 0.
 
     posts may be those of a scope; statistics and df are those of the whole corpus. Up to BROADCAST_TERMS the questions' terms are broadcast, after a count, and
-    postings are cut down to them where they are; more of them are joined by a shuffle.
+    postings are cut down to them where they are; more of them are joined by a shuffle. What is left is dealt out by chunk, to as many tasks as the terms' document frequencies ask for.
     """
     terms = keep(question_terms(questions), "terms")
     few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
     asked = few(terms.select("term").distinct())
     n, average = (statistics.select(c).scalar() for c in ("n_chunks", "avg_tokens"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = few(df.join(asked, "term", "left_semi").select("term", idf.alias("idf")))
+    weighted = keep(df.join(asked, "term", "left_semi").select("term", "df", idf.alias("idf")), "weighted")
+    n_parts = parts(weighted.join(few(terms), "term"), TASK_SCORES, F.col("df"))
+    weighted = few(weighted.select("term", "idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / average))
-    scored = posts.join(weighted, "term").select("term", "chunk_id", part.alias("part"))
+    scored = posts.join(weighted, "term").select("term", "chunk_id", part.alias("part")).repartition(n_parts, "chunk_id")
     return scored.join(few(terms), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
 
 

@@ -20,6 +20,8 @@ from . import index as I
 
 #: So many segments of one size class, each FAN times the one below, become one.
 FAN = 4
+#: Postings that a task sorts when segments are merged.
+TASK_POSTINGS = 2_000_000
 
 
 @dataclass
@@ -101,8 +103,9 @@ class Segments:
         write(changed.select("file", "sha256", at), "files")
         write(chunks.join(changed.where("sha256 is not null").select("file"), "file", "left_semi").select("*", at), "chunks")
         own = self._read("chunks", [name])
-        posts = I.postings(own).select("term", "chunk_id", "tf", "n_tokens", at)
-        write(posts.repartition("term").sortWithinPartitions("term", "chunk_id"), "postings")
+        n_parts = I.text_parts(own)
+        posts = I.postings(own, n_parts).select("term", "chunk_id", "tf", "n_tokens", at)
+        write(posts.repartition(n_parts, "term").sortWithinPartitions("term", "chunk_id"), "postings")
         posts = self._read("postings", [name])
         lengths = I.lengths_of(posts, own).join(own.select("chunk_id", "file"), "chunk_id").select("chunk_id", "file", "n_tokens", at)
         write(lengths, "lengths")
@@ -142,7 +145,8 @@ class Segments:
         write = lambda rows, part: rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{part}")
         live = lambda part: self._live(self._read(part, names), every)
         write(live("chunks"), "chunks")
-        write(live("postings").repartition("term").sortWithinPartitions("term", "chunk_id"), "postings")
+        n_parts = max(self.spark.sparkContext.defaultParallelism, -(-sum(s[2] for s in some) // TASK_POSTINGS))
+        write(live("postings").repartition(n_parts, "term").sortWithinPartitions("term", "chunk_id"), "postings")
         for part in ("lengths", *self.makers):
             write(live(part), part)
         newest = self._read("files", names).groupBy("file").agg(F.max_by(F.struct("sha256", "seg"), "seg").alias("f")).select("file", "f.sha256", "f.seg")

@@ -1,6 +1,8 @@
 """What larger tables bring: repeated keys, and tasks that hold a bounded share of the input."""
 
-from lexgrove.operators import score
+from pyspark.sql import functions as F
+
+from lexgrove.operators import index, score
 
 
 def test_a_number_that_the_corpus_repeats_counts_once(spark):
@@ -8,3 +10,10 @@ def test_a_number_that_the_corpus_repeats_counts_once(spark):
     flagged = spark.createDataFrame([("s", "7"), ("s", "8")], "scope string, number string")
     corpus = spark.createDataFrame([("7",), ("7",)], "number string")
     assert [tuple(r) for r in score.faithfulness(claims, flagged, corpus).collect()] == [("s", 1, 1, 1, 1)]
+
+
+def test_terms_are_counted_in_more_tasks_for_more_text(spark, monkeypatch):
+    chunks = spark.range(200).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("one two three "), 20).alias("text"), F.lit("h").alias("heading"), F.lit("f").alias("file"))
+    monkeypatch.setattr(index, "TASK_CHARACTERS", 4_000, raising=False)
+    tasks = index.postings(chunks).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("chunk_id").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 200 and max(r["n"] for r in tasks) < 40

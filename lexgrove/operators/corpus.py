@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import parts
 from .phrases import phrases_in
 
+#: Short rows that a task groups, about.
+TASK_ROWS = 1_000_000
 PLACEHOLDER = r"\{\{(\w+):([\w.-]+)\}\}"
 
 
@@ -50,9 +53,14 @@ def substring_collisions(amounts: DataFrame) -> DataFrame:
 
 
 def undeclared(used: DataFrame, declared: DataFrame) -> DataFrame:
-    """(file, id, problem): placeholders used but not declared, and declared but not used."""
-    a, b = used.select("file", "id").distinct(), declared.select("file", "id").distinct()
-    return a.exceptAll(b).withColumn("problem", F.lit("undeclared")).union(b.exceptAll(a).withColumn("problem", F.lit("unused")))
+    """(file, id, problem): placeholders used but not declared, and declared but not used.
+
+    Both sides are marked and meet in one aggregate, dealt out by their rows.
+    """
+    mark = lambda df, side: df.select("file", "id", F.lit(side).alias("_side"))
+    both = mark(used, 0).union(mark(declared, 1))
+    met = both.repartition(parts(both, TASK_ROWS), "file", "id").groupBy("file", "id").agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    return met.where("_a = _b").select("file", "id", F.when(F.col("_a") == 0, "undeclared").otherwise("unused").alias("problem"))
 
 
 AMOUNT_WRITTEN, ISO_DATE = r"[$€]\s?\d[\d,]*(?:\.\d+)?", r"\b(\d{4}-\d{2}-\d{2})\b"
@@ -83,7 +91,7 @@ def source_problems(docs: DataFrame, constants: DataFrame, days: DataFrame, neve
     inside = substring_collisions(digits).select(F.lit(None).cast("string").alias("file"), F.concat_ws(" in ", "a", "b").alias("_d"))
     parts = [
         found(written, "literal amount", F.col("_d")), found(dates, "unknown date", F.col("_d")), found(said.select(F.col("doc_id").alias("file"), "phrase").distinct(), "never to be written", F.col("phrase")),
-        *(found(undeclared(used, declared).where(F.col("problem") == p), p, F.col("id")) for p in ("undeclared", "unused")), found(unknown, "unknown constant", F.col("_d")),
+        undeclared(used, declared).select("file", "problem", F.col("id").alias("detail")), found(unknown, "unknown constant", F.col("_d")),
         found(docs.where(F.contains(t, F.lit("{{TODO"))), "unfinished", F.lit("")), found(placed.join(files, "file", "left_anti"), "no such file", F.col("id")), found(here, "not placed", F.col("id")), found(inside, "amount within another", F.col("_d")),
     ]
     return reduce(DataFrame.union, parts)
@@ -97,22 +105,28 @@ def build_manifest(written: DataFrame, inherited: DataFrame) -> DataFrame:
 
 
 def structure(chunks: DataFrame, files: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(file, check): what of an index contradicts its files.
+    """(file, check), each once: what of an index contradicts its files.
 
     chunks: file, n, of, date, overview (null for what is no message). files: file. skipped: file, partial. Messages of a thread are numbered without gaps in
-    the order of their dates and have one overview; each file is indexed or named as skipped, and what is partly read is indexed.
+    the order of their dates and have one overview; each file is indexed or named as skipped, and what is partly read is indexed. All rows of a file meet once,
+    dealt out by their number, so that one task never makes all checks of all files.
     """
-    mail = chunks.where("n is not null").groupBy("file", "n").agg(F.min("date").alias("date"), F.max("of").alias("of"))
-    late = mail.withColumn("_before", F.lag("date").over(Window.partitionBy("file").orderBy("n"))).where("_before > date and date <> ''").select("file").distinct()
-    gaps = mail.groupBy("file").agg(F.count("*").alias("_n"), F.max("n").alias("_last"), F.max("of").alias("_of")).where("_n <> _last or _of <> _last")
-    threads = mail.groupBy("file").agg(F.max("of").alias("_of")).where("_of > 1")
-    overviews = threads.join(chunks.where("overview").groupBy("file").agg(F.count("*").alias("_k")), "file", "left").where("coalesce(_k, 0) <> 1")
-    indexed = chunks.select("file").distinct()
-    lost = files.select("file").join(indexed, "file", "left_anti").join(skipped.where("not partial"), "file", "left_anti")
-    partly = skipped.where("partial").select("file").join(indexed, "file", "left_anti")
-    both = skipped.where("not partial").select("file").join(indexed, "file", "left_semi")
-    checks = {"messages out of order": late, "numbers with gaps": gaps, "no single overview": overviews, "neither indexed nor skipped": lost, "partly read but not indexed": partly, "skipped but indexed": both}
-    return reduce(DataFrame.union, (df.select("file", F.lit(name).alias("check")) for name, df in checks.items()))
+    columns = {"n": "int", "of": "int", "date": "string", "overview": "boolean", "indexed": "boolean", "listed": "boolean", "partial": "boolean"}
+    row = lambda df, **given: df.select("file", *(given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()))
+    every = row(chunks, **{c: F.col(c) for c in ("n", "of", "date", "overview")}, indexed=F.lit(True)).union(row(files, listed=F.lit(True))).union(row(skipped, partial=F.col("partial")))
+    mail = F.col("n").isNotNull()
+    rows = every.repartition(parts(every, TASK_ROWS), "file").groupBy("file", "n").agg(
+        F.min(F.when(mail, F.col("date"))).alias("date"), F.max(F.when(mail, F.col("of"))).alias("of"), F.count_if("overview").alias("views"), F.bool_or("indexed").alias("indexed"), F.bool_or("listed").alias("listed"),
+        F.bool_or("partial").alias("partly"), F.bool_or(~F.col("partial")).alias("whole"),
+    )
+    late = (F.lag("date").over(Window.partitionBy("file").orderBy("n")) > F.col("date")) & (F.col("date") != "")
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    found = rows.withColumn("late", late).groupBy("file").agg(F.count("n").alias("n"), F.max("n").alias("last"), F.max("of").alias("of"), F.sum("views").alias("views"), *map(flag, ("late", "indexed", "listed", "partly", "whole")))
+    checks = {
+        "messages out of order": "late", "numbers with gaps": "n > 0 and (n <> last or of <> last)", "no single overview": "of > 1 and views <> 1", "neither indexed nor skipped": "listed and not indexed and not whole",
+        "partly read but not indexed": "partly and not indexed", "skipped but indexed": "whole and indexed",
+    }
+    return found.select("file", F.explode(F.array_compact(F.array(*(F.when(F.expr(c), F.lit(name)) for name, c in checks.items())))).alias("check"))
 
 
 def haystack(spark: SparkSession, chunks: int, needle: str, depth: float, seed: int = 7) -> DataFrame:

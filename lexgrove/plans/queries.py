@@ -22,7 +22,7 @@ from ..operators import segments as G
 from ..operators import sessions as M
 from ..operators import threads as T
 from ..operators import verify as C
-from ..session import keep, scratch
+from ..session import keep, parts, scratch
 from ..sources.files import audit, parse_questions
 from ..streaming import live as L
 from . import cases, derived, prompts
@@ -879,7 +879,9 @@ def build_manifest(spark, sf):
 @query
 def corpus_structure(spark, sf):
     """Threads as an index: some have lost their second message, some have no overview, some files are named as skipped."""
-    m = T.ordered(_messages(spark, sf)).select("file", "n", "of", "date", F.lit(None).cast("boolean").alias("overview"))
+    messages = _messages(spark, sf)
+    messages = messages.repartition(parts(messages, P.TASK_ROWS), "file")
+    m = keep(T.ordered(messages).select("file", "n", "of", "date", F.lit(None).cast("boolean").alias("overview")), "messages")
     files = m.select("file").distinct()
     number = F.col("file").cast("long")
     views = files.where(number % 5 != 0).select("file", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(True))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexgrove.operators import index, score
+from lexgrove.operators import corpus, index, score
 
 
 def test_a_number_that_the_corpus_repeats_counts_once(spark):
@@ -17,3 +17,15 @@ def test_terms_are_counted_in_more_tasks_for_more_text(spark, monkeypatch):
     monkeypatch.setattr(index, "TASK_CHARACTERS", 4_000, raising=False)
     tasks = index.postings(chunks).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("chunk_id").alias("n")).collect()
     assert sum(r["n"] for r in tasks) == 200 and max(r["n"] for r in tasks) < 40
+
+
+def test_placeholders_and_checks_of_files_go_to_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_ROWS", 20, raising=False)
+    used, declared = (spark.range(a, a + 300).select(F.col("id").alias("file"), F.col("id").alias("id")) for a in (0, 150))
+    problems = corpus.undeclared(used, declared)
+    assert problems.groupBy("problem").count().orderBy("problem").collect() == [("undeclared", 150), ("unused", 150)]
+    chunks = spark.range(300).select(F.col("id").cast("string").alias("file"), F.lit(2).alias("n"), F.lit(2).alias("of"), F.lit("").alias("date"), F.lit(None).cast("boolean").alias("overview"))
+    found = corpus.structure(chunks, chunks.select("file"), spark.createDataFrame([("0", False), ("0", True), ("x", True), ("y", False)], "file string, partial boolean"))
+    assert found.groupBy("check").count().orderBy("check").collect() == [("no single overview", 300), ("numbers with gaps", 300), ("partly read but not indexed", 1), ("skipped but indexed", 1)]
+    for rows in (problems, found):
+        assert max(r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("file").alias("n")).collect()) <= 60

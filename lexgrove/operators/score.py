@@ -20,6 +20,8 @@ NEGATIONS = [
     "unable to refer", "no referral", "did not name", "not quoted", "does not publish", "no flat", "indicative", "not a quote", "no figure", "did not quote", "only says per application",
     "does not say", "not specified", "which firm", "cannot tell", "not clear", "no previous", "ambiguous", "on its own", "no such", "no decision", "not selected", "nobody", "still open",
 ]
+#: Rules that are broadcast, at most.
+BROADCAST_RULES = 100_000
 SENTENCE_END = r"(?<=[.!?\n])\s+|\n"
 AMOUNT = r"(?i)(?:[$€]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s*(?:dollars?|usd|eur|euros?)\b|\b\d{1,3}(?:,\d{3})+\b)"
 
@@ -270,10 +272,14 @@ def sweep(runs: DataFrame) -> DataFrame:
 
 
 def verdicts(runs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds verdict to runs (item, answer): that of the first rule (item, place, pattern, verdict) whose pattern the lower-cased answer has, else 'ambiguous'."""
+    """Adds verdict to runs (item, answer): that of the first rule (item, place, pattern, verdict) whose pattern the lower-cased answer has, else 'ambiguous'.
+
+    Up to BROADCAST_RULES the rules are broadcast, after a count, so that answers stay where they are, however many an item has.
+    """
     listed = rules.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("place", "pattern", F.col("verdict").alias("v")))).alias("_rules"))
     answer = F.lower(F.coalesce("answer", F.lit("")))
     first = F.get(F.filter("_rules", lambda r: F.regexp_like(answer, r["pattern"])), F.lit(0))
+    listed = F.broadcast(listed) if rules.count() <= BROADCAST_RULES else listed
     return runs.join(listed, "item", "left").withColumn("verdict", F.coalesce(first["v"], F.lit("ambiguous"))).select(*runs.columns, "verdict")
 
 

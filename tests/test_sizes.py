@@ -29,3 +29,11 @@ def test_placeholders_and_checks_of_files_go_to_more_tasks_for_more_rows(spark,
     assert found.groupBy("check").count().orderBy("check").collect() == [("no single overview", 300), ("numbers with gaps", 300), ("partly read but not indexed", 1), ("skipped but indexed", 1)]
     for rows in (problems, found):
         assert max(r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("file").alias("n")).collect()) <= 60
+
+
+def test_answers_of_one_item_stay_in_their_tasks(spark):
+    runs = spark.range(800).repartition(8).select(F.when(F.col("id") >= 0, "en").otherwise("de").alias("item"), F.concat(F.lit("A "), F.col("id").cast("string")).alias("answer"))
+    rules = spark.createDataFrame([("en", 1, "^a 7", "right"), ("de", 1, "a", "wrong")], "item string, place int, pattern string, verdict string")
+    found = score.verdicts(runs, rules)
+    assert found.where("verdict = 'right'").count() == 111
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString() and found.select(F.spark_partition_id()).distinct().count() > 1

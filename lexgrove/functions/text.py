@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The stop list of the tokenizer.
 STOP = "the a an of to in for and or is are was were be on at as by with that this it from".split()
@@ -89,22 +89,39 @@ BEFORE_REFERENCES = [(HTML_DROPPED, ""), (HTML_ENDS, "\n"), (HTML_BEGINS, "\n"),
 AFTER_REFERENCES = [("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Character references of HTML 5 as characters, each read once. Spark has no function for its 2,231 names and their prefixes, so this runs on Arrow batches."""
-    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+#: A character reference as HTML 5 reads it, whole or by a prefix of its name.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def strip_html(markup: Column) -> Column:
-    """Markup to lines: scripts, styles and the head go, block tags are line ends, other tags go, references are characters, blanks before a line end go."""
-    for pattern, new in BEFORE_REFERENCES:
-        markup = F.regexp_replace(markup, pattern, new)
-    text = unescape(markup)
-    for pattern, new in AFTER_REFERENCES:
+@F.pandas_udf(ArrayType(StringType()))
+def _characters(references: pd.Series) -> pd.Series:
+    return references.map(lambda x: None if x is None else [html.unescape(r) for r in x])
+
+
+def unescape(text: Column) -> Column:
+    """Character references of HTML 5 as characters, each read once. Spark has no function for its 2,231 names and their prefixes: Python gets the references, never the texts."""
+    read = _characters(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    pieces = F.transform(F.arrays_zip(F.split(text, REFERENCE).alias("piece"), read.alias("read")), lambda x: F.concat(x["piece"], F.coalesce(x["read"], F.lit(""))))
+    return F.array_join(pieces, "")
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
     return text
 
 
+def strip_html(markup: Column) -> Column:
+    """Markup to lines: scripts, styles and the head go, block tags are line ends, other tags go, references are characters, blanks before a line end go."""
+    return _replaced(unescape(_replaced(markup, BEFORE_REFERENCES)), AFTER_REFERENCES)
+
+
+def html_stripped(rows: DataFrame, column: str) -> DataFrame:
+    """The same for a column of rows. Tags go in a step of its own, once, as references and what is between them are both taken from what is left."""
+    plain = rows.withColumn(column, _replaced(F.col(column), BEFORE_REFERENCES))
+    return plain.withColumn(column, _replaced(unescape(F.col(column)), AFTER_REFERENCES))
+
+
 def stripped(markup: str) -> str:
     """The same for one text, for what is parsed within a task."""
     for pattern, new in BEFORE_REFERENCES:

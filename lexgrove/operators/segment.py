@@ -115,8 +115,8 @@ def chunk(docs: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """pages -> (file, text): markup to lines, with headings as '#' lines and a blank line after each block."""
-    from ..functions.text import strip_html
+    from ..functions.text import html_stripped
 
     html = F.regexp_replace("html", r"(?i)<h([1-6])[^>]*>", "\n# ")
     html = F.regexp_replace(html, r"(?i)</(p|h[1-6]|nav|div|footer)>", "</p>\n")
-    return pages.select(F.col("page_id").cast("string").alias("file"), F.trim(strip_html(html)).alias("text"))
+    return html_stripped(pages.select(F.col("page_id").cast("string").alias("file"), html.alias("text")), "text").withColumn("text", F.trim("text"))

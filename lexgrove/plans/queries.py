@@ -222,7 +222,7 @@ def prompt_assembly(spark, sf):
 # -- segmentation
 @query
 def html_strip(spark, sf):
-    p = _t(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+    p = X.html_stripped(_t(spark, sf, "pages").select("page_id", F.col("html").alias("text")), "text")
     return p.select("page_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexgrove.functions import text
 from lexgrove.operators import corpus, index, score
 
 
@@ -37,3 +38,10 @@ def test_answers_of_one_item_stay_in_their_tasks(spark):
     found = score.verdicts(runs, rules)
     assert found.where("verdict = 'right'").count() == 111
     assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString() and found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_python_reads_references_not_texts(spark):
+    rows = spark.createDataFrame([("&lt;a&gt; b &amp;amp; c&",), ("none",), ("",), (None,), ("&#65;&notit; &nosuch;",)], "x string").coalesce(1)
+    out = rows.select(text.unescape(F.col("x")).alias("y"))
+    assert [r.y for r in out.collect()] == ["<a> b &amp; c&", "none", "", None, "A\u00acit; &nosuch;"]
+    assert "regexp_extract_all" in next(p for p in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in p)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import keep
 from ..sources.mail import HEADER_KEYS, HEADER_LINES, OPENERS, PARTING, TIME_WORDS, VERBS, clean_party
 from .segment import reached
 
@@ -83,13 +84,14 @@ def split(lines: DataFrame) -> DataFrame:
     Quote marks go, and so do lines that part messages and blank ones at a message's ends. Of heads that overlap the first one counts. All is done on
     ordered lines by windows of bounded width and running sums; a file's heads that count are found by pointers (segment.reached), so no file is one row.
     """
-    rows = classed(lines)
+    rows = keep(classed(lines), "lines")  # heads of both kinds and the texts are made from them
     heads = _blocks(rows).withColumn("_late", F.lit(0)).union(_introductions(rows).withColumn("_late", F.lit(1)))
     once = F.row_number().over(Window.partitionBy("file", "first").orderBy("_late"))
     heads = heads.withColumn("_k", once).where("_k = 1").drop("_k", "_late")
     w = Window.partitionBy("file").orderBy("first")
     following = F.collect_list("first").over(w.rowsBetween(1, HEADER_LINES))  # a head has no more lines than that
     heads = heads.withColumn("k", F.col("first")).withColumn("begins", F.row_number().over(w) == 1).withColumn("next", F.array_min(F.filter(following, lambda x: x >= F.col("after"))))
+    heads = keep(heads, "heads")
     kept = heads.join(reached(heads.select("file", "k", "begins", "next")), ["file", "k"], "left_semi").drop("k", "begins", "next")
     marked = rows.join(kept.withColumn("line_no", F.col("first")).withColumn("_head", F.lit(1)), ["file", "line_no"], "left")
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,6 +101,6 @@ def split(lines: DataFrame) -> DataFrame:
     ends = Window.partitionBy("file", "pos")
     inside = full.withColumn("_a", F.min("_full").over(ends)).withColumn("_b", F.max("_full").over(ends)).where(F.col("line_no").between(F.col("_a"), F.col("_b")))
     texts = inside.groupBy("file", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    own = lines.select("file").distinct().select("file", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("from", "to", "cc", "subject", "date_raw")))
+    own = rows.select("file").distinct().select("file", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("from", "to", "cc", "subject", "date_raw")))
     numbered = kept.withColumn("pos", F.row_number().over(w)).select("file", "pos", "from", "to", "cc", "subject", F.col("date").alias("date_raw"))
     return own.union(numbered).join(texts, ["file", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))

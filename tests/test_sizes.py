@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text
-from lexgrove.operators import corpus, index, score
+from lexgrove.operators import corpus, index, quoted, score
 
 
 def test_a_number_that_the_corpus_repeats_counts_once(spark):
@@ -45,3 +45,17 @@ def test_python_reads_references_not_texts(spark):
     out = rows.select(text.unescape(F.col("x")).alias("y"))
     assert [r.y for r in out.collect()] == ["<a> b &amp; c&", "none", "", None, "A\u00acit; &nosuch;"]
     assert "regexp_extract_all" in next(p for p in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in p)
+
+
+def test_lines_of_a_thread_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(line):
+        seen.add(1)
+        return line
+
+    lines = ["own", "> From: A B <a@x.example>", "> Date: 1 May 2026", "> Subject: s", ">", "> quoted"]
+    rows = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "file string, line_no long, line string").repartition(2)
+    got = quoted.split(rows.select("file", "line_no", told("line").alias("line"))).orderBy("pos").collect()
+    assert [(r["from"], r.text) for r in got] == [("", "own"), ("A B <a@x.example>", "quoted")] and seen.value == len(lines)

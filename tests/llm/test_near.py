@@ -62,3 +62,27 @@ def test_near_copies_of_messy_rows(docs, nothing):
     rows = sorted(r.doc_id for r in out.collect() if r.doc_id is not None)
     assert out.columns == docs.columns and rows == kept([(d, t) for d, t, *_ in documents()]) and near.keep_one(nothing).count() == 0
     assert out.where("doc_id is null").count() == 1
+
+
+def test_a_large_group_makes_no_row_for_each_pair(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rnd.choice(words) for _ in range(120)]
+    texts = [base]
+    for k in range(240):  # one word changed costs five shingles of 116: most stay similar to the first text, and few to each other
+        cut = rnd.sample(range(120), 2 + k % 2)
+        texts.append([rnd.choice(words) if i in cut else w for i, w in enumerate(base)])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    made = []
+    real = near.materialise
+
+    def counted(df, label):
+        out = real(df, label)
+        if label in ("near-candidates", "near-pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "materialise", counted)
+    found = sorted(r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert found == kept(rows)
+    assert sum(made) < 8 * len(rows), made

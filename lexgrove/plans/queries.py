@@ -555,9 +555,8 @@ def event_windows_stream(spark, sf):
     again = e.where("event_id % 10 = 0").withColumn("part", part + 2)
     place = scratch(spark, "arrivals")
     sent = e.withColumn("part", part).union(again)
-    for k in [r["part"] for r in sent.select("part").distinct().orderBy("part").collect()]:  # one part for each week of events
-        sent.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in/{k:06d}")
-    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    files = L.arrive(sent, f"{place}/parts", f"{place}/in")  # one part for each week of events
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
     L.follow_counters(stream, f"{place}/out", f"{place}/checkpoint", "6 hours", "8 days").awaitTermination()
     w = L.current_counters(spark, f"{place}/out")
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

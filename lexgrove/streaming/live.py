@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECK_EVERY, TAIL, WINDOW, TIMES = 50, 300, 3600, 3
+#: Files of one part of what arrives, at most.
+PART_FILES = 4
 
 
 def audit_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,6 +48,20 @@ def follow_counters(events: DataFrame, path: str, checkpoint: str, window: str =
     return event_counters(events, window, late).writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def arrive(rows: DataFrame, parted: str, path: str) -> int:
+    """Write rows to path, a folder for each part, one part after another in their order; the files of a part, at most.
+
+    rows are read once, and each part's own are then read from the place parted. A part has few files however large it is, so that a stream that takes as many at a time
+    has a batch for each part, and no more of them for more rows.
+    """
+    spark = rows.sparkSession
+    rows.write.partitionBy("part").parquet(parted)
+    schema = rows.drop("part").schema
+    for k in [r["part"] for r in spark.read.parquet(parted).select("part").distinct().orderBy("part").collect()]:
+        spark.read.schema(schema).parquet(f"{parted}/part={k}").coalesce(PART_FILES).write.mode("append").parquet(f"{path}/{k:06d}")
+    return PART_FILES
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text
 from lexgrove.operators import corpus, index, quoted, score
+from lexgrove.plans import queries
 
 
 def test_a_number_that_the_corpus_repeats_counts_once(spark):
@@ -59,3 +60,15 @@ def test_lines_of_a_thread_are_read_once(spark):
     rows = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "file string, line_no long, line string").repartition(2)
     got = quoted.split(rows.select("file", "line_no", told("line").alias("line"))).orderBy("pos").collect()
     assert [(r["from"], r.text) for r in got] == [("", "own"), ("A B <a@x.example>", "quoted")] and seen.value == len(lines)
+
+
+def test_a_week_of_events_arrives_in_few_files_and_one_batch(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "scratch", lambda *_: f"file://{tmp_path}/place")
+    at = F.timestamp_seconds(1_704_067_200 + F.col("id") * 3_600).cast("timestamp_ntz").alias("ts")
+    events = spark.range(24 * 30).select(F.col("id").alias("event_id"), at, F.lit("x").alias("event_type"), F.lit(1.0).alias("value"))
+    events.repartition(9).write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.event_windows_stream(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in found) == 24 * 30 and len(found) == 4 * 30 and all(r.total == r.n for r in found)
+    weeks = list((tmp_path / "place" / "in").iterdir())
+    assert max(len(list(w.glob("*.parquet"))) for w in weeks) <= 4
+    assert len(list((tmp_path / "place" / "out" / "log").iterdir())) <= len(weeks)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -15,13 +15,28 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 
 SPACE = "▁"
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 RUN_ENTRIES, PREFIX_ENTRIES = 200_000, 250_000
+#: Characters of a run whose survivors are looked for on demand, and which is kept, at most.
+RUN_LENGTH = 64
 _SHORT = (2, 1)
 #: Finer ways to cut a text first. A way is used if no piece of the model crosses one of its cuts; the last always holds.
 _CUTS = [rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^\w{SPACE}]|[\d_²])+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+"]
 
 
+class _Known(dict):
+    """Runs -> their ids; those of a run not met before are searched for, and kept while there is room."""
+
+    def __init__(self, search: Callable[[str], bytes]):
+        self.search = search
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.search(run)
+        if len(self) < RUN_ENTRIES and len(run) < RUN_LENGTH:
+            self[run] = ids
+        return ids
+
+
 class Pieces:
     """A model file: its pieces, what joins them, and the search."""
 
@@ -48,10 +63,10 @@ class Pieces:
         # in a merge model, scores fall with the merge's rank, all distinct steps; a unigram model has log probabilities
         self.merges = self._is_merge_model()
         self.cut = re.compile(next(c for c in _CUTS if c is _CUTS[-1] or all(re.fullmatch(c, p) for p in self.ids)))
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._ids_of)
         self.raw: dict[str, bytes] = {}
         self.by_prefix: dict[str, str | None] = {}
-        self.pair_ok: dict[tuple[str, str], bool] = {}
+        self.pair_ok: dict[int, bool] = {}  # number of the left piece * 2^32 + that of the right one
         self.halves_of: dict[str, tuple[str, str] | None] = {}
         by_end: dict[str, set[int]] = {}
         for p in self.ids:
@@ -125,12 +140,14 @@ class Pieces:
     def _follows(self, left: str | None, piece: str) -> bool:
         if left is None:
             return len(piece) == 1 or self._halves(piece) is not None or self.merged(piece)[0] == [piece]
-        key = (left, piece)
-        ok = self.pair_ok.get(key)
+        a, b = self.ids.get(left), self.ids.get(piece)
+        if a is None or b is None:  # a character without a number
+            return self._makes(left, piece)
+        ok = self.pair_ok.get(a << 32 | b)
         if ok is None:
             ok = self._makes(left, piece)
             if len(self.pair_ok) < CACHE_ENTRIES:
-                self.pair_ok[key] = ok
+                self.pair_ok[a << 32 | b] = ok
         return ok
 
     # -- the search
@@ -161,7 +178,7 @@ class Pieces:
 
     def _extend(self, text: str, last: list, total: list, end: int) -> None:
         """Survivors of the boundaries up to `end`."""
-        ids, lengths, known = self.ids, self.lengths.get, self.pair_ok.get
+        ids, lengths = self.ids, self.lengths.get
         if not self.merges:
             for i in range(len(last), end + 1):
                 top, best = -1e30, None
@@ -193,8 +210,7 @@ class Pieces:
                     if j == 0 and self._follows(None, piece):
                         break
                     continue
-                ok = known((left, piece))
-                if ok or ok is None and self._follows(left, piece):
+                if self._follows(left, piece):
                     break
             else:
                 piece = None
@@ -202,6 +218,40 @@ class Pieces:
                 memo[text[:i]] = piece
             last.append(piece)
 
+    def _survivor(self, run: str, i: int, last: list) -> str | None:
+        """The same survivor of boundary i of a short run, in a merge model: only boundaries that a piece tried for a later one starts at are looked at."""
+        head = run[:i]
+        piece = self.by_prefix.get(head, 0)
+        if piece == 0:
+            ids, pair_ok = self.ids.get, self.pair_ok.get
+            for n in self.lengths.get(run[i - 3 : i], _SHORT) if i > 2 else _SHORT:
+                j = i - n
+                if j < 0:
+                    continue
+                piece = run[j:i]
+                b = ids(piece)
+                if n > 1 and b is None:
+                    continue
+                if j == 0:
+                    if self._follows(None, piece):
+                        break
+                    continue
+                left = last[j]
+                if left == 0:
+                    left = self._survivor(run, j, last)
+                if left is None:
+                    continue
+                a = ids(left)
+                ok = None if a is None or b is None else pair_ok(a << 32 | b)
+                if ok or ok is None and self._follows(left, piece):
+                    break
+            else:
+                piece = None
+            if len(self.by_prefix) < PREFIX_ENTRIES:
+                self.by_prefix[head] = piece
+        last[i] = piece
+        return piece
+
     _left: str | None = None
 
     def _meeting(self, last: list, end: int) -> int:
@@ -234,19 +284,23 @@ class Pieces:
             self.raw[piece] = value
         return value
 
+    def _ids_of(self, run: str) -> bytes:
+        """The ids of a run: a short one's path is followed back from its end, a longer one streams."""
+        raw, end = self.raw, len(run)
+        if not self.merges or end >= RUN_LENGTH:
+            return b"".join([raw[p] if p in raw else self._raw(p) for p in self.stream((run,))])
+        last, path = [0] * (end + 1), []
+        while end > 0:
+            piece = last[end] or self._survivor(run, end, last)
+            path.append(raw[piece] if piece in raw else self._raw(piece))
+            end -= len(piece)
+        return b"".join(path[::-1])
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, each as four bytes, little-endian. Cuts that no piece crosses part it first."""
         if not text:
             return b""
-        out, known, raw = [], self.known, self.raw
-        for run in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(run)
-            if ids is None:
-                ids = b"".join([raw[p] if p in raw else self._raw(p) for p in self.stream((run,))])
-                if len(known) < RUN_ENTRIES and len(run) < 64:
-                    known[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids: bytes | None) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))

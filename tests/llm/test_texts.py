@@ -64,6 +64,19 @@ def test_stream_commits_the_same_pieces_from_any_parts():
         assert list(stream) == whole
 
 
+def test_short_runs_look_at_few_boundaries_and_give_the_same_pieces(monkeypatch):
+    rnd, model = random.Random(5), pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    runs = ["▁" + "".join(rnd.choice(["th", "er", "tion", "ing", "ation", "ment", "é", "q", "auß", "\u0416", "\U0001f600"]) for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    found = [model.encode(r[1:]) for r in runs]
+    looked = len(model.by_prefix)
+    assert found == [b"".join(np.array(model._numbers(p), "<u4").tobytes() for x in model.cut.findall(r) for p in model.stream([x])) for r in runs]
+    assert looked < 0.9 * len({x[:i] for r in runs for x in model.cut.findall(r) for i in range(1, min(16, len(x) + 1))})
+    monkeypatch.setattr(pieces, "PREFIX_ENTRIES", 0)  # without room for what is met, the same
+    for held in (model.by_prefix, model.pair_ok, model.known):
+        held.clear()
+    assert [model.encode(r[1:]) for r in runs] == found
+
+
 def test_unigram_search_finds_the_best_path():
     model = object.__new__(pieces.Pieces)
     rnd = random.Random(2)

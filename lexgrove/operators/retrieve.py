@@ -222,10 +222,14 @@ def rrf(bm: DataFrame, cos: DataFrame | None) -> DataFrame:
 
 
 def diverse(ranked: DataFrame, score: str, k: int) -> DataFrame:
-    """The best chunk of each bucket first, by rank, then the others by rank. ranked: qid, chunk_id, bucket, score."""
+    """The best chunk of each bucket first, by rank, then the others by rank. ranked: qid, chunk_id, bucket, score.
+
+    No more than k of a bucket can be chosen, so that the limit goes below both shuffles (WindowGroupLimit).
+    """
     first = F.row_number().over(Window.partitionBy("qid", "bucket").orderBy(F.desc(score), "chunk_id"))
     order = Window.partitionBy("qid").orderBy(F.col("_first") > 1, F.desc(score), "chunk_id")
-    return ranked.withColumn("_first", first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_first")
+    ranked = ranked.withColumn("_first", first).where(F.col("_first") <= k)
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_first")
 
 
 def round_robin(chunks: DataFrame, budget: int) -> DataFrame:

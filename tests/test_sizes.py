@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text
-from lexgrove.operators import corpus, index, quoted, score
+from lexgrove.operators import corpus, index, quoted, retrieve, score
 from lexgrove.plans import queries
 
 
@@ -72,3 +72,16 @@ def test_a_week_of_events_arrives_in_few_files_and_one_batch(spark, monkeypatch,
     weeks = list((tmp_path / "place" / "in").iterdir())
     assert max(len(list(w.glob("*.parquet"))) for w in weeks) <= 4
     assert len(list((tmp_path / "place" / "out" / "log").iterdir())) <= len(weeks)
+
+
+def test_of_a_bucket_no_more_is_shuffled_than_can_be_chosen(spark):
+    n = F.col("id")
+    ranked = spark.range(3_000).select((n % 3).alias("qid"), n.alias("chunk_id"), F.concat(F.lit("b"), (n * n % 7).cast("string")).alias("bucket"), (n * 37 % 101 / 10).alias("bm25"))
+    found = retrieve.diverse(ranked, "bm25", 8)
+    for qid in range(3):
+        rows = sorted(((r.bm25, r.chunk_id, r.bucket) for r in ranked.where(F.col("qid") == qid).collect()), key=lambda r: (-r[0], r[1]))
+        firsts = {b: next(r for r in rows if r[2] == b) for b in {r[2] for r in rows}}
+        best = sorted(rows, key=lambda r: (firsts[r[2]] != r, -r[0], r[1]))[:8]
+        assert [r.chunk_id for r in found.where(F.col("qid") == qid).orderBy("rank").collect()] == [r[1] for r in best]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 * plan.count("Window [")

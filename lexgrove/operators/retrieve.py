@@ -26,6 +26,8 @@ BROADCAST_TERMS = 200_000
 TASK_SCORES = 4_000_000
 #: Scores whose difference is less may be equal once they are rounded to nine places.
 ROUNDED = 2e-9
+#: Steps of a BM25 score of one in which scores are counted.
+SCORE_STEPS = 20
 TOP_K, MIN_SCORE, DENSE_MIN, REASON_TOP_K = 5, 1.0, 0.5, 8
 QUOTA_MIN, RESCUE_DIGITS, RESCUE_MAX = 3, 3, 2
 GENERIC_FOLDER_WORDS = ["firm", "ip", "law", "llp", "llc", "pc", "group", "partners", "the", "and", "of", "co"]
@@ -182,13 +184,28 @@ def cosine_ranks(vectors: DataFrame, asked: DataFrame, wanted: DataFrame, block:
     return reduce(DataFrame.union, results)
 
 
+def lexical_ranks(bm: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, chunk_id, rank) of wanted rows (qid, chunk_id, bm25) of bm: their ranks among all of a question, by counting, without sorting all.
+
+    Scores are counted in steps, and those above a wanted one's step are summed; within its step each row is compared with it. Only counts are shuffled.
+    """
+    bm = bm.withColumn("_step", F.floor(F.col("bm25") * SCORE_STEPS))
+    sought = wanted.select("qid", F.floor(F.col("bm25") * SCORE_STEPS).alias("_step"), F.col("chunk_id").alias("_id"), F.col("bm25").alias("_score"))
+    steps = bm.join(wanted.select("qid").distinct(), "qid", "left_semi").groupBy("qid", "_step").agg(F.count("*").alias("_n"))
+    above = steps.select("qid", "_step", (F.sum("_n").over(Window.partitionBy("qid").orderBy(F.desc("_step"))) - F.col("_n")).alias("_above"))
+    earlier = (F.col("bm25") > F.col("_score")) | ((F.col("bm25") == F.col("_score")) & (F.col("chunk_id") < F.col("_id")))
+    inside = bm.join(sought, ["qid", "_step"]).where(earlier).groupBy("qid", "_id").agg(F.count("*").alias("_inside"))
+    ranks = sought.join(above, ["qid", "_step"]).join(inside, ["qid", "_id"], "left")
+    return ranks.select("qid", F.col("_id").alias("chunk_id"), (F.col("_above") + F.coalesce("_inside", F.lit(0)) + 1).alias("rank"))
+
+
 def fused_top(bm: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, rrf, rank): the k best by reciprocal ranks, for any k, without ranking everything for a question. asked: qid, q.
 
     A threshold algorithm. Both rankings are read to a depth at which what neither has shown, at most 1.5 / (61 + depth), can't reach the k-th of the lexical
     ones, 1 / (60 + k); where fewer have a term all of those are read, and the nearest k fill up. A candidate's known part is its lower bound, and
-    with what a rank just below the depth would add its upper one; the k-th lower bound of a question leaves few whose other rank is looked for: by cosine it is
-    counted, in the lexical ranking it is read as far as the lowest of them. ROUNDED is what scores are rounded by, so that ties are those of rrf().
+    with what a rank just below the depth would add its upper one; the k-th lower bound of a question leaves few whose other rank is looked for: it is
+    counted, by cosine and by BM25. ROUNDED is what scores are rounded by, so that ties are those of rrf().
     """
     depth = int(1.5 / (1 / (RRF_K + k) - ROUNDED)) - RRF_K
     pair = ["qid", "chunk_id"]
@@ -202,9 +219,7 @@ def fused_top(bm: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> Da
     live = keep(live.select(*pair, "_rb", "_rc"), "candidates")
     counted = cosine_ranks(vectors, asked, live.where("_rc is null").select(*pair)).select(*pair, F.col("rank").alias("_more_rc"))
     scored = keep(live.where("_rb is null").select(*pair).join(bm.where("bm25 > 0"), pair), "late")
-    lowest = scored.groupBy("qid").agg(F.min("bm25").alias("_lowest"))
-    deeper = bm.join(lowest, "qid").where("bm25 > 0 and bm25 >= _lowest").withColumn("_more_rb", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "chunk_id")))
-    read = deeper.join(scored.select(*pair), pair, "left_semi").select(*pair, "_more_rb")
+    read = lexical_ranks(bm.where("bm25 > 0"), scored).select(*pair, F.col("rank").alias("_more_rb"))
     ranked = live.join(counted, pair, "left").join(read, pair, "left").select(*pair, F.coalesce("_rb", "_more_rb").alias("_rb"), F.coalesce("_rc", "_more_rc").alias("_rc"))
     return top(ranked.select(*pair, F.round(part(F.lit(1.0), "_rb") + part(F.lit(DENSE_WEIGHT), "_rc"), 9).alias("rrf")), "rrf", k)
 

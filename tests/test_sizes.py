@@ -1,5 +1,6 @@
 """What larger tables bring: repeated keys, and tasks that hold a bounded share of the input."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text
@@ -85,3 +86,14 @@ def test_of_a_bucket_no_more_is_shuffled_than_can_be_chosen(spark):
         assert [r.chunk_id for r in found.where(F.col("qid") == qid).orderBy("rank").collect()] == [r[1] for r in best]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2 * plan.count("Window [")
+
+
+def test_lexical_ranks_are_counted_without_sorting_all(spark):
+    n = F.col("id")
+    bm = spark.range(4_000).select((n % 4).alias("qid"), n.alias("chunk_id"), (n * 7919 % 523 / 97).alias("bm25"))
+    wanted = bm.where("chunk_id % 41 = 0 and qid < 3")
+    ranked = bm.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "chunk_id")))
+    found = retrieve.lexical_ranks(bm, wanted)
+    expected = ranked.join(wanted.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").select("qid", "chunk_id", "rank")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) != []
+    assert all("_step" in w and "chunk_id" not in w for w in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Window [" in w)

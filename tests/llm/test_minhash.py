@@ -78,6 +78,21 @@ def test_large_groups(spark, monkeypatch, block):
     assert held(minhash.groups(docs)) == sorted(brute(rows), key=repr)
 
 
+def test_clusters_that_become_one(spark):
+    """x met the hub h and w met x: what connects x with h makes one component of both clusters, but w and v, which met different hubs, still have to meet."""
+
+    def moved(first, last, mark=None):
+        words = [(f"p{k}_5" if k < first else f"q{119 - k}_5" if k >= 120 - last else f"a{k}_5") for k in range(120)]
+        return " ".join(words if mark is None else [*words[:60], mark, *words[61:]])
+
+    h, y, x, v, w = (moved(*m) for m in ((0, 0), (12, 0), (24, 0), (24, 16), (34, 16)))
+    texts = [h, x, y, w, v, *(moved(0, 0, f"eh{k}") for k in range(30)), *(moved(24, 0, f"ex{k}") for k in range(6))]
+    rows = list(enumerate(texts))
+    expected = sorted(brute(rows), key=repr)
+    assert len({c for _, _, c in expected}) == 2
+    assert held(minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
+
+
 def test_posterior():
     """Its upper tail against a sum over a fine grid of similarities; fewer matches are never more probable."""
     grid = (np.arange(200_000) + 0.5) / 200_000

@@ -103,6 +103,15 @@ def test_links_connect_all_near_pairs_also_in_crowded_buckets(spark, bucket_rows
     assert {p: find(p) for p in prints} == linked(prints)
 
 
+def test_links_broadcast_no_exploded_table(spark, monkeypatch):
+    """A fingerprint has some 34 probes, of which Spark's sizes know nothing: broadcast, they filled the driver at 0.6 GB."""
+    plans, kept = [], simhash.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: (plans.append(plan(df)), kept(df, label))[1])
+    plans.append(plan(simhash.links(spark.range(100).select(F.xxhash64("id").alias("fp")))))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def repeats(rows, length=13):
     words = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
     least = {}

@@ -2,9 +2,10 @@
 
 A shard's documents fall into blocks, and so do posting lists: of each term and block the index has the postings and, once idf and the average
 length are known, their greatest score. A query has a cursor, a heap of its k best scores and the least of them as threshold. The pivot is the
-first block from the cursor on whose terms' maxima sum to the threshold at least; blocks before it are passed over unread, the pivot's postings are
+first block from the cursor on whose bound reaches the threshold; blocks before it are passed over, the pivot's documents are
 scored, the threshold rises, and the cursor moves on. The cursors of many queries move along the blocks side by side, so that a block is scored for all that
-have it as pivot by a few array operations.
+have it as pivot by a few array operations. A bound is the maxima of a query's frequent terms and the most that its rare terms give one document of the block.
+A few shards are searched first; what a query's k-th best document there has is its threshold for the other shards from the start.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 300_000
 #: Bytes of text and documents in a shard, documents in a block of it, queries that go to the shards together, parts that results are merged in.
 SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, MERGE_PARTS = 32 << 20, 1 << 16, 64, 4096, 1024
-#: Cells (query and block), blocks of posting lists, and postings that a step of a search holds at most (or one query's, if it has more).
+#: Cells (query and document), terms of queries, and postings that a step of a search holds at most (or one query's, if it has more).
 CELLS, ENTRIES, POSTINGS = 1 << 22, 1 << 21, 1 << 19
 #: Terms of over this share of a shard's documents have a score for each document of a block instead of postings.
-DENSE_SHARE = 1 / 40
+DENSE_SHARE = 1 / 10
+#: One shard of so many is searched before the others, at least as many as run at once, but none if that is over half of them.
+FIRST_SHARDS = 16
 _TERM_CHUNK = 1 << 16
 
 
@@ -155,10 +158,10 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Blocks:
-    """The posting lists of a shard's terms that queries ask for, by block, with the greatest score of each term in each block.
+    """The posting lists of a shard's terms that queries ask for.
 
-    A block of a frequent term's list has a score for each document (dense: by block, term and document; frequent: each term's number there or -1).
-    Those of other terms are postings: of each term its blocks, and of a block its number, first posting and greatest score.
+    That of a frequent term has a score for each document (dense: by block, term and document; frequent: each term's number there or -1) and a greatest
+    score for each block. Those of other terms are postings: of each term the first one, and of these documents and scores.
     """
 
     def __init__(self, shard: _Shard, place: np.ndarray, idf: np.ndarray, norm: np.ndarray, how: Bm25, size: int):
@@ -179,63 +182,52 @@ class _Blocks:
         docs, tf = shard.docs[at], shard.tf[at]
         term = np.repeat(have, counts)
         self.score = idf[term] * tf * (how.k1 + 1) / (tf + norm[docs])
-        self.inner = docs % np.int32(size)
-        block = docs // size
-        new = np.ones(len(term), bool)
-        new[1:] = (np.diff(term) != 0) | (np.diff(block) != 0)
-        self.first = np.append(np.flatnonzero(new), len(term)).astype(np.int32)
-        self.counts = np.diff(self.first)
-        self.block = block[self.first[:-1]]
-        self.maxima = np.maximum.reduceat(self.score, self.first[:-1]) if len(term) else np.zeros(0)
-        # of each term that is asked for: its first block of postings
-        self.starts = np.searchsorted(term[self.first[:-1]], np.arange(len(place) + 1))
-
-
-def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best documents of one shard for each query: (query number, doc_id, score). counted, if given, gets the blocks scored and passed over."""
+        self.docs = docs
+        self.counts = np.where(self.frequent < 0, df, 0).astype(np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+
+def search(row: dict, q: _Queries, k: int, how: Bm25, counted: dict | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best documents of one shard for each query: (query number, doc_id, score). counted, if given, gets the blocks scored and passed over.
+
+    least: a score for each query; of documents with less some may be left out.
+    """
     shard, size = _Shard(row), BLOCK_DOCS
     blocks = -(-len(shard.doc_ids) // size)
     norm = how.k1 * (1 - how.b + how.b * shard.lengths / q.average)
     lists = _Blocks(shard, shard.places(q.terms), q.idf, norm, how, size)
     found = []
-    asked = np.concatenate([[0], np.cumsum(np.diff(lists.starts)[q.numbers])])[q.starts]  # blocks of postings before each query's
-    begin, most = 0, max(1, CELLS // max(1, blocks, lists.dense.shape[1]))
+    begin, most = 0, max(1, CELLS // max(1, blocks * size, lists.dense.shape[1]))
     while begin < len(q.ids):
-        end = min(len(q.ids), begin + most, max(begin + 1, int(np.searchsorted(asked, asked[begin] + ENTRIES, "right")) - 1))
-        found.append(_wand(shard, lists, q, range(begin, end), blocks, k, counted))
+        end = min(len(q.ids), begin + most, max(begin + 1, int(np.searchsorted(q.starts, q.starts[begin] + ENTRIES, "right")) - 1))
+        found.append(_wand(shard, lists, q, range(begin, end), blocks, k, counted, least))
         begin = end
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: int, k: int, counted: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: int, k: int, counted: dict | None, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(numbers)
     own = q.numbers[q.starts[numbers.start] : q.starts[numbers.stop]]
     of = np.repeat(np.arange(n), np.diff(q.starts[numbers.start : numbers.stop + 1]))
     has = np.zeros((n, lists.dense.shape[1]))
     often = lists.frequent[own] >= 0
     has[of[often], lists.frequent[own[often]]] = 1
-    # each query's blocks of postings, by block and query
-    count = np.diff(lists.starts)[own]
-    entry = _spread(lists.starts[own].astype(np.int32), count.astype(np.int32))
-    cell = (lists.block[entry] * n + np.repeat(of, count)).astype(np.int32)
-    bound = (has @ lists.dense_maxima).T + np.bincount(cell, lists.maxima[entry], n * blocks).reshape(blocks, n)
-    cells = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n * blocks))])
-    entry = entry[np.argsort(cell, kind="stable")]
+    rare = _rare(lists, own, of, n, blocks)
+    bound = (has @ lists.dense_maxima + rare.max(axis=2)).T.copy()
     best, who = np.zeros((n, k)), np.full((n, k), -1)  # each query's heap, and the least score that may enter it
-    least = np.full(n, 1e-9)
+    # bounds are sums in another order, and scores are rounded
+    least = np.full(n, 1e-9) if given is None else np.maximum(given[numbers.start : numbers.stop] - 1e-6, 1e-9)
     scored = 0
     # all cursors move on together: the pivot of a query is the next block whose bound reaches its least score
     for pivot in range(blocks):
         active = np.flatnonzero(bound[pivot] >= least)
         scored += len(active)
         if len(active):
-            at, end = cells[pivot * n + active], cells[pivot * n + active + 1]
-            weight = np.cumsum((end - at) * BLOCK_DOCS)  # a block of postings has so many at most
-            for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(weight // POSTINGS)) + 1):
-                rows = has if len(part) == n else has[active[part]]
-                _score(shard, lists, rows @ lists.dense[pivot], entry, at[part], end[part], active[part], pivot, best, who, least)
+            full = (has @ lists.dense[pivot])[active] if 2 * len(active) > n else has[active] @ lists.dense[pivot]
+            full += rare[active, pivot]
+            _score(shard, full, active, pivot, best, who, least)
     if counted is not None:
         counted["scored"] = counted.get("scored", 0) + scored
         counted["passed"] = counted.get("passed", 0) + int((bound > 0).sum()) - scored
@@ -243,19 +235,30 @@ def _wand(shard: _Shard, lists: _Blocks, q: _Queries, numbers: range, blocks: in
     return numbers.start + number, shard.doc_ids[who[number, place]], best[number, place]
 
 
-def _score(shard, lists, full, entry, at, end, active, pivot, best, who, least) -> None:
-    """Scores of the pivot's documents, to what frequent terms give, which go into the heaps of their queries."""
+def _rare(lists: _Blocks, own: np.ndarray, of: np.ndarray, n: int, blocks: int) -> np.ndarray:
+    """What each document gets from each query's terms that aren't frequent, by query, block and document. own, of: the queries' terms, and whose they are, in order."""
+    width = blocks * BLOCK_DOCS
+    out, counts = np.zeros((n, width)), lists.counts[own]
+    before = np.concatenate([[0], np.cumsum(np.bincount(of, counts, n)).astype(np.int64)])  # postings before each query's
+    begin = 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + POSTINGS, "right")) - 1)
+        a, b = np.searchsorted(of, (begin, end))
+        postings = _spread(lists.starts[own[a:b]], counts[a:b])
+        cell = np.repeat((of[a:b] - begin) * width, counts[a:b])
+        cell += lists.docs[postings]
+        out[begin:end] = np.bincount(cell, lists.score[postings], (end - begin) * width).reshape(end - begin, width)
+        begin = end
+    return out.reshape(n, blocks, BLOCK_DOCS)
+
+
+def _score(shard, full, active, pivot, best, who, least) -> None:
+    """Puts the pivot's documents, whose scores are full, into the heaps of their queries."""
     size, k = BLOCK_DOCS, best.shape[1]
-    mine = entry[_spread(at, end - at)]
-    if len(mine):
-        counts = lists.counts[mine]
-        postings = _spread(lists.first[mine], counts)
-        cell = np.repeat(np.repeat(np.arange(0, len(active) * size, size, dtype=np.int32), end - at), counts)
-        cell += lists.inner[postings]
-        full = full + np.bincount(cell, lists.score[postings], len(active) * size).reshape(full.shape)
-    full = np.round(full, 6)
+    near = np.flatnonzero(full.max(axis=1) >= least[active])
+    active, full = active[near], np.round(full[near], 6)
     # only queries with a document that may enter; of equal scores the lesser doc_id is better
-    enters = np.flatnonzero(full.max(axis=1) >= np.maximum(best[active, k - 1], 1e-9))
+    enters = np.flatnonzero(full.max(axis=1) >= np.maximum(best[active, k - 1], 1e-9)) if len(near) else near
     if not len(enters):
         return
     a, doc = active[enters], pivot * size + np.arange(size)
@@ -264,16 +267,16 @@ def _score(shard, lists, full, entry, at, end, active, pivot, best, who, least)
     ids = np.where(docs >= 0, shard.doc_ids[np.clip(docs, 0, len(shard.doc_ids) - 1)], np.iinfo(np.int64).max)
     order = np.lexsort((ids, -score), axis=1)[:, :k]
     best[a], who[a] = np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
-    least[a] = np.maximum(best[a, k - 1] - 1e-6, 1e-9)  # bounds are sums in another order, and scores are rounded
+    least[a] = np.maximum(best[a, k - 1] - 1e-6, least[a])
 
 
 _FOUND = "part int, query binary, doc binary, score binary"
 
 
-def _searched(batches: Iterator[pa.RecordBatch], sent, k: int, how: Bm25) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], sent, k: int, how: Bm25, least=None) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in b.to_pylist():
-            query, doc, score = search(row, sent.value, k, how)
+            query, doc, score = search(row, sent.value, k, how, None, least.value if least else None)
             release()
             parts = query % MERGE_PARTS
             order = np.argsort(parts, kind="stable")
@@ -293,12 +296,22 @@ def _merged(group: pa.Table, sent, k: int) -> pa.Table:
     return pa.table({"query_id": sent.value.ids[query[keep]], "rank": rank[keep].astype(np.int32), "doc_id": doc[keep], "score": score[keep]})
 
 
+def _thresholds(group: pa.Table, k: int) -> pa.Table:
+    """The k-th best score of each query that has so many, by its number."""
+    query, score = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("query", np.int64), ("score", np.float64)))
+    order = np.lexsort((-score, query))
+    query, score = query[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(query) != 0]))
+    last = first[np.diff(np.append(first, len(query))) >= k] + k - 1
+    return pa.table({"query": query[last], "score": score[last]})
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, how: Bm25 = Bm25()) -> DataFrame:
     """The k best documents (doc_id, text) for each query (doc_id, text): (query_id, rank, doc_id, score).
 
     Scores sum over a query's distinct terms and are rounded to 6 places; equal scores rank by doc_id; documents of score 0
     are no results, so empty queries and empty tables give none. Statistics are those of all documents. The index is built once;
-    queries go to it in blocks of QUERY_BLOCK, which bounds what is broadcast. Each shard gives its own exact best, and
+    queries go to it in blocks of QUERY_BLOCK, which bounds what is broadcast. Each shard gives its own exact best, as far as they reach what a query has in the first shards, and
     their union has the exact best of all. Queries that share an id are answered each. A shard closes by bytes or by documents,
     whichever comes first, so that any number of empty texts is no large shard.
     """
@@ -308,6 +321,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, how: Bm25 = Bm25())
     n, average = total[0] or 0, (total[1] or 0) / (total[0] or 1) or 1.0
     asked = materialise(queries.where("doc_id is not null").select("doc_id", "text").mapInArrow(_query_terms, "query_id long, digest long, terms binary"), "bm25-queries")
     blocks = -(-asked.count() // QUERY_BLOCK)
+    first = _first_shards(shards)
     results = []
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("query_id", "digest"), F.lit(blocks)) == block).orderBy("query_id", "digest").collect()
@@ -315,7 +329,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, how: Bm25 = Bm25())
         if sum(map(len, lists)):
             distinct, numbers = np.unique(np.concatenate(lists), return_inverse=True)
             ids = np.array([r["query_id"] for r in own], np.int64)
-            results.append(_answered(shards, n, _Queries(ids, distinct, np.cumsum([0, *map(len, lists)]), numbers, None, average), k, how))
+            results.append(_answered(shards, first, n, _Queries(ids, distinct, np.cumsum([0, *map(len, lists)]), numbers, None, average), k, how))
     if not results:
         return spark.createDataFrame([], _RESULT)
     return reduce(DataFrame.union, results)
@@ -324,15 +338,32 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, how: Bm25 = Bm25())
 _RESULT = "query_id long, rank int, doc_id long, score double"
 
 
-def _answered(shards: DataFrame, n: int, q: _Queries, k: int, how: Bm25) -> DataFrame:
-    """One block of queries: its terms' global document frequencies, then its results."""
+def _first_shards(shards: DataFrame) -> list[int]:
+    """The shards that are searched before the others, evenly from all; none if that is over half of them."""
+    numbers = sorted(r["shard"] for r in shards.select("shard").collect())
+    some = max(shards.sparkSession.sparkContext.defaultParallelism, -(-len(numbers) // FIRST_SHARDS))
+    return [] if 2 * some > len(numbers) else [numbers[i * len(numbers) // some] for i in range(some)]
+
+
+def _answered(shards: DataFrame, first: list[int], n: int, q: _Queries, k: int, how: Bm25) -> DataFrame:
+    """One block of queries: its terms' global document frequencies, then its results, of the first shards before the others."""
     context = shards.sparkSession.sparkContext
     wanted = context.broadcast(q.terms)
     counted = shards.select("terms", "starts").mapInArrow(lambda it: _frequencies(it, wanted), "chunk int, df binary")
     summed = counted.groupBy("chunk").applyInArrow(_summed, "chunk int, df binary").orderBy("chunk").collect()
     q.idf = how.idf(n, np.concatenate([np.frombuffer(r["df"], np.int64) for r in summed]))
     sent = context.broadcast(q)
-    found = shards.mapInArrow(lambda it: _searched(it, sent, k, how), _FOUND)
+    if not first:
+        found = shards.mapInArrow(lambda it: _searched(it, sent, k, how), _FOUND)
+    else:
+        own = F.col("shard").isin(first)
+        early = materialise(shards.where(own).mapInArrow(lambda it: _searched(it, sent, k, how), _FOUND), "bm25-first")
+        known = early.groupBy("part").applyInArrow(lambda group: _thresholds(group, k), "query long, score double").toArrow()
+        # of any documents the k-th best score is at most that of all: what has less isn't among the k best
+        least = np.zeros(len(q.ids))
+        least[known.column("query").to_numpy()] = known.column("score").to_numpy()
+        told = context.broadcast(least)
+        found = early.union(shards.where(~own).mapInArrow(lambda it: _searched(it, sent, k, how, told), _FOUND))
     return found.groupBy("part").applyInArrow(lambda group: _merged(group, sent, k), _RESULT)
 
 

@@ -337,6 +337,31 @@ def test_blocks_are_passed_over_and_results_stay_exact():
         assert sorted(doc[mine].tolist()) == sorted(top) and np.allclose(sorted(score[mine]), sorted(full[top]), atol=2e-6)
 
 
+def test_rare_terms_of_different_documents_are_no_bound():
+    """A block where each document has one of a query's rare terms isn't scored once a document with all of them is known, here or in another shard."""
+    texts = [" ".join(f"r{k}" for k in range(40)), *(f"r{k % 40} of {k}" for k in range(4000))]
+    row, terms = shard_row(texts), np.unique(bm25.terms(texts[0]))
+    shard = bm25._Shard(row)
+    q = bm25._Queries(np.array([7]), terms, np.array([0, 40]), np.arange(40), bm25.Bm25().idf(len(texts), np.diff(shard.starts)[shard.places(terms)]), shard.lengths.mean())
+    counted = {}
+    query, doc, score = bm25.search(row, q, 1, bm25.Bm25(), counted)
+    assert doc.tolist() == [0] and counted == {"scored": 1, "passed": -(-len(texts) // bm25.BLOCK_DOCS) - 1}
+    assert bm25.search(row, q, 1, bm25.Bm25(), None, score)[1].tolist() == [0]
+    assert bm25.search(row, q, 1, bm25.Bm25(), (counted := {}), score + 1)[1].tolist() == [] and counted["scored"] == 0
+
+
+@pytest.mark.parametrize("first", [1, 3, 10])
+def test_thresholds_of_the_first_shards_lose_nothing(spark, monkeypatch, first):
+    monkeypatch.setattr(bm25, "_first_shards", lambda shards: sorted(r["shard"] for r in shards.collect())[:first])
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 600)
+    rows = [(d, t) for d, t, *_ in documents()][:-3]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = defaultdict(list)
+    for r in bm25.top_k(frame, frame, 3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.doc_id)
+    assert got == {q: [d for d, _ in x] for q, x in ranked(rows, {d for d, _ in rows}, 3).items() if x}
+
+
 def test_many_empty_texts_are_many_shards(spark):
     empty = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text")).coalesce(1)
     shards = [r.n_docs for r in bm25.index(empty).select("n_docs").collect()]
